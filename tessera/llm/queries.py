@@ -24,6 +24,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = common.read(spark, sf_dir, "documents")
+    labels = common.read(spark, sf_dir, "labels").filter(common.fold(F.col("doc_id"), 3) != 1)
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(common.fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -44,10 +58,37 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    cleaned = line_dedup.remove_spread_lines(common.read(spark, sf_dir, "documents"), min_sites=10, max_share=0.5)
+    return cleaned.select("doc_id", "text")
+
+
+OP9_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, line, pos
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
+  WHERE trim(line, ' ') <> ''),
+spread AS (SELECT line FROM lines WHERE source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 10),
+marks AS (SELECT doc_id, list(pos) AS places, sum(length(line)) AS size FROM lines WHERE line IN (SELECT line FROM spread) GROUP BY doc_id),
+split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+cleaned AS (
+  SELECT s.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
+  FROM split s JOIN marks m USING (doc_id) WHERE NOT list_contains(m.places, pos) GROUP BY s.doc_id)
+SELECT d.doc_id, CASE WHEN m.size <= 0.5 * length(d.text) THEN coalesce(c.text, '') ELSE d.text END AS text
+FROM documents d LEFT JOIN marks m USING (doc_id) LEFT JOIN cleaned c USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op4_quality": op4_quality,
     "op7_token_files": op7_token_files,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
