@@ -104,7 +104,7 @@ def links(distinct: DataFrame, n: int, radius: int = 3) -> DataFrame:
     key = sum((p.cast("long") * base**i for i, p in enumerate(pops)), F.lit(0).cast("long"))
     spread = max(1, n // (TILE * 64))  # a crowded cell is dealt over so many tasks
     # pack fingerprints into tiles: a row for each cell and salt of at most TILE fingerprints each
-    cells = distinct.select("fp", key.alias("cell"), F.pmod(F.xxhash64("fp"), F.lit(spread)).alias("salt"))
+    cells = distinct.select(key.alias("cell"), F.pmod(F.xxhash64("fp"), F.lit(spread)).alias("salt"), "fp")
 
     def pack(batches):
         cell, salt, fp = [], [], []
