@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +83,65 @@ def map_texts(docs: DataFrame, keep: list[str], schema: str, f: Callable, text_c
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+class _Index(dict):
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Store:
+    """The ids of parts of texts, each different part encoded once.
+
+    encode(parts) returns the ids of all parts in a row and the number of each. Beyond max_parts parts or
+    max_chars characters, parts that were met once are forgotten, and all if that is not enough.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_parts: int = 1_500_000, max_chars: int = 32_000_000) -> None:
+        self.encode, self.max_parts, self.max_chars = encode, max_parts, max_chars
+        self.index, self.chars, self.used = _Index(), 0, 0
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.starts, self.counts, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        for least in (2, 4, 1 << 30):
+            keep = np.nonzero(self.hits >= least)[0]
+            keys = list(self.index)
+            kept = [keys[i] for i in keep.tolist()]
+            chars = sum(map(len, kept))
+            if len(kept) <= self.max_parts // 2 and chars <= self.max_chars // 2:
+                break
+        n = self.counts[keep].astype(np.int64)
+        ends = np.cumsum(n)
+        self.used = int(n.sum())
+        ids = self.flat[np.repeat(self.starts[keep] - (ends - n), n) + np.arange(self.used)]
+        self.flat = np.concatenate([ids, np.zeros(1 << 16, np.int32)])
+        self.index, self.chars = _Index(zip(kept, range(len(kept)), strict=True)), chars
+        self.starts, self.counts, self.hits = ends - n, self.counts[keep], np.zeros(len(keep), np.int32)
+
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, given as lists of parts, in a row, and the number of each text's."""
+        if len(self.index) > self.max_parts or self.chars > self.max_chars:
+            self._forget()
+        known = len(self.index)
+        per_text = np.fromiter(map(len, texts), np.int64, len(texts))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(per_text.sum()))
+        if len(self.index) > known:
+            fresh = list(self.index)[known:]
+            self.chars += sum(map(len, fresh))
+            ids, counts = self.encode(fresh)
+            need = self.used + len(ids)
+            if need > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(need + need // 2 - self.used, np.int32)])
+            self.flat[self.used : need] = ids
+            self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
+            self.hits = np.concatenate([self.hits, np.zeros(len(fresh), np.int32)])
+            self.used = need
+        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
+        n = self.counts[at].astype(np.int64)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)]
+        return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(per_text)]])

@@ -20,7 +20,6 @@ import codecs
 import heapq
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,6 @@ from . import common
 
 MARK = "▁"
 ROUNDS = 200
-#: A worker's store of encoded segments is emptied beyond so many segments or characters.
-STORE_SEGMENTS, STORE_CHARS = 1_000_000, 24_000_000
 NONE = np.int32(1 << 30)
 
 
@@ -217,24 +214,12 @@ def vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(model_file)
 
 
-class _Index(dict):
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class Encoder:
     """Encodes texts with a store of segments."""
 
     def __init__(self, model_file: str) -> None:
         self.v = vocabulary(model_file)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.chars = _Index(), 0
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store = common.Store(self.v.encode)
 
     def segments(self, text: str) -> list[str]:
         """Parts of the marked text; no piece reaches from one to another. A part that is a line break is one."""
@@ -261,29 +246,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each."""
-        if len(self.index) > STORE_SEGMENTS or self.chars > STORE_CHARS:
-            self.clear()
-        known = len(self.index)
-        parts = [self.segments(t) for t in texts]
-        per_text = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(per_text.sum()))
-        if len(self.index) > known:
-            fresh = list(self.index)[known:]
-            self.chars += sum(map(len, fresh))
-            ids, counts = self.v.encode(fresh)
-            need = self.used + len(ids)
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, 2 * self.used) - self.used, np.int32)])
-            self.flat[self.used : need] = ids
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.used = need
-        n = self.counts[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)]
-        sums = np.r_[0, ends][np.r_[0, np.cumsum(per_text)]]
-        return ids, np.diff(sums)
+        return self.store.ids([self.segments(t) for t in texts])
 
 
 @lru_cache(maxsize=2)

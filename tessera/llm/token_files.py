@@ -37,22 +37,15 @@ from . import common
 #: Texts with two blanks in a row are cut only at single blanks between other characters.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
-#: A worker's store of encoded words is emptied beyond so many words or characters.
-STORE_WORDS, STORE_CHARS = 1_000_000, 24_000_000
 READ_BYTES = 16 << 20
 
 
-class _Words(dict):
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class WordEncoder:
-    """A byte-level BPE tokenizer of the tokenizers library, asked once for each different word.
+    """A byte-level BPE tokenizer of the tokenizers library, asked once for each different part.
 
-    A byte-level BPE never joins what stands before a single blank between two other characters with
-    what stands behind it, so the ids of a text are those of its parts cut in front of such blanks.
+    A byte-level BPE never joins what stands before a single blank (or line break) between two other
+    characters with what stands behind it, so the ids of a text are those of its parts cut there. A
+    part is a word without the blank in front of it, or, marked by a line break, a text of its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,50 +54,24 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.clear()
+        self.store = common.Store(self._ids)
 
-    def clear(self) -> None:
-        self.index, self.chars, self.used = _Words(), 0, 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [p[1:] if p[0] == "\n" else " " + p for p in parts]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
-    def words(self, text: str) -> list[str]:
+    @staticmethod
+    def parts(text: str) -> list[str]:
         if not text:
             return []
         if _TWO.search(text) or text[0].isspace() or text[-1].isspace():
-            parts = _SAFE.split(text)
-            return [parts[0], *(" " + p for p in parts[1:])]
-        out: list[str] = []
-        for line in text.split("\n"):  # a lone line break is a part of its own
-            parts = line.split(" ")
-            out += [parts[0], *(" " + p for p in parts[1:]), "\n"]
-        out.pop()
-        return out
+            return _SAFE.split("\n" + text)
+        return ("\n" + text.replace("\n", " \n\n \n")).split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > STORE_WORDS or self.chars > STORE_CHARS:
-            self.clear()
-        known = len(self.index)
-        parts = [self.words(t) for t in texts]
-        per_text = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(per_text.sum()))
-        if len(self.index) > known:
-            fresh = list(self.index)[known:]
-            self.chars += sum(map(len, fresh))
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            need = self.used + int(counts.sum())
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, 2 * self.used) - self.used, np.uint32)])
-            self.flat[self.used : need] = np.fromiter(chain.from_iterable(got), np.uint32, need - self.used)
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.used = need
-        n = self.counts[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)]
-        return ids, np.diff(np.r_[0, ends][np.r_[0, np.cumsum(per_text)]])
+        """Ids of all texts in a row, and the number of each."""
+        return self.store.ids([self.parts(t) for t in texts])
 
 
 @lru_cache(maxsize=2)
@@ -187,6 +154,14 @@ class _Shard:
             self.fs.move(f"{self.path}/{mine}", f"{self.path}/{name}")
 
 
+def _bounds(places: DataFrame, n: int, per_shard: int = 60):
+    """An array of about n - 1 places that cut the rows into shards of like numbers, from a sample of n * per_shard places."""
+    rows = places.count()
+    found = sorted(tuple(r.p) for r in places.sample(min(1.0, n * per_shard / max(1, rows)), seed=7).collect()) if n > 1 else []
+    cuts = sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
+    return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).cast("long").alias("b"), F.lit(c).cast("long").alias("c")) for a, b, c in cuts]) if cuts else None
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length: int = 2048, per_batch: int = 64, shards: int | None = None) -> DataFrame:
     """Write docs to files in folder, which all executors reach; a row for each shard: shard, n_docs, n_tokens.
 
@@ -195,9 +170,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
     spark = docs.sparkSession
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
-    # the ids, not the texts, are dealt; they are written first, as the range bounds are taken from a pass of their own
-    ids = common.written(encode(docs, tokenizer, end_id), "ids")
-    dealt = ids.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the ids, not the texts, are dealt; bounds come from a pass over the keys, so that texts are encoded once
+    place = F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("tie").alias("c"))
+    bounds = _bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie")).select(place.alias("p")), n)
+    shard = F.size(F.filter(bounds, lambda x: x <= place)) if bounds is not None else F.lit(0)
+    dealt = encode(docs, tokenizer, end_id).repartitionById(n, shard.cast("int")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches):
         from pyspark import TaskContext
