@@ -98,7 +98,7 @@ class Store:
     max_chars characters, parts that were met once are forgotten, and all if that is not enough.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_parts: int = 1_500_000, max_chars: int = 32_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_parts: int = 800_000, max_chars: int = 20_000_000) -> None:
         self.encode, self.max_parts, self.max_chars = encode, max_parts, max_chars
         self.index, self.chars, self.used = _Index(), 0, 0
         self.flat = np.zeros(1 << 16, np.int32)

@@ -24,6 +24,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.overlaps(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), window=13, least=0.8)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -85,6 +91,7 @@ FROM documents d LEFT JOIN marks m USING (doc_id) LEFT JOIN cleaned c USING (doc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op7_token_files": op7_token_files,
     "op8_sentencepiece": op8_sentencepiece,
