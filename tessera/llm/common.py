@@ -59,7 +59,7 @@ def grouped(sizes: list[int], limit: int = GROUP_BYTES) -> Iterator[tuple[int, i
         yield start, len(sizes)
 
 
-def map_texts(docs: DataFrame, keep: list[str], schema: str, f: Callable, text_col: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], schema: str, f: Callable, text_col: str = "text", limit: int = GROUP_BYTES) -> DataFrame:
     """mapInArrow over the kept columns and the text: f gets batches in groups of bounded bytes.
 
     f(batch, texts) returns an Arrow batch or table of ``schema``, texts being UTF-8 bytes.
@@ -70,7 +70,7 @@ def map_texts(docs: DataFrame, keep: list[str], schema: str, f: Callable, text_c
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
-            for a, b in grouped(lengths):
+            for a, b in grouped(lengths, limit):
                 part = batch.slice(a, b - a)
                 out = f(part, text_bytes(part.column(part.num_columns - 1)))
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]

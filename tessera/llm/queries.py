@@ -71,6 +71,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    docs = common.read(spark, sf_dir, "documents")
+    rest = common.fold(F.col("doc_id"), 7)
+    model = lm.fit(docs, rest != 2, order=3)
+    return lm.score(docs, model).select(
+        "doc_id",
+        F.coalesce(rest == 2, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 OP9_SQL = """
 WITH lines AS (
   SELECT doc_id, source, line, pos
@@ -96,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
