@@ -61,6 +61,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    rows = ann.valid(common.read(spark, sf_dir, "embeddings"))
+    return ann.search(rows, rows.filter(F.col("id") % 50 == 0), ann.fit(rows, k=5), k=5)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -128,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_pii": op5_pii,
+    "op6_multi_index_hashing": op6_multi_index_hashing,
     "op7_token_files": op7_token_files,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
