@@ -85,6 +85,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+_sole: dict = {}
+
+
+def sole(key, make: Callable):
+    """make()'s result, kept for the next call with the key; a Python worker keeps one such object at a time."""
+    if key not in _sole:
+        _sole.clear()
+        _sole[key] = make()
+    return _sole[key]
+
+
 class _Index(dict):
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
@@ -98,7 +109,7 @@ class Store:
     max_chars characters, parts that were met once are forgotten, and all if that is not enough.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_parts: int = 800_000, max_chars: int = 20_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_parts: int = 500_000, max_chars: int = 12_000_000) -> None:
         self.encode, self.max_parts, self.max_chars = encode, max_parts, max_chars
         self.index, self.chars, self.used = _Index(), 0, 0
         self.flat = np.zeros(1 << 16, np.int32)

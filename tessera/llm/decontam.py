@@ -34,7 +34,7 @@ from . import common
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 5, 8, 9))
 LEAST_WORDS = 6
 WORD = re.compile(r"[^\W_]+")
-_STORE = 1_000_000
+_STORE = 300_000
 
 
 class _Hashes(dict):
@@ -45,16 +45,14 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in a row, and where each text's begin (and the last one's end)."""
-    if len(_hashes) > _STORE:
-        _hashes.clear()
+    hashes = common.sole("decontam", _Hashes)
+    if len(hashes) > _STORE:
+        hashes.clear()
     lists = [WORD.findall(t.lower()) for t in texts]
     bounds = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
-    flat = np.fromiter((h for x in lists for h in map(_hashes.__getitem__, x)), np.uint64, int(bounds[-1]))
+    flat = np.fromiter((h for x in lists for h in map(hashes.__getitem__, x)), np.uint64, int(bounds[-1]))
     return flat, bounds
 
 

@@ -179,15 +179,8 @@ class Reader:
             above[s[:-1] == end] = -1  # nothing is known across the beginning of a text
 
 
-_readers: dict[str, Reader] = {}
-
-
 def _reader(model: Model) -> Reader:
-    key = f"{model.folder}:{len(model.segments)}"
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(model)
-    return _readers[key]
+    return common.sole(("lm", model.folder, len(model.segments)), lambda: Reader(model))
 
 
 def _training(docs: DataFrame, train: Column) -> DataFrame:

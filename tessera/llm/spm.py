@@ -249,9 +249,8 @@ class Encoder:
         return self.store.ids([self.segments(t) for t in texts])
 
 
-@lru_cache(maxsize=2)
 def encoder(model_file: str) -> Encoder:
-    return Encoder(model_file)
+    return common.sole(("spm", model_file), lambda: Encoder(model_file))
 
 
 def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:

@@ -74,9 +74,8 @@ class WordEncoder:
         return self.store.ids([self.parts(t) for t in texts])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return common.sole(("tokens", path), lambda: WordEncoder(path))
 
 
 @lru_cache(maxsize=4)
