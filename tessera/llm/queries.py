@@ -17,6 +17,58 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list, made by a rule from the hosts and paths that the pages have (no table holds one)."""
+    from . import url_filter
+
+    url = F.col("url")
+    named = pages.select(url_filter.host(url).alias("key")).union(pages.select(url_filter.path_key(url))).filter("key <> ''").distinct()
+    n = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("long")
+    named = named.select("key", n.alias("n"), (n % 300).alias("at")).filter("n % 4 = 0")
+    steps = [("add", F.col("at"), F.lit(True)), ("remove", F.col("at") + 20 + F.col("n") % 90, F.col("n") % 3 != 0), ("add", F.col("at") + 150, F.col("n") % 5 == 0)]
+    parts = [named.filter(when).select("key", F.lit(action).alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).alias("day")) for action, day, when in steps]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    pages = common.read(spark, sf_dir, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 365).cast("int"))
+    listed = common.written(url_filter.intervals(_list_entries(pages)), "intervals")
+    return url_filter.evaluate(pages.select("page_id", "url", day.alias("day")), listed)
+
+
+OP1_SQL = r"""
+WITH pages_ AS (
+  SELECT page_id, lower(url) AS url, DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INTEGER) AS day,
+         rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.') AS host,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment FROM pages),
+named AS (
+  SELECT key, ('0x' || substr(md5(key), 1, 6))::BIGINT AS n FROM (
+    SELECT host AS key FROM pages_ UNION SELECT host || '/' || segment FROM pages_ WHERE segment <> '' AND host <> '')
+  WHERE key <> ''),
+chosen AS (SELECT key, n, n % 300 AS d0 FROM named WHERE n % 4 = 0),
+entries AS (
+  SELECT key, 'add' AS action, d0 AS d FROM chosen
+  UNION ALL SELECT key, 'remove', d0 + 20 + n % 90 FROM chosen WHERE n % 3 <> 0
+  UNION ALL SELECT key, 'add', d0 + 150 FROM chosen WHERE n % 5 = 0),
+steps AS (SELECT key, action, DATE '2024-01-01' + CAST(d AS INTEGER) AS since,
+                 lead(DATE '2024-01-01' + CAST(d AS INTEGER)) OVER (PARTITION BY key ORDER BY d, action) AS until FROM entries),
+intervals AS (SELECT key, since, until FROM steps WHERE action = 'add' AND (until IS NULL OR until > since)),
+labels AS (SELECT page_id, day, host, segment, string_split(host, '.') AS l FROM pages_ WHERE host <> ''),
+asked AS (
+  SELECT DISTINCT page_id, day, key FROM (
+    SELECT page_id, day, unnest(CASE WHEN len(l) >= 2 THEN list_transform(range(1, len(l)), lambda i: array_to_string(l[i:], '.')) ELSE [host] END) AS key FROM labels
+    UNION ALL SELECT page_id, day, host || '/' || segment FROM labels WHERE segment <> '')),
+found AS (
+  SELECT page_id, count(*) AS n, min(a.key) AS first_key FROM asked a JOIN intervals i
+  ON a.key = i.key AND a.day >= i.since AND (i.until IS NULL OR a.day < i.until) GROUP BY page_id)
+SELECT p.page_id, p.day, p.host, coalesce(n, 0) AS n_active, first_key, coalesce(n, 0) > 0 AS blocked
+FROM pages_ p LEFT JOIN found USING (page_id)
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -131,6 +183,7 @@ FROM documents d LEFT JOIN marks m USING (doc_id) LEFT JOIN cleaned c USING (doc
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
@@ -142,4 +195,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op9_line_dedup": OP9_SQL}
