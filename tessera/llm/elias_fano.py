@@ -10,8 +10,9 @@ import uuid
 import numpy as np
 
 _ONE = np.uint64(1)
+_X55, _X33, _X0F, _X01, _X80 = (np.uint64(int(x * 4, 16)) for x in ("5555", "3333", "0F0F", "0101", "8080"))
 #: Place of the (r+1)-th set bit of a byte.
-_SELECT = np.array([[[i for i in range(8) if b >> i & 1][r] if r < bin(b).count("1") else 0 for r in range(8)] for b in range(256)], np.uint8)
+_SELECT = np.array([[[i for i in range(8) if b >> i & 1][r] if r < bin(b).count("1") else 0 for r in range(8)] for b in range(256)], np.uint64)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -61,12 +62,14 @@ class EliasFano:
     @staticmethod
     def _in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Place of the (r+1)-th set bit of each word."""
-        b = words.astype("<u8").view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(b), axis=1, dtype=np.int64)
-        k = (upto <= r[:, None]).sum(axis=1)
-        rows = np.arange(len(words))
-        left = r - np.where(k > 0, upto[rows, np.maximum(k - 1, 0)], 0)
-        return k * 8 + _SELECT[b[rows, k], left]
+        r = r.astype(np.uint64)
+        pairs = words - ((words >> np.uint64(1)) & _X55)
+        fours = (pairs & _X33) + ((pairs >> np.uint64(2)) & _X33)
+        upto = ((fours + (fours >> np.uint64(4))) & _X0F) * _X01  # bytewise running counts
+        place = np.bitwise_count((((r * _X01) | _X80) - upto) & _X80).astype(np.uint64) << np.uint64(3)
+        left = r - (((upto << np.uint64(8)) >> place) & np.uint64(255))
+        byte = (words >> place) & np.uint64(255)
+        return (place + _SELECT[byte, left]).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""

@@ -24,19 +24,21 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, elias_fano
 
 STEP = 4096.0
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 SEGMENT = 2_000_000
 GROUP = 8 << 20
-STORE = 600_000
+STORE = 400_000
 
 
 @dataclass
@@ -99,11 +101,13 @@ class Trie:
         if not len(known) or not len(self.first[level - 1]):
             return node, prob, back
         size = self.m.words + 1
-        order = known[np.lexsort((words[known], contexts[known]))]
-        c, w = contexts[order], words[order]
-        head = np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]
+        key = contexts[known] * (size + 1) + words[known] + 1
+        order = np.argsort(key)
+        key, order = key[order], known[order]
+        head = np.r_[True, key[1:] != key[:-1]]
         which = np.cumsum(head) - 1
-        c, w = c[head], w[head]
+        c, w = np.divmod(key[head], size + 1)
+        w -= 1
         n, p, b = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c))
         for k, at in self._by_segment(level, c, self.first[level - 1]):
             seq, arrays, _ = self.file(level, k)
@@ -152,12 +156,14 @@ class Reader:
         if len(self.index) > STORE:
             self.clear()
         known = len(self.index)
-        get, flat, sizes = self.index.__getitem__, [self.index[b""]], []
-        for t in texts:
-            w = t.lower().split()
-            flat += map(get, w)
-            flat.append(flat[0])
-            sizes.append(len(w) + 1)
+        lists = [t.lower().split() for t in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
+        end = self.index[b""]
+        ends = np.cumsum(sizes)
+        at = np.full(int(sizes.sum()) + 1, end, np.int64)
+        inner = np.ones(len(at), bool)
+        inner[0] = inner[ends] = False
+        at[inner] = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, len(at) - 1 - len(lists))
         if len(self.index) > known:
             fresh = list(self.index)[known:]
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) >> 2 for w in fresh), np.int64, len(fresh))
@@ -165,8 +171,12 @@ class Reader:
             ids = np.zeros(len(h), np.int64)
             ids[order] = self.trie.word_ids(h[order])
             self.ids, self.n = np.r_[self.ids, ids], np.r_[self.n, self.trie.counts(1, ids)]
-        at = np.array(flat, np.int64)
-        return self.ids[at], self.n[at], np.array(sizes, np.int64)
+        return self.ids[at], self.n[at], sizes
+
+    def known(self, s: np.ndarray) -> np.ndarray:
+        """How often each word number of a stream was counted."""
+        ids, at = np.unique(s, return_inverse=True)
+        return self.trie.counts(1, ids)[at]
 
     def nodes(self, s: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """node, prob, back of the n-grams of 2, 3.. words that end at each place from 1 on."""
@@ -183,10 +193,6 @@ def _reader(model: Model) -> Reader:
     return common.sole(("lm", model.folder, len(model.segments)), lambda: Reader(model))
 
 
-def _training(docs: DataFrame, train: Column) -> DataFrame:
-    return docs.filter(F.coalesce(train, F.lit(False)))
-
-
 def _write_level(rows: DataFrame, model: Model, level: int, n: int) -> None:
     """Rows in order of their first column, cut into files by its ranges; a context's rows stay together."""
     first = rows.columns[0]
@@ -273,9 +279,37 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def _count_level(docs: DataFrame, model: Model, level: int, least: int) -> DataFrame:
+def _width(model: Model) -> np.dtype:
+    return np.dtype(np.int32 if model.words < 1 << 31 else np.int64)
+
+
+def _streams(column: pa.Array, model: Model) -> Iterator[np.ndarray]:
+    """The word numbers of a column of numbered texts, in groups, with an end in front."""
+    kind = _width(model)
+    for a, b in common.grouped(pa.compute.binary_length(column).to_pylist(), GROUP // 2):
+        flat = b"".join(x.as_buffer() for x in column.slice(a, b - a))
+        yield np.r_[model.end, np.frombuffer(flat, kind).astype(np.int64)]
+
+
+def number(docs: DataFrame, model: Model, train: Column | None = None) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, base_score, ids: each text as packed word numbers (-1 unknown) with the end's behind it."""
+
+    def f(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        reader, kind = _reader(model), _width(model)
+        s, counts, sizes = reader.stream(texts)
+        starts = np.r_[0, np.cumsum(sizes)]
+        base = np.add.reduceat(reader.trie.unigram(counts[1:]), starts[:-1])
+        known = np.add.reduceat((counts[1:] > 0).astype(np.int64), starts[:-1])
+        ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((starts * kind.itemsize).astype(np.int32)), pa.py_buffer(s[1:].astype(kind).tobytes())])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(base), ids], ["doc_id", "train", "n_tokens", "n_known", "base_score", "ids"])
+
+    keep = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train if train is not None else F.lit(False), F.lit(False)).alias("train")]
+    return common.map_texts(docs, keep, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, ids binary", f, limit=GROUP)
+
+
+def _count_level(numbered: DataFrame, model: Model, level: int, least: int) -> DataFrame:
     """context node, word, c of the n-grams of `level` words that occur at least `least` times."""
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), model.tokens // 4_000_000)
+    shards = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), model.tokens // 4_000_000)
     size = model.words + 1
 
     def run(batches):
@@ -286,7 +320,7 @@ def _count_level(docs: DataFrame, model: Model, level: int, least: int) -> DataF
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             shard = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
-            order = np.argsort(shard, kind="stable")
+            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
             cuts = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
             for s in range(shards):
                 part = order[cuts[s] : cuts[s + 1]]
@@ -294,9 +328,7 @@ def _count_level(docs: DataFrame, model: Model, level: int, least: int) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_blob(keys[part], counts[part])], pa.binary())], ["shard", "blob"])
 
         for batch in batches:
-            column = batch.column(0)
-            for a, b in common.grouped(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist(), GROUP):
-                s, _, _ = reader.stream(common.text_bytes(column.slice(a, b - a)))
+            for s in _streams(batch.column(0), model):
                 context, ok = s[:-1], np.ones(len(s) - 1, bool)
                 if level > 2:
                     node = list(reader.nodes(s, level - 1))[-1][0]
@@ -313,7 +345,7 @@ def _count_level(docs: DataFrame, model: Model, level: int, least: int) -> DataF
         if not parts:
             return
         keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         head = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
         keys, counts = keys[head], np.add.reduceat(counts, head)
@@ -322,9 +354,7 @@ def _count_level(docs: DataFrame, model: Model, level: int, least: int) -> DataF
             k, c = keys[a : a + (1 << 18)], counts[a : a + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(k // size), pa.array(k % size), pa.array(c)], ["context", "word", "c"])
 
-    import pyarrow.compute  # noqa: F401
-
-    blobs = docs.select("text").mapInArrow(run, "shard int, blob binary").repartitionById(shards, "shard")
+    blobs = numbered.select("ids").mapInArrow(run, "shard int, blob binary").repartitionById(shards, "shard")
     return common.written(blobs.mapInArrow(merge, "context long, word long, c long"), "grams")
 
 
@@ -352,42 +382,45 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return common.written(counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
-def fit(docs: DataFrame, train: Column, order: int = 3, least: int = 2, discount: float = 0.75) -> Model:
-    """A model of all rows of docs for which train holds."""
-    learned = _training(docs, train)
-    words = _count_words(learned)
+def fit(docs: DataFrame, train: Column, order: int = 3, least: int = 2, discount: float = 0.75) -> tuple[Model, DataFrame]:
+    """A model of all rows of docs for which train holds, and all of docs numbered by it (a written table)."""
+    import xxhash
+
+    words = _count_words(docs.filter(F.coalesce(train, F.lit(False))))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     model = Model(common.new_path(docs.sparkSession, "trie"), total.n, total.v, order, discount)
     fs, path = elias_fano.filesystem(model.folder)
     fs.create_dir(path, recursive=True)
     _write_level(words.select(F.shiftrightunsigned(F.xxhash64("word"), 2).alias("h"), "c"), model, 1, total.v)
-    import xxhash
-
     model.end = int(Trie(model).word_ids(np.array([xxhash.xxh64_intdigest(b"", 42) >> 2], np.int64))[0])
+    numbered = common.written(number(docs, model, train), "numbered")
     n = total.v
     for level in range(2, order + 1):
-        if n * (total.v + 1) >= 1 << 63:
+        if n * (total.v + 2) >= 1 << 63:
             raise ValueError("the trie's keys exceed 63 bits")
-        rows = _count_level(learned, model, level, least)
+        rows = _count_level(numbered.filter("train"), model, level, least)
         n = rows.count()
         _write_level(rows, model, level, n)
-    return model
+    return model, numbered
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every text."""
+def score(numbered: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every numbered text."""
+    names = ["doc_id", "n_tokens", "n_known", "base_score"]
 
-    def f(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        reader = _reader(model)
-        s, counts, sizes = reader.stream(texts)
-        base = reader.trie.unigram(counts[1:])
-        logp = base.copy()
-        for node, prob, back in reader.nodes(s, model.order):
-            logp = np.where(node >= 0, prob, back + logp)
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        known = np.add.reduceat((counts[1:] > 0).astype(np.int64), starts)
-        columns = [batch.column(0), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logp, starts))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    keep = [F.col("doc_id").cast("long").alias("doc_id")]
-    return common.map_texts(docs, keep, "doc_id long, n_tokens long, n_known long, base_score double, score double", f, limit=GROUP)
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            at = 0
+            for s in _streams(batch.column(4), model):
+                reader = _reader(model)
+                logp = reader.trie.unigram(reader.known(s[1:]))
+                for node, prob, back in reader.nodes(s, model.order):
+                    logp = np.where(node >= 0, prob, back + logp)
+                ends = np.cumsum(sizes[at:])
+                n = int(np.searchsorted(ends, len(logp))) + 1
+                starts = np.r_[0, ends[: n - 1]]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns[:4], pa.array(np.add.reduceat(logp, starts))], [*names, "score"])
+                at += n
+
+    return numbered.select(*names, "ids").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")

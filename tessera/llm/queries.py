@@ -152,8 +152,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = common.read(spark, sf_dir, "documents")
     rest = common.fold(F.col("doc_id"), 7)
-    model = lm.fit(docs, rest != 2, order=3)
-    return lm.score(docs, model).select(
+    model, numbered = lm.fit(docs, rest != 2, order=3)
+    return lm.score(numbered, model).select(
         "doc_id",
         F.coalesce(rest == 2, F.lit(False)).alias("held_out"),
         "n_tokens",
