@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.metric import OPEN, Box, distance, fold, invalid
+from tessera.operators.lineage import cut
 
 XY = ("x", "y")
 
@@ -177,14 +178,14 @@ def thinned(points: DataFrame, reach: float, box: Box = OPEN) -> DataFrame:
     Rounds of joins: a node with no undecided earlier neighbour and no kept one is kept, and drops its
     later neighbours.
     """
-    near = within(points, reach, box).filter(F.col("row") > F.col("col")).filter(F.col("dist") < reach).select("row", "col").persist()
-    undecided, kept = points.select("id").persist(), None
-    while not undecided.isEmpty():
-        open_pairs = near.join(undecided.select(F.col("id").alias("row")), "row", "left_semi").join(undecided.select(F.col("id").alias("col")), "col", "left_semi")
-        now = undecided.join(open_pairs.select(F.col("row").alias("id")).distinct(), "id", "left_anti").persist()
-        dropped = near.join(now.select(F.col("id").alias("col")), "col", "left_semi").select(F.col("row").alias("id")).distinct()
-        kept = now if kept is None else kept.union(now)
-        undecided = undecided.join(now, "id", "left_anti").join(dropped, "id", "left_anti").persist()
-    return points.join(kept, "id", "left_semi") if kept is not None else points
-
-
+    near = cut(within(points, reach, box).filter((F.col("row") > F.col("col")) & (F.col("dist") < reach)).select("row", "col"))
+    state = cut(points.select("id", F.lit(0).alias("kept")))  # 0 undecided, 1 kept; dropped ones leave
+    while True:
+        undecided = state.filter("kept = 0").select("id")
+        if undecided.isEmpty():
+            return points.join(state.select("id"), "id", "left_semi")
+        waits = near.join(state.select(F.col("id").alias("col")), "col", "left_semi").select(F.col("row").alias("id")).distinct()
+        now = undecided.join(waits, "id", "left_anti")
+        gone = near.join(now.select(F.col("id").alias("col")), "col", "left_semi").select(F.col("row").alias("id")).distinct()
+        left = state.join(gone, "id", "left_anti")
+        state = cut(left.join(now.withColumn("now", F.lit(1)), "id", "left").select("id", F.greatest("kept", F.coalesce("now", F.lit(0))).alias("kept")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import curves
+from tessera.operators.lineage import cut
 
 
 def dense_number(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
@@ -146,18 +147,17 @@ def reverse_cuthill_mckee(edges: DataFrame) -> DataFrame:
     """
     from tessera.operators.stats import connected
 
-    pairs = adjacency(edges).persist()
+    pairs = cut(adjacency(edges))
     nodes = edges.select(F.col("row").alias("id")).union(edges.select(F.col("col").alias("id"))).distinct()
-    degree = pairs.groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
-    known = nodes.join(degree.withColumnRenamed("row", "id"), "id", "left").fillna(0, ["degree"]).join(connected(nodes, pairs), "id").persist()
+    degree = pairs.groupBy(F.col("row").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    known = cut(nodes.join(degree, "id", "left").fillna(0, ["degree"]).join(connected(nodes, pairs), "id"))
     first = Window.partitionBy("component").orderBy("degree", "id")
-    level = known.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select("id", F.lit(0).alias("level")).persist()
-    seen, depth = level, 0
+    level = seen = cut(known.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select("id", F.lit(0).alias("level")))
+    depth = 0
     while not level.isEmpty():
         depth += 1
-        level = pairs.join(level.select(F.col("id").alias("row")), "row").select(F.col("col").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(depth)).persist()
-        seen = seen.union(level)
-        if depth % 8 == 0:
-            seen = seen.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else seen.persist()
+        reached = pairs.join(level.select(F.col("id").alias("row")), "row").select(F.col("col").alias("id")).distinct()
+        level = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(depth)))
+        seen = cut(seen.union(level))
     ranked = known.join(seen, "id")
-    return order_by(ranked, -F.col("component"), -F.col("level"), -F.col("degree"), -F.col("id"))
+    return order_by(ranked, -F.col("component"), -F.col("level"), -F.col("degree"), -F.col("old_id"))

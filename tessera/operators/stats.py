@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.metric import OPEN, Box
+from tessera.operators.lineage import cut
 from tessera.operators.neighbours import nearest
 
 LINE = 8
@@ -81,12 +82,12 @@ def same_size(*tables: DataFrame) -> None:
 
 def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, component (its least id): smallest labels spread over symmetric pairs (row, col) and are followed to their own labels."""
-    label = nodes.select("id", F.col("id").alias("component")).persist()
+    label = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = pairs.join(label.select(F.col("id").alias("col"), "component"), "col").groupBy(F.col("row").alias("id")).agg(F.min("component").alias("near"))
-        new = label.join(near, "id", "left").select("id", F.least("component", "near").alias("component"))
-        jump = label.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        new = new.join(jump, "component").select("id", F.least("component", "to").alias("component")).persist()
-        if new.join(label.select("id", F.col("component").alias("old")), "id").filter("component <> old").isEmpty():
-            return new
-        label = new.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else new
+        low = label.join(near, "id", "left").select("id", "component", F.least("component", "near").alias("low"))
+        jump = label.select(F.col("id").alias("low"), F.col("component").alias("to"))
+        new = cut(low.join(jump, "low").select("id", "component", F.least("low", "to").alias("new")))
+        if new.filter("component <> new").isEmpty():
+            return label
+        label = new.select("id", F.col("new").alias("component"))
