@@ -194,7 +194,8 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as the library's decode() gives it: the blank that encoding puts in front is taken off."""
         out = b"".join(map(self.out.__getitem__, ids))
-        if ids and self.starts_blank[ids[0]]:
+        first = next((i for i in ids if self.out[i]), None)  # controls in front are nothing
+        if first is not None and self.starts_blank[first]:
             out = out[1:]
         try:
             return out.decode()
