@@ -37,7 +37,8 @@ from . import common
 #: Texts with two blanks in a row are cut only at single blanks between other characters.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
-READ_BYTES = 16 << 20
+#: Words that go to the tokenizer in one string.
+JOINED = 64
 
 
 class WordEncoder:
@@ -54,12 +55,26 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.store = common.Store(self._ids)
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.store = common.Store(self._ids, max_parts=800_000, max_chars=20_000_000)
 
     def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [p[1:] if p[0] == "\n" else " " + p for p in parts]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+        """Words without line breaks or blanks at their end are asked for many at a time, a line break in front of each."""
+        alone = [("\n" in p or p[-1].isspace()) for p in parts]
+        words = [" " + p for p, a in zip(parts, alone, strict=True) if not a]
+        others = [p[1:] if p[0] == "\n" else " " + p for p, a in zip(parts, alone, strict=True) if a]
+        joined = ["\n" + "\n".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
+        breaks = np.nonzero(flat == self.line_break)[0]
+        single = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        mask, counts = np.array(alone, bool), np.zeros(len(parts), np.int64)
+        counts[~mask] = np.diff(np.r_[breaks, len(flat)]) - 1
+        counts[mask] = np.fromiter(map(len, single), np.int64, len(single))
+        whose = np.repeat(mask, counts)
+        ids = np.zeros(int(counts.sum()), np.int32)
+        ids[~whose] = np.delete(flat, breaks)
+        ids[whose] = np.fromiter(chain.from_iterable(single), np.int32)
+        return ids, counts
 
     @staticmethod
     def parts(text: str) -> list[str]:
