@@ -56,7 +56,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.store = common.Store(self._ids, max_parts=800_000, max_chars=20_000_000)
+        self.store = common.Store(self._ids, max_parts=600_000, max_chars=15_000_000)
 
     def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words without line breaks or blanks at their end are asked for many at a time, a line break in front of each."""
@@ -64,7 +64,9 @@ class WordEncoder:
         words = [" " + p for p, a in zip(parts, alone, strict=True) if not a]
         others = [p[1:] if p[0] == "\n" else " " + p for p, a in zip(parts, alone, strict=True) if a]
         joined = ["\n" + "\n".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
+        # the library's results are some hundred bytes a token: few at a time
+        some = (self.tokenizer.encode_batch_fast(joined[i : i + 64], add_special_tokens=False) for i in range(0, len(joined), 64))
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.fromiter(chain.from_iterable(e.ids for e in x), np.int32) for x in some)])
         breaks = np.nonzero(flat == self.line_break)[0]
         single = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         mask, counts = np.array(alone, bool), np.zeros(len(parts), np.int64)
