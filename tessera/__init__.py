@@ -1,0 +1 @@
+"""A point-cloud analytics engine on Spark."""

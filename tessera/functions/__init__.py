@@ -1,0 +1 @@
+"""Columns: metric, curves, lattices and flow fields."""

@@ -1,0 +1 @@
+"""Joins, orders, grids, statistics and sparse operators of point clouds."""

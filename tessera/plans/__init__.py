@@ -1,0 +1 @@
+"""Registered queries and flows over files."""

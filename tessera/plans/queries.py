@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fields, lattice, metric
 from tessera.functions.metric import Box
-from tessera.operators import grid, neighbours, ordering, stats, weights
-from tessera.sources import generators
+from tessera.operators import factor, grid, neighbours, ordering, stats, weights
+from tessera.sources import generators, sinks, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -684,3 +684,99 @@ def spmv(spark, d):
     w = edges(spark, d).select("row", "col", (1.0 / (F.col("k") + 1)).alias("weight"))
     field = n.select("id", (F.col("x") + 2 * F.col("y")).alias("value"))
     return weights.apply(w, field, n).withColumn("value", r9("value"))
+
+
+@query()
+def gen_multilobe(spark, d):
+    return generators.multilobe(spark, 6.0, 1.0, fillet=2.0, seed=1)
+
+
+@query()
+def nested_dissection_order(spark, d):
+    return factor.nested_dissection(nodes(spark, d), edges(spark, d))
+
+
+@query()
+def minimum_degree_order(spark, d):
+    return factor.minimum_degree(edges(spark, d))
+
+
+@query()
+def factor_nonzeros(spark, d):
+    e = edges(spark, d)
+    return factor.factor_nonzeros(e, factor.minimum_degree(e))
+
+
+# files: a table goes out in a text format and comes back
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share."""
+    import os
+    import tempfile
+    import uuid
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    path = f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/files-{uuid.uuid4().hex}"
+    os.makedirs(path, exist_ok=True)
+    text.register(spark)
+    return path
+
+
+@query(f"WITH {NODES} SELECT id, x, y FROM nodes")
+def source_points(spark, d):
+    to = _folder(spark)
+    sinks.write_points(nodes(spark, d), f"{to}/a")
+    return spark.read.format("points").load(f"{to}/a.points")
+
+
+@query(f"WITH {NODES} SELECT id, x, y, flag AS marker, [x, 1.0] AS attrs FROM nodes")
+def source_node(spark, d):
+    to = _folder(spark)
+    sinks.write_nodes(nodes(spark, d).withColumn("attrs", F.array("x", F.lit(1.0))), f"{to}/a", marker="flag", attrs="attrs")
+    return spark.read.format("node").load(f"{to}/a.node")
+
+
+@query(f"WITH {EDGES} SELECT row, k::INTEGER AS k, col FROM edges")
+def source_graph(spark, d):
+    to = _folder(spark)
+    sinks.write_graph(edges(spark, d), f"{to}/a")
+    return spark.read.format("graph").option("k", 9).load(f"{to}/a.graph")
+
+
+@query(f"WITH {P} SELECT old_id, new_id FROM p")
+def source_iperm(spark, d):
+    to = _folder(spark)
+    sinks.write_ordering(ordering.curve_order(nodes(spark, d)), f"{to}/a")
+    return spark.read.format("iperm").load(f"{to}/a.iperm")
+
+
+@query(f"WITH {SHEET} SELECT kind, elem, verts FROM elements")
+def source_grid(spark, d):
+    to = _folder(spark)
+    sinks.write_grid(*sheet(spark), f"{to}/a")
+    return spark.read.format("grid").option("section", "elements").load(f"{to}/a.grid")
+
+
+@query(f"WITH {EDGES} SELECT (row + 1) || ' ' || (col + 1) AS line FROM edges UNION ALL SELECT '%%MatrixMarket matrix coordinate pattern general' UNION ALL SELECT n || ' ' || n || ' ' || 9 * n FROM (SELECT count(*) AS n FROM nodes)")
+def sink_matrix_market(spark, d):
+    to, n = _folder(spark), nodes(spark, d).count()
+    sinks.write_matrix_market(edges(spark, d), f"{to}/a", n, n, value=None)
+    return spark.read.text(f"{to}/a.mtx").withColumnRenamed("value", "line")
+
+
+@query("SELECT seq::INTEGER AS seq, tag::INTEGER AS tag, bc::INTEGER AS bc, name FROM (VALUES (0, 1, 0, 'freestream'), (1, 2, 0, 'subsonic_outflow'), (2, 3, 0, 'viscous_wall')) t(seq, tag, bc, name)")
+def source_bcmap(spark, d):
+    to = _folder(spark)
+    with open(f"{to}/a.bcmap", "w") as f:
+        f.write("! tags\n1 freestream\n2 subsonic_outflow\n3 viscous_wall\n")
+    return spark.read.format("bcmap").load(f"{to}/a.bcmap")
+
+
+@query("SELECT seq::INTEGER AS seq, tag::INTEGER AS tag, bc::INTEGER AS bc, name FROM (VALUES (0, 1, 5050, ''), (1, 2, 5051, 'outflow'), (2, 3, 4000, '')) t(seq, tag, bc, name)")
+def source_mapbc(spark, d):
+    to = _folder(spark)
+    with open(f"{to}/a.mapbc", "w") as f:
+        f.write("3\n1 5050\n2 5051 outflow\n3 4000\n")
+    return spark.read.format("mapbc").load(f"{to}/a.mapbc")

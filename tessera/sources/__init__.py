@@ -1,0 +1 @@
+"""Text formats in and out, and generators."""

@@ -1,0 +1 @@
+"""The engine has no streaming operators: its inputs are files whose headers count them."""
