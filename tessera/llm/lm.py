@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from . import common, elias_fano
 
 STEP = 4096.0
-BLOCK = 2_000_000
-SEGMENT = 2_000_000
+BLOCK = 1_500_000
+SEGMENT = 1_000_000
 GROUP = 8 << 20
 STORE = 400_000
 
@@ -73,9 +73,12 @@ class Trie:
         return self.files[level, k]
 
     def _by_segment(self, level: int, keys: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        seg = np.maximum(np.searchsorted(firsts, keys, "right") - 1, 0)
-        for k in np.unique(seg).tolist() if len(firsts) else []:
-            yield k, np.nonzero(seg == k)[0]
+        if len(firsts) == 1:
+            yield 0, np.arange(len(keys))
+        elif len(firsts):
+            seg = np.maximum(np.searchsorted(firsts, keys, "right") - 1, 0)
+            for k in np.nonzero(np.bincount(seg))[0].tolist():
+                yield k, np.nonzero(seg == k)[0]
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
@@ -111,12 +114,20 @@ class Trie:
         n, p, b = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c))
         for k, at in self._by_segment(level, c, self.first[level - 1]):
             seq, arrays, _ = self.file(level, k)
-            one = np.r_[True, c[at][1:] != c[at][:-1]]
-            j = seq["contexts"].find(c[at][one])[np.cumsum(one) - 1]
-            at, j = at[j >= 0], j[j >= 0]
-            b[at] = arrays["back"][j] / -STEP
-            at, j = at[w[at] >= 0], j[w[at] >= 0]
-            got = seq["children"].find(j * size + w[at], seq["pointers"].access(j), seq["pointers"].access(j + 1))
+            if not len(at):
+                continue
+            one = np.r_[True, c[at][1:] != c[at][:-1]]  # what belongs to a context is looked up once
+            j = seq["contexts"].find(c[at][one])
+            held = np.nonzero(j >= 0)[0]
+            j = j[held]
+            place = np.full(int(one.sum()), -1, np.int64)
+            place[held] = np.arange(len(held))
+            place = place[np.cumsum(one) - 1]
+            at, place = at[place >= 0], place[place >= 0]
+            b[at] = (arrays["back"][j] / -STEP)[place]
+            at, place = at[w[at] >= 0], place[w[at] >= 0]
+            low, high = seq["pointers"].access(j), seq["pointers"].access(j + 1)
+            got = seq["children"].find(j[place] * size + w[at], low[place], high[place])
             at, got = at[got >= 0], got[got >= 0]
             n[at] = got + self.base[level - 1][k]
             p[at] = arrays["prob"][got] / -STEP
@@ -134,6 +145,14 @@ class Trie:
             above[at], last[at] = seq["contexts"].access(v // (self.m.words + 1)), v % (self.m.words + 1)
         return [*self.path(level - 1, above), last]
 
+    def first_prob(self, words: np.ndarray) -> np.ndarray:
+        """Quantised log probability of each word by itself."""
+        out = np.full(len(words), self.unigram(np.zeros(1))[0])
+        for k, at in self._by_segment(1, words, self.base[0]):
+            at = at[words[at] >= 0]
+            out[at] = self.file(1, k)[1]["prob"][words[at] - self.base[0][k]] / -STEP
+        return out
+
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.m.tokens + self.m.words + 1))
 
@@ -173,11 +192,6 @@ class Reader:
             self.ids, self.n = np.r_[self.ids, ids], np.r_[self.n, self.trie.counts(1, ids)]
         return self.ids[at], self.n[at], sizes
 
-    def known(self, s: np.ndarray) -> np.ndarray:
-        """How often each word number of a stream was counted."""
-        ids, at = np.unique(s, return_inverse=True)
-        return self.trie.counts(1, ids)[at]
-
     def nodes(self, s: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """node, prob, back of the n-grams of 2, 3.. words that end at each place from 1 on."""
         end = self.trie.m.end
@@ -229,7 +243,8 @@ def _sums(counts: np.ndarray) -> tuple[dict, dict]:
 def _words_file(model: Model, level: int, k: int, h: np.ndarray, c: np.ndarray) -> tuple[int, int]:
     head = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0]
     h, c = h[head], np.add.reduceat(c, head)
-    elias_fano.save(model.folder, f"level1-{k:05d}", {"hashes": elias_fano.EliasFano.build(h, 1 << 62), "counts": _sums(c)}, {}, {})
+    sequences = {"hashes": elias_fano.EliasFano.build(h, 1 << 62), "counts": _sums(c)}
+    elias_fano.save(model.folder, f"level1-{k:05d}", sequences, {"prob": _quantised(Trie(model).unigram(c))}, {})
     return int(h[0]), len(h)
 
 
@@ -414,7 +429,7 @@ def score(numbered: DataFrame, model: Model) -> DataFrame:
             at = 0
             for s in _streams(batch.column(4), model):
                 reader = _reader(model)
-                logp = reader.trie.unigram(reader.known(s[1:]))
+                logp = reader.trie.first_prob(s[1:])
                 for node, prob, back in reader.nodes(s, model.order):
                     logp = np.where(node >= 0, prob, back + logp)
                 ends = np.cumsum(sizes[at:])
