@@ -57,6 +57,8 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float =
     # copies of a text have the same lines: one row for each text and place
     hit = _lines(docs, text_col, site_col).select("t", "pos", "k", "size").join(spread, "k", "left_semi").select("t", "pos", "size").distinct()
     marks = hit.groupBy("t").agg(F.collect_list("pos").alias("__places"), F.sum("size").alias("__size"))
+    # as a table of its own the marks leave the join's other side free to be split where many copies share a text
+    marks = common.written(marks, "marks")
     marked = docs.withColumn("__t", _key(text_col)).join(marks.withColumnRenamed("t", "__t"), "__t", "left")
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("__places", i)), "\n")
     wanted = F.col("__places").isNotNull() & (F.col("__size") <= max_share * F.char_length(text_col))
