@@ -210,6 +210,7 @@ def extract(docs: DataFrame, support: int = 5, confidence: float = 0.75, rounds:
         .agg(F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind"))
     )
     new = new.groupBy("h", "g").agg(F.collect_list(F.struct("start", "kind", "end", F.lit(False).alias("base"))).alias("new"))
+    new = common.written(new, "new")  # the join's other side can then be split where many copies share a text
     base = F.transform(F.filter("mentions", lambda x: x["kind"] >= 0), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(True).alias("base")))
     spans = F.array_sort(F.when(F.col("new").isNull(), F.col("all")).otherwise(F.concat("all", "new")))
     return found.select("doc_id", "h", "g", base.alias("all")).join(new, ["h", "g"], "left").select("doc_id", spans.alias("spans"))
