@@ -18,6 +18,8 @@ from tessera.functions.metric import OPEN, Box, distance, fold, invalid
 from tessera.operators.lineage import cut
 
 XY = ("x", "y")
+#: So few pairs are searched at once rather than in further rounds.
+FEW_PAIRS = 2_000_000
 
 
 def validated(points: DataFrame, coords: Sequence[str] = XY) -> DataFrame:
@@ -59,7 +61,7 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
 
     Both are laid on a grid over the first two axes at most, with about ``block`` points, and k at least,
     around a query. A query whose k-th neighbour lies within the probed ring of cells is done; the others go
-    on with a doubled ring until it covers the grid, so the result is exact for any cloud. Of points at one
+    on with a tripled ring until it covers the grid, so the result is exact for any cloud. Of points at one
     place only the k (k + 1 without self) of least id can be anybody's neighbours; the others are left out
     before the join, which keeps a crowded place from costing more than any other.
     """
@@ -73,7 +75,7 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
     axes = list(range(min(2, len(coords))))
     names = [coords[a] for a in axes]
     bounds = cloud.agg(*[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(names) for f in (F.min, F.max)]).first()
-    per_axis = max(1, int((n / max(block, 2 * k) * 9) ** (1 / len(axes)) if len(axes) == 2 else n / max(block, 2 * k) * 3))
+    per_axis = max(1, int((n / max(block, 5 * k) * 9) ** (1 / len(axes)) if len(axes) == 2 else n / max(block, 5 * k) * 3))
     low, width, count, periodic = [], [], [], []
     for i, a in enumerate(axes):
         side = box.side(a)
@@ -115,9 +117,10 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
         good = top.filter("ok")
         done.append(good.select("row", "k", "col", "dist"))
         waiting = waiting.join(good.select("row").distinct(), "row", "left_anti").persist()
-        if waiting.isEmpty():
+        left = waiting.count()
+        if not left:
             break
-        ring *= 2
+        ring = max(count) if left * n <= FEW_PAIRS else ring * 3
     return reduce(DataFrame.unionAll, done)
 
 
