@@ -29,8 +29,8 @@ def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    return simhash.one_of_each(docs, words=3, radius=3)
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8), that of the smallest id."""
+    return simhash.one_of_each(docs, words=5, least=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

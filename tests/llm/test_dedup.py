@@ -64,9 +64,47 @@ def test_simhash(spark):
     want = brute_components(prints)
     assert {i: r.component_id for i, r in got.items()} == want
     assert want[129] == want[100] and got[203].fp == got[204].fp
+
+
+def brute_similar(texts, words_=5, least=0.8):
+    sets = {}
+    for i, t in texts:
+        w = (t or "").encode().lower().split()
+        sets[i] = (w, {tuple(w[k : k + words_]) for k in range(max(1, len(w) - words_ + 1))} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (wi, a) in sets.items():
+        for j, (wj, b) in sets.items():
+            if wi == wj or (a and b and len(a & b) >= least * len(a | b)):
+                u, v = find(i), find(j)
+                root[max(u, v)] = min(u, v)
+    return {i: find(i) for i in sets}
+
+
+def test_similar_documents(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [(i, " ".join(words(r.randrange(1, 60), i))) for i in range(80)]
+    for g in range(6):  # groups whose members differ more and more, some in length
+        base = words(150 * (g + 1), 1000 + g)
+        for k in range(12):
+            w = list(base)
+            for _ in range(k * (g + 1)):
+                w[r.randrange(len(w))] = f"other{r.random()}"
+            texts.append((1000 + 20 * g + k, " ".join(w[: len(w) - 3 * k])))
+    texts += [(5000, ""), (5001, None), (5002, " \n"), (5003, "one two"), (5004, "One  TWO"), (5005, "one two three"), (5006, "x " * 40_000), (5007, "x " * 40_001)]
+    docs = documents(spark, texts)
+    want = brute_similar(texts)
+    assert {x.doc_id: x.component_id for x in simhash.similar(docs).collect()} == want
+    monkeypatch.setattr(simhash, "TILE", 16)  # many tiles
+    monkeypatch.setattr(simhash, "SET_TILE", 5)
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values()))
 
 
 @pytest.mark.parametrize("n", [1, 100_000, 3_000_000])
@@ -92,7 +130,7 @@ def test_links_for_any_number_of_parts(spark, n):
 
 def test_simhash_edges(spark):
     empty = documents(spark, [])
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.similar(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
     rows = documents(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (7, "A B C D"), (None, "q")])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(rows).collect()), key=str)
     assert got == sorted([(None, 5), (5, 5), (5, 5), (7, 5), (None, None)], key=str)
