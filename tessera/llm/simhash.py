@@ -73,6 +73,18 @@ def _counts(fp: np.ndarray, parts: int) -> np.ndarray:
     return np.bitwise_count(fp.view(width)).reshape(len(fp), parts).astype(np.int64)
 
 
+def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels (each its component's least place) after links between places u and v."""
+    while len(u):
+        lu, lv = label[u], label[v]
+        keep = lu != lv
+        u, v = u[keep], v[keep]
+        np.minimum.at(label, np.maximum(lu, lv)[keep], np.minimum(lu, lv)[keep])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within radius between two tiles (or within one)."""
     nodes = a if same else np.concatenate([a, b])
@@ -83,15 +95,7 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.n
         u, v = np.nonzero(np.bitwise_count(a[i : i + step, None] ^ b[None, :]) <= radius)
         u, v = u + i, v + off
         u, v = (u[u < v], v[u < v]) if same else (u, v)
-        while len(u):
-            lu, lv = label[u], label[v]
-            keep = lu != lv
-            if not keep.any():
-                break
-            u, v = u[keep], v[keep]
-            np.minimum.at(label, np.maximum(lu, lv)[keep], np.minimum(lu, lv)[keep])
-            while (label[label] != label).any():
-                label = label[label]
+        label = _joined(label, u, v)
     moved = np.nonzero(label != np.arange(len(nodes)))[0]
     return nodes[moved], nodes[label[moved]]
 
@@ -295,16 +299,22 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     rows = classes.filter("size > 0").select(cell.alias("cell"), "node", "size", "c0", "c1")
     tiles = rows.repartition("cell", F.pmod(F.xxhash64("node"), F.lit(spread))).mapInArrow(pack, "cell long, tile binary")
 
-    def flag(batches):
+    def link(batches):
         for batch in batches:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = _first_tile(x), _first_tile(y)
-                hit = [np.unique(np.concatenate([a[0][u], b[0][v]])) for u, v in _candidates(a, b, x == y, least)]
-                if hit:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(hit)).view(np.int64))], ["node"])
-
-    flagged = _met(tiles, [0, 1]).mapInArrow(flag, "node long").distinct()
-    chosen = common.written(classes.join(flagged, "node", "left_semi").select(F.col("least").alias("doc_id"), cell.alias("cell")), "chosen")
+                nodes = a[0] if x == y else np.concatenate([a[0], b[0]])
+                label = np.arange(len(nodes))
+                for u, v in _candidates(a, b, x == y, least):
+                    label = _joined(label, u, v + (0 if x == y else len(a[0])))
+                moved = np.nonzero(label != np.arange(len(nodes)))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[label[moved]].view(np.int64))], ["a", "b"])
+
+    # similar documents are in one component of candidates: only within these do sets meet
+    near = components(_met(tiles, [0, 1]).mapInArrow(link, "a long, b long"))
+    buckets = max(1, near.count() // SET_TILE)
+    chosen = classes.join(near, "node").select(F.col("least").alias("doc_id"), F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("cell"))
+    chosen = common.written(chosen, "chosen")
 
     def sets(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         blobs = [_set(t, words)[1].tobytes() for t in texts]
@@ -333,7 +343,6 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
         for k in list(held):
             yield blob(k)
 
-    salted = whole.repartition("cell", F.pmod(F.xxhash64("node"), F.lit(8)))
 
     def decide(batches):
         for batch in batches:
@@ -363,7 +372,7 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
                     e = np.array(edges, np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-    linked = _met(salted.mapInArrow(pack_sets, "cell long, tile binary"), [0, 1]).mapInArrow(decide, "a long, b long")
+    linked = _met(whole.repartition("cell").mapInArrow(pack_sets, "cell long, tile binary"), [0]).mapInArrow(decide, "a long, b long")
     roots = components(linked)
     joined = common.written(classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
