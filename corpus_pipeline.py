@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on ten sites or more; n_chars follows the text."""
-    cleaned = line_dedup.remove_spread_lines(docs, min_sites=10, max_share=0.5)
+    """All documents, without lines that stand on ten sites or more (a text counts for one site); n_chars follows the text."""
+    cleaned = line_dedup.remove_spread_lines(docs, min_sites=10, max_share=None)
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -3,8 +3,9 @@
 Each line's hash gets a HyperLogLog sketch of the sites it stands on; sketches merge by aggregation.
 A line whose estimate lies above the threshold by more than the sketch's error is spread, one below it
 by as much is not, and the lines in between get an exact distinct count. Spread lines are boilerplate
-and leave every text, but for texts of which they are more than ``max_share`` of the characters: those are
-copies, which document-level de-duplication handles.
+and leave every text. With a ``max_share``, texts of which they are more than that share of the characters stay
+whole; with ``max_share=None`` none does, and so that the lines of a mere copy are not boilerplate, each
+different text counts for one of its sites only.
 
 DataFrame functions only. The sites of a line are made distinct before any shuffle, so a line that
 stands in a third of all documents costs a row for each site and task. Texts are marked by a 128-bit hash
@@ -39,9 +40,12 @@ def _lines(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
     return lines.filter(F.trim("line") != "").select("t", "site", "pos", _key("line").alias("k"), F.char_length("line").alias("size"))
 
 
-def spread_lines(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """k: the keys of the lines on at least min_sites different sites."""
-    pairs = _lines(docs, text_col, site_col).filter("site is not null").select("k", "site").distinct()
+def spread_lines(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_col: str = "source", copies: bool = True) -> DataFrame:
+    """k: the keys of the lines on at least min_sites different sites; without copies, a text counts for one of its sites."""
+    lines = _lines(docs, text_col, site_col).filter("site is not null")
+    if not copies:  # chosen by hash, so that no site is favoured; the same for all lines of the text
+        lines = lines.groupBy("k", "t").agg(F.min(F.struct(F.xxhash64("t", "site").alias("x"), "site")).alias("s")).select("k", "s.site")
+    pairs = lines.select("k", "site").distinct()
     # a line needs a second site to matter if the threshold is above one; sketches say how many it has
     sketched = pairs.groupBy("k").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("about"))
     low, high = min(min_sites * (1 - BAND), min_sites - 1), max(min_sites * (1 + BAND), min_sites + 1)
@@ -51,9 +55,9 @@ def spread_lines(docs: DataFrame, min_sites: int = 10, text_col: str = "text", s
     return candidates.filter(F.col("about") > high).select("k").union(exact)
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float = 0.5, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float | None = 0.5, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The documents without their spread lines."""
-    spread = common.written(spread_lines(docs, min_sites, text_col, site_col), "spread")
+    spread = common.written(spread_lines(docs, min_sites, text_col, site_col, copies=max_share is not None), "spread")
     # copies of a text have the same lines: one row for each text and place
     hit = _lines(docs, text_col, site_col).select("t", "pos", "k", "size").join(spread, "k", "left_semi").select("t", "pos", "size").distinct()
     marks = hit.groupBy("t").agg(F.collect_list("pos").alias("__places"), F.sum("size").alias("__size"))
@@ -61,5 +65,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float =
     marks = common.written(marks, "marks")
     marked = docs.withColumn("__t", _key(text_col)).join(marks.withColumnRenamed("t", "__t"), "__t", "left")
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("__places", i)), "\n")
-    wanted = F.col("__places").isNotNull() & (F.col("__size") <= max_share * F.char_length(text_col))
+    wanted = F.col("__places").isNotNull()
+    if max_share is not None:
+        wanted &= F.col("__size") <= max_share * F.char_length(text_col)
     return marked.withColumn(text_col, F.when(wanted, left).otherwise(F.col(text_col))).select(*docs.columns)

@@ -174,6 +174,19 @@ def test_line_dedup(spark, least):
     assert {x.doc_id: x.text for x in got.collect()} == brute_lines(texts, sources, least, 0.5)
 
 
+def test_line_dedup_of_every_text(spark):
+    import corpus_pipeline
+
+    notice, passage = "All rights reserved by everyone, everywhere, at all times and for good.", "A copied passage of some length."
+    texts = [(i, f"own {i}\n{notice}") for i in range(40)]  # mostly notice, and each its own text
+    texts += [(100 + i, f"{passage}\nend") for i in range(40)] + [(200, f"{passage}\nother"), (201, None), (202, "")]
+    docs = documents(spark, texts, {i: f"s{i % 20}" for i, _ in texts})
+    want = {i: f"own {i}" if i < 40 else t for i, t in texts}  # a copy on many sites makes no line spread
+    assert {x.doc_id: x.text for x in line_dedup.remove_spread_lines(docs, min_sites=10, max_share=None).collect()} == want
+    got = corpus_pipeline.drop_spread_lines(spark, docs, "")
+    assert {x.doc_id: (x.text, x.n_chars) for x in got.collect()} == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.remove_spread_lines(documents(spark, [])).count() == 0
     rows = documents(spark, [(1, "a\nb"), (1, "a\nb"), (None, "a\nlonger line")], {1: "s", None: "t"})
