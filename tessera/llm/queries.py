@@ -152,7 +152,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = common.read(spark, sf_dir, "documents")
     rest = common.fold(F.col("doc_id"), 7)
-    model, numbered = lm.fit(docs, rest != 2, order=3)
+    model, numbered = lm.fit(docs, rest != 2, order=3, least=1)
     return lm.score(numbered, model).select(
         "doc_id",
         F.coalesce(rest == 2, F.lit(False)).alias("held_out"),

@@ -254,6 +254,31 @@ def test_language_model(spark, monkeypatch):
     assert lm.score(numbered, model).count() == 3 and model.tokens == 6
 
 
+def test_language_model_counts_every_gram(spark, tmp_path):
+    from tessera.llm import queries
+
+    texts = [(i, f"a{i} b{i} c{i}") for i in range(60)] + [(60 + i, f"a{i} b{i} c{i + 1}") for i in range(0, 60, 3)]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op10_lm_scoring(spark, str(tmp_path)).collect()}
+    train = [(f"{t} ".split(" "), not got[i].held_out) for i, t in texts]
+    c, b, t3 = Counter(), Counter(), Counter()
+    for w, ok in train:
+        if ok:
+            f = ["", *w]
+            c.update(w)
+            b.update(zip(f, f[1:], strict=False))
+            t3.update(zip(f, f[1:], f[2:], strict=False))
+    n, v = sum(c.values()), len(c)
+    kinds2, kinds3 = Counter(k[0] for k in b), Counter(k[:2] for k in t3)
+    p1 = lambda w: (c[w] + 1) / (n + v + 1)
+    p2 = lambda a, w: (max(b[a, w] - 0.75, 0) + 0.75 * kinds2[a] * p1(w)) / c[a] if c[a] else p1(w)
+    p3 = lambda a, h, w: (max(t3[a, h, w] - 0.75, 0) + 0.75 * kinds3[a, h] * p2(h, w)) / b[a, h] if b[a, h] else p2(h, w)
+    for (i, _), (w, _) in zip(texts, train, strict=True):
+        f = ["", *w]
+        want = math.log10(p2("", w[0])) + sum(math.log10(p3(f[k - 2], f[k - 1], f[k])) for k in range(2, len(f)))
+        assert abs(got[i].score - want) < 1e-3 * len(w), i
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
