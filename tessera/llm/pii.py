@@ -3,8 +3,8 @@
 1. ``scan`` finds base spans (e-mail, IP, card, phone; see the functions below) in whole texts, and
    candidates: identifier-like strings that no rule accepts. Each mention carries two lexical patterns:
    the two words in front of it, and the words on both sides.
-2. ``patterns`` scores a graph of patterns and instances with Spark, a few rounds long. Base entities are the
-   seeds. A pattern's confidence for a kind is the share of the words it stands around, over the whole
+2. ``patterns`` scores a graph of patterns and instances with Spark, in rounds until one adds no pattern and no
+   instance. Base entities are the seeds. A pattern's confidence for a kind is the share of the words it stands around, over the whole
    corpus, that are known instances of the kind; it needs ``support`` different ones. An instance's score is
    the noisy-or of its confident patterns; instances that score high count as known in the next round.
 3. ``extract`` marks candidates that stand in a confident pattern as spans of its kind; base spans stay.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -176,28 +177,32 @@ def _occurrences(docs: DataFrame, wanted: DataFrame, block: int = 500_000) -> Da
     return common.written(found.groupBy("pattern").agg(F.sum("n").alias("n")), "occurrences")
 
 
-def patterns(docs: DataFrame, mentions: DataFrame, support: int = 5, confidence: float = 0.75, rounds: int = 3) -> DataFrame:
+def patterns(docs: DataFrame, mentions: DataFrame, support: int = 5, confidence: float = 0.75, rounds: int | None = None) -> DataFrame:
     """pattern, kind, conf of the confident patterns; mentions: one row each, as scan gives them."""
     sides = F.explode(F.array("before", "around")).alias("pattern")
     edges = mentions.select("instance", "kind", sides).groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("m"), F.max("kind").alias("kind"))
     edges = common.written(edges, "edges")
-    # a pattern can only become confident around enough different strings, some of them seeds
-    wanted = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("strings"), F.max("kind").alias("best")).filter((F.col("strings") >= support) & (F.col("best") >= 0)).select("pattern")
+    # a pattern can only become confident around enough different strings; later rounds may know them if no seed is there
+    wanted = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("strings")).filter(F.col("strings") >= support).select("pattern")
     wanted = common.written(wanted, "wanted")
     edges = common.written(edges.join(wanted, "pattern", "left_semi"), "edges")
     totals = _occurrences(docs, wanted)
     seeds = edges.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("s")).distinct()
-    known, confident = seeds, None
-    for _ in range(rounds):
+    known, size = seeds, -1
+    for _ in count() if rounds is None else range(rounds):
         hits = edges.select("pattern", "instance", "m").join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("m") * F.col("s")).alias("hits"), F.count(F.lit(1)).alias("different"))
         scored = hits.join(totals, "pattern").withColumn("conf", F.least(F.lit(1.0), F.col("hits") / F.greatest("n", "hits")))
         confident = common.written(scored.filter((F.col("different") >= support) & (F.col("conf") >= confidence)).select("pattern", "kind", "conf"), "patterns")
         found = edges.filter("kind < 0").select("pattern", "instance").join(confident, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("s"))
-        known = common.written(seeds.union(found.filter(F.col("s") >= confidence).select("instance", "kind", "s")), "known")
+        both = seeds.union(found.filter(F.col("s") >= confidence).select("instance", "kind", "s"))
+        known = common.written(both.groupBy("instance", "kind").agg(F.max("s").alias("s")), "known")
+        before, size = size, confident.count() + known.count()
+        if size <= before:  # both only grow: nothing was added
+            break
     return confident
 
 
-def extract(docs: DataFrame, support: int = 5, confidence: float = 0.75, rounds: int = 3) -> DataFrame:
+def extract(docs: DataFrame, support: int = 5, confidence: float = 0.75, rounds: int | None = None) -> DataFrame:
     """doc_id, spans: array of struct(start, kind, end, base) in order, kind by its place in KINDS."""
     found = common.written(scan(docs), "mentions")
     mentions = found.select("h", "g", F.explode("mentions").alias("x")).select("h", "g", "x.*")

@@ -146,6 +146,16 @@ def test_bootstrapped_extraction(spark):
     assert pii.extract(documents(spark, [])).count() == 0
 
 
+def test_bootstrapped_extraction_goes_on_until_nothing_is_new(spark):
+    frame = lambda h, x: f"w{h} by{h} {x} end{h}"
+    texts = [(k, frame(0, f"user{k}@example.com")) for k in range(48)]  # seeds stand in the first frame only
+    for h in range(5):  # strings of a frame stand in the next one as well, more often than that one's own
+        texts += [(1000 * (h + 1) + k, frame(h, f"handle{h}{k}at")) for k in range(8)]
+        texts += [(10_000 * (h + 1) + k, frame(h + 1, f"handle{h}{k % 8}at")) for k in range(48)]
+    found = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in pii.extract(documents(spark, texts)).collect()}
+    assert [i for i, _ in texts if found[i] != [(0, i < 48)]] == []
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
