@@ -108,8 +108,8 @@ def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
             end = b
 
 
-def _contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
-    """The two patterns of each span (in order of start): words in front, and words on both sides; in lower case."""
+def _contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, bool]]:
+    """The two patterns of each span (in order of start): words in front, and words on both sides; in lower case. And whether it has several words."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     out, i = [], 0
     word = lambda k: text[words[k][0] : words[k][1]].lower() if 0 <= k < len(words) else ""
@@ -119,11 +119,11 @@ def _contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str]]:
         j = i
         while j + 1 < len(words) and words[j + 1][0] < b:
             j += 1
-        out.append((f"{word(i - 2)} {word(i - 1)} _", f"{word(i - 1)} _ {word(j + 1)}"))
+        out.append((f"{word(i - 2)} {word(i - 1)} _", f"{word(i - 1)} _ {word(j + 1)}", j > i))
     return out
 
 
-MENTION = "struct<kind:int,start:long,end:long,instance:string,before:string,around:string>"
+MENTION = "struct<kind:int,start:long,end:long,instance:string,before:string,around:string,wide:boolean>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def scan(docs: DataFrame) -> DataFrame:
             if _ANY.search(text):
                 spans += [(a, b, -1) for a, b in _candidates(text, [(a, b) for a, b, _ in spans])]
             spans.sort()
-            rows.append([{"kind": k, "start": a, "end": b, "instance": re.sub(r"[\s().-]", "", text[a:b]).lower(), "before": p, "around": q} for (a, b, k), (p, q) in zip(spans, _contexts(text, [s[:2] for s in spans]) if spans else [], strict=True)])
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("before", pa.string()), ("around", pa.string())]))
+            rows.append([{"kind": k, "start": a, "end": b, "instance": re.sub(r"[\s().-]", "", text[a:b]).lower(), "before": p, "around": q, "wide": w} for (a, b, k), (p, q, w) in zip(spans, _contexts(text, [s[:2] for s in spans]) if spans else [], strict=True)])
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("before", pa.string()), ("around", pa.string()), ("wide", pa.bool_())]))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, kind)], ["doc_id", "h", "g", "mentions"])
 
     keep = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
@@ -179,14 +179,17 @@ def _occurrences(docs: DataFrame, wanted: DataFrame, block: int = 500_000) -> Da
 
 def patterns(docs: DataFrame, mentions: DataFrame, support: int = 5, confidence: float = 0.75, rounds: int | None = None) -> DataFrame:
     """pattern, kind, conf of the confident patterns; mentions: one row each, as scan gives them."""
-    sides = F.explode(F.array("before", "around")).alias("pattern")
-    edges = mentions.select("instance", "kind", sides).groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("m"), F.max("kind").alias("kind"))
+    side = lambda name, wide: F.struct(F.col(name).alias("pattern"), wide.cast("long").alias("wide"))
+    sides = F.explode(F.array(side("before", F.lit(False)), side("around", F.col("wide")))).alias("side")
+    edges = mentions.select("instance", "kind", sides).select("instance", "kind", "side.*").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("m"), F.max("kind").alias("kind"), F.sum("wide").alias("wide"))
     edges = common.written(edges, "edges")
     # a pattern can only become confident around enough different strings; later rounds may know them if no seed is there
     wanted = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("strings")).filter(F.col("strings") >= support).select("pattern")
     wanted = common.written(wanted, "wanted")
     edges = common.written(edges.join(wanted, "pattern", "left_semi"), "edges")
-    totals = _occurrences(docs, wanted)
+    # words on both sides stand around mentions of several words too, which are no single word's occurrences
+    several = edges.groupBy("pattern").agg(F.sum("wide").alias("n")).filter("n > 0")
+    totals = _occurrences(docs, wanted).union(several).groupBy("pattern").agg(F.sum("n").alias("n"))
     seeds = edges.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("s")).distinct()
     known, size = seeds, -1
     for _ in count() if rounds is None else range(rounds):

@@ -156,6 +156,13 @@ def test_bootstrapped_extraction_goes_on_until_nothing_is_new(spark):
     assert [i for i, _ in texts if found[i] != [(0, i < 48)]] == []
 
 
+def test_bootstrapped_extraction_around_several_words(spark):
+    texts = [(k, f"front{k} dial +49 30 1234{k:02d}{k:02d} soon") for k in range(10)]  # no single word stands in this frame
+    texts += [(100, "elsewhere dial 030 7654321 soon"), (101, "elsewhere see 030 7654321 later")]
+    found = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in pii.extract(documents(spark, texts)).collect()}
+    assert found == {i: [(3, True)] for i in range(10)} | {100: [(3, False)], 101: []}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
