@@ -313,14 +313,17 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     # similar documents are in one component of candidates: only within these do sets meet
     near = components(_met(tiles, [0, 1]).mapInArrow(link, "a long, b long"))
     buckets = max(1, near.count() // SET_TILE)
-    chosen = classes.join(near, "node").select(F.col("least").alias("doc_id"), F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("cell"))
+    chosen = classes.join(near, "node").select("node", F.col("least").alias("doc_id"), F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("cell"))
     chosen = common.written(chosen, "chosen")
 
     def sets(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         blobs = [_set(t, words)[1].tobytes() for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), *sketch(texts), pa.array(blobs, pa.binary())], ["cell", "node", "size", "c0", "c1", "hashes"])
+        made = sketch(texts)
+        rows = pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(blobs, pa.binary())], ["cell", "node", "size", "c0", "c1", "hashes"])
+        # other texts may repeat the id: only the class's own text belongs in its cell
+        return rows.filter(pa.array(made[0].to_numpy() == batch.column(1).to_numpy()))
 
-    whole = common.map_texts(docs.join(chosen, "doc_id"), ["cell"], f"cell long, {head}, hashes binary", sets).dropDuplicates(["node"])
+    whole = common.map_texts(docs.join(chosen, "doc_id"), ["cell", "node"], f"cell long, {head}, hashes binary", sets).dropDuplicates(["node"])
 
     def pack_sets(batches):
         held: dict[int, tuple[list, list]] = {}

@@ -137,6 +137,17 @@ def test_simhash_edges(spark):
     assert sorted((r.doc_id for r in simhash.one_of_each(rows).collect()), key=str) == sorted([None, 5, 5, None], key=str)
 
 
+def test_similar_documents_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_TILE", 5)  # many cells
+    texts = []
+    for i in range(20):
+        for k in (0, 1):  # two texts of one id, each with a near copy of its own
+            w = words(100, 50 * i + k)
+            texts += [(i, " ".join(w)), (100 + 100 * k + i, " ".join([*w, "more"]))]
+    got = simhash.similar(documents(spark, texts)).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == sorted((i, i % 100) for i, _ in texts)
+
+
 def brute_lines(texts, sources, least, share):
     sites = {}
     for i, t in texts:
