@@ -5,7 +5,8 @@ ten slide over benchmark items and documents; a hash of the chosen words ignores
 them, so a hit survives substitutions there. Each hit names an alignment of an item with the document
 (no gaps); every alignment is verified word by word: the document is contaminated if any ``window``
 consecutive words of it (the whole item, where that is shorter) agree in at least ``least`` of their
-places.
+places. Substitutions may hide an item shorter than the window from every mask: with ``short``, such items also
+have seeds of so few words in a row that the allowed substitutions leave one whole.
 
 The benchmark's hashes are joined to the documents inside the tasks that read them: a block of the
 benchmark of at most ``block_words`` words goes to every task, and a larger benchmark is worked off in
@@ -19,6 +20,7 @@ further columns are passed on by ``clean`` and ignored by ``overlaps``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -72,14 +74,19 @@ def _seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Benchmark:
     """The seeds of a block of items, sorted by hash for each mask."""
 
-    def __init__(self, ids: list, texts: list[str], window: int, least: float) -> None:
+    def __init__(self, ids: list, texts: list[str], window: int, least: float, short: bool = False) -> None:
         self.ids, self.window, self.least = ids, window, least
         self.words, self.bounds = _words(texts)
-        item = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
+        sizes = np.diff(self.bounds)
+        item = np.repeat(np.arange(len(ids)), sizes)
+        less = (sizes < window) & short
+        runs = [int(n) // (int(n) - math.ceil(least * int(n)) + 1) for n in np.unique(sizes[less])]
+        self.masks = [*MASKS, tuple(range(max(1, min(runs))))] if runs else list(MASKS)
         self.tables = []
-        for mask in MASKS:
+        for k, mask in enumerate(self.masks):
             h = _seeds(self.words, mask)
-            ok = np.nonzero(item[: len(h)] == item[len(item) - len(h) :])[0]
+            inside = item[: len(h)] == item[len(item) - len(h) :]
+            ok = np.nonzero(inside & less[item[: len(h)]] if k == len(MASKS) else inside)[0]
             order = ok[np.argsort(h[ok], kind="stable")]
             bits = np.zeros(1 << 20, bool)
             bits[(h[order] >> np.uint64(44)).astype(np.int64)] = True
@@ -90,7 +97,7 @@ class Benchmark:
         """text, item, words that agree in the best window, its first word; for each contaminated pair."""
         words, bounds = _words(texts)
         keys = []
-        for mask, (hashes, places, bits) in zip(MASKS, self.tables, strict=True):
+        for mask, (hashes, places, bits) in zip(self.masks, self.tables, strict=True):
             h = _seeds(words, mask)
             at = np.nonzero(bits[(h >> np.uint64(44)).astype(np.int64)])[0] if len(h) else np.zeros(0, np.int64)
             lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
@@ -124,7 +131,7 @@ class Benchmark:
             yield t, i, n_same, -start
 
 
-def _blocks(items: DataFrame, window: int, least: float, block_words: int) -> Iterator[Benchmark]:
+def _blocks(items: DataFrame, window: int, least: float, block_words: int, short: bool) -> Iterator[Benchmark]:
     """The benchmark in blocks of about block_words words (bytes / 2 bounds the words of a text)."""
     usable = items.select(F.col("item_id").alias("id"), F.col("text").alias("t")).filter("t is not null")
     n = -(-(usable.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] // 2 + 1) // block_words)
@@ -132,14 +139,14 @@ def _blocks(items: DataFrame, window: int, least: float, block_words: int) -> It
         rows = (usable if n == 1 else usable.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k)).collect()
         rows = [r for r in rows if len(WORD.findall(r.t)) >= LEAST_WORDS]
         if rows:
-            yield Benchmark([r.id for r in rows], [r.t for r in rows], window, least)
+            yield Benchmark([r.id for r in rows], [r.t for r in rows], window, least, short)
 
 
-def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, least: float = 0.8, block_words: int = 4_000_000) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, least: float = 0.8, block_words: int = 4_000_000, short: bool = False) -> DataFrame:
     """doc_id, item_id, matched, start: each document with each item found in it."""
     schema = "doc_id long, item_id long, matched long, start long"
     sc, parts = docs.sparkSession.sparkContext, []
-    for block in _blocks(items, window, least, block_words):
+    for block in _blocks(items, window, least, block_words, short):
         shared = sc.broadcast(block)
 
         def f(batch: pa.RecordBatch, texts: list[bytes], shared=shared) -> pa.Table:
@@ -153,10 +160,10 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, least: float =
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = 13, least: float = 0.8, block_words: int = 4_000_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, window: int = 13, least: float = 0.8, block_words: int = 4_000_000, short: bool = False) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     sc = docs.sparkSession.sparkContext
-    for block in _blocks(items, window, least, block_words):
+    for block in _blocks(items, window, least, block_words, short):
         shared = sc.broadcast(block)
 
         def run(batches, shared=shared, at=docs.columns.index("text")):

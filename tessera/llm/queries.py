@@ -79,7 +79,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
-    return decontam.overlaps(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), window=13, least=0.8)
+    return decontam.overlaps(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), window=13, least=0.8, short=True)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,29 @@ def test_decontamination_matches_an_exhaustive_search(spark):
     assert got == {(i, k) for i, t in texts for k, it in items if found(t, it)}
 
 
+def test_decontamination_finds_short_items_wherever_substitutions_stand():
+    for n in range(6, 14):
+        item = words(n, n)
+        block = decontam.Benchmark([1], [" ".join(item)], 13, 0.8, short=True)
+        for i in range(n):
+            for j in range(i, n):
+                text = " ".join(["before", *("other" if k in (i, j) else w for k, w in enumerate(item)), "behind"])
+                same = n - len({i, j})
+                assert list(block.found([text])) == ([(0, 0, same, 1)] if same >= 0.8 * n else []), (n, i, j)
+
+
+def test_decontamination_query_finds_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from tessera.llm import queries
+
+    item = words(6, 1)
+    docs = documents(spark, [(1, " ".join(["x", *item[:3], "other", *item[4:], "y"])), (2, " ".join(words(50, 2)))])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(x) for x in queries.op3_decontamination(spark, str(tmp_path)).collect()] == [(1, 7, 5, 1)]
+    assert [x.doc_id for x in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_url_filter(spark):
     day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
     entries = [("example.com", "add", day(10)), ("example.com", "remove", day(20)), ("example.com", "add", day(30)), ("a.b.org", "add", day(5)), ("x.net/bad", "add", day(0)), ("same.io", "add", day(3)), ("same.io", "remove", day(3)), (None, "add", day(1)), ("null.io", None, day(1)), ("late.io", "add", None)]
