@@ -141,13 +141,19 @@ def save(folder: str, name: str, sequences: dict[str, tuple[dict, dict]], arrays
     fs.move(mine, f"{path}/{name}")
 
 
-def load(folder: str, name: str) -> tuple[dict[str, EliasFano], dict[str, np.ndarray], dict]:
-    """The sequences, arrays and meta of a file; memory-mapped where it is local, else read once."""
+def remove(folder: str, name: str) -> None:
+    fs, path = filesystem(folder)
+    fs.delete_file(f"{path}/{name}")
+
+
+def load(folder: str, name: str) -> tuple[tuple[dict[str, EliasFano], dict[str, np.ndarray], dict], bool]:
+    """The sequences, arrays and meta (with the size in bytes) of a file, and whether it is memory-mapped: where it is local, else it is read."""
     fs, path = filesystem(folder)
     local = f"{path}/{name}"
-    data = np.memmap(local, np.uint8, "r") if os.path.exists(local) else np.frombuffer(fs.open_input_file(local).read_buffer(), np.uint8)
+    mapped = os.path.exists(local)
+    data = np.memmap(local, np.uint8, "r") if mapped else np.frombuffer(fs.open_input_file(local).read_buffer(), np.uint8)
     n = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + n].tobytes())
     got = {k: data[8 + n + at : 8 + n + at + np.dtype(kind).itemsize * size].view(kind) for k, (at, kind, size) in head["arrays"].items()}
     sequences = {k: EliasFano({x: got.pop(f"{k}.{x}") for x in ("low", "high", "ones")}, m) for k, m in head["sequences"].items()}
-    return sequences, got, head["meta"]
+    return (sequences, got, head["meta"] | {"bytes": len(data)}), mapped

@@ -2,16 +2,21 @@
 
 The model is an interpolated back-off model with absolute discounting. Its first level holds the words
 by hash with their exact counts; each further level holds, for the nodes of the level above, the words
-that follow: contexts, monotone pointers to their children, the children as one monotone sequence
-(context-relative: a context's number times the vocabulary's size, plus the word), running counts, all
+that follow: monotone pointers from each node to its children, the children as one monotone sequence
+(context-relative: a context's place times the vocabulary's size, plus the word), running counts, all
 Elias-Fano coded, and smoothed log probabilities and back-off weights quantised to 16 bits. Levels are
-cut into files by ranges of contexts, in the folder that all executors share, and memory-mapped. A
-successor is searched within its context's pointers.
+cut into files in the folder that all executors share, and memory-mapped. A successor is searched within
+its context's pointers.
 
-n-grams of two and more words are kept from ``least`` occurrences on; what is left out goes to the
-back-off weight, so probabilities sum to one up to quantisation. A longer n-gram is counted only where
-both its shorter ones are kept, which loses none that is frequent enough. All training texts are counted,
-in blocks whose distinct n-grams go, sorted and compressed, to the task of their hash.
+All training texts are counted, in blocks whose distinct n-grams go, sorted and compressed, to the task
+that writes their file: tasks hold consecutive (context, word) pairs, and their bounds follow from the
+level above, so that each gets about equally many occurrences and no sample is drawn. A context with more
+than a quarter of a task's share is itself cut by words; the mass that its pieces keep is summed before
+the files that hold them are finished, so a word that a third of all tokens follow costs no single task.
+
+n-grams of two and more words are kept from ``least`` occurrences on (all by default); what is left out
+goes to the back-off weight, so probabilities sum to one up to quantisation. A longer n-gram is counted
+only where both its shorter ones are kept, which loses none that is frequent enough.
 
 Defined cases: a null text counts as empty and is the end token alone; a null id is neither held out nor
 learned from; without any training text every score is 0 or the base's; repeated ids keep their rows and
@@ -21,7 +26,6 @@ hashes agree (one pair in about four billion words) count as one.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -35,23 +39,28 @@ from pyspark.sql import functions as F
 from . import common, elias_fano
 
 STEP = 4096.0
-BLOCK = 1_500_000
+BLOCK = 2_000_000
+#: Occurrences in a file of the trie.
 SEGMENT = 1_000_000
 GROUP = 8 << 20
 STORE = 400_000
+#: Bytes of files that a worker holds where the shared folder cannot be mapped.
+HELD = 256 << 20
 
 
 @dataclass
 class Model:
-    """Where the trie lies: for each level, (first key, first place) of each file's segment."""
+    """Where the trie lies: for each level, (first key, first node, occurrences before, number) of each file."""
 
     folder: str
-    tokens: int
-    words: int
     order: int
     discount: float
+    tokens: int = 0
+    words: int = 0
     end: int = -1
-    segments: list[list[tuple[int, int]]] = field(default_factory=list)
+    segments: list[list[tuple[int, int, int, int]]] = field(default_factory=list)
+    totals: list[int] = field(default_factory=list)
+    nodes: list[int] = field(default_factory=list)
 
 
 def _quantised(log10: np.ndarray) -> np.ndarray:
@@ -64,39 +73,69 @@ class Trie:
     def __init__(self, model: Model) -> None:
         self.m = model
         self.files: dict[tuple[int, int], tuple] = {}
-        self.first = [np.array([a for a, _ in level], np.int64) for level in model.segments]
-        self.base = [np.array([b for _, b in level], np.int64) for level in model.segments]
+        self.held: dict[tuple[int, int], int] = {}
+        columns = [np.array(level, np.int64).reshape(-1, 4).T for level in model.segments]
+        self.first, self.base, self.mass, self.number = ([c[i] for c in columns] for i in range(4))
 
     def file(self, level: int, k: int):
-        if (level, k) not in self.files:
-            self.files[level, k] = elias_fano.load(self.m.folder, f"level{level}-{k:05d}")
-        return self.files[level, k]
-
-    def _by_segment(self, level: int, keys: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Mapped files stay; of others, at most HELD bytes."""
+        key = level, k
+        if key not in self.files:
+            self.files[key], mapped = elias_fano.load(self.m.folder, f"level{level}-{self.number[level - 1][k]:05d}")
+            if not mapped:
+                self.held[key] = self.files[key][2]["bytes"]
+                while sum(self.held.values()) > HELD and len(self.held) > 1:
+                    oldest = next(iter(self.held))
+                    del self.files[oldest], self.held[oldest]
+        return self.files[key]
+
+    @staticmethod
+    def _by_segment(firsts: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each segment that keys fall into, and their places in order."""
         if len(firsts) == 1:
             yield 0, np.arange(len(keys))
-        elif len(firsts):
+        elif len(firsts) and len(keys):
             seg = np.maximum(np.searchsorted(firsts, keys, "right") - 1, 0)
-            for k in np.nonzero(np.bincount(seg))[0].tolist():
-                yield k, np.nonzero(seg == k)[0]
+            order = np.argsort(seg, kind="stable")
+            seg = seg[order]
+            cuts = np.nonzero(np.r_[True, seg[1:] != seg[:-1]])[0]
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(seg)], strict=True):
+                yield int(seg[a]), order[a:b]
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
-        for k, at in self._by_segment(1, hashes, self.first[0]):
-            got = self.file(1, k)[0]["hashes"].find(hashes[at])
+        for k, at in self._by_segment(self.first[0], hashes):
+            seq, _, meta = self.file(1, k)
+            h = hashes[at] - meta["from"]
+            at, h = at[(h >= 0) & (h < meta["span"])], h[(h >= 0) & (h < meta["span"])]
+            got = seq["hashes"].find(h)
             out[at] = np.where(got >= 0, got + self.base[0][k], -1)
         return out
 
     def counts(self, level: int, nodes: np.ndarray) -> np.ndarray:
         """How often each node's n-gram occurs; 0 for -1."""
         out = np.zeros(len(nodes), np.int64)
-        for k, at in self._by_segment(level, nodes, self.base[level - 1]):
+        for k, at in self._by_segment(self.base[level - 1], nodes):
             at = at[nodes[at] >= 0]
             i = nodes[at] - self.base[level - 1][k]
             sums = self.file(level, k)[0]["counts"]
             out[at] = sums.access(i + 1) - sums.access(i)
         return out
 
+    def holding(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The node whose occurrences, all in the nodes' order, hold each place; the place of its first one, and its count."""
+        node, before, count = (np.zeros(len(at), np.int64) for _ in range(3))
+        for k, i in self._by_segment(self.mass[level - 1], at):
+            sums, start = self.file(level, k)[0]["counts"], self.mass[level - 1][k]
+            lo, hi = np.zeros(len(i), np.int64), np.full(len(i), sums.n - 1, np.int64)
+            while (hi - lo > 1).any():
+                mid = (lo + hi) >> 1
+                below = sums.access(mid) <= at[i] - start
+                lo, hi = np.where(below, mid, lo), np.where(below, hi, np.maximum(mid, lo + 1))
+            first = sums.access(lo)
+            node[i], before[i], count[i] = lo + self.base[level - 1][k], first + start, sums.access(lo + 1) - first
+        return node, before, count
+
     def find(self, level: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Node, log probability (0 without a node) and back-off weight of each word behind a context node of the level above."""
         node, prob, back = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.zeros(len(words))
@@ -112,51 +151,45 @@ class Trie:
         c, w = np.divmod(key[head], size + 1)
         w -= 1
         n, p, b = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c))
-        for k, at in self._by_segment(level, c, self.first[level - 1]):
-            seq, arrays, _ = self.file(level, k)
+        for k, at in self._by_segment(self.first[level - 1], c * size + np.maximum(w, 0)):
+            seq, arrays, meta = self.file(level, k)
+            j = c[at] - meta["context"]
+            inside = (j >= 0) & (j < meta["contexts"])
+            at, j = at[inside], j[inside]
+            b[at] = arrays["back"][j] / -STEP
+            at, j = at[w[at] >= 0], j[w[at] >= 0]
             if not len(at):
                 continue
-            one = np.r_[True, c[at][1:] != c[at][:-1]]  # what belongs to a context is looked up once
-            j = seq["contexts"].find(c[at][one])
-            held = np.nonzero(j >= 0)[0]
-            j = j[held]
-            place = np.full(int(one.sum()), -1, np.int64)
-            place[held] = np.arange(len(held))
-            place = place[np.cumsum(one) - 1]
-            at, place = at[place >= 0], place[place >= 0]
-            b[at] = (arrays["back"][j] / -STEP)[place]
-            at, place = at[w[at] >= 0], place[w[at] >= 0]
-            low, high = seq["pointers"].access(j), seq["pointers"].access(j + 1)
-            got = seq["children"].find(j[place] * size + w[at], low[place], high[place])
+            one = np.r_[True, j[1:] != j[:-1]]  # what belongs to a context is looked up once
+            place = np.cumsum(one) - 1
+            low, high = seq["pointers"].access(j[one]), seq["pointers"].access(j[one] + 1)
+            got = seq["children"].find(j * size + w[at], low[place], high[place])
             at, got = at[got >= 0], got[got >= 0]
             n[at] = got + self.base[level - 1][k]
             p[at] = arrays["prob"][got] / -STEP
         node[order], prob[order], back[order] = n[which], p[which], b[which]
         return node, prob, back
 
-    def path(self, level: int, nodes: np.ndarray) -> list[np.ndarray]:
-        """The words of each node's n-gram."""
-        if level == 1:
-            return [nodes]
-        above, last = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
-        for k, at in self._by_segment(level, nodes, self.base[level - 1]):
-            seq = self.file(level, k)[0]
-            v = seq["children"].access(nodes[at] - self.base[level - 1][k])
-            above[at], last[at] = seq["contexts"].access(v // (self.m.words + 1)), v % (self.m.words + 1)
-        return [*self.path(level - 1, above), last]
-
     def first_prob(self, words: np.ndarray) -> np.ndarray:
         """Quantised log probability of each word by itself."""
-        out = np.full(len(words), self.unigram(np.zeros(1))[0])
-        for k, at in self._by_segment(1, words, self.base[0]):
+        out = np.zeros(len(words))
+        for k, at in self._by_segment(self.base[0], words):
             at = at[words[at] >= 0]
-            out[at] = self.file(1, k)[1]["prob"][words[at] - self.base[0][k]] / -STEP
-        return out
+            out[at] = self.file(1, k)[1]["prob"][words[at] - self.base[0][k]] / STEP
+        return out + self.unigram(np.zeros(1))[0]
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.m.tokens + self.m.words + 1))
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh64_intdigest(word, 42) >> 2
+        return h
+
+
 class Reader:
     """Turns texts into word numbers of a trie, with a store of known words."""
 
@@ -187,9 +220,10 @@ class Reader:
             fresh = list(self.index)[known:]
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) >> 2 for w in fresh), np.int64, len(fresh))
             order = np.argsort(h)
-            ids = np.zeros(len(h), np.int64)
-            ids[order] = self.trie.word_ids(h[order])
-            self.ids, self.n = np.r_[self.ids, ids], np.r_[self.n, self.trie.counts(1, ids)]
+            ids, n = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            found = self.trie.word_ids(h[order])
+            ids[order], n[order] = found, self.trie.counts(1, found)
+            self.ids, self.n = np.r_[self.ids, ids], np.r_[self.n, n]
         return self.ids[at], self.n[at], sizes
 
     def nodes(self, s: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -207,32 +241,54 @@ def _reader(model: Model) -> Reader:
     return common.sole(("lm", model.folder, len(model.segments)), lambda: Reader(model))
 
 
-def _write_level(rows: DataFrame, model: Model, level: int, n: int) -> None:
-    """Rows in order of their first column, cut into files by its ranges; a context's rows stay together."""
-    first = rows.columns[0]
-    dealt = rows.repartitionByRange(max(1, -(-n // SEGMENT)), first).sortWithinPartitions(*rows.columns[:2])
-    make = _words_file if level == 1 else _grams_file
+def _blob(keys: np.ndarray, counts: np.ndarray, low: np.ndarray | None) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane, counts, and quantised lower probabilities, compressed."""
+    import zstandard
 
-    def run(batches):
-        from pyspark import TaskContext
+    plane = lambda x, kind: np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    planes = plane(np.diff(keys, prepend=0), "<u8") + plane(counts, "<u4") + (b"" if low is None else plane(low, "<u2"))
+    return len(keys).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
 
-        got = [b for b in batches if b.num_rows]
-        if got:
-            k = TaskContext.get().partitionId()
-            columns = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(got[0].num_columns)]
-            head, size = make(model, level, k, *columns)
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([head]), pa.array([size])], ["k", "first", "n"])
-
-    found = sorted(dealt.mapInArrow(run, "k long, first long, n long").collect())  # a row for each file of about SEGMENT n-grams
-    # files of empty ranges are not written: number the others as they are found
-    level_segments, at = [], 0
-    for i, r in enumerate(found):
-        if r.k != i:
-            fs, path = elias_fano.filesystem(model.folder)
-            fs.move(f"{path}/level{level}-{r.k:05d}", f"{path}/level{level}-{i:05d}")
-        level_segments.append((r.first, at))
-        at += r.n
-    model.segments.append(level_segments)
+
+def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8)
+    value = lambda a, width: np.ascontiguousarray(planes[a * n : (a + width) * n].reshape(width, n).T).view(f"<u{width}").ravel()
+    low = value(12, 2) if len(planes) > 12 * n else np.zeros(n, np.uint16)
+    return np.cumsum(value(0, 8).astype(np.int64)), value(8, 4).astype(np.int64), low
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray | None, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Different keys in order, their counts in all, and what is equal for equal keys."""
+    if low is None and counts is None:
+        return *np.unique(keys, return_counts=True), None
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
+    counts = np.diff(np.r_[head, len(keys)]) if counts is None else np.add.reduceat(counts[order], head)
+    return keys[head], counts, None if low is None else low[order][head]
+
+
+def _dealt(held: list[tuple], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """shard, blob: the held keys, summed and cut at the bounds."""
+    keys = np.concatenate([k for k, _ in held])
+    low = None if held[0][1] is None else np.concatenate([x for _, x in held])
+    held.clear()
+    if not len(keys):
+        return
+    keys, counts, low = _summed(keys, None, low)
+    cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
+    for s in np.nonzero(np.diff(cuts))[0].tolist():
+        a, b = cuts[s], cuts[s + 1]
+        blob = _blob(keys[a:b], counts[a:b], None if low is None else low[a:b])
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
+
+
+def _merged(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    parts = [_unblob(x) for batch in batches for x in batch.column(1).to_pylist()]
+    return _summed(*map(np.concatenate, zip(*parts, strict=True))) if parts else None
 
 
 def _sums(counts: np.ndarray) -> tuple[dict, dict]:
@@ -240,58 +296,94 @@ def _sums(counts: np.ndarray) -> tuple[dict, dict]:
     return elias_fano.EliasFano.build(sums, int(sums[-1]) + 1)
 
 
-def _words_file(model: Model, level: int, k: int, h: np.ndarray, c: np.ndarray) -> tuple[int, int]:
-    head = np.nonzero(np.r_[True, h[1:] != h[:-1]])[0]
-    h, c = h[head], np.add.reduceat(c, head)
-    sequences = {"hashes": elias_fano.EliasFano.build(h, 1 << 62), "counts": _sums(c)}
-    elias_fano.save(model.folder, f"level1-{k:05d}", sequences, {"prob": _quantised(Trie(model).unigram(c))}, {})
-    return int(h[0]), len(h)
+def _count_words(docs: DataFrame, model: Model, shards: int) -> None:
+    """The first level: the hash of each word and of the end (the empty word), and how often it occurs."""
+    bounds = np.array([(k << 62) // shards for k in range(1, shards)], np.int64)
+    def run(batches):
+        hashes, held, n = _Hashes(), [], 0
+        for batch in batches:
+            column = batch.column(0)
+            for a, b in common.grouped(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist(), GROUP):
+                if len(hashes) > STORE:
+                    hashes.clear()
+                lists = [t.lower().split() for t in common.text_bytes(column.slice(a, b - a))]
+                total = sum(map(len, lists))
+                words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.int64, total)
+                held.append((np.r_[words, np.full(len(lists), hashes[b""], np.int64)], None))
+                n += total + len(lists)
+                if n >= BLOCK:
+                    n = 0
+                    yield from _dealt(held, bounds)
+        if held:
+            yield from _dealt(held, bounds)
 
+    def write(batches):
+        from pyspark import TaskContext
 
-def _grams_file(model: Model, level: int, k: int, context: np.ndarray, word: np.ndarray, c: np.ndarray) -> tuple[int, int]:
-    trie = _reader(model).trie
-    head = np.nonzero(np.r_[True, context[1:] != context[:-1]])[0]
-    j = np.cumsum(np.r_[True, context[1:] != context[:-1]]) - 1
-    total = trie.counts(level - 1, context[head]).astype(np.float64)
+        got = _merged(batches)
+        if got:
+            k, (h, c, _) = TaskContext.get().partitionId(), got
+            meta = {"from": int(h[0]), "span": int(h[-1] - h[0]) + 1}
+            sequences = {"hashes": elias_fano.EliasFano.build(h - h[0], meta["span"]), "counts": _sums(c)}
+            prob = np.clip(np.rint(np.log10(c + 1.0) * STEP), 0, 65535).astype(np.uint16)
+            elias_fano.save(model.folder, f"level1-{k:05d}", sequences, {"prob": prob}, meta)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (k, int(h[0]), len(h), int(c.sum()))], ["k", "first", "n", "mass"])
+
+    blobs = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "shard int, blob binary")
+    written = blobs.repartitionById(shards, "shard").mapInArrow(write, "k long, first long, n long, mass long")
+    _add_level(model, [(r.k, r.first, r.n, r.mass) for r in sorted(written.collect())])
+
+
+def _add_level(model: Model, files: list[tuple[int, int, int, int]]) -> None:
+    """A row for each file of the level, of SEGMENT occurrences or more, in order."""
+    segments, node, mass = [], 0, 0
+    for k, first, n, m in files:
+        segments.append((first, node, mass, k))
+        node, mass = node + n, mass + m
+    model.segments.append(segments)
+    model.totals.append(mass)
+    model.nodes.append(node)
+
+
+def _bounds(model: Model, level: int, shards: int) -> np.ndarray:
+    """Keys that cut the level into ranges of like occurrences; only a context of more than a quarter of a range is cut itself."""
+    total, size, trie = model.totals[level - 2], model.words + 1, Trie(model)
+    if not total:
+        return np.zeros(0, np.int64)
+    at = np.arange(1, shards, dtype=np.int64) * total // shards
+    node, before, count = trie.holding(level - 1, at)
+    inside = ((at - before) / np.maximum(count, 1) * model.totals[0]).astype(np.int64)
+    word = trie.holding(1, np.minimum(inside, model.totals[0] - 1))[0]
+    return np.maximum.accumulate(np.where(count * 4 > total // shards, node * size + word, (node + 1) * size))
+
+
+def _grams_file(model: Model, level: int, k: int, keys: np.ndarray, c: np.ndarray, low: np.ndarray, masses: dict[int, float]) -> None:
+    """The file of consecutive n-grams; masses: what a context keeps where not all its successors are here."""
+    trie, size = _reader(model).trie, model.words + 1
+    context, word = keys // size, keys % size
+    first = int(context[0])
+    j = context - first
+    children = np.bincount(j)
+    some = np.nonzero(children)[0]
     kept = c - model.discount
-    rest = 1 - np.add.reduceat(kept, head) / total
+    held = np.bincount(j, kept)[some]
+    for i, m in masses.items():
+        if first <= i <= context[-1]:
+            held[np.searchsorted(some, i - first)] = m
+    total = np.ones(len(children))
+    total[some] = trie.counts(level - 1, some + first)
+    rest = np.ones(len(children))
+    rest[some] = 1 - held / total[some]
     back = _quantised(np.log10(np.maximum(rest, 1e-15)))
-    if level == 2:
-        lower = trie.unigram(trie.counts(1, word))
-    else:  # the same n-gram without its first word is a node of the level above
-        suffix = [*trie.path(level - 1, context[head])[1:]]
-        node = suffix[0]
-        for up, w in enumerate(suffix[1:], 2):
-            node = trie.find(up, node, w)[0]
-        lower = trie.find(level - 1, node[j], word)[1]
+    lower = trie.first_prob(word) if level == 2 else low / -STEP
     prob = np.log10(kept / total[j] + 10 ** (back[j] / -STEP + lower))
-    size = model.words + 1
     sequences = {
-        "contexts": elias_fano.EliasFano.build(context[head], int(context[-1]) + 1),
-        "pointers": elias_fano.EliasFano.build(np.r_[head, len(word)], len(word) + 1),
-        "children": elias_fano.EliasFano.build(j * size + word, len(head) * size),
-        "counts": _sums(c),
+        "pointers": elias_fano.EliasFano.build(np.r_[0, np.cumsum(children)], len(word) + 1),
+        "children": elias_fano.EliasFano.build(j * size + word, len(children) * size),
     }
-    elias_fano.save(model.folder, f"level{level}-{k:05d}", sequences, {"prob": _quantised(prob), "back": back}, {})
-    return int(context[0]), len(word)
-
-
-def _blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane, and counts, compressed."""
-    import zstandard
-
-    delta = np.diff(keys, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    planes = np.ascontiguousarray(delta).tobytes() + np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(keys).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8)
-    keys = np.cumsum(np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<u8").ravel().astype(np.int64))
-    return keys, np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    if level < model.order:
+        sequences["counts"] = _sums(c)
+    elias_fano.save(model.folder, f"level{level}-{k:05d}", sequences, {"prob": _quantised(prob), "back": back}, {"context": first, "contexts": len(children)})
 
 
 def _width(model: Model) -> np.dtype:
@@ -322,100 +414,99 @@ def number(docs: DataFrame, model: Model, train: Column | None = None) -> DataFr
     return common.map_texts(docs, keep, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, ids binary", f, limit=GROUP)
 
 
-def _count_level(numbered: DataFrame, model: Model, level: int, least: int) -> DataFrame:
-    """context node, word, c of the n-grams of `level` words that occur at least `least` times."""
-    shards = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), model.tokens // 4_000_000)
-    size = model.words + 1
+def _count_level(numbered: DataFrame, model: Model, level: int, least: int) -> None:
+    """The n-grams of `level` words that occur at least `least` times, as a level of the trie."""
+    spark = numbered.sparkSession
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // SEGMENT)
+    size, bounds = model.words + 1, _bounds(model, level, shards)
+    cut = np.unique(bounds[bounds % size != 0] // size)  # the contexts that lie in several files
 
     def run(batches):
-        held: list[np.ndarray] = []
-        reader = _reader(model)
-
-        def blocks():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            shard = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
-            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-            cuts = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
-            for s in range(shards):
-                part = order[cuts[s] : cuts[s + 1]]
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_blob(keys[part], counts[part])], pa.binary())], ["shard", "blob"])
-
+        held, n, reader = [], 0, _reader(model)
         for batch in batches:
             for s in _streams(batch.column(0), model):
-                context, ok = s[:-1], np.ones(len(s) - 1, bool)
+                context, ok, low = s[:-1], slice(None), None
                 if level > 2:
-                    node = list(reader.nodes(s, level - 1))[-1][0]
+                    node, prob, _ = list(reader.nodes(s, level - 1))[-1]
                     context = np.r_[-1, node[:-1]]
                     ok = (context >= 0) & (node >= 0) & (s[:-1] != model.end)
-                held.append(context[ok] * size + s[1:][ok])
-                if sum(map(len, held)) >= BLOCK:
-                    yield from blocks()
+                    low = _quantised(prob)[ok]
+                held.append((context[ok] * size + s[1:][ok], low))
+                n += len(held[-1][0])
+                if n >= BLOCK:
+                    n = 0
+                    yield from _dealt(held, bounds)
         if held:
-            yield from blocks()
+            yield from _dealt(held, bounds)
+
+    def write(batches):
+        from pyspark import TaskContext
 
-    def merge(batches):
-        parts = [_unblob(x) for batch in batches for x in batch.column(1).to_pylist()]
-        if not parts:
+        got = _merged(batches)
+        if not got:
+            return
+        k, (keys, c, low) = TaskContext.get().partitionId(), got
+        keys, c, low = keys[c >= least], c[c >= least], low[c >= least]
+        if not len(keys):
             return
-        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        head = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
-        keys, counts = keys[head], np.add.reduceat(counts, head)
-        keys, counts = keys[counts >= least], counts[counts >= least]
-        for a in range(0, len(keys), 1 << 18):
-            k, c = keys[a : a + (1 << 18)], counts[a : a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(k // size), pa.array(k % size), pa.array(c)], ["context", "word", "c"])
+        here = cut[np.isin(cut, keys // size)]
+        masses = [float((c[keys // size == i] - model.discount).sum()) for i in here.tolist()]
+        if len(here):
+            elias_fano.save(model.folder, f"part{level}-{k:05d}", {}, {"keys": keys, "c": c, "low": low}, {})
+        else:
+            _grams_file(model, level, k, keys, c, low, {})
+        numbers = [pa.array([x], pa.int64()) for x in (k, int(keys[0]), len(keys), int(c.sum()))]
+        yield pa.RecordBatch.from_arrays([*numbers, pa.array([here.tolist()], pa.list_(pa.int64())), pa.array([masses], pa.list_(pa.float64()))], ["k", "first", "n", "mass", "cut", "masses"])
 
     blobs = numbered.select("ids").mapInArrow(run, "shard int, blob binary").repartitionById(shards, "shard")
-    return common.written(blobs.mapInArrow(merge, "context long, word long, c long"), "grams")
-
-
-def _count_words(docs: DataFrame) -> DataFrame:
-    """word, c: how often each word and the end (the empty word) occur."""
-
-    def run(batches):
-        seen: Counter = Counter()
-
-        def flush():
-            words, n = list(seen), list(seen.values())
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "c"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update((text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split())
-                seen[b""] += 1
-                if len(seen) > 400_000:
-                    yield flush()
-        if seen:
-            yield flush()
-
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, c long")
-    return common.written(counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
-
-
-def fit(docs: DataFrame, train: Column, order: int = 3, least: int = 2, discount: float = 0.75) -> tuple[Model, DataFrame]:
+    found = sorted(blobs.mapInArrow(write, "k long, first long, n long, mass long, cut array<long>, masses array<double>").collect())
+    masses: dict[int, float] = {}
+    for r in found:
+        for i, m in zip(r.cut, r.masses, strict=True):
+            masses[i] = masses.get(i, 0) + m
+    unfinished = [r.k for r in found if r.cut]
+    if unfinished:
+
+        def finish(batches):
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    k = unfinished[i]
+                    part = elias_fano.load(model.folder, f"part{level}-{k:05d}")[0][1]
+                    _grams_file(model, level, k, part["keys"], part["c"], part["low"], masses)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["k"])
+
+        spark.range(len(unfinished), numPartitions=len(unfinished)).mapInArrow(finish, "k long").collect()
+        for k in unfinished:
+            elias_fano.remove(model.folder, f"part{level}-{k:05d}")
+    files, before = [], set()
+    for r in found:
+        context = r.first // size
+        # a context's own first key leads to the first file that holds a piece of it
+        files.append((r.k, int(bounds[r.k - 1]) if context in before else context * size, r.n, r.mass))
+        before = set(r.cut)
+    _add_level(model, files)
+
+
+def fit(docs: DataFrame, train: Column, order: int = 3, least: int = 1, discount: float = 0.75) -> tuple[Model, DataFrame]:
     """A model of all rows of docs for which train holds, and all of docs numbered by it (a written table)."""
     import xxhash
 
-    words = _count_words(docs.filter(F.coalesce(train, F.lit(False))))
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    model = Model(common.new_path(docs.sparkSession, "trie"), total.n, total.v, order, discount)
+    spark = docs.sparkSession
+    model = Model(common.new_path(spark, "trie"), order, discount)
     fs, path = elias_fano.filesystem(model.folder)
     fs.create_dir(path, recursive=True)
-    _write_level(words.select(F.shiftrightunsigned(F.xxhash64("word"), 2).alias("h"), "c"), model, 1, total.v)
+    # words of a file's range of hashes: bytes / 16 bounds the distinct words but for the shortest
+    chosen = docs.filter(F.coalesce(train, F.lit(False)))
+    size = chosen.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    _count_words(chosen, model, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (16 * SEGMENT)))
+    model.tokens = model.totals[0]
+    model.words = model.nodes[0]
     model.end = int(Trie(model).word_ids(np.array([xxhash.xxh64_intdigest(b"", 42) >> 2], np.int64))[0])
     numbered = common.written(number(docs, model, train), "numbered")
-    n = total.v
     for level in range(2, order + 1):
-        if n * (total.v + 2) >= 1 << 63:
+        if model.nodes[-1] * (model.words + 2) >= 1 << 63:
             raise ValueError("the trie's keys exceed 63 bits")
-        rows = _count_level(numbered.filter("train"), model, level, least)
-        n = rows.count()
-        _write_level(rows, model, level, n)
+        _count_level(numbered.filter("train"), model, level, least)
     return model, numbered
 
 

@@ -211,8 +211,8 @@ def test_elias_fano(tmp_path, n, universe):
     rng = np.random.default_rng(n)
     v = np.unique(rng.integers(0, universe, n)) if n else np.zeros(0, np.int64)
     elias_fano.save(str(tmp_path), "f", {"v": elias_fano.EliasFano.build(v, universe)}, {"a": np.arange(3, dtype=np.uint16)}, {"k": 1})
-    seq, arrays, meta = elias_fano.load(str(tmp_path), "f")
-    assert arrays["a"].tolist() == [0, 1, 2] and meta == {"k": 1}
+    (seq, arrays, meta), mapped = elias_fano.load(str(tmp_path), "f")
+    assert mapped and arrays["a"].tolist() == [0, 1, 2] and meta["k"] == 1
     if len(v):
         assert (seq["v"].access(np.arange(len(v))) == v).all()
     q = np.sort(np.r_[v, rng.integers(0, universe, 2000)])
@@ -222,7 +222,7 @@ def test_elias_fano(tmp_path, n, universe):
     assert (elias_fano.EliasFano(*elias_fano.EliasFano.build(twice, universe)).access(np.arange(len(twice))) == twice).all()
 
 
-def brute_lm(texts, train, discount=0.75):
+def brute_lm(texts, train, discount=0.75, least=1):
     tok = [(t or "").encode().lower().split() + [b""] for t in texts]
     c, b, t3 = Counter(), Counter(), Counter()
     for w, ok in zip(tok, train, strict=True):
@@ -232,7 +232,7 @@ def brute_lm(texts, train, discount=0.75):
             b.update(zip(f, f[1:], strict=False))
             t3.update(zip(f, f[1:], f[2:], strict=False))
     n, v = sum(c.values()), len(c)
-    b, t3 = ({k: x for k, x in d.items() if x >= 2} for d in (b, t3))
+    b, t3 = ({k: x for k, x in d.items() if x >= least} for d in (b, t3))
     used2, used3 = defaultdict(float), defaultdict(float)
     for k, x in b.items():
         used2[k[0]] += x - discount
@@ -253,11 +253,13 @@ def test_language_model(spark, monkeypatch):
     texts = [" ".join(words(1 + i % 50, i, 40)) for i in range(200)] + ["", None, "unseen word", "W1 w1 W1", "w1 " * 5000]
     docs = documents(spark, list(enumerate(texts)))
     train = [i % 7 != 2 for i in range(len(texts))]
-    want, n = brute_lm(texts, train)
-    for segment in (2_000_000, 40):  # one file a level, and many
+    for segment, least in ((2_000_000, 1), (40, 1), (40, 2)):  # few files a level, and many, that cut contexts
+        want, n = brute_lm(texts, train, least=least)
         monkeypatch.setattr(lm, "SEGMENT", segment)
-        model, numbered = lm.fit(docs, F.col("doc_id") % 7 != 2)
-        assert model.tokens == n and (segment > 40 or len(model.segments[1]) > 3)
+        model, numbered = lm.fit(docs, F.col("doc_id") % 7 != 2, least=least)
+        assert model.tokens == n and (segment > 40 or len(model.segments[1]) > 30)
+        size = model.words + 1
+        assert segment > 40 or any(first % size for first, *_ in model.segments[1]) and any(first % size for first, *_ in model.segments[2])
         for r in lm.score(numbered, model).collect():
             size, known, base, score = want[r.doc_id]
             assert (r.n_tokens, r.n_known) == (size, known) and abs(r.base_score - base) < 1e-6
