@@ -151,7 +151,7 @@ def load(folder: str, name: str) -> tuple[tuple[dict[str, EliasFano], dict[str,
     fs, path = filesystem(folder)
     local = f"{path}/{name}"
     mapped = os.path.exists(local)
-    data = np.memmap(local, np.uint8, "r") if mapped else np.frombuffer(fs.open_input_file(local).read_buffer(), np.uint8)
+    data = np.memmap(local, np.uint8, "r").view(np.ndarray) if mapped else np.frombuffer(fs.open_input_file(local).read_buffer(), np.uint8)
     n = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + n].tobytes())
     got = {k: data[8 + n + at : 8 + n + at + np.dtype(kind).itemsize * size].view(kind) for k, (at, kind, size) in head["arrays"].items()}

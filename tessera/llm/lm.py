@@ -44,6 +44,10 @@ BLOCK = 2_000_000
 SEGMENT = 1_000_000
 GROUP = 8 << 20
 STORE = 400_000
+#: Different words that a worker counts at a time.
+WORDS = 700_000
+#: Words whose probabilities a worker holds side by side; of more, it looks them up file by file.
+FIRST = 16 << 20
 #: Bytes of files that a worker holds where the shared folder cannot be mapped.
 HELD = 256 << 20
 
@@ -74,6 +78,7 @@ class Trie:
         self.m = model
         self.files: dict[tuple[int, int], tuple] = {}
         self.held: dict[tuple[int, int], int] = {}
+        self.probs: np.ndarray | None = None
         columns = [np.array(level, np.int64).reshape(-1, 4).T for level in model.segments]
         self.first, self.base, self.mass, self.number = ([c[i] for c in columns] for i in range(4))
 
@@ -138,25 +143,26 @@ class Trie:
 
     def find(self, level: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Node, log probability (0 without a node) and back-off weight of each word behind a context node of the level above."""
-        node, prob, back = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.zeros(len(words))
         known = np.nonzero(contexts >= 0)[0]
         if not len(known) or not len(self.first[level - 1]):
-            return node, prob, back
+            return np.full(len(words), -1, np.int64), np.zeros(len(words), np.float32), np.zeros(len(words), np.float32)
         size = self.m.words + 1
         key = contexts[known] * (size + 1) + words[known] + 1
         order = np.argsort(key)
-        key, order = key[order], known[order]
+        key = key[order]
         head = np.r_[True, key[1:] != key[:-1]]
-        which = np.cumsum(head) - 1
         c, w = np.divmod(key[head], size + 1)
         w -= 1
-        n, p, b = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c))
+        # what is found of each different pair; the last one stands for places without a context
+        which = np.full(len(words), len(c), np.int64)
+        which[known[order]] = np.cumsum(head) - 1
+        n, p, b = np.full(len(c) + 1, -1, np.int64), np.zeros(len(c) + 1, np.float32), np.zeros(len(c) + 1, np.float32)
         for k, at in self._by_segment(self.first[level - 1], c * size + np.maximum(w, 0)):
             seq, arrays, meta = self.file(level, k)
             j = c[at] - meta["context"]
             inside = (j >= 0) & (j < meta["contexts"])
             at, j = at[inside], j[inside]
-            b[at] = arrays["back"][j] / -STEP
+            b[at] = arrays["back"][j] / np.float32(-STEP)
             at, j = at[w[at] >= 0], j[w[at] >= 0]
             if not len(at):
                 continue
@@ -166,12 +172,16 @@ class Trie:
             got = seq["children"].find(j * size + w[at], low[place], high[place])
             at, got = at[got >= 0], got[got >= 0]
             n[at] = got + self.base[level - 1][k]
-            p[at] = arrays["prob"][got] / -STEP
-        node[order], prob[order], back[order] = n[which], p[which], b[which]
-        return node, prob, back
+            p[at] = arrays["prob"][got] / np.float32(-STEP)
+        return n[which], p[which], b[which]
 
     def first_prob(self, words: np.ndarray) -> np.ndarray:
         """Quantised log probability of each word by itself."""
+        if self.m.words <= FIRST:  # side by side, a spare one for unknown words at the end
+            if self.probs is None:
+                parts = [self.file(1, k)[1]["prob"] for k in range(len(self.base[0]))]
+                self.probs = np.concatenate([*parts, np.zeros(1, np.uint16)]) / np.float32(STEP)
+            return self.probs[words] + self.unigram(np.zeros(1))[0]
         out = np.zeros(len(words))
         for k, at in self._by_segment(self.base[0], words):
             at = at[words[at] >= 0]
@@ -182,14 +192,6 @@ class Trie:
         return np.log10((counts + 1) / (self.m.tokens + self.m.words + 1))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = h = xxhash.xxh64_intdigest(word, 42) >> 2
-        return h
-
-
 class Reader:
     """Turns texts into word numbers of a trie, with a store of known words."""
 
@@ -199,10 +201,10 @@ class Reader:
 
     def clear(self) -> None:
         self.index = common._Index()
-        self.ids, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.logp = np.zeros(0, np.int64), np.zeros(0)
 
     def stream(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers (-1 unknown) and counts of an end, then all texts with an end behind each; the lengths with the end."""
+        """Word numbers (-1 unknown) and log probabilities of an end, then all texts with an end behind each; the lengths with the end."""
         import xxhash
 
         if len(self.index) > STORE:
@@ -223,8 +225,8 @@ class Reader:
             ids, n = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
             found = self.trie.word_ids(h[order])
             ids[order], n[order] = found, self.trie.counts(1, found)
-            self.ids, self.n = np.r_[self.ids, ids], np.r_[self.n, n]
-        return self.ids[at], self.n[at], sizes
+            self.ids, self.logp = np.r_[self.ids, ids], np.r_[self.logp, self.trie.unigram(n)]
+        return self.ids[at], self.logp[at], sizes
 
     def nodes(self, s: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """node, prob, back of the n-grams of 2, 3.. words that end at each place from 1 on."""
@@ -271,14 +273,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None, low: np.ndarray | None)
     return keys[head], counts, None if low is None else low[order][head]
 
 
-def _dealt(held: list[tuple], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """shard, blob: the held keys, summed and cut at the bounds."""
-    keys = np.concatenate([k for k, _ in held])
-    low = None if held[0][1] is None else np.concatenate([x for _, x in held])
-    held.clear()
-    if not len(keys):
-        return
-    keys, counts, low = _summed(keys, None, low)
+def _dealt(keys: np.ndarray, counts: np.ndarray, low: np.ndarray | None, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """shard, blob: sorted keys cut at the bounds."""
     cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
     for s in np.nonzero(np.diff(cuts))[0].tolist():
         a, b = cuts[s], cuts[s + 1]
@@ -300,22 +296,30 @@ def _count_words(docs: DataFrame, model: Model, shards: int) -> None:
     """The first level: the hash of each word and of the end (the empty word), and how often it occurs."""
     bounds = np.array([(k << 62) // shards for k in range(1, shards)], np.int64)
     def run(batches):
-        hashes, held, n = _Hashes(), [], 0
+        import xxhash
+
+        index, counts = common._Index(), np.zeros(0, np.int64)
+
+        def flush():
+            keys = np.fromiter((xxhash.xxh64_intdigest(w, 42) >> 2 for w in index), np.int64, len(index))
+            index.clear()
+            yield from _dealt(*_summed(keys, counts, None), bounds)
+
         for batch in batches:
             column = batch.column(0)
             for a, b in common.grouped(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist(), GROUP):
-                if len(hashes) > STORE:
-                    hashes.clear()
                 lists = [t.lower().split() for t in common.text_bytes(column.slice(a, b - a))]
-                total = sum(map(len, lists))
-                words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.int64, total)
-                held.append((np.r_[words, np.full(len(lists), hashes[b""], np.int64)], None))
-                n += total + len(lists)
-                if n >= BLOCK:
-                    n = 0
-                    yield from _dealt(held, bounds)
-        if held:
-            yield from _dealt(held, bounds)
+                at = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+                end = index[b""]
+                seen = np.bincount(at, minlength=len(index))
+                seen[: len(counts)] += counts
+                seen[end] += len(lists)
+                counts = seen
+                if len(index) > WORDS:
+                    yield from flush()
+                    counts = np.zeros(0, np.int64)
+        if index:
+            yield from flush()
 
     def write(batches):
         from pyspark import TaskContext
@@ -403,10 +407,10 @@ def number(docs: DataFrame, model: Model, train: Column | None = None) -> DataFr
 
     def f(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         reader, kind = _reader(model), _width(model)
-        s, counts, sizes = reader.stream(texts)
+        s, logp, sizes = reader.stream(texts)
         starts = np.r_[0, np.cumsum(sizes)]
-        base = np.add.reduceat(reader.trie.unigram(counts[1:]), starts[:-1])
-        known = np.add.reduceat((counts[1:] > 0).astype(np.int64), starts[:-1])
+        base = np.add.reduceat(logp[1:], starts[:-1])
+        known = np.add.reduceat((s[1:] >= 0).astype(np.int64), starts[:-1])
         ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((starts * kind.itemsize).astype(np.int32)), pa.py_buffer(s[1:].astype(kind).tobytes())])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(base), ids], ["doc_id", "train", "n_tokens", "n_known", "base_score", "ids"])
 
@@ -423,9 +427,16 @@ def _count_level(numbered: DataFrame, model: Model, level: int, least: int) -> N
 
     def run(batches):
         held, n, reader = [], 0, _reader(model)
+
+        def flush():
+            keys, low = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if len(keys):
+                yield from _dealt(*_summed(keys, None, low if level > 2 else None), bounds)
+
         for batch in batches:
             for s in _streams(batch.column(0), model):
-                context, ok, low = s[:-1], slice(None), None
+                context, ok, low = s[:-1], slice(None), np.zeros(0, np.uint16)
                 if level > 2:
                     node, prob, _ = list(reader.nodes(s, level - 1))[-1]
                     context = np.r_[-1, node[:-1]]
@@ -435,9 +446,9 @@ def _count_level(numbered: DataFrame, model: Model, level: int, least: int) -> N
                 n += len(held[-1][0])
                 if n >= BLOCK:
                     n = 0
-                    yield from _dealt(held, bounds)
+                    yield from flush()
         if held:
-            yield from _dealt(held, bounds)
+            yield from flush()
 
     def write(batches):
         from pyspark import TaskContext
@@ -495,10 +506,7 @@ def fit(docs: DataFrame, train: Column, order: int = 3, least: int = 1, discount
     model = Model(common.new_path(spark, "trie"), order, discount)
     fs, path = elias_fano.filesystem(model.folder)
     fs.create_dir(path, recursive=True)
-    # words of a file's range of hashes: bytes / 16 bounds the distinct words but for the shortest
-    chosen = docs.filter(F.coalesce(train, F.lit(False)))
-    size = chosen.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    _count_words(chosen, model, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (16 * SEGMENT)))
+    _count_words(docs.filter(F.coalesce(train, F.lit(False))), model, max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
     model.tokens = model.totals[0]
     model.words = model.nodes[0]
     model.end = int(Trie(model).word_ids(np.array([xxhash.xxh64_intdigest(b"", 42) >> 2], np.int64))[0])
@@ -520,7 +528,7 @@ def score(numbered: DataFrame, model: Model) -> DataFrame:
             at = 0
             for s in _streams(batch.column(4), model):
                 reader = _reader(model)
-                logp = reader.trie.first_prob(s[1:])
+                logp = reader.trie.first_prob(s[1:]).astype(np.float64)
                 for node, prob, back in reader.nodes(s, model.order):
                     logp = np.where(node >= 0, prob, back + logp)
                 ends = np.cumsum(sizes[at:])
