@@ -1,19 +1,19 @@
 """Line de-duplication by the spread of a line over sites.
 
-Each line's hash gets a HyperLogLog sketch of the sites it stands on; sketches merge by aggregation.
-A line whose estimate lies above the threshold by more than the sketch's error is spread, one below it
-by as much is not, and the lines in between get an exact distinct count. Spread lines are boilerplate
-and leave every text. With a ``max_share``, texts of which they are more than that share of the characters stay
-whole; with ``max_share=None`` none does, and so that the lines of a mere copy are not boilerplate, each
-different text counts for one of its sites only.
+Each line's hash gets two HyperLogLog sketches, of the sites and of the different texts it stands in; they
+are built where the lines are read and merge by aggregation. A line is spread if it stands on ``min_sites``
+sites and in as many different texts, so mere copies of one text spread none of its lines. Where an estimate
+lies nearer to the threshold than six of the sketch's standard errors, exact distinct counts decide instead.
+Spread lines are boilerplate and leave every text, whatever share of it they are.
 
-DataFrame functions only. The sites of a line are made distinct before any shuffle, so a line that
-stands in a third of all documents costs a row for each site and task. Texts are marked by a 128-bit hash
-of the whole text, so copies of a text are marked once.
+DataFrame functions only. The lines are exploded twice: for the sketches, and to find the lines that may be
+spread, from which exact counts and places come. A line that stands in a third of all documents costs a
+sketch for each task. Texts are marked by a 128-bit hash of the whole text, so copies of a text are marked once.
 
-Defined cases: lines end at a line break; blank lines never count and always stay; a null text stays null, an
-empty one empty; a null site counts as no site; null and repeated ids keep their rows; an empty table
-gives an empty result; all columns of the input are passed on, and only the text changes.
+Defined cases: lines end at a line break (a carriage return or a tab is part of its line); lines of nothing
+but blanks never count and always stay; a null text stays null, an empty one empty; a null site counts as no
+site; null and repeated ids keep their rows; a text of which every line is spread becomes empty; an empty
+table gives an empty result; all columns of the input are passed on, and only the text changes.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Base-2 logarithm of a sketch's buckets, and the band around the threshold that is counted exactly:
-#: three times the standard error 1.04 / sqrt(2**12), and one site at least.
-LG_K, BAND = 12, 0.05
+#: six times the standard error 1.04 / sqrt(2**12), and one at least.
+LG_K, BAND = 12, 0.1
 
 
 def _key(column: Column | str) -> Column:
@@ -35,37 +35,30 @@ def _key(column: Column | str) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
-    """text, line (keys), site, pos, size of each line that is not blank."""
+    """t, k (keys of text and line), site, pos of each line that is not blank."""
     lines = docs.select(_key(text_col).alias("t"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    return lines.filter(F.trim("line") != "").select("t", "site", "pos", _key("line").alias("k"), F.char_length("line").alias("size"))
+    return lines.filter(F.trim("line") != "").select("t", "site", "pos", _key("line").alias("k"))
 
 
-def spread_lines(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_col: str = "source", copies: bool = True) -> DataFrame:
-    """k: the keys of the lines on at least min_sites different sites; without copies, a text counts for one of its sites."""
-    lines = _lines(docs, text_col, site_col).filter("site is not null")
-    if not copies:  # chosen by hash, so that no site is favoured; the same for all lines of the text
-        lines = lines.groupBy("k", "t").agg(F.min(F.struct(F.xxhash64("t", "site").alias("x"), "site")).alias("s")).select("k", "s.site")
-    pairs = lines.select("k", "site").distinct()
-    # a line needs a second site to matter if the threshold is above one; sketches say how many it has
-    sketched = pairs.groupBy("k").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("about"))
+def spread_places(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """t, pos: the places of spread lines in each different text."""
+    lines = _lines(docs, text_col, site_col)
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, LG_K))
+    about = lines.filter("site is not null").groupBy("k").agg(sketch("site").alias("sites"), sketch("t.h").alias("texts"))
     low, high = min(min_sites * (1 - BAND), min_sites - 1), max(min_sites * (1 + BAND), min_sites + 1)
-    candidates = common.written(sketched.filter(F.col("about") >= low), "lines")
-    near = candidates.filter(F.col("about") <= high).select("k")
-    exact = pairs.join(near, "k", "left_semi").groupBy("k").agg(F.count_distinct("site").alias("n")).filter(F.col("n") >= min_sites).select("k")
-    return candidates.filter(F.col("about") > high).select("k").union(exact)
+    near = F.least("sites", "texts")
+    maybe = common.written(about.filter(near >= low).select("k", (near > high).alias("sure")), "lines")
+    hits = common.written(lines.join(maybe, "k").select("t", "pos", "k", "site", "sure").distinct(), "hits")
+    counts = hits.filter("not sure and site is not null").groupBy("k").agg(F.count_distinct("site").alias("sites"), F.count_distinct("t").alias("texts"))
+    exact = counts.filter(F.least("sites", "texts") >= min_sites).select("k")
+    return hits.filter("sure").select("t", "pos").union(hits.filter("not sure").join(exact, "k", "left_semi").select("t", "pos")).distinct()
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = 10, max_share: float | None = 0.5, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_spread_lines(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The documents without their spread lines."""
-    spread = common.written(spread_lines(docs, min_sites, text_col, site_col, copies=max_share is not None), "spread")
-    # copies of a text have the same lines: one row for each text and place
-    hit = _lines(docs, text_col, site_col).select("t", "pos", "k", "size").join(spread, "k", "left_semi").select("t", "pos", "size").distinct()
-    marks = hit.groupBy("t").agg(F.collect_list("pos").alias("__places"), F.sum("size").alias("__size"))
+    marks = spread_places(docs, min_sites, text_col, site_col).groupBy("t").agg(F.collect_list("pos").alias("__places"))
     # as a table of its own the marks leave the join's other side free to be split where many copies share a text
     marks = common.written(marks, "marks")
     marked = docs.withColumn("__t", _key(text_col)).join(marks.withColumnRenamed("t", "__t"), "__t", "left")
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("__places", i)), "\n")
-    wanted = F.col("__places").isNotNull()
-    if max_share is not None:
-        wanted &= F.col("__size") <= max_share * F.char_length(text_col)
-    return marked.withColumn(text_col, F.when(wanted, left).otherwise(F.col(text_col))).select(*docs.columns)
+    return marked.withColumn(text_col, F.when(F.col("__places").isNotNull(), left).otherwise(F.col(text_col))).select(*docs.columns)
