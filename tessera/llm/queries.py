@@ -79,7 +79,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
-    return decontam.overlaps(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), window=13, least=0.8, short=True)
+    return decontam.overlaps(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), window=13, least=0.8)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
-    cleaned = line_dedup.remove_spread_lines(common.read(spark, sf_dir, "documents"), min_sites=10, max_share=0.5)
+    cleaned = line_dedup.remove_spread_lines(common.read(spark, sf_dir, "documents"), min_sites=10)
     return cleaned.select("doc_id", "text")
 
 
@@ -165,20 +165,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH lines AS (
-  SELECT doc_id, source, line, pos
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-               unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
-  WHERE trim(line, ' ') <> ''),
-spread AS (SELECT line FROM lines WHERE source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 10),
-marks AS (SELECT doc_id, list(pos) AS places, sum(length(line)) AS size FROM lines WHERE line IN (SELECT line FROM spread) GROUP BY doc_id),
-split AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+WITH split AS (
+  SELECT doc_id, source, md5(text) AS whole, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+spread AS (
+  SELECT line FROM split WHERE trim(line, ' ') <> '' AND source IS NOT NULL
+  GROUP BY line HAVING count(DISTINCT source) >= 10 AND count(DISTINCT whole) >= 10),
 cleaned AS (
-  SELECT s.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
-  FROM split s JOIN marks m USING (doc_id) WHERE NOT list_contains(m.places, pos) GROUP BY s.doc_id)
-SELECT d.doc_id, CASE WHEN m.size <= 0.5 * length(d.text) THEN coalesce(c.text, '') ELSE d.text END AS text
-FROM documents d LEFT JOIN marks m USING (doc_id) LEFT JOIN cleaned c USING (doc_id)
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line NOT IN (SELECT line FROM spread)) AS text
+  FROM split GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text
+FROM documents d LEFT JOIN cleaned c USING (doc_id)
 """
 
 

@@ -148,21 +148,17 @@ def test_similar_documents_where_ids_repeat(spark, monkeypatch):
     assert sorted((x.doc_id, x.component_id) for x in got) == sorted((i, i % 100) for i, _ in texts)
 
 
-def brute_lines(texts, sources, least, share):
-    sites = {}
+def brute_lines(texts, sources, least):
+    sites, whole = {}, {}
     for i, t in texts:
         for line in (t or "").split("\n"):
             if line.strip(" ") and sources[i] is not None:
                 sites.setdefault(line, set()).add(sources[i])
+                whole.setdefault(line, set()).add(t)
     out = {}
     for i, t in texts:
-        if t is None:
-            out[i] = None
-            continue
-        lines = t.split("\n")
-        hit = [bool(x.strip(" ")) and len(sites.get(x, ())) >= least for x in lines]
-        size = sum(len(x) for x, h in zip(lines, hit, strict=True) if h)
-        out[i] = "\n".join(x for x, h in zip(lines, hit, strict=True) if not h) if any(hit) and size <= share * len(t) else t
+        lines = (t or "").split("\n")
+        out[i] = None if t is None else "\n".join(x for x in lines if not x.strip(" ") or min(len(sites.get(x, ())), len(whole.get(x, ()))) < least)
     return out
 
 
@@ -178,11 +174,12 @@ def test_line_dedup(spark, least):
         texts.append((i, "\n".join([*lines, ""] if i % 5 == 0 else lines)))
         sources[i] = f"s{r.randrange(12)}" if i % 20 else None
     texts += [(900, None), (901, ""), (902, "\n\n"), (903, common_lines[0]), (904, f"{common_lines[0]}\n" * 500 + "x" * 20_000)]
-    sources |= dict.fromkeys(range(900, 905), "s1")
+    texts += [(910 + i, "of a copy\non many sites") for i in range(20)] + [(940, "ends\r\n\t\nends"), (941, "ends\r\n\t\nends too")]
+    sources |= dict.fromkeys([*range(900, 905), 940], "s1") | {910 + i: f"s{i % 12}" for i in range(20)} | {941: "s2"}
     docs = documents(spark, texts, sources)
     got = line_dedup.remove_spread_lines(docs, min_sites=least)
     assert got.columns == docs.columns
-    assert {x.doc_id: x.text for x in got.collect()} == brute_lines(texts, sources, least, 0.5)
+    assert {x.doc_id: x.text for x in got.collect()} == brute_lines(texts, sources, least)
 
 
 def test_line_dedup_of_every_text(spark):
@@ -193,7 +190,7 @@ def test_line_dedup_of_every_text(spark):
     texts += [(100 + i, f"{passage}\nend") for i in range(40)] + [(200, f"{passage}\nother"), (201, None), (202, "")]
     docs = documents(spark, texts, {i: f"s{i % 20}" for i, _ in texts})
     want = {i: f"own {i}" if i < 40 else t for i, t in texts}  # a copy on many sites makes no line spread
-    assert {x.doc_id: x.text for x in line_dedup.remove_spread_lines(docs, min_sites=10, max_share=None).collect()} == want
+    assert {x.doc_id: x.text for x in line_dedup.remove_spread_lines(docs, min_sites=10).collect()} == want
     got = corpus_pipeline.drop_spread_lines(spark, docs, "")
     assert {x.doc_id: (x.text, x.n_chars) for x in got.collect()} == {i: (t, None if t is None else len(t)) for i, t in want.items()}
 
@@ -207,7 +204,7 @@ def test_line_dedup_edges(spark):
 
 def test_decontamination(spark):
     items = [(k, " ".join(words(18 + k % 20, 5000 + k))) for k in range(30)]
-    items += [(90, "too short to tell"), (91, None), (92, ""), (None, " ".join(words(20, 77)))]
+    items += [(90, "four words found whole"), (91, None), (92, ""), (None, " ".join(words(20, 77)))]
     bench = spark.createDataFrame([(i, t, "extra") for i, t in items], "item_id long, text string, doc_id string")
     texts, want = [(i, " ".join(words(300, i))) for i in range(40)], set()
     for k in range(30):
@@ -223,7 +220,8 @@ def test_decontamination(spark):
         if k % 3 < 2:
             want.add((100 + k, k))
     texts += [(200, None), (201, ""), (202, items[-1][1]), (203, f"{items[0][1]} " * 400)]
-    want |= {(202, None), (203, 0)}
+    texts += [(204, "x Four, words found WHOLE y"), (205, "four words found here")]
+    want |= {(202, None), (203, 0), (204, 90)}
     docs = documents(spark, texts)
     for block in (4_000_000, 150):  # one block, and many
         assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench, block_words=block).collect()} == want
@@ -235,43 +233,49 @@ def test_decontamination(spark):
     assert decontam.clean(docs, bench.filter("item_id < 0")).count() == len(texts)
 
 
+def exhaustive(doc, item, window=13, least=0.8):
+    """The best window over all alignments: (agreeing words, first place), or None."""
+    d, it, best = doc.split(), item.split(), None
+    w = min(window, len(it))
+    for i in range(len(d) - w + 1):
+        for j in range(len(it) - w + 1):
+            n = sum(x == y for x, y in zip(d[i : i + w], it[j : j + w], strict=True))
+            if n >= least * w - 1e-9 and (best is None or n > best[0]):
+                best = n, i
+    return best
+
+
 def test_decontamination_matches_an_exhaustive_search(spark):
     r = random.Random(6)
-    items = [(k, " ".join(words(r.randrange(6, 30), 100 + k, 60))) for k in range(12)]
+    items = [(k, " ".join(words(k + 1, 100 + k, 60))) for k in range(40)]  # of every length from 1 to 40
     texts = []
-    for i in range(60):
-        w = words(80, i, 60)
-        it = items[i % 12][1].split()
-        at = r.randrange(60)
-        w[at : at + len(it)] = [x if r.random() > 0.1 else "zz" for x in it]
+    for i in range(240):
+        w = words(70, i, 60)
+        it = items[i % 40][1].split()
+        at = r.randrange(30)
+        w[at : at + len(it)] = [x if r.random() > 0.15 else "zz" for x in it]
         texts.append((i, " ".join(w)))
-    masks = decontam.MASKS
-
-    def found(doc, item):
-        d, it = doc.split(), item.split()
-        for shift in range(-len(it), len(d)):
-            same = [0 <= p + shift < len(d) and d[p + shift] == it[p] for p in range(len(it))]
-            inside = [0 <= p + shift < len(d) for p in range(len(it))]
-            w = min(13, len(it))
-            full = any(sum(same[a : a + w]) >= 0.8 * w and all(inside[a : a + w]) for a in range(len(it) - w + 1))
-            if full and any(all(a + x < len(it) and same[a + x] for x in m) for m in masks for a in range(len(it))):
-                return True
-        return False
-
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(x.doc_id, x.item_id) for x in decontam.overlaps(documents(spark, texts), bench).collect()}
-    assert got == {(i, k) for i, t in texts for k, it in items if found(t, it)}
-
-
-def test_decontamination_finds_short_items_wherever_substitutions_stand():
-    for n in range(6, 14):
+    want = {(i, k): exhaustive(t, it) for i, t in texts for k, it in items}
+    want = {pair: best for pair, best in want.items() if best}
+    assert len({k for _, k in want}) == 40
+    for block in (1_000_000, 300):
+        got = decontam.overlaps(documents(spark, texts), bench, block_words=block).collect()
+        assert {(x.doc_id, x.item_id): (x.matched, x.start) for x in got} == want and len(got) == len(want)
+    long = decontam.overlaps(documents(spark, texts), bench, least_words=13)
+    assert {(x.doc_id, x.item_id) for x in long.collect()} == {(i, k) for i, k in want if k >= 12}
+
+
+@pytest.mark.parametrize(("window", "least"), [(13, 0.8), (13, 0.7), (8, 0.5), (20, 0.9)])
+def test_decontamination_finds_items_wherever_substitutions_stand(window, least):
+    for n in range(1, 17):
         item = words(n, n)
-        block = decontam.Benchmark([1], [" ".join(item)], 13, 0.8, short=True)
+        block = decontam.Benchmark([1], [" ".join(item)], window, least)
         for i in range(n):
             for j in range(i, n):
                 text = " ".join(["before", *("other" if k in (i, j) else w for k, w in enumerate(item)), "behind"])
-                same = n - len({i, j})
-                assert list(block.found([text])) == ([(0, 0, same, 1)] if same >= 0.8 * n else []), (n, i, j)
+                best = exhaustive(text, " ".join(item), window, least)
+                assert list(block.found([text])) == ([(0, 0, *best)] if best else []), (n, i, j)
 
 
 def test_decontamination_query_finds_short_items(spark, tmp_path):
