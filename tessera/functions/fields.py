@@ -31,16 +31,16 @@ class ShearModes:
 
     def __init__(self, box: Box, modes: Sequence[Mode], nu: float, drift: tuple[float, float] = (0.0, 0.0)) -> None:
         box.need_positive()
-        _need(nu > 0, "viscosity must be positive")
-        _need(bool(modes), "at least one mode")
+        _need(nu > 0, "nu has to exceed zero")
+        _need(bool(modes), "no mode was given")
         self.box, self.nu, self.drift = box, nu, drift
         lines = [max((m.nx, m.ny), (-m.nx, -m.ny)) for m in modes]
-        _need((0, 0) not in lines, "mode numbers must not both be zero")
-        _need(len(set(lines)) == len(lines), "wave vectors must be distinct up to sign")
+        _need((0, 0) not in lines, "a mode needs a wave number other than (0, 0)")
+        _need(len(set(lines)) == len(lines), "two modes run along one wave vector")
         self.waves = [(*wavenumber(box, (m.nx, m.ny)), m.amplitude, m.phase) for m in modes]
         squares = [kx * kx + ky * ky for kx, ky, *_ in self.waves]
         self.ksqr = squares[0]
-        _need(all(abs(s - self.ksqr) <= 8 * 2.0**-52 * self.ksqr for s in squares), "all modes must share the same |k|^2")
+        _need(all(abs(s - self.ksqr) <= 8 * 2.0**-52 * self.ksqr for s in squares), "the modes differ in wave length, so they decay at different rates")
         self.mean = sum(m.amplitude**2 for m in modes) / 2
 
     @property
@@ -51,7 +51,7 @@ class ShearModes:
         return F.exp(-t / self.time_constant)
 
     def decay_time(self, fraction: float) -> float:
-        _need(0 < fraction <= 1, "fraction must be in (0, 1]")
+        _need(0 < fraction <= 1, "a remaining fraction lies above 0 and is at most 1")
         return -self.time_constant * math.log(fraction)
 
     def _sum(self, x: Column, y: Column, t: Column, wave: str, factor) -> Column:
@@ -89,7 +89,7 @@ def shear_wave(box: Box, nx: int, ny: int, u0: float, nu: float, phase: float =
 
 
 def taylor_green(box: Box, nx: int, ny: int, u0: float, nu: float, drift: tuple[float, float] = (0.0, 0.0)) -> ShearModes:
-    _need(nx != 0 and ny != 0, "Taylor-Green needs both mode numbers")
+    _need(nx != 0 and ny != 0, "nx and ny have to differ from 0")
     kx, ky = wavenumber(box, (abs(nx), abs(ny)))
     a = u0 * math.sqrt((kx * kx + ky * ky) / (4 * kx * ky))
     return ShearModes(box, [Mode(a, abs(nx), abs(ny)), Mode(a, abs(nx), -abs(ny))], nu, drift)
@@ -101,15 +101,15 @@ class AcousticWave:
     def __init__(self, box: Box, nx: int, ny: int, delta: float, nu: float, nu_bulk: float | None = None, csqr: float = 1 / 3, rho0: float = 1.0, phase: float = 0.0) -> None:
         box.need_positive()
         bulk = nu if nu_bulk is None else nu_bulk
-        _need((nx, ny) != (0, 0), "mode numbers must not both be zero")
-        _need(delta > 0, "relative density amplitude must be positive")
-        _need(nu > 0 and bulk >= 0, "viscosities must be positive")
-        _need(csqr > 0 and rho0 > 0, "sound speed and density must be positive")
+        _need((nx, ny) != (0, 0), "a mode needs a wave number other than (0, 0)")
+        _need(delta > 0, "delta has to exceed zero")
+        _need(nu > 0 and bulk >= 0, "nu has to exceed zero, and nu_bulk must not be negative")
+        _need(csqr > 0 and rho0 > 0, "csqr and rho0 have to exceed zero")
         self.delta, self.csqr, self.rho0, self.phase = delta, csqr, rho0, phase
         self.k = wavenumber(box, (nx, ny))
         ksqr = self.k[0] ** 2 + self.k[1] ** 2
         self.damping_rate = (nu + bulk) * ksqr / 2
-        _need(csqr * ksqr > self.damping_rate**2, "wave must be underdamped")
+        _need(csqr * ksqr > self.damping_rate**2, "with so much viscosity nothing oscillates")
         self.frequency = math.sqrt(csqr * ksqr - self.damping_rate**2)
         self.period = 2 * math.pi / self.frequency
 
@@ -125,7 +125,7 @@ class AcousticWave:
 def shear_layer(box: Box, u0: float, x: Column, y: Column, k: float = 80.0, delta: float = 0.05) -> tuple[Column, Column, Column]:
     """p (zero), ux, uy of two perturbed tanh layers."""
     box.need_positive()
-    _need(k > 0, "layer steepness must be positive")
+    _need(k > 0, "k has to exceed zero")
     h = y / box.sides[1]
     ux = F.tanh(F.when(h <= 0.5, h - 0.25).otherwise(0.75 - h) * k) * u0
     return F.lit(0.0), ux, F.sin((x / box.sides[0] + 0.25) * (2 * math.pi)) * (u0 * delta)
@@ -134,8 +134,8 @@ def shear_layer(box: Box, u0: float, x: Column, y: Column, k: float = 80.0, delt
 def barotropic_vortex(box: Box, u0: float, centre: tuple[float, float], radius: float, eps: float, x: Column, y: Column, rho0: float = 1.0, csqr: float = 1 / 3) -> tuple[Column, Column, Column]:
     """rho, ux, uy of a Gaussian vortex in density balance."""
     box.need_positive()
-    _need(radius > 0, "vortex radius must be positive")
-    _need(rho0 > 0 and csqr > 0, "density and sound speed must be positive")
+    _need(radius > 0, "the radius has to exceed zero")
+    _need(rho0 > 0 and csqr > 0, "rho0 and csqr have to exceed zero")
     dx, dy = minimum_image(x - centre[0], box.sides[0]), minimum_image(y - centre[1], box.sides[1])
     g = F.exp(-(dx * dx + dy * dy) / (2 * radius * radius))
     return F.exp(g * g * (-eps * eps / csqr / 2)) * rho0, F.lit(u0) - dy / radius * g * eps, dx / radius * g * eps

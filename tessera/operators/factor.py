@@ -11,36 +11,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import cut
 from tessera.operators.ordering import adjacency, dense_number
 
 
 def nested_dissection(points: DataFrame, edges: DataFrame, leaf: int = 32) -> DataFrame:
     """old_id, new_id by recursive coordinate bisection, for every level all parts at once.
 
-    A part is halved at the median of its longer side; nodes of the lower half with an edge to the upper one
+    A part is halved at the median of its longer side (its rank is exact to one in ten thousand); nodes of the lower half with an edge to the upper one
     are the separator and come behind both.
     """
-    pairs = adjacency(edges)
+    pairs = cut(adjacency(edges))
     n = max(1, points.count())
     state = points.select("id", "x", "y", F.lit("").alias("path"), F.lit(False).alias("fixed"))
     for level in range(max(0, math.ceil(math.log2(n / leaf)))):
-        part = Window.partitionBy("path")
-        wide = (F.max("x").over(part) - F.min("x").over(part)) >= (F.max("y").over(part) - F.min("y").over(part))
-        ranked = state.filter("not fixed").withColumn("at", F.when(wide, F.col("x")).otherwise(F.col("y")))
-        half = ranked.withColumn("upper", F.percent_rank().over(part.orderBy("at", "id")) > 0.5)
+        # a row for each part, from partial aggregates: no task sees a whole part
+        spans = [(F.max(c) - F.min(c)).alias(f"{c}_span") for c in "xy"]
+        middles = [F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_half") for c in "xy"]
+        parts = state.filter("not fixed").groupBy("path").agg(*spans, *middles)
+        upper = F.when(F.col("x_span") >= F.col("y_span"), F.col("x") > F.col("x_half")).otherwise(F.col("y") > F.col("y_half"))
+        half = state.filter("not fixed").join(parts, "path").select("id", "x", "y", "path", upper.alias("upper"))
         side = half.select("id", "path", "upper")
         over = pairs.join(side.select(F.col("id").alias("row"), F.col("path").alias("p"), F.col("upper").alias("u")), "row").join(side.select(F.col("id").alias("col"), F.col("path").alias("q"), F.col("upper").alias("v")), "col")
         cut_ = over.filter("p = q and not u and v").select(F.col("row").alias("id"), F.lit(True).alias("on")).distinct()
         step = F.when(F.coalesce("on", F.lit(False)), "2").when(F.col("upper"), "1").otherwise("0")
         moved = half.join(cut_, "id", "left").select("id", "x", "y", F.concat("path", step).alias("path"), F.coalesce("on", F.lit(False)).alias("fixed"))
         state = moved.union(state.filter("fixed"))
-        if level % 3 == 2:
-            from tessera.operators.lineage import cut
-
-            state = cut(state)
+        state = cut(state)
     return dense_number(state.withColumnRenamed("id", "old_id"), ["path", "old_id"], "new_id").select("old_id", "new_id")
 
 

@@ -22,11 +22,14 @@ XY = ("x", "y")
 FEW_PAIRS = 2_000_000
 
 
-def validated(points: DataFrame, coords: Sequence[str] = XY) -> DataFrame:
-    """The points, or a ValueError that names how many have null or non-finite coordinates."""
-    bad = points.filter(invalid(*map(F.col, coords))).count()
+def _refuse(bad: int) -> None:
     if bad:
         raise ValueError(f"{bad} points have coordinates that are not finite")
+
+
+def validated(points: DataFrame, coords: Sequence[str] = XY) -> DataFrame:
+    """The points, or a ValueError that names how many have null or non-finite coordinates."""
+    _refuse(points.filter(invalid(*map(F.col, coords))).count())
     return points
 
 
@@ -63,18 +66,23 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
     around a query. A query whose k-th neighbour lies within the probed ring of cells is done; the others go
     on with a tripled ring until it covers the grid, so the result is exact for any cloud. Of points at one
     place only the k (k + 1 without self) of least id can be anybody's neighbours; the others are left out
-    before the join, which keeps a crowded place from costing more than any other.
+    before the join, which keeps a crowded place from costing more than any other. Null, NaN or infinite
+    coordinates on either side are a ValueError.
     """
-    n = cloud.count()
+    axes = list(range(min(2, len(coords))))
+    names = [coords[a] for a in axes]
+    if queries is not cloud:
+        validated(queries, coords)
+    queries = wrapped(queries.select(F.col("id").alias("row"), *coords), box, coords)
+    cloud = wrapped(cloud.select(F.col("id").alias("col"), *coords), box, coords)
+    # one pass tells the cloud's size, its faults (folding keeps them) and its bounds
+    bounds = cloud.agg(F.count(F.lit(1)).alias("n"), F.count_if(invalid(*map(F.col, coords))).alias("bad"), *[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(names) for f in (F.min, F.max)]).first()
+    n = bounds.n
+    _refuse(bounds.bad)
     if k < 1 or k > n - exclude_self:
         raise ValueError(f"k must be from 1 to the number of points, not {k} of {n}")
-    queries = wrapped(queries.select(F.col("id").alias("row"), *coords), box, coords)
-    here = Window.partitionBy(*coords).orderBy("id")
-    cloud = wrapped(cloud.select(F.col("id").alias("col"), *coords), box, coords).withColumn("__n", F.row_number().over(here.orderBy("col")))
+    cloud = cloud.withColumn("__n", F.row_number().over(Window.partitionBy(*coords).orderBy("col")))
     cloud = cloud.filter(F.col("__n") <= k + exclude_self).drop("__n")
-    axes = list(range(min(2, len(coords))))
-    names = [coords[a] for a in axes]
-    bounds = cloud.agg(*[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(names) for f in (F.min, F.max)]).first()
     per_axis = max(1, int((n / max(block, 5 * k) * 9) ** (1 / len(axes)) if len(axes) == 2 else n / max(block, 5 * k) * 3))
     low, width, count, periodic = [], [], [], []
     for i, a in enumerate(axes):
@@ -113,10 +121,10 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
                 above = F.when(F.col(cells[i]) + ring >= count[i] - 1, F.lit(math.inf)).otherwise(above)
             edges += [below, above]
         safe = reduce(lambda s, t: F.least(s, t), edges) * (1 - 1e-12)
-        top = top.withColumn("safe", safe).withColumn("ok", (F.count(F.lit(1)).over(last) == k) & (F.max("dist").over(last) < F.col("safe"))).persist()
-        good = top.filter("ok")
-        done.append(good.select("row", "k", "col", "dist"))
-        waiting = waiting.join(good.select("row").distinct(), "row", "left_anti").persist()
+        top = top.withColumn("safe", safe).withColumn("ok", (F.count(F.lit(1)).over(last) == k) & (F.max("dist").over(last) < F.col("safe")))
+        good = cut(top.filter("ok").select("row", "k", "col", "dist"))
+        done.append(good)
+        waiting = cut(waiting.join(good.filter("k = 1").select("row"), "row", "left_anti"))
         left = waiting.count()
         if not left:
             break
@@ -151,7 +159,7 @@ def within(points: DataFrame, reach: float, box: Box = OPEN, coords: Sequence[st
     sides = [s for s in (box.side(i) for i in range(len(coords))) if s]
     if any(reach > s / 2 for s in sides):
         raise ValueError("the reach exceeds half a period")
-    points = wrapped(points.select("id", *coords), box, coords)
+    points = wrapped(validated(points, coords).select("id", *coords), box, coords)
     count = [max(1, math.floor(box.side(i) / reach)) if box.side(i) else 0 for i in range(len(coords))]
     # open axes have no bounds to count cells by: their cell numbers are left as they are
     cell = [F.least(F.floor(F.col(c) / (box.side(i) / m)), F.lit(m - 1)) if m else F.floor(F.col(c) / reach) for i, (c, m) in enumerate(zip(coords, count, strict=True))]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import curves
 from tessera.operators.lineage import cut
+from tessera.operators.neighbours import validated
 
 
 def dense_number(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
@@ -20,8 +21,8 @@ def dense_number(df: DataFrame, keys: Sequence[Column | str], name: str) -> Data
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumns({f"__k{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)})
     cols = [f"__k{i}" for i in range(len(keys))]
-    # written or cached before the range bounds are taken: ranges and counts must come from one pass
-    dealt = dealt.repartitionByRange(n, *cols).withColumn("__part", F.spark_partition_id()).persist()
+    # ranges and counts must come from one pass, whatever executors are lost: the dealt rows are a table
+    dealt = cut(dealt.repartitionByRange(n, *cols).withColumn("__part", F.spark_partition_id()))
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*cols))
@@ -38,6 +39,7 @@ def bbox(points: DataFrame) -> tuple[float, float, float, float]:
 def curve_keys(points: DataFrame, curve: str = "morton", ndiv: int = 16, box: tuple | None = None) -> DataFrame:
     """id, key along a Morton or Hilbert curve over the cloud's bounding box (or a given one)."""
     make = {"morton": curves.morton_key, "hilbert": curves.hilbert_key}[curve]
+    validated(points)
     return points.select("id", make(F.col("x"), F.col("y"), box or bbox(points), ndiv).alias("key"))
 
 
@@ -116,14 +118,20 @@ def renumber_edges(edges: DataFrame, p: DataFrame) -> DataFrame:
     return permute(permute(edges, p, "row"), p, "col")
 
 
-def row_pointer(edges: DataFrame) -> DataFrame:
-    """row, ia: where each row's entries begin, and one row more for the end.
+def row_pointer(edges: DataFrame, nodes: int | None = None) -> DataFrame:
+    """row, ia: where each row's entries begin, and one row more for the end; a row without entries begins where the next one does.
 
-    The running sum goes over range partitions, as in dense_number.
+    Rows go from 0 to the given number of nodes, by default to the greatest number in the graph. The running sum
+    goes over range partitions, as in dense_number.
     """
-    sizes = edges.groupBy("row").agg(F.count(F.lit(1)).alias("size"))
+    most = edges.agg(F.max(F.greatest("row", "col"))).first()[0]
+    rows = (0 if most is None else most + 1) if nodes is None else nodes
+    if most is not None and most >= rows:
+        raise ValueError(f"the graph has a node {most}, beyond {rows} nodes")
+    counts = edges.groupBy("row").agg(F.count(F.lit(1)).alias("size"))
+    sizes = edges.sparkSession.range(rows).select(F.col("id").alias("row")).join(counts, "row", "left").fillna(0, ["size"])
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sizes.repartitionByRange(n, "row").withColumn("__part", F.spark_partition_id()).persist()
+    dealt = cut(sizes.repartitionByRange(n, "row").withColumn("__part", F.spark_partition_id()))
     order = Window.partitionBy("__part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     per = dealt.groupBy("__part").agg(F.sum("size").alias("__size"))
     before = per.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

@@ -69,18 +69,31 @@ class Interpolation:
         return w[:, :n].transpose(0, 2, 1), info
 
 
-def gathered(nodes: DataFrame, edges: DataFrame, box: Box = OPEN) -> DataFrame:
-    """row, cols, dx, dy: each stencil in order of k, as differences to its own node (through the periodic images in a box)."""
+def gathered(nodes: DataFrame, edges: DataFrame, box: Box = OPEN, local: bool = True) -> DataFrame:
+    """row, cols, dx, dy: each stencil in order of k, as differences to its own node (through the periodic images in a box).
+
+    Without ``local`` dx and dy are the nodes' own coordinates.
+    """
     here = nodes.select(F.col("id").alias("row"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     there = nodes.select(F.col("id").alias("col"), "x", "y")
-    joined = edges.select("row", "k", "col").join(there, "col").join(here, "row")
+    joined = edges.select("row", "k", "col").join(there, "col")
+    if not local:
+        joined = joined.withColumns({"x0": F.lit(0.0), "y0": F.lit(0.0)})
+    else:
+        joined = joined.join(here, "row")
     dx, dy = minimum_image(F.col("x") - F.col("x0"), box.side(0)), minimum_image(F.col("y") - F.col("y0"), box.side(1))
     stencils = joined.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "col", dx.alias("dx"), dy.alias("dy")))).alias("s"))
     return stencils.select("row", F.col("s.col").alias("cols"), F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"))
 
 
-def interpolation_weights(nodes: DataFrame, edges: DataFrame, config: Interpolation, centres: Sequence[tuple[float, float]], box: Box = OPEN) -> DataFrame:
-    """row, k, col, op, weight, info: weights of every stencil for the value at its node displaced by each centre."""
+def interpolation_weights(nodes: DataFrame, edges: DataFrame, config: Interpolation, centres: Sequence[tuple[float, float]], box: Box = OPEN, local: bool = True, ragged: bool = False) -> DataFrame:
+    """row, k, col, op, weight, info: weights of every stencil for the value at its node displaced by each centre.
+
+    Without ``local`` the systems are set up in the nodes' own coordinates, and the centres are places in them.
+    ``ragged`` allows stencils of any size from the number of polynomial terms on.
+    """
+    if not local and any(box.side(i) for i in range(2)):
+        raise ValueError("a periodic box needs local frames")
     xc, yc = np.array([c[0] for c in centres], float), np.array([c[1] for c in centres], float)
     schema = "row long, k int, col long, op int, weight double, info int"
 
@@ -89,8 +102,8 @@ def interpolation_weights(nodes: DataFrame, edges: DataFrame, config: Interpolat
             size = np.array([len(v) for v in batch.column(1)])
             for n in np.unique(size):  # ragged graphs: systems of one size at a time
                 part = batch.take(pa.array(np.nonzero(size == n)[0]))
-                if n != config.n:
-                    raise ValueError(f"a stencil has {n} nodes, not {config.n}")
+                if n != config.n and not (ragged and n >= config.terms):
+                    raise ValueError(f"a stencil has {n} nodes, not {config.n}{' or at least ' + str(config.terms) if ragged else ''}")
                 step = max(1, (64 << 20) // (8 * (n + config.terms) ** 2))
                 for a in range(0, part.num_rows, step):
                     some = part.slice(a, step)
@@ -109,7 +122,12 @@ def interpolation_weights(nodes: DataFrame, edges: DataFrame, config: Interpolat
                         ["row", "k", "col", "op", "weight", "info"],
                     )
 
-    return gathered(nodes, edges, box).mapInArrow(solve, schema)
+    return gathered(nodes, edges, box, local).mapInArrow(solve, schema)
+
+
+def summed(weights: DataFrame, ops: Sequence[int]) -> DataFrame:
+    """row, k, col, weight: operators added up entry by entry, as a Laplacian from its two second derivatives."""
+    return weights.filter(F.col("op").isin(*ops)).groupBy("row", "k", "col").agg(F.sum("weight").alias("weight"))
 
 
 def singular(weights: DataFrame) -> DataFrame:

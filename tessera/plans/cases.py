@@ -2,69 +2,90 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import takewhile
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.metric import OPEN, Box
 from tessera.operators import neighbours, ordering, stats
+from tessera.operators.lineage import cut
 from tessera.sources import sinks, text
 from tessera.sources.text import FormatError
 
-KINDS = {".points": "points", ".node": "node", ".graph": "graph", ".iperm": "iperm"}
+SCHEMA = "file string, metric string, value double, fault string"
+
+
+def _cloud(df: DataFrame, box: Box) -> list[DataFrame]:
+    """Tables of a cloud's numbers (one row each), then one of its faults."""
+    nodes = df.withColumn("flag", F.col("marker") if "marker" in df.columns else F.lit(0))
+    names = F.concat(F.lit("marker "), F.col("flag").cast("string"))
+    markers = stats.marker_histogram(nodes).select(names.alias("metric"), F.col("nodes").cast("double").alias("value"))
+    twins = neighbours.coincident(neighbours.wrapped(nodes, box)).select(F.concat(F.lit("coincident nodes: "), F.col("nodes").cast("string"), F.lit(" stand where node "), F.col("first_id").cast("string"), F.lit(" is")).alias("fault"))
+    tables = [stats.node_counts(nodes), stats.bounding_box(nodes), stats.outside(nodes, box)]
+    if len(nodes.head(2)) == 2:
+        tables.append(stats.cloud_stats(nodes, box))
+    return [*map(_tall, tables), markers, twins]
+
+
+def _tall(one_row: DataFrame) -> DataFrame:
+    """A row for each column of a table of one row."""
+    values = one_row.select(*[F.col(c).cast("double").alias(c) for c in one_row.columns])
+    return values.unpivot([], values.columns, "metric", "value").filter("value is not null")
 
 
-def _faults(error: Exception) -> list[str]:
-    """The problems that a reader reported from a task."""
-    message = str(error)
-    at = message.rfind("FormatError: ")
-    lines = message[at + len("FormatError: ") :].split("\n") if at >= 0 else [message.split("\n")[0]]
-    return [x.strip() for x in lines if x.strip() and not x.lstrip().startswith(("at ", "File ", "Traceback"))][:101]
+#: What is told of each kind of file, by the extension of its name.
+MEASURES = {
+    ".points": _cloud,
+    ".node": _cloud,
+    ".graph": lambda df, box: [_tall(stats.graph_stats(df))],
+    ".iperm": lambda df, box: [_tall(df.agg(F.count(F.lit(1)).alias("n")))],
+}
 
 
-def inspect(spark: SparkSession, paths: list[str], box: Box = OPEN) -> tuple[DataFrame, list[str]]:
-    """file, metric, value of each file of a case, and all problems; the files must agree on their numbers of nodes."""
+def _told(spark: SparkSession, path: str, error: Exception) -> DataFrame:
+    """The faults that a reader reported, from the driver or, as text, from a task."""
+    if isinstance(error, FormatError):
+        faults = error.problems
+    else:  # behind the name of the error its problems, a line each, and then the stack
+        lines = str(error).rpartition("FormatError: ")[2].split("\n")
+        faults = [x.strip() for x in takewhile(lambda x: x.strip() and not x.startswith("\t"), lines)] or [type(error).__name__]
+    return spark.createDataFrame([(path, None, None, x) for x in faults], SCHEMA)
+
+
+def inspect(spark: SparkSession, paths: list[str], box: Box = OPEN) -> DataFrame:
+    """file, metric, value, fault: the numbers of each file of a case, and a row for each fault.
+
+    Files that cannot be read tell their faults only. The files' numbers of nodes have to agree: if not, one fault
+    without a file says which has how many.
+    """
     text.register(spark)
-    rows, problems, sizes = [], [], {}
+    found = []
     for path in paths:
-        kind = KINDS[path[path.rindex(".") :]]
+        extension = "." + path.rpartition(".")[2]
         try:
-            df = spark.read.format(kind).load(path).persist()
-            df.count()
-        except FormatError as e:
-            problems += e.problems
-            continue
-        except Exception as e:  # noqa: BLE001  tasks hand on a reader's error as text
-            problems += _faults(e)
+            df = cut(spark.read.format(extension[1:]).load(path))
+        except (FormatError, PySparkException, Py4JError) as e:
+            found.append(_told(spark, path, e))
             continue
-        if kind in ("points", "node"):
-            flag = F.col("marker") if kind == "node" else F.lit(0)
-            df = df.withColumn("flag", flag)
-            sizes[path] = df.count()
-            tables = [stats.node_counts(df), stats.bounding_box(df), stats.outside(df, box)]
-            if sizes[path] > 1:
-                tables.append(stats.cloud_stats(df, box))
-            values = {k: v for t in tables for k, v in t.first().asDict().items()}
-            values |= {f"marker {r.flag}": r.nodes for r in stats.marker_histogram(df).collect()}
-            same = neighbours.coincident(neighbours.wrapped(df, box)).orderBy("first_id").limit(5).collect()
-            if same:
-                problems.append(f"{path}: coincident nodes: " + ", ".join(f"{r.nodes} at node {r.first_id}" for r in same))
-        elif kind == "graph":
-            values = stats.graph_stats(df).first().asDict()
-            sizes[path] = values["n"]
-        else:
-            values = {"n": df.count()}
-            sizes[path] = values["n"]
-        rows += [(path, k, float(v)) for k, v in values.items() if v is not None]
-    if len(set(sizes.values())) > 1:
-        problems.append("node counts differ: " + ", ".join(f"{f} has {n}" for f, n in sizes.items()))
-    return spark.createDataFrame(rows, "file string, metric string, value double"), problems
+        for table in MEASURES[extension](df, box):
+            has = set(table.columns)
+            found.append(table.select(F.lit(path).alias("file"), *[(F.col(c) if c in has else F.lit(None)).cast(t).alias(c) for c, t in (("metric", "string"), ("value", "double"), ("fault", "string"))]))
+    table = cut(reduce(DataFrame.unionAll, found, spark.createDataFrame([], SCHEMA)))
+    told = F.concat_ws(": ", "file", F.col("value").cast("long").cast("string"))
+    sizes = table.filter("metric = 'n'").agg(F.count_distinct("value").alias("sizes"), F.array_join(F.array_sort(F.collect_list(told)), ", ").alias("told")).filter("sizes > 1")
+    clash = sizes.select(F.lit(None).cast("string"), F.lit("n"), F.lit(None).cast("double"), F.concat(F.lit("the files disagree about the number of nodes: "), "told"))
+    return table.unionAll(clash)
 
 
 def reorder(spark: SparkSession, graph: str, out: str) -> DataFrame:
     """Writes the reverse Cuthill-McKee order of a graph file; one row: bandwidth before and after."""
     text.register(spark)
     edges = spark.read.format("graph").load(graph)
-    p = ordering.reverse_cuthill_mckee(edges).persist()
+    p = cut(ordering.reverse_cuthill_mckee(edges))
     sinks.write_ordering(p, out)
     after = stats.bandwidth(ordering.renumber_edges(edges, p)).withColumnRenamed("bandwidth", "after")
     return stats.bandwidth(edges).withColumnRenamed("bandwidth", "before").join(after)
@@ -76,7 +97,7 @@ def finish(nodes: DataFrame, stem: str, extent: tuple[float, float], box: Box =
         edges = neighbours.knn_stencils(nodes, int(value), box, on_duplicate="error")
     else:
         edges = neighbours.within(nodes, value, box, norm={"radius": "euclid", "range": "chebyshev"}[method], on_duplicate="error")
-    edges = edges.persist()
+    edges = cut(edges)
     if kind == "node":
         sinks.write_nodes(nodes.withColumnRenamed("flag", "marker"), stem, title=title)
     else:

@@ -6,6 +6,8 @@ label as the flag, ``places`` the parts by price and size, ``lattice`` the line
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from tessera.functions import fields, lattice, metric
 from tessera.functions.metric import Box
 from tessera.operators import factor, grid, neighbours, ordering, stats, weights
-from tessera.sources import generators, sinks, text
+from tessera.operators.lineage import shared_dir
+from tessera.sources import files, generators, sinks, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,7 +175,11 @@ def coincident_nodes(spark, d):
     return neighbours.coincident(places(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NODES}, going AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM nodes), run AS (
+  SELECT 0::BIGINT AS i, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, flag INTEGER)[] AS kept
+  UNION ALL SELECT g.i, CASE WHEN len(list_filter(kept, lambda o: sqrt((o.x - g.x) ** 2 + (o.y - g.y) ** 2) < 0.03)) > 0 THEN kept
+    ELSE list_append(kept, {{'id': g.id, 'x': g.x, 'y': g.y, 'flag': g.flag}}) END FROM run JOIN going g ON g.i = run.i + 1)
+SELECT o.id, o.x, o.y, o.flag FROM (SELECT unnest(kept) AS o FROM run WHERE i = (SELECT count(*) FROM nodes))""")
 def thinned_nodes(spark, d):
     return neighbours.thinned(nodes(spark, d), 0.03)
 
@@ -333,6 +340,14 @@ def row_pointer(spark, d):
     return ordering.row_pointer(neighbours.within(nodes(spark, d), 0.05))
 
 
+@query(f"""WITH {NODES}, sizes AS (SELECT a.id AS row, count(*) AS n FROM nodes a JOIN nodes b ON {FLAT} <= 0.02 AND a.id <> b.id GROUP BY a.id)
+SELECT 0::BIGINT AS row, 0::BIGINT AS ia UNION ALL SELECT id + 1, (sum(coalesce(n, 0)) OVER (ORDER BY id))::BIGINT FROM nodes LEFT JOIN sizes ON id = row""")
+def row_pointer_ragged(spark, d):
+    """Most rows of this graph are empty."""
+    n = nodes(spark, d)
+    return ordering.row_pointer(neighbours.within(n, 0.02).filter("row <> col"), n.count())
+
+
 @query(f"WITH {EDGES} SELECT DISTINCT row, col FROM (SELECT row, col FROM edges UNION ALL SELECT col, row FROM edges) WHERE row <> col")
 def adjacency_symmetric(spark, d):
     return ordering.adjacency(edges(spark, d))
@@ -370,7 +385,7 @@ def cloud_stats(spark, d):
 
 
 @query(f"""WITH {EDGES} SELECT count(*) AS n, count(*) FILTER (flag <> 0) AS boundary, count(*) FILTER (flag = 0) AS interior, round(count(*) / 2.25, 9) AS density,
-(SELECT count(*) FROM edges) AS nnz, 9::BIGINT AS stencil_min, 9::BIGINT AS stencil_max FROM nodes""")
+(SELECT count(*) FROM edges) AS nnz, (SELECT min(c) FROM (SELECT count(*) AS c FROM edges GROUP BY row)) AS stencil_min, (SELECT max(c) FROM (SELECT count(*) AS c FROM edges GROUP BY row)) AS stencil_max FROM nodes""")
 def cloud_summary(spark, d):
     return stats.summary(nodes(spark, d), edges(spark, d), (1.5, 1.5)).withColumn("density", F.round("density", 9))
 
@@ -380,17 +395,20 @@ def cache_lines(spark, d):
     return stats.cache_lines(edges(spark, d))
 
 
-# grids: a sheet of squares over the first orders, some of their diagonals drawn, with faults
+# grids: a sheet of squares, about as many as a quarter of the orders, half of them cut by a diagonal, with faults
 
 
-def sheet(spark: SparkSession, n: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sheet(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """n x n cells: triangles in the lower half, quadrilaterals above; every 17th element turned over; parts along the sides."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").count()
+    n = max(12, 2 * int(math.sqrt(orders) / 4))
     m = n + 1
     points = spark.range(m * m).select("id", (F.col("id") % m).cast("double").alias("x"), F.floor(F.col("id") / m).cast("double").alias("y"))
     cell = spark.range(n * n).withColumn("a", F.col("id") + F.floor(F.col("id") / n))
     a = F.col("a")
     low = F.col("id") < n * n // 2
-    tris = cell.filter(low).select(F.lit("triangle").alias("kind"), "id", F.explode(F.array(F.struct(F.lit(0).alias("h"), F.array(a, a + 1, a + m + 1).alias("verts")), F.struct(F.lit(1).alias("h"), F.array(a, a + m + 1, a + m).alias("verts")))).alias("t")).select("kind", (F.col("id") * 2 + F.col("t.h")).alias("elem"), "t.verts")
+    halves = F.array(F.struct(F.lit(0).alias("h"), F.array(a, a + 1, a + m + 1).alias("verts")), F.struct(F.lit(1).alias("h"), F.array(a, a + m + 1, a + m).alias("verts")))
+    tris = cell.filter(low).select("id", F.explode(halves).alias("t")).select(F.lit("triangle").alias("kind"), (F.col("id") * 2 + F.col("t.h")).alias("elem"), "t.verts")
     quads = cell.filter(~low).select(F.lit("quadrilateral").alias("kind"), (F.col("id") - n * n // 2).alias("elem"), F.array(a, a + 1, a + m + 1, a + m).alias("verts"))
     elements = tris.union(quads)
     elements = elements.withColumn("verts", F.when(F.col("elem") % 17 == 5, F.reverse("verts")).otherwise(F.col("verts")))
@@ -402,32 +420,33 @@ def sheet(spark: SparkSession, n: int = 12) -> tuple[DataFrame, DataFrame, DataF
     return points, elements, bound.union(inner)
 
 
-SHEET = """points AS (SELECT range AS id, (range % 13)::DOUBLE AS x, (range // 13)::DOUBLE AS y FROM range(169)),
-cell AS (SELECT range AS id, range + range // 12 AS a FROM range(144)),
-straight AS (SELECT 'triangle' AS kind, 2 * id AS elem, [a, a + 1, a + 14] AS verts FROM cell WHERE id < 72
-  UNION ALL SELECT 'triangle', 2 * id + 1, [a, a + 14, a + 13] FROM cell WHERE id < 72
-  UNION ALL SELECT 'quadrilateral', id - 72, [a, a + 1, a + 14, a + 13] FROM cell WHERE id >= 72),
+SHEET = """dim AS (SELECT n, n + 1 AS m FROM (SELECT greatest(12, 2 * floor(sqrt(count(*)) / 4)::BIGINT) AS n FROM orders)),
+points AS (SELECT i AS id, (i % m)::DOUBLE AS x, (i // m)::DOUBLE AS y FROM (SELECT m, unnest(range(m * m)) AS i FROM dim)),
+cell AS (SELECT n, m, i AS id, i + i // n AS a FROM (SELECT n, m, unnest(range(n * n)) AS i FROM dim)),
+straight AS (SELECT 'triangle' AS kind, 2 * id AS elem, [a, a + 1, a + m + 1] AS verts FROM cell WHERE id < n * n // 2
+  UNION ALL SELECT 'triangle', 2 * id + 1, [a, a + m + 1, a + m] FROM cell WHERE id < n * n // 2
+  UNION ALL SELECT 'quadrilateral', id - n * n // 2, [a, a + 1, a + m + 1, a + m] FROM cell WHERE id >= n * n // 2),
 elements AS (SELECT kind, elem, CASE WHEN elem % 17 = 5 THEN list_reverse(verts) ELSE verts END AS verts FROM straight),
-bound AS (SELECT 0 AS part, range::INT AS seq, CASE WHEN range <= 12 THEN range WHEN range <= 24 THEN 12 + (range - 12) * 13 WHEN range <= 36 THEN 168 - (range - 24) ELSE (48 - range) * 13 END AS node FROM range(49)
-  UNION ALL SELECT 1, range::INT, 41 + range FROM range(4)),
+bound AS (SELECT 0 AS part, i::INT AS seq, CASE WHEN i <= n THEN i WHEN i <= 2 * n THEN n + (i - n) * m WHEN i <= 3 * n THEN m * m - 1 - (i - 2 * n) ELSE (4 * n - i) * m END AS node FROM (SELECT n, m, unnest(range(4 * n + 1)) AS i FROM dim)
+  UNION ALL SELECT 1, i::INT, 3 * m + 2 + i FROM (SELECT m, unnest(range(4)) AS i FROM dim)),
 sides AS (SELECT kind, elem, verts, unnest(range(len(verts))) AS i FROM elements),
 el AS (SELECT kind, elem, verts[i + 1] AS u, verts[(i + 1) % len(verts) + 1] AS v FROM sides)"""
 
 
 @query(f"WITH {SHEET} SELECT id, coalesce(min(part) + 1, 0)::INTEGER AS marker FROM points LEFT JOIN bound ON id = node GROUP BY id")
 def grid_markers(spark, d):
-    p, _, b = sheet(spark)
+    p, _, b = sheet(spark, d)
     return grid.markers(p, b)
 
 
 @query(f"WITH {SHEET} SELECT part, arg_min(node, seq) = arg_max(node, seq) AND count(*) > 1 AS closed FROM bound GROUP BY part")
 def grid_closed(spark, d):
-    return grid.closed(sheet(spark)[2])
+    return grid.closed(sheet(spark, d)[2])
 
 
-@query(f"WITH {SHEET} SELECT 169::BIGINT AS nodes, count(*) FILTER (kind = 'triangle') AS triangles, count(*) FILTER (kind <> 'triangle') AS quadrilaterals, 2::BIGINT AS parts FROM elements")
+@query(f"WITH {SHEET} SELECT (SELECT count(*) FROM points) AS nodes, count(*) FILTER (kind = 'triangle') AS triangles, count(*) FILTER (kind <> 'triangle') AS quadrilaterals, (SELECT count(DISTINCT part) FROM bound) AS parts FROM elements")
 def grid_sizes(spark, d):
-    return grid.sizes(*sheet(spark))
+    return grid.sizes(*sheet(spark, d))
 
 
 @query(f"""WITH {SHEET}, once AS (SELECT u, v, count(*) AS uses FROM el GROUP BY u, v),
@@ -441,7 +460,7 @@ UNION ALL SELECT 3, 'boundary part ' || (part + 1) || ', edge ' || (u + 1) || '
 UNION ALL SELECT 4, 'element boundary edge ' || (u + 1) || ' -> ' || (v + 1) || ' is not walked by any boundary part' FROM once o
   WHERE NOT EXISTS (FROM once r WHERE r.u = o.v AND r.v = o.u) AND NOT EXISTS (FROM judged j WHERE j.u = o.u AND j.v = o.v AND fwd AND NOT rev)""")
 def grid_orientation(spark, d):
-    return grid.orientation_faults(*sheet(spark)).select("check", "message")
+    return grid.orientation_faults(*sheet(spark, d)).select("check", "message")
 
 
 # lattice Boltzmann
@@ -604,12 +623,36 @@ def gen_cavity_grid(spark, d):
     return _cloud(generators.cavity(spark, 4, distribution="grid"))
 
 
-@query()
+@query(f"""WITH widths AS (SELECT range AS k, CASE WHEN range < 5 THEN 1.0 WHEN range < 10 THEN 1.5 ELSE 2.5 END::DOUBLE AS h FROM range(14)),
+ring AS (SELECT k, h, coalesce(sum(h) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS r FROM widths),
+dots AS (SELECT *, unnest(range(n)) AS i FROM (SELECT k, r, 40 - r AS q, greatest(round((40 - 2 * r) / h), 1)::BIGINT AS n, unnest(range(4)) AS s FROM ring)),
+laid AS (SELECT k * 10000 + s * 1000 + i AS o, round(CASE s WHEN 0 THEN r + (q - r) * i / n WHEN 1 THEN q WHEN 2 THEN q - (q - r) * i / n ELSE r END, 12) AS x,
+  round(CASE s WHEN 0 THEN r WHEN 1 THEN r + (q - r) * i / n WHEN 2 THEN q ELSE q - (q - r) * i / n END, 12) AS y FROM dots),
+v AS (SELECT x, y, min(o) AS o, CASE WHEN x IN (0, 40) AND y IN (0, 40) THEN 5 WHEN y = 0 THEN 1 WHEN x = 40 THEN 2 WHEN y = 40 THEN 3 WHEN x = 0 THEN 4 ELSE 0 END AS flag FROM laid GROUP BY x, y)
+{SEQ.format('o', 'v')}""")
 def gen_cavity_rings(spark, d):
     return _cloud(generators.cavity(spark, 4))
 
 
-@query()
+# the corner's angle is 3 pi / 2, its arcs 6 (k / 9) ** 1.5 for k to 9, then 7, 8, .. 16
+@query(f"""WITH w AS (SELECT 1.5 * pi() AS o), arc AS (
+  SELECT k, r, greatest(round(o * r / CASE WHEN k < 9 THEN 6 * ((k + 1) / 9.0) ** 1.5 - r ELSE 1 END), 2)::BIGINT AS n, k > 9 AS clipped
+  FROM w, (SELECT range AS k, CASE WHEN range <= 9 THEN 6 * (range / 9.0) ** 1.5 ELSE range - 3 END::DOUBLE AS r FROM range(1, 20))),
+dots AS (SELECT *, r * cos(i * o / n) AS x, r * sin(i * o / n) AS y FROM w, (SELECT *, unnest(range(n + 1)) AS i FROM arc)),
+segs(x1, y1, x2, y2, flag) AS (VALUES (0.0, 0.0, 12.0, 0.0, 0), (12.0, 0.0, 12.0, 12.0, 2), (12.0, 12.0, -12.0, 12.0, 3), (-12.0, 12.0, -12.0, -12.0, 4), (-12.0, -12.0, 0.0, -12.0, 1), (0.0, -12.0, 0.0, 0.0, 0)),
+rim AS (SELECT x::DOUBLE AS x, y::DOUBLE AS y, flag, row_number() OVER (ORDER BY g, j) AS o FROM (
+  SELECT 0 AS g, range AS j, 7.0 + range AS x, 0.0 AS y, 1 AS flag FROM range(5) UNION ALL SELECT 1, range, 0.0, -7.0 - range, 2 FROM range(5)
+  UNION ALL SELECT g, j, x1 + (x2 - x1) * j / n, y1 + (y2 - y1) * j / n, CASE WHEN j = 0 THEN 5 ELSE flag END FROM (
+    SELECT *, unnest(range(n)) AS j FROM (SELECT row_number() OVER () + 2 AS g, *, (abs(x2 - x1) + abs(y2 - y1))::BIGINT AS n FROM segs WHERE flag > 0))
+  UNION ALL SELECT 99, 0, 0.0, -12.0, 5)),
+away AS (SELECT d.*, t, sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) AS dist FROM (
+  SELECT d.*, s.*, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0), 1) AS t FROM dots d, segs s WHERE clipped) d),
+loose AS (SELECT k, i, x, y FROM away WHERE i > 0 AND i < n AND abs(x) <= 12 AND abs(y) <= 12 GROUP BY k, i, x, y HAVING min(dist) >= 0.55),
+v AS (SELECT 0 AS a, 0 AS b, 0 AS c, 0.0 AS x, 0.0 AS y, 5 AS flag
+  UNION ALL SELECT 1, k, i, x, y, CASE WHEN i = 0 THEN 1 WHEN i = n THEN 2 ELSE 0 END FROM dots WHERE NOT clipped
+  UNION ALL SELECT 2, o, 0, x, y, flag FROM rim
+  UNION ALL SELECT 3, k, i, x, y, 0 FROM loose l WHERE NOT EXISTS (FROM rim WHERE sqrt((rim.x - l.x) ** 2 + (rim.y - l.y) ** 2) < 0.7))
+{SEQ.format('a, b, c', 'v')}""")
 def gen_reentrant_corner(spark, d):
     return _cloud(generators.ReentrantCorner(12.0).nodes(spark))
 
@@ -656,24 +699,42 @@ def _weights(spark, d) -> DataFrame:
     return weights.interpolation_weights(nodes(spark, d), edges(spark, d, 15), weights.Interpolation(15), CENTRES)
 
 
+def _moments(w: DataFrame, n: DataFrame, local: bool = True) -> DataFrame:
+    """Sums of the weights times 1, x, y, x^2, xy, y^2 (from each stencil's node, or from the origin), of each row and operator."""
+    here, there = n.select(F.col("id").alias("row"), F.col("x").alias("x0"), F.col("y").alias("y0")), n.select(F.col("id").alias("col"), "x", "y")
+    w = w.join(there, "col").join(here, "row")
+    x, y = (F.col(c) - F.col(f"{c}0") if local else F.col(c) for c in "xy")
+    terms = {"s0": F.lit(1.0), "sx": x, "sy": y, "sxx": x * x, "sxy": x * y, "syy": y * y}
+    return w.groupBy("row", "op").agg(*[(F.round(F.sum(F.col("weight") * t), 6) + 0.0).alias(name) for name, t in terms.items()])
+
+
 @query()
 def rbf_interp_weights(spark, d):
     return _weights(spark, d)
 
 
-@query(f"""WITH {NODES} SELECT id AS row, op, 1.0 AS s0, cx AS sx, cy AS sy FROM nodes CROSS JOIN (VALUES (0, 0.0, 0.0), (1, 0.004, 0.0), (2, 0.0, -0.004)) c(op, cx, cy)""".replace("1.0 AS s0, cx AS sx, cy AS sy", "1.0::DOUBLE AS s0, cx::DOUBLE AS sx, cy::DOUBLE AS sy"))
+MOMENTS = "1.0::DOUBLE AS s0, cx::DOUBLE AS sx, cy::DOUBLE AS sy, round(cx * cx, 6)::DOUBLE AS sxx, round(cx * cy, 6)::DOUBLE AS sxy, round(cy * cy, 6)::DOUBLE AS syy"
+
+
+@query(f"WITH {NODES} SELECT id AS row, op, {MOMENTS} FROM nodes CROSS JOIN (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.004, 0.0), (2, 0.0, -0.004)) c(op, cx, cy)")
 def rbf_weight_moments(spark, d):
-    """The weights reproduce constants and linear functions: their moments are 1 and the centre."""
+    """The weights reproduce all functions of degree two: their moments are those of the centre."""
+    return _moments(_weights(spark, d), nodes(spark, d))
+
+
+@query(f"WITH {NODES} SELECT id AS row, op, {MOMENTS} FROM nodes CROSS JOIN (VALUES (0, 0.01::DOUBLE, 0.02::DOUBLE), (1, -0.03, 0.0)) c(op, cx, cy)")
+def rbf_ragged_moments(spark, d):
+    """Stencils of 12 to 16 nodes, set up without a local frame: the moments are those of the places asked for."""
     n = nodes(spark, d)
-    here, there = n.select(F.col("id").alias("row"), F.col("x").alias("x0"), F.col("y").alias("y0")), n.select(F.col("id").alias("col"), "x", "y")
-    w = _weights(spark, d).join(there, "col").join(here, "row")
-    six = lambda c: F.round(c, 6) + 0.0
-    return w.groupBy("row", "op").agg(six(F.sum("weight")).alias("s0"), six(F.sum(F.col("weight") * (F.col("x") - F.col("x0")))).alias("sx"), six(F.sum(F.col("weight") * (F.col("y") - F.col("y0")))).alias("sy"))
+    e = edges(spark, d, 16).filter("k <= 12 + row % 5")
+    return _moments(weights.interpolation_weights(n, e, weights.Interpolation(12), [(0.01, 0.02), (-0.03, 0.0)], local=False, ragged=True), n, local=False)
 
 
-@query("WITH one AS (SELECT 0::BIGINT AS singular) SELECT singular FROM one")
+@query(f"WITH {NODES} SELECT count(*) FILTER (id % 37 = 0) AS singular FROM nodes")
 def singular_stencils(spark, d):
-    return weights.singular(_weights(spark, d))
+    """Every 37th stencil holds its own node only, again and again."""
+    e = edges(spark, d, 15).withColumn("col", F.when(F.col("row") % 37 == 0, F.col("row")).otherwise(F.col("col")))
+    return weights.singular(weights.interpolation_weights(nodes(spark, d), e, weights.Interpolation(15), CENTRES))
 
 
 @query(f"""WITH {EDGES}, w AS (SELECT row, col, 1.0 / (k + 1) AS weight FROM edges), y AS (SELECT row, sum(weight * (x + 2 * y)) AS value FROM w JOIN nodes ON col = id GROUP BY row)
@@ -711,18 +772,19 @@ def factor_nonzeros(spark, d):
 
 def _folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share."""
-    import os
-    import tempfile
-    import uuid
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    path = f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/files-{uuid.uuid4().hex}"
-    os.makedirs(path, exist_ok=True)
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    system, place = files.filesystem(path)
+    system.create_dir(place, recursive=True)
     text.register(spark)
     return path
 
 
+def _put(path: str, content: str) -> None:
+    system, place = files.filesystem(path)
+    with system.open_output_stream(place) as f:
+        f.write(content.encode())
+
+
 @query(f"WITH {NODES} SELECT id, x, y FROM nodes")
 def source_points(spark, d):
     to = _folder(spark)
@@ -754,7 +816,7 @@ def source_iperm(spark, d):
 @query(f"WITH {SHEET} SELECT kind, elem, verts FROM elements")
 def source_grid(spark, d):
     to = _folder(spark)
-    sinks.write_grid(*sheet(spark), f"{to}/a")
+    sinks.write_grid(*sheet(spark, d), f"{to}/a")
     return spark.read.format("grid").option("section", "elements").load(f"{to}/a.grid")
 
 
@@ -768,14 +830,43 @@ def sink_matrix_market(spark, d):
 @query("SELECT seq::INTEGER AS seq, tag::INTEGER AS tag, bc::INTEGER AS bc, name FROM (VALUES (0, 1, 0, 'freestream'), (1, 2, 0, 'subsonic_outflow'), (2, 3, 0, 'viscous_wall')) t(seq, tag, bc, name)")
 def source_bcmap(spark, d):
     to = _folder(spark)
-    with open(f"{to}/a.bcmap", "w") as f:
-        f.write("! tags\n1 freestream\n2 subsonic_outflow\n3 viscous_wall\n")
+    _put(f"{to}/a.bcmap", "! tags\n1 freestream\n2 subsonic_outflow\n3 viscous_wall\n")
     return spark.read.format("bcmap").load(f"{to}/a.bcmap")
 
 
 @query("SELECT seq::INTEGER AS seq, tag::INTEGER AS tag, bc::INTEGER AS bc, name FROM (VALUES (0, 1, 5050, ''), (1, 2, 5051, 'outflow'), (2, 3, 4000, '')) t(seq, tag, bc, name)")
 def source_mapbc(spark, d):
     to = _folder(spark)
-    with open(f"{to}/a.mapbc", "w") as f:
-        f.write("3\n1 5050\n2 5051 outflow\n3 4000\n")
+    _put(f"{to}/a.mapbc", "3\n1 5050\n2 5051 outflow\n3 4000\n")
     return spark.read.format("mapbc").load(f"{to}/a.mapbc")
+
+
+def _numbers(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """The lines of a text file that consist of as many numbers as there are names."""
+    parts = F.split("value", " ")
+    lines = spark.read.text(path).filter(F.col("value").rlike(r"^[-+0-9.e]+( [-+0-9.e]+)*$") & (F.size(parts) == len(names.split())))
+    return lines.select(*[parts[i].cast("double").alias(n) for i, n in enumerate(names.split())])
+
+
+@query(f"WITH {EDGES} SELECT (row + 1)::DOUBLE AS i, (col + 1)::DOUBLE AS j, x / (k + 1) AS a FROM edges JOIN nodes ON col = id UNION ALL SELECT n, n, 9 * n FROM (SELECT count(*)::DOUBLE AS n FROM nodes)")
+def sink_matrix_values(spark, d):
+    to, n = _folder(spark), nodes(spark, d)
+    w = edges(spark, d).join(n.select(F.col("id").alias("col"), "x"), "col").select("row", "k", "col", (F.col("x") / (F.col("k") + 1)).alias("value"))
+    sinks.write_matrix_market(w, f"{to}/a", n.count(), n.count())
+    return _numbers(spark, f"{to}/a.mtx", "i j a")
+
+
+@query(f"WITH {NODES} SELECT x, y, flag::DOUBLE AS s, x - y AS u FROM nodes")
+def sink_columns(spark, d):
+    to = _folder(spark)
+    sinks.write_columns(nodes(spark, d).select("id", "x", "y", F.col("flag").cast("double").alias("s"), (F.col("x") - F.col("y")).alias("u")), f"{to}/a", ["s", "u"])
+    return _numbers(spark, f"{to}/a.dat", "x y s u")
+
+
+@query(f"WITH {NODES} SELECT x AS a, y AS b, 0.0::DOUBLE AS c FROM nodes UNION ALL SELECT -y, 2 * x, 0.0 FROM nodes")
+def sink_vtk(spark, d):
+    """The points of the file, and its vectors; the scalars and vertices have lines of fewer numbers."""
+    to = _folder(spark)
+    n = nodes(spark, d).select("id", "x", "y", F.col("flag").cast("double").alias("s"), (-F.col("y")).alias("vx"), (2 * F.col("x")).alias("vy"))
+    sinks.write_vtk(n, f"{to}/a", ["s"], [("v", "vx", "vy")])
+    return _numbers(spark, f"{to}/a.vtk", "a b c")

@@ -7,7 +7,7 @@ shortest text that reads back to the same value.
 
 from __future__ import annotations
 
-import os
+import io
 import sys
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
@@ -15,6 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources import files
+
 
 def number(v: float | int) -> str:
     """Shortest round-trip text; whole reals without a fraction."""
@@ -29,9 +31,10 @@ def _opened(path: str, extension: str):
         yield sys.stdout
         return
     path = path if path.endswith(extension) else path + extension
-    with open(path + ".part", "w", encoding="utf-8", newline="\n") as f:
+    fs, place = files.filesystem(path)
+    with io.TextIOWrapper(fs.open_output_stream(place + ".part"), encoding="utf-8", newline="\n") as f:
         yield f
-    os.replace(path + ".part", path)
+    fs.move(place + ".part", place)
 
 
 def _ordered(df: DataFrame, *keys: str) -> Iterator:
@@ -57,8 +60,11 @@ def write_nodes(nodes: DataFrame, path: str, marker: str | None = "marker", attr
 
 
 def write_graph(edges: DataFrame, path: str) -> None:
+    """One line for each row's columns. The format has no empty rows: a node without any is a ValueError."""
     rows = edges.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "col"))), lambda s: s["col"]).alias("cols"))
-    n = edges.agg(F.count_distinct("row").alias("n"), F.count(F.lit(1)).alias("nnz")).first()
+    n = edges.agg(F.count_distinct("row").alias("n"), F.count(F.lit(1)).alias("nnz"), (F.max(F.greatest("row", "col")) + 1).alias("nodes")).first()
+    if n.n and n.n != n.nodes:
+        raise ValueError(f"{n.nodes - n.n} of {n.nodes} nodes have no row")
     with _opened(path, ".graph") as f:
         f.write(f"{n.n} {n.nnz}\n")
         for r in _ordered(rows, "row"):

@@ -8,15 +8,15 @@ numbering. A directory or a glob of files reads as many partitions, with their p
 
 from __future__ import annotations
 
-import glob
 import math
-import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.sources import files
+
 
 class FormatError(ValueError):
     """All problems of one file, each with the file's name in front."""
@@ -279,14 +279,10 @@ class _Reader(DataSourceReader):
         self.kind, self.options = kind, options
 
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"]
-        path = path.removeprefix("file://")
-        files = sorted(os.path.join(path, f) for f in os.listdir(path)) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
-        return [_File(f) for f in files]
+        return [_File(f) for f in files.listed(self.options["path"])]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8", newline="") as f:
-            rows = FORMATS[self.kind][0](f.read(), partition.path, self.options)
+        rows = FORMATS[self.kind][0](files.read_text(partition.path), partition.path, self.options)
         return ((*r, partition.path) for r in rows) if self.options.get("with_path") else rows
 
 

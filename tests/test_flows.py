@@ -17,14 +17,85 @@ def test_inspect_finds_statistics_and_all_problems(spark, tmp_path):
     line = cases.finish(cloud, str(tmp_path / "a"), (8.0, 8.0), Box((8.0, 8.0)), value=9, title="box").first()
     n = cloud.count()
     assert (line.n, line.stencil_min, line.stencil_max) == (n, 9, 9) and math.isclose(line.density, n / 64)
-    table, problems = cases.inspect(spark, [str(tmp_path / "a.node"), str(tmp_path / "a.graph")], Box((8.0, 8.0)))
-    values = {(r.file[-5:], r.metric): r.value for r in table.collect()}
-    assert problems == [] and values["graph", "nnz"] == 9 * n and values[".node", "nn_min"] >= 1 - 1e-8
+    rows = cases.inspect(spark, [str(tmp_path / "a.node"), str(tmp_path / "a.graph")], Box((8.0, 8.0))).collect()
+    values = {(r.file[-5:], r.metric): r.value for r in rows}
+    assert not any(r.fault for r in rows) and values["graph", "nnz"] == 9 * n and values[".node", "nn_min"] >= 1 - 1e-8
+    assert values[".node", "n"] == values[".node", "marker 0"] == n
     (tmp_path / "b.points").write_text("3\n0 0\n0 0\n1 1\n")
     (tmp_path / "c.graph").write_text("2 4\n1 2\n2 1\n")
-    _, problems = cases.inspect(spark, [str(tmp_path / "b.points"), str(tmp_path / "c.graph"), str(tmp_path / "a.graph")])
-    told = "\n".join(problems)
-    assert "coincident" in told and "1-based" in told and "node counts differ" in told
+    rows = cases.inspect(spark, [str(tmp_path / "b.points"), str(tmp_path / "c.graph"), str(tmp_path / "a.graph")]).collect()
+    faults = {name: " ".join(r.fault for r in rows if r.fault and (r.file or "").endswith(name)) for name in ("b.points", "c.graph")}
+    assert "coincident" in faults["b.points"] and "1-based" in faults["c.graph"]
+    told = next(r.fault for r in rows if r.file is None)
+    assert told.startswith("the files disagree") and f"a.graph: {n}" in told and "b.points: 3" in told and "c.graph" not in told
+
+
+def test_polar_region_keeps_its_distance(spark):
+    for outer, inner, h in ((generators.BAYONA_OUTER, generators.BAYONA_INNER, 0.05), (generators.polar_series((6.0, 0.0, 3.0), (0.5,)), None, 0.5)):
+        c = generators.polar_region(spark, outer, h, inner, seed=2)
+        assert neighbours.nearest(c).agg(F.min("dist")).first()[0] >= h * (1 - 1e-8)
+        assert c.filter("flag = 6").isEmpty() == (inner is None)
+        rows = c.collect()
+        for r in rows:
+            t, d = math.atan2(r.y, r.x), math.hypot(r.x, r.y)
+            at = [float(generators._polar(s, np.array([t]))[0]) if s else 0.0 for s in (outer, inner)]
+            assert at[1] - 1e-9 <= d <= at[0] + 1e-9 and (r.flag == 0 or min(abs(d - x) for x in at) < 1e-3)
+        rim = sum(r.flag == 1 for r in rows)
+        m = np.linspace(0, 2 * math.pi, 20_001)
+        assert 0.8 * np.abs(np.diff(generators._polar(outer, m) * np.exp(1j * m))).sum() / h < rim
+    with pytest.raises(ValueError):
+        generators.polar_region(spark, [(0, 1.0, 0.0)], 0.2, [(0, 0.9, 0.0)])
+    with pytest.raises(ValueError):
+        generators.polar_region(spark, [(0, 1.0, 0.0), (1, 2.0, 0.0)], 0.2)
+
+
+def test_sampler_draws_up_to_a_number():
+    s = generators.PoissonDisk(1.0, (9.0, 7.0), (True, False), seed=4)
+    first = s.random(5)
+    assert len(first) == 5 and len(s.random(3)) == 3 and len(s.points) == 8
+    every = s.fill()
+    assert (every[:5] == first).all() and len(s.random(4)) == 0 and (every < [9.0, 7.0]).all()
+    d = np.abs(every[:, None] - every[None, :])
+    d[..., 0] = np.minimum(d[..., 0], 9 - d[..., 0])
+    near = np.hypot(d[..., 0], d[..., 1]) + 10 * np.eye(len(every))
+    assert near.min() >= 1 and len(every) > 30
+    s.reset()
+    assert (s.random(5) == first).all()
+    with pytest.raises(ValueError):
+        s.add_points(np.array([[3.0, 7.0]]))  # the far side is open
+    generators.PoissonDisk(1.0, (9.0, 7.0), closed=True).add_points(np.array([[9.0, 7.0]]))
+
+
+def test_displaced_lattices_follow_numpys_stream(spark):
+    n, sigma = 6, 0.2
+    d = np.random.default_rng(3).uniform(-sigma, sigma, (28, 2))
+    got = sorted((round(r.x, 9), round(r.y, 9), r.flag) for r in generators.triangle(spark, n, sigma, seed=3).collect())
+    want, at = [], 0
+    for j in range(n + 1):
+        for i in range(n + 1 - j):
+            x, y, (dx, dy) = i + j / 2, j * math.sqrt(3) / 2, d[at]
+            at += 1
+            sides = (j == 0) + (i == 0) + (i == n - j)
+            if sides >= 2:
+                flag, move = 5, (0.0, 0.0)
+            elif j == 0:
+                flag, move = 1, (dx, 0.0)
+            elif i == 0:
+                flag, move = 4, (dx / 2, dx * math.sqrt(3) / 2)
+            elif i == n - j:
+                flag, move = 2, (-dx / 2, dx * math.sqrt(3) / 2)
+            else:
+                flag, move = 0, (dx, dy)
+            want.append((round(round(x + move[0], 12), 9), round(round(y + move[1], 12), 9), flag))
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[2] == b[2] and math.dist(a[:2], b[:2]) < 1e-8
+    d = np.random.default_rng(5).uniform(-sigma, sigma, (5 * 6, 2)).reshape(6, 5, 2)
+    rows = {r.id: r for r in generators.grid(spark, 5, sigma, "channel", seed=5).collect()}
+    for y in range(6):
+        for x in range(5):
+            r = [q for q in rows.values() if abs(((q.x - x - d[y, x, 0]) + 2.5) % 5 - 2.5) < 1e-9 and abs(q.y - y - (0 if y in (0, 5) else d[y, x, 1])) < 1e-9]
+            assert len(r) == 1 and r[0].flag == {0: 1, 5: 3}.get(y, 0)
 
 
 def test_reorder(spark, tmp_path):

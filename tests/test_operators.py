@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import curves, fields, lattice, metric
 from tessera.functions.metric import OPEN, Box
 from tessera.operators import grid, neighbours, ordering, stats, weights
-from tessera.sources import generators
+from tessera.sources import generators, sinks
 from tests.test_sources import GRID, parse
 
 
@@ -234,6 +234,58 @@ def test_interpolation_weights(spark):
     assert info.tolist() == [1, 0] and (got[0] == 0).all() and abs(got[1].sum() - 1) < 1e-10
 
 
+def test_ragged_weights_in_the_nodes_own_coordinates(spark):
+    rng = np.random.default_rng(8)
+    xy = rng.uniform(size=(20, 2)).round(6)
+    nodes = spark.createDataFrame([(i, *p) for i, p in enumerate(xy.tolist())], "id long, x double, y double")
+    order = [sorted(range(20), key=lambda j, i=i: math.dist(xy[i], xy[j])) for i in range(20)]
+    edges = spark.createDataFrame([(i, k + 1, j) for i in range(20) for k, j in enumerate(order[i][: 9 + i % 4])], "row long, k int, col long")
+    with pytest.raises(Exception, match="a stencil has"):
+        weights.interpolation_weights(nodes, edges, weights.Interpolation(9), [(0.5, 0.5)], local=False).collect()
+    w = weights.interpolation_weights(nodes, edges, weights.Interpolation(9), [(0.5, 0.5), (0.25, 0.5)], local=False, ragged=True)
+    rows = w.collect()
+    assert len(rows) == 2 * edges.count()
+    for i in range(20):
+        for a, b in ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2)):
+            got = [sum(r.weight * xy[r.col][0] ** a * xy[r.col][1] ** b for r in rows if r.row == i and r.op == op) for op in (0, 1)]
+            assert abs(got[0] - 0.5 ** (a + b)) < 1e-8 and abs(got[1] - 0.25**a * 0.5**b) < 1e-8
+    both = {(r.row, r.k): r.weight for r in weights.summed(w, (0, 1)).collect()}
+    for r in rows:
+        other = next(s.weight for s in rows if (s.row, s.k) == (r.row, r.k) and s.op != r.op)
+        assert abs(both[r.row, r.k] - r.weight - other) < 1e-12
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf"), float("-inf")])
+def test_points_without_finite_coordinates_are_refused(spark, bad):
+    rng = np.random.default_rng(9)
+    good = spark.createDataFrame([(i, *p) for i, p in enumerate(rng.uniform(size=(60, 2)).tolist())], "id long, x double, y double")
+    faulty = good.union(spark.createDataFrame([(60, 0.5, bad)], good.schema))
+    for run in (
+        lambda: neighbours.knn_stencils(faulty, 3),
+        lambda: neighbours.knn_stencils(faulty, 3, Box((1.0, 1.0))),
+        lambda: neighbours.knn_join(faulty, good, 2),
+        lambda: neighbours.knn_join(good, faulty, 2),
+        lambda: neighbours.nearest(faulty),
+        lambda: neighbours.within(faulty, 0.1),
+        lambda: ordering.curve_order(faulty),
+    ):
+        with pytest.raises(ValueError, match="1 points have coordinates"):
+            run()
+
+
+def test_row_pointer_keeps_empty_rows(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 1, 0), (0, 2, 2), (2, 1, 2)], "row long, k int, col long")
+    ia = lambda *a: [r.ia for r in ordering.row_pointer(edges, *a).orderBy("row").collect()]
+    assert ia() == [0, 2, 2, 3] and ia(5) == [0, 2, 2, 3, 3, 3]
+    assert [r.ia for r in ordering.row_pointer(edges.limit(0)).collect()] == [0]
+    with pytest.raises(ValueError, match="beyond"):
+        ordering.row_pointer(edges, 2)
+    p = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "old_id long, new_id long")
+    assert [r.ia for r in ordering.row_pointer(ordering.renumber_edges(edges, p), 3).orderBy("row").collect()] == [0, 0, 1, 3]
+    with pytest.raises(ValueError, match="1 of 3 nodes have no row"):
+        sinks.write_graph(edges, str(tmp_path / "a"))
+
+
 def test_generators(spark):
     assert generators.triangle(spark, 7).count() == 8 * 9 // 2
     assert generators.triangle(spark, 7).filter("flag = 5").count() == 3
