@@ -1,14 +1,20 @@
 """Personal data by rules, and by bootstrapped contextual extraction.
 
 1. ``scan`` finds base spans (e-mail, IP, card, phone; see the functions below) in whole texts, and
-   candidates: identifier-like strings that no rule accepts. Each mention carries two lexical patterns:
-   the two words in front of it, and the words on both sides.
+   candidates: identifier-like strings that no rule accepts. Each mention carries lexical patterns: the two words
+   in front of it; the words on both sides; its shape (digits as their number, letters as one, other characters
+   as they are) behind the word in front of it; and its shape alone, if a rule takes the string by itself (a
+   phone, say, that a rule's match ran past).
 2. ``patterns`` scores a graph of patterns and instances with Spark, in rounds until one adds no pattern and no
-   instance. Base entities are the seeds. A pattern's confidence for a kind is the share of the words it stands around, over the whole
-   corpus, that are known instances of the kind; it needs ``support`` different ones. An instance's score is
+   instance. Base entities are the seeds. A pattern's confidence for a kind is the share of what it stands for, over the
+   whole corpus, that are known instances of the kind: for patterns of words the words they stand around, for those
+   with a shape the mentions of that shape. It needs ``support`` different known instances. An instance's score is
    the noisy-or of its confident patterns; instances that score high count as known in the next round.
 3. ``extract`` marks candidates that stand in a confident pattern as spans of its kind; base spans stay.
 
+The words around which patterns stand are counted in one pass over the corpus; what each task gets for it is a
+bitmap of fixed size, which lets through all occurrences of the patterns in question and a few others.
+
 Rules match leftmost and non-overlapping for each kind, in code points; a match that fails its check is
 dropped without a retry. They are written so that no text costs more than linear time.
 
@@ -24,8 +30,10 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,6 +48,9 @@ _ANY = re.compile(r"[0-9@]")
 #: What may be an identifier though no rule accepts it: a run of digits and their separators, or a word with a digit or an at sign.
 _RUN = re.compile(r"\+?\(?[0-9][0-9().\x20-]{4,}[0-9]")
 _WORD = re.compile(r"\S+")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
+#: Base-2 logarithm of the bits of the bitmap that picks the patterns to count: 8 MB.
+BITS = 26
 _EDGE = "\"'()[]{}<>,;:!?.*#|=&%$"
 
 
@@ -88,7 +99,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Identifier-like strings that touch no base span, in order and without overlaps."""
-    found = [m.span() for m in _RUN.finditer(text) if sum(c.isdigit() for c in m[0]) >= 7]
+    found, start = [], 0
+    for a, b in [*sorted(taken), (len(text), len(text))]:  # a run ends before a span, and begins behind one
+        for m in _RUN.finditer(text, start, a):
+            if sum(c.isdigit() for c in m[0]) >= 7 and (m.start() > start or not start) and (m.end() < a or a == len(text)):
+                found.append(m.span())
+        start = max(start, b)
     for m in _WORD.finditer(text):
         word = m[0]
         if not _ANY.search(word):
@@ -108,8 +124,12 @@ def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int,
             end = b
 
 
-def _contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, bool]]:
-    """The two patterns of each span (in order of start): words in front, and words on both sides; in lower case. And whether it has several words."""
+def _shape(instance: str) -> str:
+    return _DIGITS.sub(lambda m: f"d{len(m[0])}", _LETTERS.sub("a", instance))
+
+
+def _contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[str], bool]]:
+    """The patterns of each span (in order of start), words in lower case: words in front, words on both sides, shape, shape behind the word in front. And whether the span has several words."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     out, i = [], 0
     word = lambda k: text[words[k][0] : words[k][1]].lower() if 0 <= k < len(words) else ""
@@ -119,77 +139,117 @@ def _contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, b
         j = i
         while j + 1 < len(words) and words[j + 1][0] < b:
             j += 1
-        out.append((f"{word(i - 2)} {word(i - 1)} _", f"{word(i - 1)} _ {word(j + 1)}", j > i))
+        shape = _shape(text[a:b])
+        out.append(([f"{word(i - 2)} {word(i - 1)} _", f"{word(i - 1)} {word(j + 1)} |", f"\t{shape}", f"{word(i - 1)}\t{shape}"], j > i))
     return out
 
 
-MENTION = "struct<kind:int,start:long,end:long,instance:string,before:string,around:string,wide:boolean>"
+MENTION = "struct<kind:int,start:long,end:long,instance:string,patterns:array<string>,wide:boolean>"
+_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("wide", pa.bool_())]))
+
+
+def mentions_of(text: str) -> list[dict]:
+    """Base spans (kind 0 to 3) and candidates (kind -1) of a text with their patterns, in order."""
+    base = base_spans(text)
+    spans = [(a, b, k) for a, k, b in base]
+    if _ANY.search(text):
+        spans += [(a, b, -1) for a, b in _candidates(text, [(a, b) for a, b, _ in spans])]
+    spans.sort()
+    found = zip(spans, _contexts(text, [s[:2] for s in spans]) if spans else [], strict=True)
+    # its shape alone tells something of a string only if a rule would take it by itself
+    lone = lambda a, b, k: k >= 0 or any(x == 0 and y == b - a for x, _, y in base_spans(text[a:b]))
+    instance = lambda a, b: re.sub(r"[\s().-]", "", text[a:b]).lower()
+    return [{"kind": k, "start": a, "end": b, "instance": instance(a, b), "patterns": p if lone(a, b, k) else [p[0], p[1], p[3]], "wide": w} for (a, b, k), (p, w) in found]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, h, g (hashes of the text), mentions: base spans (kind 0 to 3) and candidates (kind -1) with their patterns."""
+    """doc_id, h, g (hashes of the text), mentions."""
 
     def f(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        rows = []
-        for t in texts:
-            text = t.decode()
-            base = base_spans(text)
-            spans = [(a, b, k) for a, k, b in base]
-            if _ANY.search(text):
-                spans += [(a, b, -1) for a, b in _candidates(text, [(a, b) for a, b, _ in spans])]
-            spans.sort()
-            rows.append([{"kind": k, "start": a, "end": b, "instance": re.sub(r"[\s().-]", "", text[a:b]).lower(), "before": p, "around": q, "wide": w} for (a, b, k), (p, q, w) in zip(spans, _contexts(text, [s[:2] for s in spans]) if spans else [], strict=True)])
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("before", pa.string()), ("around", pa.string()), ("wide", pa.bool_())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, kind)], ["doc_id", "h", "g", "mentions"])
+        rows = [mentions_of(t.decode()) for t in texts]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, _ARROW)], ["doc_id", "h", "g", "mentions"])
 
     keep = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
     return common.map_texts(docs, keep, f"doc_id long, h long, g long, mentions array<{MENTION}>", f)
 
 
-def _occurrences(docs: DataFrame, wanted: DataFrame, block: int = 500_000) -> DataFrame:
-    """pattern, n: around how many words of the corpus each wanted pattern stands; a pass for each block of patterns."""
-    spark, parts = docs.sparkSession, []
-    blocks = -(-wanted.count() // block)
-    for k in range(blocks):
-        rows = (wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)).collect()
-        keys: dict[bool, dict] = {False: {}, True: {}}
-        for r in rows:
-            w = r.pattern.split(" ")
-            before = w[2] == "_"
-            a, b = (w[0], w[1]) if before else (w[0], w[2])
-            keys[before][a, b] = r.pattern
-        shared = spark.sparkContext.broadcast(keys)
-
-        def run(batches, shared=shared):
-            before, around = shared.value[True], shared.value[False]
-            seen: Counter = Counter()
-            for batch in batches:
-                for text in batch.column(0):
-                    w = ["", "", *(text.as_py() or "").lower().split(), ""]
-                    seen.update(map(before.get, filter(before.__contains__, zip(w[:-3], w[1:-2], strict=True))))
-                    seen.update(map(around.get, filter(around.__contains__, zip(w[1:-2], w[3:], strict=True))))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
-
-        parts.append(docs.select("text").mapInArrow(run, "pattern string, n long"))
-    found = spark.createDataFrame([], "pattern string, n long")
-    for p in parts:
-        found = found.union(p)
-    return common.written(found.groupBy("pattern").agg(F.sum("n").alias("n")), "occurrences")
+def _place(first, second, flag):
+    """The bit of a pattern of two words, from the words' hashes: the same on columns and on arrays."""
+    if isinstance(first, Column):
+        mixed = first.bitwiseXOR(F.shiftleft(second, 1)).bitwiseXOR(F.shiftrightunsigned(second, 63))
+        return F.shiftrightunsigned(mixed, 64 - BITS).bitwiseXOR(flag)
+    return ((first ^ (second << np.uint64(1)) ^ (second >> np.uint64(63))) >> np.uint64(64 - BITS)).astype(np.int64) ^ flag
+
+
+def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pattern, n: around how many words of the corpus each wanted pattern of words stands."""
+    spark = docs.sparkSession
+    words = F.split("pattern", " ")
+    before = words[2] == "_"
+    place = _place(F.xxhash64(words[0]), F.xxhash64(words[1]), before.cast("long"))
+    placed = wanted.select((place + 1).alias("at"))  # the functions count buckets and bits from one
+    bits = placed.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in bits.collect():  # at most 2 ** (BITS - 15) rows of 4 KB
+        part = np.frombuffer(r.bits, np.uint8)
+        bitmap[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(part)] = part
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        import xxhash
+
+        index, hashes, seen = common._Index(), np.zeros(0, np.uint64), Counter()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            column = batch.column(0)
+            for a, b in common.grouped(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()):
+                if len(index) > 400_000:
+                    index.clear()
+                    hashes = np.zeros(0, np.uint64)
+                flat: list[str] = []
+                for text in common.text_bytes(column.slice(a, b - a)):
+                    flat += ["", "", *text.decode().lower().split(), ""]
+                at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+                fresh = list(index)[len(hashes) :]
+                hashes = np.r_[hashes, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in fresh), np.uint64, len(fresh))]
+                h, none = hashes[at], index[""]
+                if len(hashes) < len(index):
+                    continue  # nothing but empty texts
+                inner = at[1:-1] != none
+                for flag, x, y in ((1, -2, -1), (0, -1, 1)):
+                    mid = np.nonzero(inner)[0] + 1
+                    bit = _place(h[mid + x], h[mid + y], flag)
+                    hit = mid[(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                    for i in hit.tolist():
+                        seen[f"{flat[i - 2]} {flat[i - 1]} _" if flag else f"{flat[i - 1]} {flat[i + 1]} |"] += 1
+                if len(seen) > 400_000:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    found = docs.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return common.written(found.join(wanted, "pattern", "left_semi"), "occurrences")
 
 
 def patterns(docs: DataFrame, mentions: DataFrame, support: int = 5, confidence: float = 0.75, rounds: int | None = None) -> DataFrame:
     """pattern, kind, conf of the confident patterns; mentions: one row each, as scan gives them."""
-    side = lambda name, wide: F.struct(F.col(name).alias("pattern"), wide.cast("long").alias("wide"))
-    sides = F.explode(F.array(side("before", F.lit(False)), side("around", F.col("wide")))).alias("side")
-    edges = mentions.select("instance", "kind", sides).select("instance", "kind", "side.*").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("m"), F.max("kind").alias("kind"), F.sum("wide").alias("wide"))
+    sides = mentions.select("instance", "kind", "wide", F.posexplode("patterns").alias("which", "pattern"))
+    edges = sides.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("m"), F.max("kind").alias("kind"), F.sum(((F.col("which") == 1) & F.col("wide")).cast("long")).alias("wide"))
     edges = common.written(edges, "edges")
     # a pattern can only become confident around enough different strings; later rounds may know them if no seed is there
     wanted = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("strings")).filter(F.col("strings") >= support).select("pattern")
     wanted = common.written(wanted, "wanted")
     edges = common.written(edges.join(wanted, "pattern", "left_semi"), "edges")
-    # words on both sides stand around mentions of several words too, which are no single word's occurrences
-    several = edges.groupBy("pattern").agg(F.sum("wide").alias("n")).filter("n > 0")
-    totals = _occurrences(docs, wanted).union(several).groupBy("pattern").agg(F.sum("n").alias("n"))
+    shaped = F.col("pattern").contains("\t")
+    # a shape stands for mentions; words on both sides stand around mentions of several words too, which are no single word's occurrences
+    counted = edges.groupBy("pattern").agg(F.sum(F.when(shaped, F.col("m")).otherwise(F.col("wide"))).alias("n")).filter("n > 0")
+    totals = _occurrences(docs, wanted.filter(~shaped)).union(counted).groupBy("pattern").agg(F.sum("n").alias("n"))
+    totals = common.written(totals, "totals")
     seeds = edges.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("s")).distinct()
     known, size = seeds, -1
     for _ in count() if rounds is None else range(rounds):
@@ -212,7 +272,7 @@ def extract(docs: DataFrame, support: int = 5, confidence: float = 0.75, rounds:
     good = patterns(docs, mentions, support, confidence, rounds)
     new = (
         mentions.filter("kind < 0")
-        .select("h", "g", "start", "end", F.explode(F.array("before", "around")).alias("pattern"))
+        .select("h", "g", "start", "end", F.explode("patterns").alias("pattern"))
         .join(good, "pattern")
         .groupBy("h", "g", "start", "end")
         .agg(F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("kind"))

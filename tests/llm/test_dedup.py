@@ -107,6 +107,49 @@ def test_similar_documents(spark, monkeypatch):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values()))
 
 
+def test_radius_misses_hardly_any_pair_of_the_similarity():
+    rng = np.random.default_rng(0)
+    for n, m in ((5, 4), (9, 9), (20, 25), (90, 90), (225, 225)):
+        both = -(-4 * (n + m) // 9)
+        away = []
+        for _ in range(3000):
+            h = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n + m - both, dtype=np.uint64)
+            a, b = (np.array(simhash._code(x), np.uint64) for x in (h[:n], np.r_[h[:both], h[n:]]))
+            away.append(np.bitwise_count(a ^ b))
+        bits = 64 * len(away) * simhash.CODE
+        p = [q for k, q in simhash._disagreement(0.8) if k <= min(n, m)][-1]
+        share = np.sum(away) / bits
+        assert share <= p + 5 * (p / bits) ** 0.5 and share >= 0.8 * p  # the probability is that of the worst pair
+        assert np.sum(away, axis=1).max() <= simhash.radius_of(min(n, m), 0.8, 64 * simhash.CODE)
+        assert np.sum(np.array(away)[:, : simhash.FIRST], axis=1).max() <= simhash.radius_of(min(n, m), 0.8, 64 * simhash.FIRST)
+
+
+def test_pairs_just_above_the_similarity_are_all_found(spark):
+    texts, want = [], []
+    for i in range(400):  # a chunk of other words at the end, so few that four fifths of the shingles are shared
+        n = 5 + i % 120
+        base = words(n + 4, i)
+        k = int(n * (1 - 0.8) / (1 + 0.8) + 1e-9)  # n shingles each, n - k shared: (n - k) / (n + k) is at least 0.8
+        texts += [(1000 + i, " ".join(base)), (2000 + i, " ".join([*base[: n + 4 - k], *words(k, 5000 + i)]))]
+        want.append((2000 + i, 1000 + i))
+    got = {x.doc_id: x.component_id for x in simhash.similar(documents(spark, texts)).collect()}
+    assert [(i, got[i]) for i, _ in want] == want
+
+
+def test_large_groups_of_near_copies_are_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_TILE", 64)
+    monkeypatch.setattr(simhash, "TILE", 128)
+    base, r, texts = words(200, 3), random.Random(3), []
+    for i in range(600):  # a component of many tiles
+        w = list(base)
+        for _ in range(i % 3):
+            w[r.randrange(200)] = f"other{i}"
+        texts.append((i, " ".join(w)))
+    texts += [(1000 + i, " ".join(words(200, 100 + i))) for i in range(50)]
+    got = {x.doc_id: x.component_id for x in simhash.similar(documents(spark, texts)).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in texts}
+
+
 @pytest.mark.parametrize("n", [1, 100_000, 3_000_000])
 def test_links_for_any_number_of_parts(spark, n):
     rng = np.random.default_rng(n)

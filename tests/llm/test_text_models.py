@@ -163,6 +163,99 @@ def test_bootstrapped_extraction_around_several_words(spark):
     assert found == {i: [(3, True)] for i in range(10)} | {100: [(3, False)], 101: []}
 
 
+def brute_bootstrap(texts, support=5, confidence=0.75):
+    """The scoring rounds in plain Python: discovered (text, start, kind, end)."""
+    mentions = [(i, m) for i, t in enumerate(texts) for m in pii.mentions_of(t or "")]
+    edges, kinds = defaultdict(Counter), {}
+    for _, m in mentions:
+        for p in m["patterns"]:
+            edges[p][m["instance"]] += 1
+    for p in edges:
+        for x in edges[p]:
+            kinds[p, x] = max(m["kind"] for _, m in mentions if m["instance"] == x and p in m["patterns"])
+    wanted = {p for p, xs in edges.items() if len(xs) >= support}
+    total = Counter()
+    for t in texts:
+        w = ["", "", *(t or "").lower().split(), ""]
+        for k in range(2, len(w) - 1):
+            total[f"{w[k - 2]} {w[k - 1]} _"] += 1
+            total[f"{w[k - 1]} {w[k + 1]} |"] += 1
+    for _, m in mentions:
+        total[m["patterns"][1]] += m["wide"]
+        for p in m["patterns"][2:]:  # with a shape
+            total[p] += 1
+    known = {(x, k): 1.0 for (p, x), k in kinds.items() if p in wanted and k >= 0}
+    while True:
+        good = {}
+        for p in wanted:
+            for k in range(4):
+                mine = [(x, m) for x, m in edges[p].items() if (x, k) in known]
+                hits = sum(m * known[x, k] for x, m in mine)
+                if len(mine) >= support and min(1.0, hits / max(total[p], hits)) >= confidence:
+                    good[p, k] = min(1.0, hits / max(total[p], hits))
+        found = defaultdict(lambda: 1.0)
+        for (p, k), conf in good.items():
+            for x in edges[p]:
+                if kinds[p, x] < 0:
+                    found[x, k] *= 1 - min(conf, 0.999)
+        new = {y: v for y, v in known.items() if v == 1.0} | {y: max(1 - v, known.get(y, 0)) for y, v in found.items() if 1 - v >= confidence and known.get(y) != 1.0}
+        if set(new) == set(known) and all(abs(new[y] - known[y]) < 1e-12 for y in new):
+            break
+        known = new
+    out = set()
+    for i, m in mentions:
+        claims = [(conf, -k) for (p, k), conf in good.items() if p in m["patterns"]]
+        if m["kind"] < 0 and claims:
+            out.add((i, m["start"], -max(claims)[1], m["end"]))
+    return out
+
+
+def random_people(seed, n=500):
+    """Texts whose identifiers stand behind label words; some no rule takes. And which those are."""
+    r = random.Random(seed)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    filler = lambda: " ".join(r.choice(["the", "old", "mill", "by", "a", "river", "was", "sold", "again"]) for _ in range(r.randrange(3, 9)))
+    texts, planted, clean = [], set(), 0
+    for i in range(n):
+        kind = r.choice([*["phone", "mail"] * 6, "local", "masked", "order", "plain", *["joined"] * 3])
+        said = {
+            "phone": lambda: f"dial phone +49 30 {digits(7)} soon",
+            "local": lambda: f"dial phone 030-{digits(7)} soon",  # a phone without its plus
+            "mail": lambda: f"write to mail person{r.randrange(900)}@example.com today",
+            "masked": lambda: f"write to mail person{r.randrange(900)}(at)example.com today",  # a hidden e-mail
+            "order": lambda: f"your order {digits(8)} left",
+            "plain": lambda: f"number {digits(9)} of many",
+            "joined": lambda: f"call +1 ({digits(3)}) 555-{digits(4)} 10.{r.randrange(99)}.{r.randrange(99)}.7",  # the rule takes both for one
+        }[kind]()
+        head = filler()
+        texts.append(f"{head} {said} {filler()}" if kind != "joined" or i % 6 == 1 else f"{head} call +1 ({digits(3)}) 555-{digits(4)} now")
+        at = len(head) + 1
+        if kind in ("local", "masked"):
+            a = texts[-1].index(said.split()[-2], at)
+            planted.add((i, a, 3 if kind == "local" else 0, a + len(said.split()[-2])))
+        elif kind == "joined" and i % 6 == 1:
+            a = texts[-1].index("+", at)
+            planted.add((i, a, 3, a + 17))
+        clean += kind in ("order", "plain")
+    return texts, planted, clean
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bootstrap_matches_plain_rounds_and_finds_planted_identifiers(spark, seed):
+    texts, planted, clean = random_people(seed)
+    rows = pii.extract(documents(spark, list(enumerate(texts)))).collect()
+    got = {(r.doc_id, s.start, s.kind, s.end) for r in rows for s in r.spans if not s.base}
+    assert got == brute_bootstrap(texts)
+    assert len(got & planted) >= 0.9 * len(planted) and len(got & planted) >= 0.95 * len(got) and clean > 20
+
+
+def test_shapes_and_runs_next_to_spans():
+    assert pii._shape("+1 (826) 555-4081") == "+d1 (d3) d3-d4" and pii._shape("É9x@a.io") == "ad1a@a.a"
+    text = "x +1 (826) 555-4081 190.137.223.20 y"
+    assert [(m["kind"], text[m["start"] : m["end"]]) for m in pii.mentions_of(text)] == [(-1, "+1 (826) 555-4081"), (1, "190.137.223.20")]
+    assert [m["kind"] for m in pii.mentions_of("call1234567+a@b.io")] == [0]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
@@ -172,7 +265,7 @@ def test_nearest_neighbours(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int")
     clean = ann.valid(table)
     assert clean.count() == 3000
-    q = clean.filter("id % 50 = 0")
+    q = F.col("id") % 50 == 0
     got = defaultdict(list)
     for r in ann.search(clean, q, ann.fit(clean), shard_rows=700, block=16).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -187,19 +280,66 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.9 * 300
     assert [j for j, _ in got[100]] == [99, 101, 102, 103, 104]
     few = clean.filter("id < 3")
-    assert sorted((r.query_id, r.vec_id) for r in ann.search(few, few, ann.fit(few)).collect()) == [(a, b) for a in range(3) for b in range(3) if a != b]
-    assert ann.search(clean.limit(0), clean.limit(0), ann.fit(clean.limit(0))).count() == 0
+    assert sorted((r.query_id, r.vec_id) for r in ann.search(few, F.lit(True), ann.fit(few)).collect()) == [(a, b) for a in range(3) for b in range(3) if a != b]
+    assert ann.search(clean.limit(0), q, ann.fit(clean.limit(0))).count() == 0
     narrow = ann.Codes(ann.fit(clean).centre, ann.fit(clean).rotation, 3)  # nearly nothing within: all are searched whole
     again = ann.search(clean, q, narrow).filter("query_id = 50").orderBy("rank").collect()
     c = v @ v[50] / (n * n[50])
     assert [r.vec_id for r in again] == [j for j in np.argsort(-c) if j != 50][:5]
 
 
+def test_repeated_query_ids_search_each_for_themselves(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 16)).astype(np.float32)
+    ids = [*range(100), *[50] * 3, *range(103, 120)]
+    x[101] = x[7]
+    table = ann.valid(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>"))
+    got = defaultdict(list)
+    v = x.astype(np.float64)
+    c = v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    codes = ann.Codes(ann.fit(table).centre, ann.fit(table).rotation, 64)
+    for r in ann.search(table, F.col("id") == 50, codes, shard_rows=30).collect():
+        got[r.rank].append((r.vec_id, round(r.score, 9)))
+    rows = [i for i, n in enumerate(ids) if n == 50]
+    assert len(rows) == 4
+    for rank in range(1, 6):
+        want = []
+        for i in rows:
+            best = sorted((j for j in range(120) if j != i), key=lambda j, i=i: (-round(c[i, j], 12), ids[j]))
+            want.append((ids[best[rank - 1]], round(c[i, best[rank - 1]], 9)))
+        assert sorted(got[rank]) == sorted(want)
+    other = spark.createDataFrame([(7, x[7].tolist()), (7, x[9].tolist())], "id long, v array<float>")
+    top = sorted((r.vec_id, round(r.score, 6)) for r in ann.search(table, other, codes).filter("rank = 1").collect())
+    assert top == [(7, 1.0), (9, 1.0)]  # a table of others: no row is their own
+
+
+@pytest.mark.parametrize("n", [2000, 20_000])
+def test_probing_of_clustered_vectors_touches_few_codes(spark, n):
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((n // 20, 64))
+    x = (centres[rng.integers(0, len(centres), n)] + 0.25 * rng.standard_normal((n, 64))).astype(np.float32)
+    table = ann.valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    codes = ann.fit(table)
+    shard = ann.Shard(codes, np.arange(n), np.arange(n), x)
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = touched = 0
+    asked = range(0, n, n // 100)
+    for i in asked:
+        rows = shard.probed(shard.c[i], codes.radius)
+        touched += n if rows is None else len(rows)
+        away = np.bitwise_count(shard.whole ^ shard.whole[i]).sum(axis=1)
+        assert shard.within(shard.c[i], codes.radius).tolist() == np.nonzero(away <= codes.radius)[0].tolist()
+        c = v @ v[i]
+        c[i] = -2
+        hits += len({*np.argsort(-c)[:5].tolist()} & {*shard.nearest(i, x[i], shard.c[i], 5, codes.radius)[0].tolist()})
+    assert touched < 0.1 * n * len(asked) and hits >= 0.9 * 5 * len(asked)
+
+
 @pytest.mark.parametrize("bits", [16, 40, 64])
 def test_pigeonhole_finds_every_code(bits):
     rng = np.random.default_rng(bits)
     codes = ann.Codes(np.zeros(64), np.linalg.qr(rng.standard_normal((64, 64)))[0], bits)
-    shard = ann.Shard(codes, np.arange(500), rng.standard_normal((500, 64)))
+    shard = ann.Shard(codes, np.arange(500), np.arange(500), rng.standard_normal((500, 64)))
     for i in range(20):
         for radius in (0, 7, 20, 30, 64):
             away = np.bitwise_count(shard.whole ^ shard.whole[i]).sum(axis=1)
