@@ -110,14 +110,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda x: x["base"])
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ann
 
     rows = ann.valid(common.read(spark, sf_dir, "embeddings"))
-    return ann.search(rows, rows.filter(F.col("id") % 50 == 0), ann.fit(rows, k=5), k=5)
+    return ann.search(rows, F.col("id") % 50 == 0, ann.fit(rows, k=5), k=5)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
