@@ -11,7 +11,9 @@
 3. ``components``: smallest-label propagation with pointer jumping over those forests.
 
 ``similar`` and ``one_of_each`` hold documents against a similarity of their shingle sets instead: the same tiles, now
-of classes of set sizes, find candidates by 128 bits, and the sets themselves decide about each.
+of classes of set sizes, find candidates by 256 bits, and the sets themselves decide about each. The radius follows
+from the exact probability that a bit differs between sets of just that similarity, so that it misses a pair in a
+thousand million, while two unrelated sets come that near more rarely still.
 
 Defined cases: a null text counts as empty; an empty text has fingerprint zero and links like any
 other; rows with a null id are fingerprinted and linked, and their component is that of their
@@ -22,6 +24,7 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -197,12 +200,54 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Similarity of shingle sets. Fingerprints of 128 bits, compared tile by tile, find the candidates; the sets decide.
+# Similarity of shingle sets. Fingerprints of 256 bits, compared tile by tile, find the candidates; the sets decide.
 
-#: A candidate differs in at most so many of the first 64 and of all 128 bits. Sets of similarity 0.8 have an angle of
-#: 0.476, which is 9.7 and 19.4 bits with deviations of 2.9 and 4.1.
-CANDIDATE = (18, 34)
 SET_TILE_BYTES, SET_TILE = 4 << 20, 1024
+#: Words of a fingerprint, and of what is compared first.
+CODE, FIRST = 4, 2
+#: The probability with which a pair of just the similarity asked for may differ in more bits than the radius.
+MISS = 1e-9
+
+
+def _binomial(n: int) -> np.ndarray:
+    return np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
+
+
+@lru_cache(maxsize=8)
+def _disagreement(least: float) -> tuple[tuple[int, float], ...]:
+    """(size, p): the greatest probability that a majority bit differs between two sets of the similarity, the smaller of up to so many elements.
+
+    Bits of hashes are fair coins: a bit's probability follows from the binomial distributions of the common and
+    the own elements. It falls as sets grow.
+    """
+    out = []
+    for n in (*range(1, 33), 48, 64, 96, 128, 192, 256):
+        worst = 0.0
+        for m in range(n, math.floor(n / least + 1e-9) + 1):
+            both = math.ceil(least * (n + m) / (1 + least) - 1e-9)
+            if both > n or n == m == both:
+                continue
+            c, a, b = _binomial(both), np.r_[0, np.cumsum(_binomial(n - both))], np.r_[0, np.cumsum(_binomial(m - both))]
+            k = np.arange(both + 1)
+            # the bit is set if more than half the elements set it; below: not set, given k of the common ones
+            low_a, low_b = (x[np.clip(size // 2 - k + 1, 0, len(x) - 1)] for x, size in ((a, n), (b, m)))
+            worst = max(worst, float((c * (low_a * (1 - low_b) + low_b * (1 - low_a))).sum()))
+        out.append((n, worst))
+    worst = np.maximum.accumulate([p for _, p in out[::-1]])[::-1]  # of this size and all greater ones
+    return tuple((n, float(p)) for (n, _), p in zip(out, worst, strict=True))
+
+
+@lru_cache(maxsize=4096)
+def radius_of(size: int, least: float, bits: int) -> int:
+    """So many bits hold all but MISS of the pairs of similarity `least` whose smaller set has `size` elements."""
+    p = next((q for n, q in reversed(_disagreement(least)) if n <= size), 0.0)
+    total, r = 0.0, bits
+    while r > 0:  # the distribution's upper tail
+        total += math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        if total > MISS:
+            return r
+        r -= 1
+    return 0
 
 
 def _set(text: bytes, words: int) -> tuple[int, np.ndarray]:
@@ -217,45 +262,98 @@ def _set(text: bytes, words: int) -> tuple[int, np.ndarray]:
     return node, np.unique(np.fromiter((h(b" ".join(x), SEED) for x in zip(*(w[i:] for i in range(words)), strict=False)), np.uint64, len(w) - words + 1))
 
 
-def _code(hashes: np.ndarray) -> tuple[int, int]:
-    """Majority bits of the hashes, and of another mixing of them."""
-    out = []
-    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    for x in (hashes, mixed ^ (mixed >> np.uint64(29))):
+def _code(hashes: np.ndarray) -> list[int]:
+    """Majority bits of the hashes, and of other mixings of them."""
+    out, x = [], hashes
+    for _ in range(CODE):
         total = np.zeros(64, np.int64)
         for a in range(0, len(x), 1 << 16):
             total += np.unpackbits(x[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(total * 2 > len(x)).tobytes(), "big"))
-    return out[0], out[1]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x = x ^ (x >> np.uint64(29))
+    return out
 
 
 def _candidates(a: tuple, b: tuple, same: bool, least: float):
     """Pairs of places (in blocks) of two tiles (nodes, sizes, codes) that may be similar."""
     (_, na, ca), (_, nb, cb) = a, b
-    pa_, pb = np.bitwise_count(ca[:, 0]), np.bitwise_count(cb[:, 0])
-    if not len(pa_) or not len(pb) or max(int(pa_.min()) - int(pb.max()), int(pb.min()) - int(pa_.max())) > CANDIDATE[0]:
+    if not len(na) or not len(nb):
         return
+    size = min(int(na.min()), int(nb.min()))
+    first, whole = radius_of(size, least, 64 * FIRST), radius_of(size, least, 64 * CODE)
+    pa_, pb = np.bitwise_count(ca[:, :FIRST]).sum(axis=1), np.bitwise_count(cb[:, :FIRST]).sum(axis=1)
+    if max(int(pa_.min()) - int(pb.max()), int(pb.min()) - int(pa_.max())) > first:
+        return
+    fa, fb = ([np.ascontiguousarray(c[:, k]) for k in range(FIRST)] for c in (ca, cb))
     step = max(1, (1 << 20) // len(cb))
     for i in range(0, len(ca), step):
-        u, v = np.nonzero(np.bitwise_count(ca[i : i + step, None, 0] ^ cb[None, :, 0]) <= CANDIDATE[0])
+        away = np.bitwise_count(fa[0][i : i + step, None] ^ fb[0][None, :])
+        for x, y in zip(fa[1:], fb[1:], strict=True):
+            away += np.bitwise_count(x[i : i + step, None] ^ y[None, :])
+        u, v = np.nonzero(away <= first)
         u = u + i
-        away = np.bitwise_count(ca[u] ^ cb[v]).sum(axis=1)
-        ok = (away <= CANDIDATE[1]) & (np.minimum(na[u], nb[v]) >= least * np.maximum(na[u], nb[v]))
+        ok = np.minimum(na[u], nb[v]) >= least * np.maximum(na[u], nb[v])
         if same:
             ok &= u < v
-        if ok.any():
-            yield u[ok], v[ok]
+        u, v = u[ok], v[ok]
+        near = np.bitwise_count(ca[u] ^ cb[v]).sum(axis=1) <= whole
+        if near.any():
+            yield u[near], v[near]
 
 
 def _first_tile(blob: bytes) -> tuple:
-    x = np.frombuffer(blob, np.uint64).reshape(-1, 4)
+    x = np.frombuffer(blob, np.uint64).reshape(-1, 2 + CODE)
     return x[:, 0], x[:, 1].astype(np.int64), np.ascontiguousarray(x[:, 2:])
 
 
 def _set_tile(blob: bytes) -> tuple[tuple, list[np.ndarray]]:
     n = int.from_bytes(blob[:8], "little")
-    head = _first_tile(blob[8 : 8 + 32 * n])
-    return head, np.split(np.frombuffer(blob[8 + 32 * n :], np.uint64), np.cumsum(head[1])[:-1])
+    width = 8 * (2 + CODE)
+    head = _first_tile(blob[8 : 8 + width * n])
+    return head, np.split(np.frombuffer(blob[8 + width * n :], np.uint64), np.cumsum(head[1])[:-1])
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    both = np.concatenate([a, b])
+    both.sort()
+    common_ = int((both[1:] == both[:-1]).sum())  # within a set all are different
+    return common_ >= least * (len(a) + len(b) - common_)
+
+
+def _verified(a: tuple, sa: list, b: tuple, sb: list, same: bool, least: float) -> list[tuple[int, int]]:
+    """Links (nodes) that connect all similar sets of two tiles; pairs that others connect already are not compared."""
+    off = 0 if same else len(a[0])
+    label = np.arange(off + len(b[0]))
+    edges = []
+
+    def compare(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        nonlocal label
+        ok = np.array([_similar(sa[i], sb[j], least) for i, j in zip(u.tolist(), v.tolist(), strict=True)], bool)
+        edges.extend(zip(a[0][u[ok]].tolist(), b[0][v[ok]].tolist(), strict=True))
+        label = _joined(label, u[ok], v[ok] + off)
+        return ok
+
+    for u, v in _candidates(a, b, same, least):
+        while len(u):
+            lu, lv = label[u], label[v + off]
+            apart = lu != lv
+            u, v, lu, lv = u[apart], v[apart], lu[apart], lv[apart]
+            if not len(u):
+                break
+            # one pair for each two components, which mostly connects them; then the others, some at a time
+            one = np.unique(np.stack([np.minimum(lu, lv), np.maximum(lu, lv)]), axis=1, return_index=True)[1]
+            failed = one[~compare(u[one], v[one])]
+            rest = np.ones(len(u), bool)
+            rest[one] = False
+            u, v = u[rest], v[rest]
+            if len(failed):
+                lu, lv = label[u], label[v + off]
+                apart = lu != lv
+                u, v = u[apart], v[apart]
+                compare(u[:256], v[:256])
+                u, v = u[256:], v[256:]
+    return edges
 
 
 def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -266,19 +364,20 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     width = -math.log(least)
-    head = "node long, size long, c0 long, c1 long"
+    names = [f"c{k}" for k in range(CODE)]
+    head = f"node long, size long, {', '.join(f'{c} long' for c in names)}"
 
     def sketch(texts: list[bytes]) -> list[pa.Array]:
         nodes, sets = zip(*(_set(t, words) for t in texts), strict=True)
         codes = [_code(x) for x in sets]
-        columns = [nodes, [len(x) for x in sets], [c[0] for c in codes], [c[1] for c in codes]]
+        columns = [nodes, [len(x) for x in sets], *zip(*codes, strict=True)]
         return [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns]
 
     def f(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), *sketch(texts)], ["doc_id", "node", "size", "c0", "c1"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *sketch(texts)], ["doc_id", "node", "size", *names])
 
     found = common.written(common.map_texts(docs, ["doc_id"], f"doc_id long, {head}", f), "sketches")
-    first = [F.first(c).alias(c) for c in ("size", "c0", "c1")]  # equal within a class
+    first = [F.first(c).alias(c) for c in ("size", *names)]  # equal within a class
     classes = common.written(found.groupBy("node").agg(F.min("doc_id").alias("least"), *first), "classes")
     cell = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / width)).otherwise(-9).cast("long")
     spread = max(1, classes.count() // (16 * TILE))
@@ -287,16 +386,16 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             c = batch.column(0).to_numpy()
-            rows = np.stack([batch.column(i).to_numpy() for i in range(1, 5)], axis=1).view(np.uint64)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(1, 3 + CODE)], axis=1).view(np.uint64)
             for k in np.unique(c).tolist():
                 held.setdefault(k, []).append(rows[c == k])
         for k, parts in held.items():
             rows = np.concatenate(parts)
-            rows = rows[np.argsort(np.bitwise_count(rows[:, 2]), kind="stable")]  # tiles of like population counts
+            rows = rows[np.argsort(np.bitwise_count(rows[:, 2 : 2 + FIRST]).sum(axis=1), kind="stable")]  # tiles of like population counts
             tiles = [rows[i : i + TILE].tobytes() for i in range(0, len(rows), TILE)]
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(tiles), pa.int64()), pa.array(tiles, pa.binary())], ["cell", "tile"])
 
-    rows = classes.filter("size > 0").select(cell.alias("cell"), "node", "size", "c0", "c1")
+    rows = classes.filter("size > 0").select(cell.alias("cell"), "node", "size", *names)
     tiles = rows.repartition("cell", F.pmod(F.xxhash64("node"), F.lit(spread))).mapInArrow(pack, "cell long, tile binary")
 
     def link(batches):
@@ -310,33 +409,39 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
                 moved = np.nonzero(label != np.arange(len(nodes)))[0]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[label[moved]].view(np.int64))], ["a", "b"])
 
-    # similar documents are in one component of candidates: only within these do sets meet
+    # similar documents are in one component of candidates: only within these do sets meet. Small components share
+    # cells; a large one has a cell of its own, which is dealt over tasks
     near = components(_met(tiles, [0, 1]).mapInArrow(link, "a long, b long"))
     buckets = max(1, near.count() // SET_TILE)
-    chosen = classes.join(near, "node").select("node", F.col("least").alias("doc_id"), F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("cell"))
+    sized = near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+    small = F.col("n") <= SET_TILE
+    cell = F.when(small, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.xxhash64("root"))
+    salt = F.when(small, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SET_TILE)))
+    chosen = classes.join(sized, "node").select("node", F.col("least").alias("doc_id"), cell.alias("cell"), salt.cast("long").alias("salt"))
     chosen = common.written(chosen, "chosen")
 
     def sets(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         blobs = [_set(t, words)[1].tobytes() for t in texts]
         made = sketch(texts)
-        rows = pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(blobs, pa.binary())], ["cell", "node", "size", "c0", "c1", "hashes"])
+        rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, pa.array(blobs, pa.binary())], ["cell", "salt", "node", "size", *names, "hashes"])
         # other texts may repeat the id: only the class's own text belongs in its cell
-        return rows.filter(pa.array(made[0].to_numpy() == batch.column(1).to_numpy()))
+        return rows.filter(pa.array(made[0].to_numpy() == batch.column(2).to_numpy()))
 
-    whole = common.map_texts(docs.join(chosen, "doc_id"), ["cell", "node"], f"cell long, {head}, hashes binary", sets).dropDuplicates(["node"])
+    whole = common.map_texts(docs.join(chosen, "doc_id"), ["cell", "salt", "node"], f"cell long, salt long, {head}, hashes binary", sets).dropDuplicates(["node"])
 
     def pack_sets(batches):
-        held: dict[int, tuple[list, list]] = {}
-        size: dict[int, int] = {}
+        held: dict[tuple[int, int], tuple[list, list]] = {}
+        size: dict[tuple[int, int], int] = {}
 
-        def blob(k: int) -> pa.RecordBatch:
+        def blob(k: tuple[int, int]) -> pa.RecordBatch:
             heads, bodies = held.pop(k)
             size[k] = 0
             data = len(heads).to_bytes(8, "little") + np.array(heads, np.int64).tobytes() + b"".join(bodies)
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([data], pa.binary())], ["cell", "tile"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0]], pa.int64()), pa.array([data], pa.binary())], ["cell", "tile"])
 
         for batch in batches:
-            for k, *head_, hashes in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for cell_, salt_, *head_, hashes in zip(*(batch.column(i).to_pylist() for i in range(5 + CODE)), strict=True):
+                k = cell_, salt_
                 heads, bodies = held.setdefault(k, ([], []))
                 heads.append(head_)
                 bodies.append(hashes)
@@ -346,36 +451,16 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
         for k in list(held):
             yield blob(k)
 
-
     def decide(batches):
         for batch in batches:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                same = x == y
                 (a, sa), (b, sb) = _set_tile(x), _set_tile(y)
-                off = 0 if same else len(a[0])
-                root = list(range(off + len(b[0])))
-
-                def find(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                edges = []
-                for us, vs in _candidates(a, b, same, least):
-                    for u, v in zip(us.tolist(), vs.tolist(), strict=True):
-                        p, q = find(u), find(off + v)
-                        if p == q:  # linked by others already: one more link changes nothing
-                            continue
-                        common_ = len(np.intersect1d(sa[u], sb[v], assume_unique=True))
-                        if common_ >= least * (len(sa[u]) + len(sb[v]) - common_):
-                            root[max(p, q)] = min(p, q)
-                            edges.append((a[0][u], b[0][v]))
+                edges = _verified(a, sa, b, sb, x == y, least)
                 if edges:
                     e = np.array(edges, np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-    linked = _met(whole.repartition("cell").mapInArrow(pack_sets, "cell long, tile binary"), [0]).mapInArrow(decide, "a long, b long")
+    linked = _met(whole.repartition("cell", "salt").mapInArrow(pack_sets, "cell long, tile binary"), [0]).mapInArrow(decide, "a long, b long")
     roots = components(linked)
     joined = common.written(classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
