@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import shared_dir
+
 #: Whole texts are handled in groups of about so many bytes inside a Python worker.
 GROUP_BYTES = 4 << 20
 
@@ -20,21 +22,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Only where the session has none, as in tests, a temporary one is set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return sc.getCheckpointDir()
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries made and run within remove their shuffle files when they are done: for those whose results are written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The frame, written to the shared folder and read again: its lineage is cut."""
     path = new_path(df.sparkSession, tag)
