@@ -178,6 +178,23 @@ def within(points: DataFrame, reach: float, box: Box = OPEN, coords: Sequence[st
     return pairs.withColumn("k", F.row_number().over(order)).select("row", "k", "col", "dist")
 
 
+def too_close(points: DataFrame, cloud: DataFrame, reach: float, box: Box = OPEN, coords: Sequence[str] = XY) -> DataFrame:
+    """The points that have a point of the cloud nearer than reach, a semi-join on cells as wide as the reach."""
+    if reach <= 0 or any(reach > s / 2 for s in (box.side(i) for i in range(len(coords))) if s):
+        raise ValueError("the reach must be positive and at most half a period")
+    count = [max(1, math.floor(box.side(i) / reach)) if box.side(i) else 0 for i in range(len(coords))]
+    # open axes have no bounds to count cells by: their cell numbers are left as they are
+    cell = [(F.least(F.floor(F.col(c) / (box.side(i) / m)), F.lit(m - 1)) if m else F.floor(F.col(c) / reach)).cast("long") for i, (c, m) in enumerate(zip(coords, count, strict=True))]
+    probe = wrapped(validated(points, coords).select("id", *coords), box, coords).select("*", *[c.alias(f"c{i}") for i, c in enumerate(cell)])
+    home = wrapped(validated(cloud, coords).select(*coords), box, coords).select(*[F.col(c).alias(f"q_{c}") for c in coords], *[c.alias(f"p{i}") for i, c in enumerate(cell)])
+    for i, m in enumerate(count):
+        around = F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1) if not m else _near(F.col(f"c{i}"), 1, m, True).cast("array<bigint>")
+        probe = probe.withColumn(f"p{i}", F.explode(around))
+    pairs = probe.join(home, [f"p{i}" for i in range(len(coords))])
+    dist = distance([F.col(c) for c in coords], [F.col(f"q_{c}") for c in coords], box)
+    return points.join(pairs.filter(dist < reach).select("id"), "id", "left_semi")
+
+
 def coincident(points: DataFrame, coords: Sequence[str] = XY) -> DataFrame:
     """Places that hold more than one node: coordinates, nodes, and the least id."""
     return points.groupBy(*coords).agg(F.count(F.lit(1)).alias("nodes"), F.min("id").alias("first_id")).filter("nodes > 1")
@@ -199,4 +216,4 @@ def thinned(points: DataFrame, reach: float, box: Box = OPEN) -> DataFrame:
         now = undecided.join(waits, "id", "left_anti")
         gone = near.join(now.select(F.col("id").alias("col")), "col", "left_semi").select(F.col("row").alias("id")).distinct()
         left = state.join(gone, "id", "left_anti")
-        state = cut(left.join(now.withColumn("now", F.lit(1)), "id", "left").select("id", F.greatest("kept", F.coalesce("now", F.lit(0))).alias("kept")))
+        state = cut(left.join(now.withColumn("now", F.lit(1)), "id", "left").select("id", F.greatest("kept", F.coalesce("now", F.lit(0))).alias("kept")), instead=[state])

@@ -165,7 +165,7 @@ def reverse_cuthill_mckee(edges: DataFrame) -> DataFrame:
     while not level.isEmpty():
         depth += 1
         reached = pairs.join(level.select(F.col("id").alias("row")), "row").select(F.col("col").alias("id")).distinct()
-        level = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(depth)))
-        seen = cut(seen.union(level))
+        level = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(depth)), instead=[] if depth == 1 else [level])
+        seen = cut(seen.union(level), instead=[seen])
     ranked = known.join(seen, "id")
     return order_by(ranked, -F.col("component"), -F.col("level"), -F.col("degree"), -F.col("old_id"))

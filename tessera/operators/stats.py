@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.metric import OPEN, Box
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, drop
 from tessera.operators.neighbours import nearest
 
 LINE = 8
@@ -37,6 +37,11 @@ def cache_lines(edges: DataFrame, line: int = LINE) -> DataFrame:
     return edges.groupBy("row").agg(F.max(F.abs(F.col("col") - F.col("row"))).alias("reach"), F.count_distinct(at("col")).alias("lines"), F.max(F.abs(at("col") - at("row"))).alias("line_reach"))
 
 
+def count_unique(table: DataFrame, column: str) -> DataFrame:
+    """How many different values a column has; null is none."""
+    return table.agg(F.count_distinct(column).alias("values"))
+
+
 def marker_histogram(points: DataFrame) -> DataFrame:
     return points.groupBy("flag").agg(F.count(F.lit(1)).alias("nodes"))
 
@@ -89,5 +94,8 @@ def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         jump = label.select(F.col("id").alias("low"), F.col("component").alias("to"))
         new = cut(low.join(jump, "low").select("id", "component", F.least("low", "to").alias("new")))
         if new.filter("component <> new").isEmpty():
+            drop(new)
             return label
-        label = new.select("id", F.col("new").alias("component"))
+        drop(label)
+        at, label = new.written_at, new.select("id", F.col("new").alias("component"))
+        label.written_at = at

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import takewhile
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.metric import OPEN, Box
 from tessera.operators import neighbours, ordering, stats
 from tessera.operators.lineage import cut
-from tessera.sources import sinks, text
+from tessera.sources import generators, sinks, text
 from tessera.sources.text import FormatError
 
 SCHEMA = "file string, metric string, value double, fault string"
@@ -104,3 +105,30 @@ def finish(nodes: DataFrame, stem: str, extent: tuple[float, float], box: Box =
         sinks.write_points(nodes, stem)
     sinks.write_graph(edges, stem)
     return stats.summary(nodes, edges, extent)
+
+
+#: Clouds by the name of their generator; each takes a session and its own options, and refuses bad ones.
+GENERATORS = {
+    "disk": generators.disk,
+    "eccentric_annulus": generators.eccentric_annulus,
+    "multilobe": generators.multilobe,
+    "perturbed_grid": generators.grid,
+    "poisson_box": generators.poisson_box,
+    "polar_region": generators.polar_region,
+    "reentrant_corner": lambda spark, **options: generators.ReentrantCorner(**options).nodes(spark),
+    "refined_cavity": generators.cavity,
+    "triangle": generators.triangle,
+}
+
+
+def generate(spark: SparkSession, name: str, stem: str, box: Box = OPEN, method: str = "knn", value: float = 18, **options) -> DataFrame:
+    """Draws a cloud, writes it with its stencils (the 18 nearest nodes unless told otherwise), and sums it up in one row."""
+    if method not in ("knn", "radius", "range"):
+        raise ValueError("the method is knn, radius or range")
+    if not (value >= 2 and float(value).is_integer() if method == "knn" else 0 < value < math.inf):
+        raise ValueError("knn takes a whole number from 2 on, radius and range a positive reach")
+    nodes = cut(GENERATORS[name](spark, **options))
+    r = stats.bounding_box(nodes).first()
+    extent = tuple(box.side(i) or high - low for i, (low, high) in enumerate(((r.xmin, r.xmax), (r.ymin, r.ymax))))
+    stem = stem.removesuffix(".node").removesuffix(".points")
+    return finish(nodes, stem, extent, box, method, value, title=f"{name} {', '.join(f'{k}={v}' for k, v in options.items())}")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fields, lattice, metric
 from tessera.functions.metric import Box
-from tessera.operators import factor, grid, neighbours, ordering, stats, weights
+from tessera.operators import factor, grid, neighbours, nodesets, ordering, stats, weights
 from tessera.operators.lineage import shared_dir
 from tessera.sources import files, generators, sinks, text
 
@@ -184,6 +184,12 @@ def thinned_nodes(spark, d):
     return neighbours.thinned(nodes(spark, d), 0.03)
 
 
+@query(f"WITH {NODES}, {WRAPPED} SELECT a.id, a.x, a.y, a.flag FROM nodes a JOIN wrapped w USING (id) WHERE id % 2 = 1 AND EXISTS (FROM wrapped b WHERE b.id % 2 = 0 AND sqrt({_image_sql('w.x - b.x', '1.0')} ** 2 + {_image_sql('w.y - b.y', '1.0')} ** 2) < 0.02)")
+def too_close(spark, d):
+    n = nodes(spark, d)
+    return neighbours.too_close(n.filter("id % 2 = 1"), n.filter("id % 2 = 0"), 0.02, UNIT)
+
+
 # metric
 
 
@@ -439,6 +445,29 @@ def grid_markers(spark, d):
     return grid.markers(p, b)
 
 
+@query(f"WITH {SHEET} SELECT id, x, y, coalesce(min(part) + 1, 0)::INTEGER AS flag, id AS file_id FROM points LEFT JOIN bound ON id = node GROUP BY id, x, y")
+def nodes_from_grid(spark, d):
+    p, _, b = sheet(spark, d)
+    return nodesets.from_grid(p, b)
+
+
+@query(f"WITH {NODES}, {WRAPPED} SELECT id, w.x, n.y, n.flag, id AS file_id FROM nodes n JOIN wrapped w USING (id)")
+def nodes_periodic_in_x(spark, d):
+    return nodesets.from_points(nodes(spark, d), UNIT, (True, False))
+
+
+@query(f"WITH {NODES} SELECT id, x, y, flag, id AS file_id FROM nodes")
+def nodes_from_file(spark, d):
+    to = _folder(spark)
+    sinks.write_nodes(nodes(spark, d), f"{to}/a", marker="flag")
+    return nodesets.from_file(spark, f"{to}/a.node")
+
+
+@query(f"WITH {EDGES} SELECT count(DISTINCT col // 8) AS \"values\" FROM edges")
+def count_unique(spark, d):
+    return stats.count_unique(edges(spark, d).select(F.floor(F.col("col") / 8).alias("line")), "line")
+
+
 @query(f"WITH {SHEET} SELECT part, arg_min(node, seq) = arg_max(node, seq) AND count(*) > 1 AS closed FROM bound GROUP BY part")
 def grid_closed(spark, d):
     return grid.closed(sheet(spark, d)[2])
@@ -792,6 +821,13 @@ def source_points(spark, d):
     return spark.read.format("points").load(f"{to}/a.points")
 
 
+@query(f"WITH {NODES} SELECT id, {{'x': x, 'y': y}} AS point FROM nodes")
+def source_points_struct(spark, d):
+    to = _folder(spark)
+    sinks.write_points(nodes(spark, d), f"{to}/a")
+    return spark.read.format("points").option("point", True).load(f"{to}/a.points")
+
+
 @query(f"WITH {NODES} SELECT id, x, y, flag AS marker, [x, 1.0] AS attrs FROM nodes")
 def source_node(spark, d):
     to = _folder(spark)
@@ -813,6 +849,13 @@ def source_iperm(spark, d):
     return spark.read.format("iperm").load(f"{to}/a.iperm")
 
 
+@query(f"WITH {SHEET} SELECT part::INTEGER AS part, seq, node FROM bound")
+def source_grid_bound(spark, d):
+    to = _folder(spark)
+    sinks.write_grid(*sheet(spark, d), f"{to}/a")
+    return spark.read.format("grid").option("section", "bound").load(f"{to}/a.grid")
+
+
 @query(f"WITH {SHEET} SELECT kind, elem, verts FROM elements")
 def source_grid(spark, d):
     to = _folder(spark)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import io
 import re
+from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -35,3 +37,9 @@ def read_text(path: str) -> str:
     system, place = filesystem(path)
     with system.open_input_stream(place) as f:
         return f.read().decode("utf-8")
+
+
+def read_lines(path: str) -> Iterator[str]:
+    system, place = filesystem(path)
+    with system.open_input_stream(place) as f, io.TextIOWrapper(f, encoding="utf-8", newline="\n") as text:
+        yield from (line.removesuffix("\n") for line in text)

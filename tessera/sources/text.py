@@ -3,14 +3,16 @@
 ``register(spark)`` adds the formats points, node, grid, bcmap, mapbc, graph and iperm. A file is one
 partition: a header announces counts that only the whole file can confirm, and the order of its lines is the
 numbering. A directory or a glob of files reads as many partitions, with their path as a column if the option
-``with_path`` is set. All faults of a file are reported together.
+``with_path`` is set. All faults of a file are reported together. Points, nodes and graphs are handed on line by
+line; the other formats are small, or can only be told when they are whole, and are read at once.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -73,81 +75,85 @@ def _finite(values: list[float], where: str, faults: _Faults) -> None:
         faults.add(f"{where}: a coordinate is not finite")
 
 
-def _content(text: str, comment: str | None) -> list[tuple[int, list[str]]]:
+def _lines(source: str | Iterable[str]) -> Iterator[str]:
+    """The lines of a text, or of a file that is read as it goes."""
+    return iter(source.split("\n") if isinstance(source, str) else source)
+
+
+def _content(source: str | Iterable[str], comment: str | None) -> Iterator[tuple[int, list[str]]]:
     """(line number, tokens) of all lines that hold something."""
-    out = []
-    for no, line in enumerate(text.split("\n"), 1):
+    for no, line in enumerate(_lines(source), 1):
         tokens = (line.split(comment, 1)[0] if comment else line).split()
         if tokens:
-            out.append((no, tokens))
-    return out
+            yield no, tokens
 
 
-def points(text: str, path: str, options: dict) -> Iterator[tuple]:
-    """A count, then that many lines of two coordinates; what follows is ignored."""
-    faults, lines = _Faults(path), text.split("\n")
-    head = _numbers(lines[0].split(), "i", "line 1", faults)
+def points(source: str | Iterable[str], path: str, options: dict) -> Iterator[tuple]:
+    """A count, then that many lines of two coordinates; what follows is ignored. With the option ``point``, one column of both."""
+    faults, lines = _Faults(path), _lines(source)
+    head = _numbers(next(lines, "").split(), "i", "line 1", faults)
     faults.check()
-    n = head[0]
-    if n < 0:
+    if head[0] < 0:
         raise FormatError(path, ["line 1: a negative count"])
-    rows = []
-    if len(lines) - 1 < n or (n and not "".join(lines[n:]).strip() and len([x for x in lines[1:] if x.strip()]) < n):
-        faults.add(f"{n} points announced, {len([x for x in lines[1:] if x.strip()])} found")
-    for no, line in enumerate(lines[1 : n + 1], 2):
-        xy = _numbers(line.split(), "rr", f"line {no}", faults)
+    found = 0
+    for i, line in enumerate(islice(lines, head[0])):
+        found += bool(line.strip())
+        xy = _numbers(line.split(), "rr", f"line {i + 2}", faults)
         if xy:
-            _finite(xy, f"line {no}", faults)
-            rows.append((no - 2, *xy))
+            _finite(xy, f"line {i + 2}", faults)
+            yield (i, tuple(xy)) if options.get("point") else (i, *xy)
+    if found < head[0]:
+        faults.add(f"{head[0]} points announced, {found} found")
     faults.check()
-    return iter(rows)
 
 
-def node(text: str, path: str, options: dict) -> Iterator[tuple]:
+def node(source: str | Iterable[str], path: str, options: dict) -> Iterator[tuple]:
     """Triangle's .node dialect: comments, blank lines, numbering from 0 or 1, attributes, an optional marker."""
-    faults, lines = _Faults(path), _content(text, "#")
-    if not lines:
+    faults, lines = _Faults(path), _content(source, "#")
+    no, tokens = next(lines, (0, None))
+    if tokens is None:
         raise FormatError(path, ["no header"])
-    head = _numbers(lines[0][1], "iiii", f"line {lines[0][0]}", faults)
+    head = _numbers(tokens, "iiii", f"line {no}", faults)
     faults.check()
     n, dim, nattr, nmark = head
     if n < 0 or dim != 2 or nattr < 0 or nmark not in (0, 1):
-        raise FormatError(path, [f"line {lines[0][0]}: header must be a count, dimension 2, attributes, and 0 or 1 markers"])
-    if len(lines) - 1 != n:
-        faults.add(f"{n} nodes announced, {len(lines) - 1} lines found")
-    rows, base = [], None
-    for i, (no, tokens) in enumerate(lines[1 : n + 1]):
-        got = _numbers(tokens, "irr" + "r" * nattr + "i" * nmark, f"line {no}", faults)
+        raise FormatError(path, [f"line {no}: header must be a count, dimension 2, attributes, and 0 or 1 markers"])
+    found, base = 0, None
+    for no, tokens in lines:
+        found += 1
+        got = _numbers(tokens, "irr" + "r" * nattr + "i" * nmark, f"line {no}", faults) if found <= n else None
         if got:
+            i = found - 1
             base = got[0] - i if base is None else base
             if base not in (0, 1) or got[0] - i != base:
                 faults.add(f"line {no}: nodes are not numbered consecutively from 0 or 1")
             _finite(got[1:3], f"line {no}", faults)
-            rows.append((i, got[1], got[2], got[-1] if nmark else 0, got[3 : 3 + nattr]))
+            yield i, got[1], got[2], got[-1] if nmark else 0, got[3 : 3 + nattr]
+    if found != n:
+        faults.add(f"{n} nodes announced, {found} lines found")
     faults.check()
-    return iter(rows)
 
 
-def graph(text: str, path: str, options: dict) -> Iterator[tuple]:
-    """Rows of column numbers; the option k fixes their length."""
-    faults, lines = _Faults(path), text.split("\n")
-    head = _numbers(lines[0].split(), "ii", "line 1", faults)
+def graph(source: str | Iterable[str], path: str, options: dict) -> Iterator[tuple]:
+    """Rows of column numbers; the option k fixes their length. Blank lines may only stand at the end."""
+    faults, lines = _Faults(path), _lines(source)
+    head = _numbers(next(lines, "").split(), "ii", "line 1", faults)
     faults.check()
     n, nnz = head
     k = int(options.get("k", 0))
-    while len(lines) > 1 and not lines[-1].strip():
-        lines.pop()
-    if len(lines) - 1 != n:
-        faults.add(f"{n} rows announced, {len(lines) - 1} found")
     if k and nnz != n * k:
         faults.add(f"{nnz} entries announced, but {n} rows of {k}")
-    rows, total, low, high = [], 0, n, -1
-    for i, line in enumerate(lines[1 : n + 1]):
-        got = _numbers(tokens := line.split(), "i" * len(tokens), f"row {i}", faults)
-        if got is None:
+    found = total = 0
+    low, high = n, -1
+    for i, line in enumerate(lines):
+        tokens = line.split()
+        if not tokens:
             continue
-        if not got:
-            faults.add(f"row {i} has no entries")
+        for empty in range(found, min(i, n)):
+            faults.add(f"row {empty} has no entries")
+        found = i + 1
+        got = _numbers(tokens, "i" * len(tokens), f"row {i}", faults) if i < n else None
+        if got is None:
             continue
         if k and len(got) != k:
             faults.add(f"row {i} has {len(got)} entries instead of {k}")
@@ -158,13 +164,14 @@ def graph(text: str, path: str, options: dict) -> Iterator[tuple]:
         if len(set(got)) < len(got):
             faults.add(f"row {i}: {Counter(got).most_common(1)[0][0]} is listed twice")
         total += len(got)
-        rows += [(i, p, j) for p, j in enumerate(got, 1)]
+        yield from ((i, p, j) for p, j in enumerate(got, 1))
+    if found != n:
+        faults.add(f"{n} rows announced, {found} found")
     if n and low >= 1 and high == n:
         faults.add("the numbering looks 1-based")
     if total != nnz:
         faults.add(f"{nnz} entries announced, {total} found")
     faults.check()
-    return iter(rows)
 
 
 def iperm(text: str, path: str, options: dict) -> Iterator[tuple]:
@@ -190,7 +197,7 @@ def bcmap(text: str, path: str, options: dict) -> Iterator[tuple]:
 
 def mapbc(text: str, path: str, options: dict) -> Iterator[tuple]:
     """A count, then tag, condition and an optional family."""
-    faults, rows, lines = _Faults(path), [], _content(text, "!")
+    faults, rows, lines = _Faults(path), [], list(_content(text, "!"))
     head = _numbers(lines[0][1], "i", f"line {lines[0][0]}", faults) if lines else faults.add("no count")
     faults.check()
     if len(lines) - 1 != head[0]:
@@ -266,6 +273,8 @@ FORMATS: dict[str, tuple[Callable, str]] = {
     "mapbc": (mapbc, "seq int, tag int, bc int, name string"),
     "grid": (grid, NODES),
 }
+#: Formats whose rows go out as their lines come in; a fault fails the read when the file is through.
+STREAMED = ("points", "node", "graph")
 SECTIONS = {"nodes": NODES, "elements": "kind string, elem long, verts array<long>", "bound": "part int, seq int, node long"}
 
 
@@ -282,7 +291,8 @@ class _Reader(DataSourceReader):
         return [_File(f) for f in files.listed(self.options["path"])]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        rows = FORMATS[self.kind][0](files.read_text(partition.path), partition.path, self.options)
+        whole = files.read_text if self.kind not in STREAMED else files.read_lines
+        rows = FORMATS[self.kind][0](whole(partition.path), partition.path, self.options)
         return ((*r, partition.path) for r in rows) if self.options.get("with_path") else rows
 
 
@@ -294,6 +304,8 @@ def _source(kind: str) -> type[DataSource]:
 
         def schema(self) -> str:
             own = SECTIONS[self.options.get("section", "nodes")] if kind == "grid" else FORMATS[kind][1]
+            if kind == "points" and self.options.get("point"):
+                own = "id long, point struct<x: double, y: double>"
             return own + (", path string" if self.options.get("with_path") else "")
 
         def reader(self, schema) -> DataSourceReader:

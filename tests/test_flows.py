@@ -98,6 +98,21 @@ def test_displaced_lattices_follow_numpys_stream(spark):
             assert len(r) == 1 and r[0].flag == {0: 1, 5: 3}.get(y, 0)
 
 
+@pytest.mark.parametrize(
+    ("name", "options"),
+    [("disk", {"radius": 5.0}), ("triangle", {"n": 8}), ("perturbed_grid", {"n": 7, "sigma": 0.1, "seed": 1}), ("refined_cavity", {"steps": 2}), ("reentrant_corner", {"size": 8.0}), ("poisson_box", {"extent": (7.0, 7.0), "distance": 1.0, "seed": 2}), ("multilobe", {"radius": 4.0, "seed": 1}), ("eccentric_annulus", {"outer": 6.0, "inner": 1.5, "offset": 1.0, "distance": 1.0, "seed": 1}), ("polar_region", {"distance": 0.15, "seed": 1})],
+)
+def test_every_generator_writes_a_case(spark, tmp_path, name, options):
+    line = cases.generate(spark, name, str(tmp_path / "a.node"), value=6, **options).first()
+    rows = cases.inspect(spark, [str(tmp_path / "a.node"), str(tmp_path / "a.graph")]).collect()
+    assert not any(r.fault for r in rows) and line.n > 25 and (line.stencil_min, line.stencil_max) == (6, 6)
+    head = (tmp_path / "a.node").read_text().split("\n", 1)[0]
+    assert head.startswith(f"# {name} ")
+    for bad in ({"method": "nearest"}, {"value": 1}, {"value": 2.5}, {"method": "radius", "value": 0.0}):
+        with pytest.raises(ValueError):
+            cases.generate(spark, name, str(tmp_path / "b"), **bad, **options)
+
+
 def test_reorder(spark, tmp_path):
     cloud = generators.triangle(spark, 5)
     sinks.write_graph(neighbours.knn_stencils(cloud, 5), str(tmp_path / "a"))
