@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from itertools import chain
 
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import shared_dir
+from tessera.operators.lineage import cut, drop, shared_dir  # noqa: F401  drop is the operators' too
 
 #: Whole texts are handled in groups of about so many bytes inside a Python worker.
 GROUP_BYTES = 4 << 20
@@ -41,11 +41,9 @@ def shuffles_removed(spark: SparkSession):
             spark.conf.set(name, before)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The frame, written to the shared folder and read again: its lineage is cut."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, tag: str, instead: Iterable[DataFrame] = ()) -> DataFrame:
+    """The frame, written to the shared folder and read again: its lineage is cut. Tables it stands instead of are deleted."""
+    return cut(df, tag, instead)
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -251,14 +251,14 @@ def patterns(docs: DataFrame, mentions: DataFrame, support: int = 5, confidence:
     totals = _occurrences(docs, wanted.filter(~shaped)).union(counted).groupBy("pattern").agg(F.sum("n").alias("n"))
     totals = common.written(totals, "totals")
     seeds = edges.filter("kind >= 0").select("instance", "kind", F.lit(1.0).alias("s")).distinct()
-    known, size = seeds, -1
+    known, size, confident = seeds, -1, edges.limit(0)
     for _ in count() if rounds is None else range(rounds):
         hits = edges.select("pattern", "instance", "m").join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("m") * F.col("s")).alias("hits"), F.count(F.lit(1)).alias("different"))
         scored = hits.join(totals, "pattern").withColumn("conf", F.least(F.lit(1.0), F.col("hits") / F.greatest("n", "hits")))
-        confident = common.written(scored.filter((F.col("different") >= support) & (F.col("conf") >= confidence)).select("pattern", "kind", "conf"), "patterns")
+        confident = common.written(scored.filter((F.col("different") >= support) & (F.col("conf") >= confidence)).select("pattern", "kind", "conf"), "patterns", instead=[confident])
         found = edges.filter("kind < 0").select("pattern", "instance").join(confident, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999)))))).alias("s"))
         both = seeds.union(found.filter(F.col("s") >= confidence).select("instance", "kind", "s"))
-        known = common.written(both.groupBy("instance", "kind").agg(F.max("s").alias("s")), "known")
+        known = common.written(both.groupBy("instance", "kind").agg(F.max("s").alias("s")), "known", instead=[known])
         before, size = size, confident.count() + known.count()
         if size <= before:  # both only grow: nothing was added
             break

@@ -181,9 +181,10 @@ def components(edges: DataFrame) -> DataFrame:
         hook = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to"))
         jump = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
         hook = common.written(hook.join(jump, "to").select("a", F.col("next").alias("to")), "hook")
-        nodes = common.written(nodes.join(hook, nodes.root == hook.a, "left").select("node", F.coalesce("to", "root").alias("root")), "nodes")
+        nodes = common.written(nodes.join(hook, nodes.root == hook.a, "left").select("node", F.coalesce("to", "root").alias("root")), "nodes", instead=[nodes])
         e = edges.join(hook.select("a", F.col("to").alias("x")), "a").join(hook.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = common.written(e.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        edges = common.written(e.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", instead=[edges, hook])
+    common.drop(edges)
     return nodes
 
 
@@ -380,7 +381,6 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     first = [F.first(c).alias(c) for c in ("size", *names)]  # equal within a class
     classes = common.written(found.groupBy("node").agg(F.min("doc_id").alias("least"), *first), "classes")
     cell = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / width)).otherwise(-9).cast("long")
-    spread = max(1, classes.count() // (16 * TILE))
 
     def pack(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -396,7 +396,11 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(tiles), pa.int64()), pa.array(tiles, pa.binary())], ["cell", "tile"])
 
     rows = classes.filter("size > 0").select(cell.alias("cell"), "node", "size", *names)
-    tiles = rows.repartition("cell", F.pmod(F.xxhash64("node"), F.lit(spread))).mapInArrow(pack, "cell long, tile binary")
+    # a row for each class of sizes, of which there are under a hundred: a crowded one is dealt over tasks
+    counts = F.broadcast(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+    salts = F.greatest(F.ceil(F.col("n") / TILE), F.least(F.ceil(F.col("n") / 1024), F.lit(8)))
+    dealt = rows.join(counts, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), salts)).repartition("cell", "salt")
+    tiles = dealt.select(*rows.columns).mapInArrow(pack, "cell long, tile binary")
 
     def link(batches):
         for batch in batches:

@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from bisect import bisect_right
 from functools import lru_cache
 from itertools import chain
 
@@ -37,6 +38,8 @@ from . import common
 #: Texts with two blanks in a row are cut only at single blanks between other characters.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
+#: Bytes of text in a shard, where that makes more shards than there are tasks.
+SHARD_BYTES = 256 << 20
 #: Words that go to the tokenizer in one string.
 JOINED = 64
 
@@ -100,8 +103,9 @@ def _dtype(path: str) -> np.dtype:
     return np.dtype(np.uint16 if encoder(path).size <= 1 << 16 else np.uint32)
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """doc_id, tie, ids: the ids with the end id as packed little-endian integers of the vocabulary's width."""
+def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, bounds: list[tuple] | None = None) -> DataFrame:
+    """doc_id, tie, ids, shard: the ids with the end id as packed little-endian integers of the vocabulary's width, and how many bounds lie up to the row's place."""
+    bounds = bounds or []
 
     def f(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         kind = _dtype(tokenizer)
@@ -110,10 +114,12 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
         packed = np.insert(ids.astype(kind), ends, end_id).tobytes()
         cuts = np.r_[0, ends + np.arange(1, len(ends) + 1)] * kind.itemsize
         out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(packed)])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["doc_id", "tie", "ids"])
+        places = ((i is not None, i or 0, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        shard = pa.array([bisect_right(bounds, p) for p in places], pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out, shard], ["doc_id", "tie", "ids", "shard"])
 
     keep = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie")]
-    return common.map_texts(docs, keep, "doc_id long, tie long, ids binary", f)
+    return common.map_texts(docs, keep, "doc_id long, tie long, ids binary, shard int", f)
 
 
 def _filesystem(folder: str):
@@ -170,12 +176,22 @@ class _Shard:
             self.fs.move(f"{self.path}/{mine}", f"{self.path}/{name}")
 
 
-def _bounds(places: DataFrame, n: int, per_shard: int = 60):
-    """An array of about n - 1 places that cut the rows into shards of like numbers, from a sample of n * per_shard places."""
-    rows = places.count()
-    found = sorted(tuple(r.p) for r in places.sample(min(1.0, n * per_shard / max(1, rows)), seed=7).collect()) if n > 1 else []
-    cuts = sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
-    return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).cast("long").alias("b"), F.lit(c).cast("long").alias("c")) for a, b, c in cuts]) if cuts else None
+#: Places that are drawn to find the bounds of shards: at most so many; so many for a task, and one of so many rows.
+DRAWN, PER_TASK, ONE_OF = 1_000_000, 60, 2000
+
+
+def _bounds(docs: DataFrame, tasks: int, shards: int | None) -> tuple[int, list[tuple]]:
+    """How many shards, and up to as many places (known, id, tie) less one that cut the rows into shards of like numbers.
+
+    From a sample of bounded size, of the keys and the lengths of the texts; its share is of all rows.
+    """
+    rows = docs.count()
+    wanted = min(DRAWN, max(tasks * PER_TASK, rows // ONE_OF))
+    drawn = docs.sample(min(1.0, wanted / max(1, rows)), seed=7).select(F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text"), F.coalesce(F.octet_length("text"), F.lit(0)))
+    found = sorted(tuple(r) for r in drawn.collect())
+    size = rows * sum(x[3] for x in found) // max(1, len(found))
+    n = shards or max(tasks, size // SHARD_BYTES)
+    return n, sorted({found[i * len(found) // n][:3] for i in range(1, n)}) if found else []
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length: int = 2048, per_batch: int = 64, shards: int | None = None) -> DataFrame:
@@ -186,12 +202,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
     spark = docs.sparkSession
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the ids, not the texts, are dealt; bounds come from a pass over the keys, so that texts are encoded once
-    place = F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("tie").alias("c"))
-    bounds = _bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie")).select(place.alias("p")), n)
-    shard = F.size(F.filter(bounds, lambda x: x <= place)) if bounds is not None else F.lit(0)
-    dealt = encode(docs, tokenizer, end_id).repartitionById(n, shard.cast("int")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    n, bounds = _bounds(docs, int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    dealt = encode(docs, tokenizer, end_id, bounds).repartitionById(n, "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches):
         from pyspark import TaskContext

@@ -12,7 +12,7 @@ only a skewed stream side, which adaptive execution splits. Results meet by capt
 Defined cases: hosts compare in lower case, without user, port and a trailing dot; a null url or one
 without a host, and a null day, match nothing; entries with a null key, day or action are left out; on
 one day additions come before removals, and an interval of no length matches nothing; captures that
-repeat an id are told apart by url and day, and fully repeated ones keep their rows; empty tables give
+repeat an id are told apart by url and day (128 bits of them), and fully repeated ones keep their rows; empty tables give
 empty results or captures without matches; further columns are ignored.
 """
 
@@ -54,7 +54,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id, day, host, n_active, first_key, blocked of each capture (page_id, url, day)."""
-    rows = captures.select("page_id", "url", "day").withColumn("capture", F.xxhash64("page_id", "url", "day"))
+    rows = captures.select("page_id", "url", "day").withColumn("capture", F.struct(F.xxhash64("page_id", "url", "day").alias("h"), F.xxhash64(F.lit(1), "page_id", "url", "day").alias("g")))
     asked = rows.select("capture", "day", F.explode(keys(F.col("url"))).alias("key")).distinct()
     met = asked.join(listed, "key").filter((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     found = met.groupBy("capture").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
