@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents, each but the last written to the shared folder and read again."""
     docs = common.read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), "stage")
+        docs = common.written(stage(spark, docs, sf_dir), "stage", instead=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
