@@ -821,11 +821,11 @@ def source_points(spark, d):
     return spark.read.format("points").load(f"{to}/a.points")
 
 
-@query(f"WITH {NODES} SELECT id, {{'x': x, 'y': y}} AS point FROM nodes")
+@query(f"WITH {NODES} SELECT id, x, y FROM nodes")
 def source_points_struct(spark, d):
     to = _folder(spark)
     sinks.write_points(nodes(spark, d), f"{to}/a")
-    return spark.read.format("points").option("point", True).load(f"{to}/a.points")
+    return spark.read.format("points").option("point", True).load(f"{to}/a.points").select("id", "point.x", "point.y")
 
 
 @query(f"WITH {NODES} SELECT id, x, y, flag AS marker, [x, 1.0] AS attrs FROM nodes")
