@@ -5,9 +5,9 @@ addition is in force until the key's next entry. ``evaluate`` joins every captur
 capture has a few keys (its host, each parent domain of two labels or more, and its host with the first
 segment of the path), and an entry counts if its key is one of them and its interval holds the day.
 
-DataFrame functions only. The join is an equi-join on the key with a range condition, between tables of
-narrow rows; the list's side has a few rows for each key, so a host that holds a third of all captures is
-only a skewed stream side, which adaptive execution splits. Results meet by capture, not by host.
+DataFrame functions only. The range condition meets the distinct days of a key, not its captures, so a host that holds
+a third of all captures and has a long history costs its days times its entries. Captures then find the days on which
+a key is in force by an equi-join, whose skewed side adaptive execution splits. Results meet by capture, not by host.
 
 Defined cases: hosts compare in lower case, without user, port and a trailing dot; a null url or one
 without a host, and a null day, match nothing; entries with a null key, day or action are left out; on
@@ -56,7 +56,11 @@ def evaluate(captures: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id, day, host, n_active, first_key, blocked of each capture (page_id, url, day)."""
     rows = captures.select("page_id", "url", "day").withColumn("capture", F.struct(F.xxhash64("page_id", "url", "day").alias("h"), F.xxhash64(F.lit(1), "page_id", "url", "day").alias("g")))
     asked = rows.select("capture", "day", F.explode(keys(F.col("url"))).alias("key")).distinct()
-    met = asked.join(listed, "key").filter((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
+    # as of each day that a key is asked for, once: a host's captures of a day share one look at its history
+    days = asked.filter("day is not null").select("key", "day").distinct()
+    since, until = F.col("day") >= F.col("since"), F.col("until").isNull() | (F.col("day") < F.col("until"))
+    active = days.join(listed, "key").filter(since & until).select("key", "day").distinct()
+    met = asked.join(active, ["key", "day"])
     found = met.groupBy("capture").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
     n = F.coalesce("n", F.lit(0))
     joined = rows.join(found, "capture", "left")
