@@ -95,14 +95,19 @@ class EliasFano:
         out = np.full(len(q), -1, np.int64)
         if not self.n or not len(q):
             return out
-        h = q >> self.low_bits
+        live = np.arange(len(q))
+        if lo is not None:
+            one = np.nonzero(hi - lo == 1)[0]  # a single value is looked at
+            out[one] = np.where(self.access(lo[one]) == q[one], lo[one], -1)
+            live = np.nonzero(hi - lo > 1)[0]
+        h = q[live] >> self.low_bits
         ends = self._bucket(np.concatenate([np.maximum(h - 1, 0), h]))
-        a, b = np.where(h > 0, ends[: len(q)], 0), ends[len(q) :].copy()
+        a, b = np.where(h > 0, ends[: len(live)], 0), ends[len(live) :]
         if lo is not None:
-            a, b = np.maximum(a, lo), np.minimum(b, hi)
-        want = q & ((1 << self.low_bits) - 1)
-        live = np.nonzero(a < b)[0]
-        a, b, want = a[live], b[live], want[live]
+            a, b = np.maximum(a, lo[live]), np.minimum(b, hi[live])
+        on = a < b
+        live, a, b = live[on], a[on], b[on]
+        want = q[live] & ((1 << self.low_bits) - 1)
         while len(live):
             mid = (a + b) >> 1
             got = self._lows(mid)

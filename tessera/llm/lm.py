@@ -41,7 +41,7 @@ from . import common, elias_fano
 STEP = 4096.0
 BLOCK = 2_000_000
 #: Occurrences in a file of the trie.
-SEGMENT = 1_000_000
+SEGMENT = 2_000_000
 GROUP = 8 << 20
 STORE = 400_000
 #: Different words that a worker counts at a time.
@@ -168,7 +168,7 @@ class Trie:
                 continue
             one = np.r_[True, j[1:] != j[:-1]]  # what belongs to a context is looked up once
             place = np.cumsum(one) - 1
-            low, high = seq["pointers"].access(j[one]), seq["pointers"].access(j[one] + 1)
+            low, high = np.split(seq["pointers"].access(np.concatenate([j[one], j[one] + 1])), 2)
             got = seq["children"].find(j * size + w[at], low[place], high[place])
             at, got = at[got >= 0], got[got >= 0]
             n[at] = got + self.base[level - 1][k]
