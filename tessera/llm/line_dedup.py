@@ -8,7 +8,8 @@ Spread lines are boilerplate and leave every text, whatever share of it they are
 
 DataFrame functions only. The lines are exploded twice: for the sketches, and to find the lines that may be
 spread, from which exact counts and places come. A line that stands in a third of all documents costs a
-sketch for each task. Texts are marked by a 128-bit hash of the whole text, so copies of a text are marked once.
+sketch for each task. Texts are marked by a 128-bit hash of the whole text, so copies of a text are marked once;
+texts without marks are told by a bitmap and not shuffled.
 
 Defined cases: lines end at a line break (a carriage return or a tab is part of its line); lines of nothing
 but blanks never count and always stay; a null text stays null, an empty one empty; a null site counts as no
@@ -59,6 +60,8 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, text_col: str = "t
     marks = spread_places(docs, min_sites, text_col, site_col).groupBy("t").agg(F.collect_list("pos").alias("__places"))
     # as a table of its own the marks leave the join's other side free to be split where many copies share a text
     marks = common.written(marks, "marks")
-    marked = docs.withColumn("__t", _key(text_col)).join(marks.withColumnRenamed("t", "__t"), "__t", "left")
+    told = common.may_hold(docs, F.xxhash64(text_col), marks.select("t.h"))
+    marked = told.filter("__may").withColumn("__t", _key(text_col)).join(marks.withColumnRenamed("t", "__t"), "__t", "left")
     left = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("__places", i)), "\n")
-    return marked.withColumn(text_col, F.when(F.col("__places").isNotNull(), left).otherwise(F.col(text_col))).select(*docs.columns)
+    changed = marked.withColumn(text_col, F.when(F.col("__places").isNotNull(), left).otherwise(F.col(text_col)))
+    return changed.select(*docs.columns).unionAll(told.filter("not __may").select(*docs.columns))

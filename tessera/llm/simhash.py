@@ -431,7 +431,9 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
         # other texts may repeat the id: only the class's own text belongs in its cell
         return rows.filter(pa.array(made[0].to_numpy() == batch.column(2).to_numpy()))
 
-    whole = common.map_texts(docs.join(chosen, "doc_id"), ["cell", "salt", "node"], f"cell long, salt long, {head}, hashes binary", sets).dropDuplicates(["node"])
+    # only texts of candidates are shuffled
+    told = common.may_hold(docs, F.xxhash64("doc_id"), chosen.select(F.xxhash64("doc_id").alias("h"))).filter("__may").drop("__may")
+    whole = common.map_texts(told.join(chosen, "doc_id"), ["cell", "salt", "node"], f"cell long, salt long, {head}, hashes binary", sets).dropDuplicates(["node"])
 
     def pack_sets(batches):
         held: dict[tuple[int, int], tuple[list, list]] = {}
@@ -478,4 +480,8 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
     A document with a null id stays. Of rows that repeat an id, each stays if the id does.
     """
     gone = similar(docs, words, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = common.written(gone, "gone")
+    h = lambda c: F.xxhash64(F.col(c).cast("long"))
+    told = common.may_hold(docs, h("doc_id"), gone.select(h("__gone").alias("h")))
+    left = told.filter("__may").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return left.select(*docs.columns).unionAll(told.filter("not __may").select(*docs.columns))
