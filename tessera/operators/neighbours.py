@@ -20,6 +20,8 @@ from tessera.operators.lineage import cut
 XY = ("x", "y")
 #: So few pairs are searched at once rather than in further rounds.
 FEW_PAIRS = 2_000_000
+#: A grid is refined where a cell holds so many times the points that are meant to be around a query.
+CROWDED = 16
 
 
 def _refuse(bad: int) -> None:
@@ -59,12 +61,62 @@ def _exploded(points: DataFrame, cells: Sequence[str], ring: int, count: Sequenc
     return points
 
 
+class _Grid:
+    """Cells of equal width on the first axes of a cloud, and the search for neighbours in a ring of them."""
+
+    def __init__(self, coords: Sequence[str], low: list[float], high: list[float], count: list[int], box: Box) -> None:
+        self.coords, self.names, self.low, self.count, self.box = coords, coords[: len(low)], low, count, box
+        self.width = [(b - a) / m if b > a else 1.0 for a, b, m in zip(low, high, count, strict=True)]
+        self.periodic = [box.side(i) > 0 for i in range(len(low))]
+        self.cells = [f"c{i}" for i in range(len(low))]
+
+    def finer(self, factor: int) -> _Grid:
+        high = [a + w * m for a, w, m in zip(self.low, self.width, self.count, strict=True)]
+        return _Grid(self.coords, self.low, high, [m * factor if m > 1 else m for m in self.count], self.box)
+
+    def put(self, points: DataFrame) -> DataFrame:
+        return points.withColumns(dict(zip(self.cells, _cells(self.names, self.low, self.width, self.count), strict=True)))
+
+    def all_of(self, ring: int) -> bool:
+        """Whether a ring holds every cell."""
+        return all(2 * ring + 1 >= m for m in self.count)
+
+    def search(self, queries: DataFrame, cloud: DataFrame, k: int, ring: int, exclude_self: bool) -> DataFrame:
+        """row, k, col, dist, ok of the k nearest points in the ring; ok tells whether no point beyond it can be nearer."""
+        keys = [f"p{i}" for i in range(len(self.cells))]
+        home = self.put(cloud).select("col", *[F.col(c).alias(f"q_{c}") for c in self.coords], *[F.col(c).alias(p) for c, p in zip(self.cells, keys, strict=True)])
+        probe = _exploded(self.put(queries), self.cells, ring, self.count, self.periodic)
+        pairs = probe.join(home, keys).withColumn("dist", distance([F.col(c) for c in self.coords], [F.col(f"q_{c}") for c in self.coords], self.box))
+        if exclude_self:
+            pairs = pairs.filter("row <> col")
+        top = pairs.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("dist", "col"))).filter(F.col("k") <= k)
+        if self.all_of(ring):
+            return top.select("row", "k", "col", "dist", F.lit(True).alias("ok"))
+        # the distance from the query to the edge of the probed cells: nothing beyond is nearer
+        edges = []
+        for i, c in enumerate(self.names):
+            if 2 * ring + 1 >= self.count[i]:
+                continue
+            into = F.col(c) - self.low[i] - F.col(self.cells[i]) * self.width[i]
+            below, above = into + ring * self.width[i], (ring + 1) * self.width[i] - into
+            if not self.periodic[i]:  # no point lies beyond the cloud's own bounds
+                below = F.when(F.col(self.cells[i]) - ring <= 0, F.lit(math.inf)).otherwise(below)
+                above = F.when(F.col(self.cells[i]) + ring >= self.count[i] - 1, F.lit(math.inf)).otherwise(above)
+            edges += [below, above]
+        safe = reduce(lambda s, t: F.least(s, t), edges) * (1 - 1e-12) if len(edges) > 1 else edges[0] * (1 - 1e-12)
+        last = Window.partitionBy("row")
+        ok = (F.count(F.lit(1)).over(last) == k) & (F.max("dist").over(last) < F.col("safe"))
+        return top.withColumn("safe", safe).withColumn("ok", ok).select("row", "k", "col", "dist", "ok")
+
+
 def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str] = XY, box: Box = OPEN, exclude_self: bool = False, block: int = 24) -> DataFrame:
     """row, k, col, dist: the k nearest cloud points of each query, k counted from 1, by (dist, id).
 
     Both are laid on a grid over the first two axes at most, with about ``block`` points, and k at least,
     around a query. A query whose k-th neighbour lies within the probed ring of cells is done; the others go
-    on with a tripled ring until it covers the grid, so the result is exact for any cloud. Of points at one
+    on with a tripled ring until it covers the grid, so the result is exact for any cloud. Where a cell holds far
+    more points than that, queries in crowded cells are searched on finer grids first, from the finest on, so that a
+    clustered cloud does not cost the square of its crowded cells. Of points at one
     place only the k (k + 1 without self) of least id can be anybody's neighbours; the others are left out
     before the join, which keeps a crowded place from costing more than any other. Null, NaN or infinite
     coordinates on either side are a ValueError.
@@ -83,52 +135,37 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
         raise ValueError(f"k must be from 1 to the number of points, not {k} of {n}")
     cloud = cloud.withColumn("__n", F.row_number().over(Window.partitionBy(*coords).orderBy("col")))
     cloud = cloud.filter(F.col("__n") <= k + exclude_self).drop("__n")
-    per_axis = max(1, int((n / max(block, 5 * k) * 9) ** (1 / len(axes)) if len(axes) == 2 else n / max(block, 5 * k) * 3))
-    low, width, count, periodic = [], [], [], []
-    for i, a in enumerate(axes):
-        side = box.side(a)
-        lo, hi = (0.0, side) if side else (bounds[f"min{i}"], bounds[f"max{i}"])
-        m = per_axis if hi > lo else 1
-        low.append(lo)
-        count.append(m)
-        width.append((hi - lo) / m if hi > lo else 1.0)
-        periodic.append(side > 0)
-    cells = [f"c{i}" for i in axes]
-    put = dict(zip(cells, _cells(names, low, width, count), strict=True))
-    cloud = cloud.withColumns(put).select("col", *[F.col(c).alias(f"q_{c}") for c in coords], *[F.col(c).alias(f"p{i}") for i, c in enumerate(cells)])
-    waiting = queries.withColumns(put)
-    rank = Window.partitionBy("row").orderBy("dist", "col")
-    last = Window.partitionBy("row")
-    done, ring = [], 1
+    around = max(block, 5 * k)
+    per_axis = max(1, int((n / around * 9) ** (1 / len(axes)) if len(axes) == 2 else n / around * 3))
+    low = [0.0 if box.side(a) else bounds[f"min{i}"] for i, a in enumerate(axes)]
+    high = [box.side(a) or bounds[f"max{i}"] for i, a in enumerate(axes)]
+    grid = _Grid(coords, low, high, [per_axis if b > a else 1 for a, b in zip(low, high, strict=True)], box)
+    done, waiting = [], queries
+    if n > around * CROWDED:
+        most = lambda g: g.put(cloud).groupBy(*g.cells).count().agg(F.max("count")).first()[0]
+        finer = [grid]
+        if most(grid) > around * CROWDED:
+            while len(finer) < 16 and max(finer[-1].count) < 1 << 28 and most(finer[-1]) > around:
+                finer.append(finer[-1].finer(4))
+        for fine in finer[:0:-1]:
+            crowded = fine.put(cloud).groupBy(*fine.cells).count().filter(F.col("count") >= around // 9).drop("count")
+            some = fine.put(waiting).join(crowded, fine.cells, "left_semi").select("row", *coords)
+            good = cut(fine.search(some, cloud, k, 1, exclude_self).filter("ok").drop("ok"))
+            done.append(good)
+            waiting = cut(waiting.join(good.filter("k = 1").select("row"), "row", "left_anti"), instead=[waiting])
+    ring = 1
     while True:
-        probe = _exploded(waiting, cells, ring, count, periodic)
-        pairs = probe.join(cloud, [f"p{i}" for i in axes]).withColumn("dist", distance([F.col(c) for c in coords], [F.col(f"q_{c}") for c in coords], box))
-        if exclude_self:
-            pairs = pairs.filter("row <> col")
-        top = pairs.withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= k)
-        if all(2 * ring + 1 >= m for m in count):
-            done.append(top.select("row", "k", "col", "dist"))
+        found = grid.search(waiting, cloud, k, ring, exclude_self)
+        if grid.all_of(ring):
+            done.append(found.drop("ok"))
             break
-        # the distance from the query to the edge of the probed cells: nothing beyond is nearer
-        edges = []
-        for i, c in enumerate(names):
-            if 2 * ring + 1 >= count[i]:
-                continue
-            into = F.col(c) - low[i] - F.col(cells[i]) * width[i]
-            below, above = into + ring * width[i], (ring + 1) * width[i] - into
-            if not periodic[i]:  # no point lies beyond the cloud's own bounds
-                below = F.when(F.col(cells[i]) - ring <= 0, F.lit(math.inf)).otherwise(below)
-                above = F.when(F.col(cells[i]) + ring >= count[i] - 1, F.lit(math.inf)).otherwise(above)
-            edges += [below, above]
-        safe = reduce(lambda s, t: F.least(s, t), edges) * (1 - 1e-12)
-        top = top.withColumn("safe", safe).withColumn("ok", (F.count(F.lit(1)).over(last) == k) & (F.max("dist").over(last) < F.col("safe")))
-        good = cut(top.filter("ok").select("row", "k", "col", "dist"))
+        good = cut(found.filter("ok").drop("ok"))
         done.append(good)
         waiting = cut(waiting.join(good.filter("k = 1").select("row"), "row", "left_anti"))
         left = waiting.count()
         if not left:
             break
-        ring = max(count) if left * n <= FEW_PAIRS else ring * 3
+        ring = max(grid.count) if left * n <= FEW_PAIRS else ring * 3
     return reduce(DataFrame.unionAll, done)
 
 

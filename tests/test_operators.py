@@ -255,6 +255,29 @@ def test_ragged_weights_in_the_nodes_own_coordinates(spark):
         assert abs(both[r.row, r.k] - r.weight - other) < 1e-12
 
 
+@pytest.mark.parametrize("box", [OPEN, Box((1.0, 1.0)), Box((0.0, 1.0))])
+def test_clustered_clouds_are_searched_on_finer_grids(spark, box, monkeypatch):
+    rng = np.random.default_rng(10)
+    pts = np.concatenate([rng.uniform(size=(250, 2)), 0.31 + 1e-3 * rng.standard_normal((900, 2)), 0.999 + 1e-4 * rng.uniform(size=(500, 2)), 0.7 + 1e-6 * rng.uniform(size=(350, 2))])
+    pairs = []
+    whole = neighbours._Grid.search
+    monkeypatch.setattr(neighbours._Grid, "search", lambda self, *a: pairs.append(max(self.count)) or whole(self, *a))
+    got = {}
+    for r in neighbours.knn_stencils(cloud(spark, pts), 5, box).collect():
+        got.setdefault(r.row, {})[r.k] = (r.dist, r.col)
+    sides = [box.side(i) for i in range(2)]
+    d = np.abs(pts[:, None] - pts[None])
+    for a, s in enumerate(sides):
+        if s:
+            d[..., a] = np.minimum(d[..., a], s - d[..., a])
+    d = np.hypot(d[..., 0], d[..., 1])
+    assert len(got) == len(pts) and len(pairs) > 3 and pairs[0] > 1000 * pairs[-1]
+    for i in range(len(pts)):
+        best = np.sort(d[i])[:5]
+        assert np.allclose([got[i][k][0] for k in range(1, 6)], best, rtol=0, atol=1e-12)
+        assert len({c for _, c in got[i].values()}) == 5 and all(abs(d[i, c] - x) < 1e-12 for x, c in got[i].values())
+
+
 @pytest.mark.parametrize("bad", [None, float("nan"), float("inf"), float("-inf")])
 def test_points_without_finite_coordinates_are_refused(spark, bad):
     rng = np.random.default_rng(9)
