@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -46,8 +47,8 @@ def written(df: DataFrame, tag: str, instead: Iterable[DataFrame] = ()) -> DataF
     return cut(df, tag, instead)
 
 
-#: Base-2 logarithm of the bits of a bitmap of hashes, which is broadcast: 8 MB, whatever the number of hashes.
-BITS = 26
+#: Base-2 logarithm of the bits of a bitmap of hashes, which is broadcast: 2 MB, whatever the number of hashes.
+BITS = 24
 
 
 def may_hold(docs: DataFrame, h: Column, hashes: DataFrame) -> DataFrame:
@@ -96,6 +97,7 @@ def map_texts(docs: DataFrame, keep: list[str], schema: str, f: Callable, text_c
                 part = batch.slice(a, b - a)
                 out = f(part, text_bytes(part.column(part.num_columns - 1)))
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        release()
 
     import pyarrow.compute  # noqa: F401
 
@@ -107,6 +109,15 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers outlive the tasks they run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 _sole: dict = {}
 
 
@@ -114,6 +125,7 @@ def sole(key, make: Callable):
     """make()'s result, kept for the next call with the key; a Python worker keeps one such object at a time."""
     if key not in _sole:
         _sole.clear()
+        release()
         _sole[key] = make()
     return _sole[key]
 
