@@ -24,6 +24,7 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
 
@@ -103,6 +104,15 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.n
     return nodes[moved], nodes[label[moved]]
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by cell, crowded cells dealt over tasks: a tile's worth each, or a few parts where that is more."""
+    # a row for each cell, of which there are at most 17 ** 4
+    counts = F.broadcast(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("__n")))
+    salts = F.greatest(F.ceil(F.col("__n") / TILE), F.least(F.ceil(F.col("__n") / 512), F.lit(8)))
+    dealt = rows.join(counts, "cell").withColumn("__salt", F.pmod(F.xxhash64(key), salts)).repartition("cell", "__salt")
+    return dealt.select(*rows.columns)
+
+
 def _met(tiles: DataFrame, offsets: list[int]) -> DataFrame:
     """a, b: each pair of tiles (cell, tile) whose cells differ by an offset, of those at offset 0 each pair once, dealt evenly."""
     tiles = common.written(tiles.withColumn("id", F.xxhash64("tile")), "tiles")
@@ -116,6 +126,14 @@ def _met(tiles: DataFrame, offsets: list[int]) -> DataFrame:
     )
 
 
+def _pairs(batches) -> Iterator[tuple[bytes, bytes]]:
+    """The pairs of tiles of a task, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+    common.release()
+
+
 def links(distinct: DataFrame, n: int, radius: int = 3) -> DataFrame:
     """a, b: edges whose components are those of all pairs of fingerprints within radius bits.
 
@@ -126,42 +144,35 @@ def links(distinct: DataFrame, n: int, radius: int = 3) -> DataFrame:
     base = 65
     pops = [F.bit_count(F.shiftrightunsigned("fp", 64 // parts * i).bitwiseAND((1 << 64 // parts) - 1 if parts > 1 else -1)) for i in range(parts)]
     key = sum((p.cast("long") * base**i for i, p in enumerate(pops)), F.lit(0).cast("long"))
-    spread = max(1, n // (TILE * 64))  # a crowded cell is dealt over so many tasks
-    # pack fingerprints into tiles: a row for each cell and salt of at most TILE fingerprints each
-    cells = distinct.select(key.alias("cell"), F.pmod(F.xxhash64("fp"), F.lit(spread)).alias("salt"), "fp")
+    # pack fingerprints into tiles: a row for each cell of at most TILE fingerprints
+    cells = distinct.select(key.alias("cell"), "fp")
 
     def pack(batches):
-        cell, salt, fp = [], [], []
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            c, s, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            order = np.lexsort((s, c))
-            c, s, x = c[order], s[order], x[order]
-            cut = np.nonzero((np.diff(c) != 0) | (np.diff(s) != 0))[0] + 1
-            for k0, k1, v in zip(c[np.r_[0, cut]], s[np.r_[0, cut]], np.split(x, cut), strict=True):
-                held.setdefault((int(k0), int(k1)), []).append(v)
+            c, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            order = np.argsort(c, kind="stable")
+            c, x = c[order], x[order]
+            cut = np.nonzero(np.diff(c))[0] + 1
+            for k, v in zip(c[np.r_[0, cut]].tolist() if len(c) else [], np.split(x, cut), strict=False):
+                held.setdefault(k, []).append(v)
         for k, vs in held.items():
             v = np.concatenate(vs)
-            for i in range(0, len(v), TILE):
-                cell.append(k[0])
-                salt.append(k[1])
-                fp.append(np.sort(v[i : i + TILE]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(salt, pa.int64()), pa.array(fp, pa.binary())], ["cell", "salt", "tile"])
+            tiles = [np.sort(v[i : i + TILE]).tobytes() for i in range(0, len(v), TILE)]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(tiles), pa.int64()), pa.array(tiles, pa.binary())], ["cell", "tile"])
 
-    tiles = cells.repartition("cell", "salt").mapInArrow(pack, "cell long, salt long, tile binary").select("cell", "tile")
+    tiles = _dealt(cells, "fp").mapInArrow(pack, "cell long, tile binary")
     met = _met(tiles, [sum(x * base**i for i, x in enumerate(o)) for o in half])
 
     def compare(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                pa_, pb = _counts(a, parts), _counts(b, parts)
-                gap = np.maximum(0, np.maximum(pa_.min(0) - pb.max(0), pb.min(0) - pa_.max(0))).sum()
-                if gap > radius:
-                    continue
-                u, v = _forest(a, b, radius, x == y)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["a", "b"])
+        for x, y in _pairs(batches):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            pa_, pb = _counts(a, parts), _counts(b, parts)
+            gap = np.maximum(0, np.maximum(pa_.min(0) - pb.max(0), pb.min(0) - pa_.max(0))).sum()
+            if gap > radius:
+                continue
+            u, v = _forest(a, b, radius, x == y)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["a", "b"])
 
     return met.mapInArrow(compare, "a long, b long")
 
@@ -396,22 +407,17 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(tiles), pa.int64()), pa.array(tiles, pa.binary())], ["cell", "tile"])
 
     rows = classes.filter("size > 0").select(cell.alias("cell"), "node", "size", *names)
-    # a row for each class of sizes, of which there are under a hundred: a crowded one is dealt over tasks
-    counts = F.broadcast(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
-    salts = F.greatest(F.ceil(F.col("n") / TILE), F.least(F.ceil(F.col("n") / 1024), F.lit(8)))
-    dealt = rows.join(counts, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), salts)).repartition("cell", "salt")
-    tiles = dealt.select(*rows.columns).mapInArrow(pack, "cell long, tile binary")
+    tiles = _dealt(rows, "node").mapInArrow(pack, "cell long, tile binary")
 
     def link(batches):
-        for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = _first_tile(x), _first_tile(y)
-                nodes = a[0] if x == y else np.concatenate([a[0], b[0]])
-                label = np.arange(len(nodes))
-                for u, v in _candidates(a, b, x == y, least):
-                    label = _joined(label, u, v + (0 if x == y else len(a[0])))
-                moved = np.nonzero(label != np.arange(len(nodes)))[0]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[label[moved]].view(np.int64))], ["a", "b"])
+        for x, y in _pairs(batches):
+            a, b = _first_tile(x), _first_tile(y)
+            nodes = a[0] if x == y else np.concatenate([a[0], b[0]])
+            label = np.arange(len(nodes))
+            for u, v in _candidates(a, b, x == y, least):
+                label = _joined(label, u, v + (0 if x == y else len(a[0])))
+            moved = np.nonzero(label != np.arange(len(nodes)))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[label[moved]].view(np.int64))], ["a", "b"])
 
     # similar documents are in one component of candidates: only within these do sets meet. Small components share
     # cells; a large one has a cell of its own, which is dealt over tasks
@@ -458,13 +464,12 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
             yield blob(k)
 
     def decide(batches):
-        for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (a, sa), (b, sb) = _set_tile(x), _set_tile(y)
-                edges = _verified(a, sa, b, sb, x == y, least)
-                if edges:
-                    e = np.array(edges, np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        for x, y in _pairs(batches):
+            (a, sa), (b, sb) = _set_tile(x), _set_tile(y)
+            edges = _verified(a, sa, b, sb, x == y, least)
+            if edges:
+                e = np.array(edges, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
     linked = _met(whole.repartition("cell", "salt").mapInArrow(pack_sets, "cell long, tile binary"), [0]).mapInArrow(decide, "a long, b long")
     roots = components(linked)
