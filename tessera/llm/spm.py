@@ -220,7 +220,7 @@ class Encoder:
 
     def __init__(self, model_file: str) -> None:
         self.v = vocabulary(model_file)
-        self.store = common.Store(self.v.encode)
+        self.store = common.Store(self.v.encode, max_parts=350_000, max_chars=9_000_000)
 
     def segments(self, text: str) -> list[str]:
         """Parts of the marked text; no piece reaches from one to another. A part that is a line break is one."""
@@ -266,4 +266,4 @@ def encode_decode(docs: DataFrame, model_file: str, text_col: str = "text") -> D
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
         return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return common.map_texts(docs, [F.col("doc_id").cast("long").alias("doc_id")], "doc_id long, ids array<int>, decoded string", f, text_col)
+    return common.map_texts(docs, [F.col("doc_id").cast("long").alias("doc_id")], "doc_id long, ids array<int>, decoded string", f, text_col, limit=common.GROUP_BYTES // 2)
