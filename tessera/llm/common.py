@@ -47,24 +47,6 @@ def written(df: DataFrame, tag: str, instead: Iterable[DataFrame] = ()) -> DataF
     return cut(df, tag, instead)
 
 
-#: Base-2 logarithm of the bits of a bitmap of hashes, which is broadcast: 2 MB, whatever the number of hashes.
-BITS = 24
-
-
-def may_hold(docs: DataFrame, h: Column, hashes: DataFrame) -> DataFrame:
-    """docs with __may: false where the hash h is surely none of the hashes (one column, h).
-
-    So rows without a partner need not be shuffled for a join: a bitmap of fixed size tells most of them.
-    """
-    placed = hashes.select((F.pmod("h", F.lit(1 << BITS)) + 1).alias("at"))  # the functions count buckets and bits from one
-    bits = placed.groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
-    at = F.pmod(h, F.lit(1 << BITS))
-    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(at, 3) % 4096 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    # at most 2 ** (BITS - 15) rows of 4 KB
-    joined = docs.withColumn("__bucket", F.shiftright(at, 15) + 1).join(F.broadcast(bits), "__bucket", "left")
-    return joined.withColumn("__may", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bits")
-
-
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
