@@ -67,6 +67,11 @@ def valid(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
     return rows.filter(F.size("v") == (length.n if length else 0))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that bring their largest components to about one: no cosine changes, no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -103,7 +108,7 @@ class Shard:
     """The substring indexes of some rows: their numbers, ids and vectors."""
 
     def __init__(self, codes: Codes, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        self.codes, self.rows, self.ids, self.x = codes, rows, ids, x.astype(np.float64)
+        self.codes, self.rows, self.ids, self.x = codes, rows, ids, _scaled(x.astype(np.float64))
         self.norms = np.linalg.norm(self.x, axis=1)
         self.c = codes.of(_unit(self.x))
         self.index = []
@@ -142,7 +147,7 @@ class Shard:
         """Ids and cosines of the k nearest rows within the radius but for the query's own row."""
         rows = self.within(code, radius)
         rows = rows[self.rows[rows] != own]
-        q = q.astype(np.float64)
+        q = _scaled(q.astype(np.float64))
         length = np.linalg.norm(q)
         if len(rows) > k:  # a product of matrices rounds by a row's place: it only tells which rows to look at
             about = self.x[rows] @ q / (self.norms[rows] * length)

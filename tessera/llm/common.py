@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import cut, drop, shared_dir  # noqa: F401  drop is the operators' too
+from tessera.operators.names import fresh  # noqa: F401
 
 #: Whole texts are handled in groups of about so many bytes inside a Python worker.
 GROUP_BYTES = 4 << 20
@@ -67,9 +68,10 @@ def grouped(sizes: list[int], limit: int = GROUP_BYTES) -> Iterator[tuple[int, i
 def map_texts(docs: DataFrame, keep: list[str], schema: str, f: Callable, text_col: str = "text", limit: int = GROUP_BYTES) -> DataFrame:
     """mapInArrow over the kept columns and the text: f gets batches in groups of bounded bytes.
 
-    f(batch, texts) returns an Arrow batch or table of ``schema``, texts being UTF-8 bytes.
+    f(batch, texts) returns an Arrow batch or table of ``schema``, texts being UTF-8 bytes: bytes of a text that are
+    not UTF-8 read as U+FFFD.
     """
-    frame = docs.select(*keep, F.col(text_col).alias("__text"))
+    frame = docs.select(*keep, F.make_valid_utf8(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

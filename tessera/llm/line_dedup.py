@@ -56,9 +56,10 @@ def spread_places(docs: DataFrame, min_sites: int = 10, text_col: str = "text",
 
 def remove_spread_lines(docs: DataFrame, min_sites: int = 10, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The documents without their spread lines."""
-    marks = spread_places(docs, min_sites, text_col, site_col).groupBy("t").agg(F.collect_list("pos").alias("__places"))
+    key, places = common.fresh(docs, "__t", "__places")
+    marks = spread_places(docs, min_sites, text_col, site_col).groupBy("t").agg(F.collect_list("pos").alias(places))
     # as a table of its own the marks leave the join's other side free to be split where many copies share a text
     marks = common.written(marks, "marks")
-    marked = docs.withColumn("__t", _key(text_col)).join(marks.withColumnRenamed("t", "__t"), "__t", "left")
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("__places", i)), "\n")
-    return marked.withColumn(text_col, F.when(F.col("__places").isNotNull(), left).otherwise(F.col(text_col))).select(*docs.columns)
+    marked = docs.withColumn(key, _key(text_col)).join(marks.withColumnRenamed("t", key), key, "left")
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(places, i)), "\n")
+    return marked.withColumn(text_col, F.when(F.col(places).isNotNull(), left).otherwise(F.col(text_col))).select(*docs.columns)

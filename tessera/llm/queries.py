@@ -164,6 +164,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fim
+
+    made = fim.transform(common.read(spark, sf_dir, "documents"), seed=7, share=100, spm=50)
+    return fim.restore(made).select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_counts
+
+    counted = token_counts.count(common.read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "n_chunks")
+
+
 OP9_SQL = """
 WITH split AS (
   SELECT doc_id, source, md5(text) AS whole, unnest(string_split(text, chr(10))) AS line,
@@ -178,6 +192,25 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, '') EN
 FROM documents d LEFT JOIN cleaned c USING (doc_id)
 """
 
+OP11_SQL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS s, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+sized AS (
+  SELECT *, len(s) - 1 AS breaks, len(s) - (s[-1] = '')::INTEGER AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM cut),
+ends AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM sized),
+places AS (
+  SELECT *, CASE WHEN a = 0 THEN 0 WHEN a <= breaks THEN length(array_to_string(s[1:a], chr(10))) + 1 ELSE length(t) END AS x,
+            CASE WHEN b = 0 THEN 0 WHEN b <= breaks THEN length(array_to_string(s[1:b], chr(10))) + 1 ELSE length(t) END AS y FROM ends),
+formed AS (
+  SELECT *, CASE WHEN t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         substr(t, 1, x) AS prefix, substr(t, x + 1, y - x) AS middle, substr(t, y + 1) AS suffix FROM places)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN x END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM formed
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
@@ -190,6 +223,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_line_dedup": op9_line_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op9_line_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL}

@@ -482,5 +482,6 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFram
 
     A document with a null id stays. Of rows that repeat an id, each stays if the id does.
     """
-    gone = similar(docs, words, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = common.fresh(docs, "__gone")[0]
+    gone = similar(docs, words, least).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
