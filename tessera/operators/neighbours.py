@@ -45,7 +45,7 @@ def _cells(coords: Sequence[str], low: Sequence[float], width: Sequence[float],
     return [F.least(F.greatest(F.floor((F.col(c) - lo) / w).cast("int"), F.lit(0)), F.lit(n - 1)) for c, lo, w, n in zip(coords, low, width, count, strict=True)]
 
 
-def _near(axis_cell: Column, ring: int, n: int, periodic: bool) -> Column:
+def around(axis_cell: Column, ring: int, n: int, periodic: bool) -> Column:
     """An array of the cells within ring of a cell, each once."""
     if 2 * ring + 1 >= n:
         return F.sequence(F.lit(0), F.lit(n - 1))
@@ -57,7 +57,7 @@ def _near(axis_cell: Column, ring: int, n: int, periodic: bool) -> Column:
 def _exploded(points: DataFrame, cells: Sequence[str], ring: int, count: Sequence[int], periodic: Sequence[bool]) -> DataFrame:
     """Each point once for each cell of its neighbourhood, as columns p0, p1, ..."""
     for i, (c, n, per) in enumerate(zip(cells, count, periodic, strict=True)):
-        points = points.withColumn(f"p{i}", F.explode(_near(F.col(c), ring, n, per)))
+        points = points.withColumn(f"p{i}", F.explode(around(F.col(c), ring, n, per)))
     return points
 
 
@@ -135,20 +135,20 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
         raise ValueError(f"k must be from 1 to the number of points, not {k} of {n}")
     cloud = cloud.withColumn("__n", F.row_number().over(Window.partitionBy(*coords).orderBy("col")))
     cloud = cloud.filter(F.col("__n") <= k + exclude_self).drop("__n")
-    around = max(block, 5 * k)
-    per_axis = max(1, int((n / around * 9) ** (1 / len(axes)) if len(axes) == 2 else n / around * 3))
+    meant = max(block, 5 * k)
+    per_axis = max(1, int((n / meant * 9) ** (1 / len(axes)) if len(axes) == 2 else n / meant * 3))
     low = [0.0 if box.side(a) else bounds[f"min{i}"] for i, a in enumerate(axes)]
     high = [box.side(a) or bounds[f"max{i}"] for i, a in enumerate(axes)]
     grid = _Grid(coords, low, high, [per_axis if b > a else 1 for a, b in zip(low, high, strict=True)], box)
     done, waiting = [], queries
-    if n > around * CROWDED:
+    if n > meant * CROWDED:
         most = lambda g: g.put(cloud).groupBy(*g.cells).count().agg(F.max("count")).first()[0]
         finer = [grid]
-        if most(grid) > around * CROWDED:
-            while len(finer) < 16 and max(finer[-1].count) < 1 << 28 and most(finer[-1]) > around:
+        if most(grid) > meant * CROWDED:
+            while len(finer) < 16 and max(finer[-1].count) < 1 << 28 and most(finer[-1]) > meant:
                 finer.append(finer[-1].finer(4))
         for fine in finer[:0:-1]:
-            crowded = fine.put(cloud).groupBy(*fine.cells).count().filter(F.col("count") >= around // 9).drop("count")
+            crowded = fine.put(cloud).groupBy(*fine.cells).count().filter(F.col("count") >= meant // 9).drop("count")
             some = fine.put(waiting).join(crowded, fine.cells, "left_semi").select("row", *coords)
             good = cut(fine.search(some, cloud, k, 1, exclude_self).filter("ok").drop("ok"))
             done.append(good)
@@ -203,8 +203,8 @@ def within(points: DataFrame, reach: float, box: Box = OPEN, coords: Sequence[st
     home = points.select(F.col("id").alias("col"), *[F.col(c).alias(f"q_{c}") for c in coords], *[c.cast("long").alias(f"p{i}") for i, c in enumerate(cell)])
     probe = points.select(F.col("id").alias("row"), *coords, *[c.cast("long").alias(f"c{i}") for i, c in enumerate(cell)])
     for i, m in enumerate(count):
-        around = F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1) if not m else _near(F.col(f"c{i}"), 1, m, True).cast("array<bigint>")
-        probe = probe.withColumn(f"p{i}", F.explode(around))
+        cells = F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1) if not m else around(F.col(f"c{i}"), 1, m, True).cast("array<bigint>")
+        probe = probe.withColumn(f"p{i}", F.explode(cells))
     keys = [f"p{i}" for i in range(len(coords))]
     pairs = probe.join(home, keys).withColumn("dist", distance([F.col(c) for c in coords], [F.col(f"q_{c}") for c in coords], box, norm)).filter(F.col("dist") <= reach)
     if on_duplicate == "error":
@@ -225,8 +225,8 @@ def too_close(points: DataFrame, cloud: DataFrame, reach: float, box: Box = OPEN
     probe = wrapped(validated(points, coords).select("id", *coords), box, coords).select("*", *[c.alias(f"c{i}") for i, c in enumerate(cell)])
     home = wrapped(validated(cloud, coords).select(*coords), box, coords).select(*[F.col(c).alias(f"q_{c}") for c in coords], *[c.alias(f"p{i}") for i, c in enumerate(cell)])
     for i, m in enumerate(count):
-        around = F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1) if not m else _near(F.col(f"c{i}"), 1, m, True).cast("array<bigint>")
-        probe = probe.withColumn(f"p{i}", F.explode(around))
+        cells = F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1) if not m else around(F.col(f"c{i}"), 1, m, True).cast("array<bigint>")
+        probe = probe.withColumn(f"p{i}", F.explode(cells))
     pairs = probe.join(home, [f"p{i}" for i in range(len(coords))])
     dist = distance([F.col(c) for c in coords], [F.col(f"q_{c}") for c in coords], box)
     return points.join(pairs.filter(dist < reach).select("id"), "id", "left_semi")

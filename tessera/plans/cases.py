@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.metric import OPEN, Box
 from tessera.operators import neighbours, ordering, stats
 from tessera.operators.lineage import cut
-from tessera.sources import generators, sinks, text
+from tessera.sources import generators, regions, sinks, text
 from tessera.sources.text import FormatError
 
 SCHEMA = "file string, metric string, value double, fault string"
@@ -110,11 +110,11 @@ def finish(nodes: DataFrame, stem: str, extent: tuple[float, float], box: Box =
 #: Clouds by the name of their generator; each takes a session and its own options, and refuses bad ones.
 GENERATORS = {
     "disk": generators.disk,
-    "eccentric_annulus": generators.eccentric_annulus,
-    "multilobe": generators.multilobe,
+    "eccentric_annulus": regions.eccentric_annulus,
+    "multilobe": regions.multilobe,
     "perturbed_grid": generators.grid,
-    "poisson_box": generators.poisson_box,
-    "polar_region": generators.polar_region,
+    "poisson_box": regions.poisson_box,
+    "polar_region": regions.polar_region,
     "reentrant_corner": lambda spark, **options: generators.ReentrantCorner(**options).nodes(spark),
     "refined_cavity": generators.cavity,
     "triangle": generators.triangle,

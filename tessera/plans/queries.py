@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tessera.functions import fields, lattice, metric
 from tessera.functions.metric import Box
 from tessera.operators import factor, grid, neighbours, nodesets, ordering, stats, weights
-from tessera.operators.lineage import shared_dir
-from tessera.sources import files, generators, sinks, text
+from tessera.operators.lineage import cut, shared_dir
+from tessera.sources import files, generators, regions, sinks, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -699,24 +699,85 @@ def tile_nodes(spark, d):
     return _cloud(generators.tile(generators.grid(spark, 5), (5.0, 5.0), (3, 2)))
 
 
-@query()
+# Poisson-disk clouds over a table's bounds: each of its rows that lies inside has a node within the distance, no two nodes are nearer, none is outside
+
+#: Bounds of the nodes, and the distance at which a cloud of them has about as many nodes as the table.
+CLOUD = f"{NODES}, whole AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, sqrt(0.7 * (max(x) - min(x)) * (max(y) - min(y)) / count(*)) AS h FROM nodes)"
+
+
+def _cloud_sql(inside: str, rim: str) -> str:
+    return f"""WITH {CLOUD}, placed AS (SELECT id, x - (x0 + x1) / 2 AS px, y - (y0 + y1) / 2 AS py, (x1 - x0) / 2 AS rx, (y1 - y0) / 2 AS ry, least(x1 - x0, y1 - y0) / 2 AS r, h FROM nodes, whole)
+SELECT id, CASE WHEN {inside} THEN true END AS served, 0::BIGINT AS near_pairs, 0::BIGINT AS stray, ({rim})::BIGINT AS rim FROM placed"""
+
+
+def _bounds(n: DataFrame) -> tuple[tuple[float, float], tuple[float, float], float]:
+    """The nodes' low corner and extent, and the distance of CLOUD."""
+    x0, y0, x1, y1 = ordering.bbox(n)
+    return (x0, y0), (x1 - x0, y1 - y0), math.sqrt(0.7 * (x1 - x0) * (y1 - y0) / n.count())
+
+
+def _held(n: DataFrame, cloud: DataFrame, distance: float, inside: Callable[[Column, Column], Column], box: Box = metric.OPEN, low: tuple[float, float] = (0.0, 0.0), tight: float = 1.0) -> DataFrame:
+    """For each row: whether a node stands within the distance (null outside the region); and the cloud's pairs that are too near, nodes outside, and nodes of the rim."""
+    cloud = cut(cloud)
+    move = lambda t: t.select("id", (F.col("x") - low[0]).alias("x"), (F.col("y") - low[1]).alias("y"))
+    served = neighbours.knn_join(move(n), move(cloud), 1, box=box).select(F.col("row").alias("id"), (F.col("dist") <= distance * 1.001).alias("near"))
+    near = neighbours.within(move(cloud), distance * tight * (1 - 1e-8), box).filter("row < col").count()
+    told = cloud.agg(F.count_if(~inside(F.col("x"), F.col("y")) & (F.col("flag") == 0)).alias("stray"), F.count_if(F.col("flag") != 0).alias("rim")).first()
+    rows = n.join(served, "id").withColumn("served", F.when(inside(F.col("x"), F.col("y")), F.col("near")))
+    return rows.select("id", "served", F.lit(near).cast("long").alias("near_pairs"), F.lit(told.stray).cast("long").alias("stray"), F.lit(told.rim).cast("long").alias("rim"))
+
+
+@query(_cloud_sql("true", "0"))
 def gen_poisson_box(spark, d):
-    return generators.poisson_box(spark, (16.0, 12.0), 1.0, "periodic", seed=1)
+    n = nodes(spark, d)
+    low, extent, h = _bounds(n)
+    # the far sides of the period are its near sides
+    cloud = regions.poisson_box(spark, extent, h, "periodic", seed=1, low=low)
+    return _held(n, cloud, h, lambda x, y: F.lit(True), Box(extent), low)
 
 
-@query()
+@query(_cloud_sql("sqrt(px * px + py * py) >= r / 3", "4 + 2 * (floor(2 * rx / h + 1e-12) - 1) + 2 * (floor(2 * ry / h + 1e-12) - 1) + floor(pi() / asin(h / (2 * r / 3)) + 1e-12)"))
 def gen_poisson_walls(spark, d):
-    return generators.poisson_box(spark, (16.0, 12.0), 1.0, "walls", hole=2.0, seed=1)
+    n = nodes(spark, d)
+    low, extent, h = _bounds(n)
+    cx, cy, hole = low[0] + extent[0] / 2, low[1] + extent[1] / 2, min(extent) / 6
+    cloud = regions.poisson_box(spark, extent, h, "walls", hole=hole, seed=1, low=low)
+    return _held(n, cloud, h, lambda x, y: F.hypot(x - cx, y - cy) >= hole)
 
 
-@query()
+@query(_cloud_sql("sqrt(px * px + py * py) < r AND sqrt((px - 0.2 * r) * (px - 0.2 * r) + py * py) > 0.4 * r", "floor(pi() / asin(h / (2 * r)) + 1e-12) + floor(pi() / asin(h / (0.8 * r)) + 1e-12)"))
 def gen_eccentric_annulus(spark, d):
-    return generators.eccentric_annulus(spark, 10.0, 3.0, 2.0, 1.0, seed=1)
+    n = nodes(spark, d)
+    low, extent, h = _bounds(n)
+    cx, cy, r = low[0] + extent[0] / 2, low[1] + extent[1] / 2, min(extent) / 2
+    cloud = regions.eccentric_annulus(spark, r, 0.4 * r, 0.2 * r, h, seed=1, centre=(cx, cy))
+    return _held(n, cloud, h, lambda x, y: (F.hypot(x - cx, y - cy) < r) & (F.hypot(x - cx - 0.2 * r, y - cy) > 0.4 * r))
 
 
-@query()
+@query(_cloud_sql("sqrt(px * px + py * py) < r * (0.7 + 0.15 * cos(3 * atan2(py, px)) + 0.05 * sin(2 * atan2(py, px)))", "0"))
 def gen_polar_region(spark, d):
-    return generators.polar_region(spark, [(0, 8.0, 0.0), (3, 1.0, 0.5)], 0.8, seed=1)
+    n = nodes(spark, d)
+    low, extent, h = _bounds(n)
+    cx, cy, r = low[0] + extent[0] / 2, low[1] + extent[1] / 2, min(extent) / 2
+    cloud = regions.polar_region(spark, [(0, 0.7 * r, 0.0), (3, 0.15 * r, 0.0), (2, 0.0, 0.05 * r)], h, seed=1, centre=(cx, cy))
+    t = lambda x, y: F.atan2(y - cy, x - cx)
+    held = _held(n, cloud, h, lambda x, y: F.hypot(x - cx, y - cy) < r * (0.7 + 0.15 * F.cos(3 * t(x, y)) + 0.05 * F.sin(2 * t(x, y))))
+    return held.withColumn("rim", F.lit(0).cast("long"))  # the march along the curve has no closed form
+
+
+@query(_cloud_sql("sqrt(px * px + (py - 0.45 * r) * (py - 0.45 * r)) < 0.5 * r OR sqrt((px + 0.45 * r * sqrt(3) / 2) ** 2 + (py + 0.225 * r) ** 2) < 0.5 * r OR sqrt((px - 0.45 * r * sqrt(3) / 2) ** 2 + (py + 0.225 * r) ** 2) < 0.5 * r", "0"))
+def gen_multilobe(spark, d):
+    n = nodes(spark, d)
+    low, extent, h = _bounds(n)
+    cx, cy, r = low[0] + extent[0] / 2, low[1] + extent[1] / 2, min(extent) / 2
+    cloud = regions.multilobe(spark, 0.5 * r, h, 3, 0.45 * r, seed=1, centre=(cx, cy))
+
+    def inside(x, y):
+        at = [(cx + 0.45 * r * math.cos(t), cy + 0.45 * r * math.sin(t)) for t in (math.pi / 2 + 2 * math.pi * k / 3 for k in range(3))]
+        return (F.hypot(x - at[0][0], y - at[0][1]) < 0.5 * r) | (F.hypot(x - at[1][0], y - at[1][1]) < 0.5 * r) | (F.hypot(x - at[2][0], y - at[2][1]) < 0.5 * r)
+
+    # no two are nearer than the distance, but for nodes of the rim beside a notch
+    return _held(n, cloud, h, inside, tight=0.95).withColumn("rim", F.lit(0).cast("long"))
 
 
 # stencil weights and sparse operators
@@ -775,11 +836,6 @@ def spmv(spark, d):
     return weights.apply(w, field, n).withColumn("value", r9("value"))
 
 
-@query()
-def gen_multilobe(spark, d):
-    return generators.multilobe(spark, 6.0, 1.0, fillet=2.0, seed=1)
-
-
 @query()
 def nested_dissection_order(spark, d):
     return factor.nested_dissection(nodes(spark, d), edges(spark, d))

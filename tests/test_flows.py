@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from tessera.functions.metric import Box
 from tessera.operators import factor, neighbours, ordering
 from tessera.plans import cases, queries
-from tessera.sources import generators, sinks, text
+from tessera.sources import generators, poisson, regions, sinks, text
 
 
 def test_inspect_finds_statistics_and_all_problems(spark, tmp_path):
-    cloud = generators.poisson_box(spark, (8.0, 8.0), 1.0, seed=1)
+    cloud = regions.poisson_box(spark, (8.0, 8.0), 1.0, seed=1)
     line = cases.finish(cloud, str(tmp_path / "a"), (8.0, 8.0), Box((8.0, 8.0)), value=9, title="box").first()
     n = cloud.count()
     assert (line.n, line.stencil_min, line.stencil_max) == (n, 9, 9) and math.isclose(line.density, n / 64)
@@ -31,39 +31,68 @@ def test_inspect_finds_statistics_and_all_problems(spark, tmp_path):
 
 
 def test_polar_region_keeps_its_distance(spark):
-    for outer, inner, h in ((generators.BAYONA_OUTER, generators.BAYONA_INNER, 0.05), (generators.polar_series((6.0, 0.0, 3.0), (0.5,)), None, 0.5)):
-        c = generators.polar_region(spark, outer, h, inner, seed=2)
+    for outer, inner, h in ((regions.BAYONA_OUTER, regions.BAYONA_INNER, 0.05), (regions.polar_series((6.0, 0.0, 3.0), (0.5,)), None, 0.5)):
+        c = regions.polar_region(spark, outer, h, inner, seed=2)
         assert neighbours.nearest(c).agg(F.min("dist")).first()[0] >= h * (1 - 1e-8)
         assert c.filter("flag = 6").isEmpty() == (inner is None)
         rows = c.collect()
         for r in rows:
             t, d = math.atan2(r.y, r.x), math.hypot(r.x, r.y)
-            at = [float(generators._polar(s, np.array([t]))[0]) if s else 0.0 for s in (outer, inner)]
+            at = [regions.polar(s, t) if s else 0.0 for s in (outer, inner)]
             assert at[1] - 1e-9 <= d <= at[0] + 1e-9 and (r.flag == 0 or min(abs(d - x) for x in at) < 1e-3)
         rim = sum(r.flag == 1 for r in rows)
         m = np.linspace(0, 2 * math.pi, 20_001)
-        assert 0.8 * np.abs(np.diff(generators._polar(outer, m) * np.exp(1j * m))).sum() / h < rim
+        assert 0.8 * np.abs(np.diff([regions.polar(outer, u) * np.exp(1j * u) for u in m])).sum() / h < rim
     with pytest.raises(ValueError):
-        generators.polar_region(spark, [(0, 1.0, 0.0)], 0.2, [(0, 0.9, 0.0)])
+        regions.polar_region(spark, [(0, 1.0, 0.0)], 0.2, [(0, 0.9, 0.0)])
     with pytest.raises(ValueError):
-        generators.polar_region(spark, [(0, 1.0, 0.0), (1, 2.0, 0.0)], 0.2)
-
-
-def test_sampler_draws_up_to_a_number():
-    s = generators.PoissonDisk(1.0, (9.0, 7.0), (True, False), seed=4)
-    first = s.random(5)
-    assert len(first) == 5 and len(s.random(3)) == 3 and len(s.points) == 8
-    every = s.fill()
-    assert (every[:5] == first).all() and len(s.random(4)) == 0 and (every < [9.0, 7.0]).all()
-    d = np.abs(every[:, None] - every[None, :])
-    d[..., 0] = np.minimum(d[..., 0], 9 - d[..., 0])
-    near = np.hypot(d[..., 0], d[..., 1]) + 10 * np.eye(len(every))
-    assert near.min() >= 1 and len(every) > 30
+        regions.polar_region(spark, [(0, 1.0, 0.0), (1, 2.0, 0.0)], 0.2)
+
+
+def apart(a, b, extent, periodic):
+    d = a[:, None] - b[None]
+    for k in range(2):
+        if periodic[k]:
+            d[..., k] -= extent[k] * np.rint(d[..., k] / extent[k])
+    return np.hypot(d[..., 0], d[..., 1])
+
+
+def test_sampler_draws_up_to_a_number(spark):
+    extent, periodic = (9.0, 7.0), (True, False)
+    s = poisson.PoissonDisk(spark, 1.0, extent, periodic, seed=4)
+    points = lambda df: sorted(map(tuple, df.collect()))
+    first = points(s.random(5))
+    assert len(first) == 5 and s.random(3).count() == 3
+    every = points(s.fill())
+    assert set(first) <= set(every) and s.random(4).count() == 0
+    at = np.array(every)
+    assert (at >= 0).all() and (at < extent).all()
+    assert (apart(at, at, extent, periodic) + 10 * np.eye(len(at))).min() >= 1 - 1e-9
+    probes = np.random.default_rng(0).random((3000, 2)) * extent
+    assert apart(probes, at, extent, periodic).min(axis=1).max() <= 1.001  # no room is left
     s.reset()
-    assert (s.random(5) == first).all()
-    with pytest.raises(ValueError):
-        s.add_points(np.array([[3.0, 7.0]]))  # the far side is open
-    generators.PoissonDisk(1.0, (9.0, 7.0), closed=True).add_points(np.array([[9.0, 7.0]]))
+    assert points(s.random(5)) == first
+    with pytest.raises(ValueError, match="1 given points stand outside"):
+        s.add_points(spark.createDataFrame([(9.0, 3.0)], "x double, y double"))  # the far side of a period is its near side
+    with pytest.raises(ValueError, match="too near"):
+        s.add_points(spark.createDataFrame([first[0]], "x double, y double"))
+    poisson.PoissonDisk(spark, 1.0, extent).add_points(spark.createDataFrame([extent], "x double, y double"))
+    for wrong in ((0.0, extent), (1.0, (0.0, 1.0)), (4.0, extent)):
+        with pytest.raises(ValueError):
+            poisson.PoissonDisk(spark, *wrong, (True, True))
+    with pytest.raises(ValueError, match="stand outside"):
+        s.add_points(spark.createDataFrame([(None, 3.0), (float("nan"), 1.0)], "x double, y double"))
+
+
+def test_a_seed_gives_one_cloud_at_any_partitioning(spark):
+    draw = lambda seed: sorted(map(tuple, regions.poisson_box(spark, (6.0, 5.0), 1.0, "channel", seed=seed).collect()))
+    first, before = draw(5), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert draw(5) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert draw(6) != first
 
 
 def test_displaced_lattices_follow_numpys_stream(spark):
@@ -142,14 +171,14 @@ def test_fill_reducing_orders(spark):
 
 @pytest.mark.parametrize(("lobes", "fillet"), [(3, 0.0), (3, 2.0), (4, 3.0)])
 def test_multilobe(spark, lobes, fillet):
-    c = generators.multilobe(spark, 6.0, 1.0, lobes=lobes, fillet=fillet, seed=1)
+    c = regions.multilobe(spark, 6.0, 1.0, lobes=lobes, fillet=fillet, seed=1)
     assert c.filter("flag = 5").count() == (0 if fillet else lobes)
     assert neighbours.nearest(c).agg(F.min("dist")).first()[0] >= 0.95 - 1e-9
     rim = sorted(c.filter("flag > 0").collect(), key=lambda r: math.atan2(r.y, r.x))
     assert max(math.dist((a.x, a.y), (b.x, b.y)) for a, b in zip(rim, rim[1:] + rim[:1], strict=True)) < 1.6
     assert c.filter("x * x + y * y > 144.0001").count() == 0
     with pytest.raises(ValueError):
-        generators.multilobe(spark, 6.0, lobes=2, offset=6.0)
+        regions.multilobe(spark, 6.0, lobes=2, offset=6.0)
 
 
 def test_every_query_has_one_schema_and_rows(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import curves, fields, lattice, metric
 from tessera.functions.metric import OPEN, Box
 from tessera.operators import grid, neighbours, ordering, stats, weights
-from tessera.sources import generators, sinks
+from tessera.sources import generators, regions, sinks
 from tests.test_sources import GRID, parse
 
 
@@ -313,10 +313,10 @@ def test_generators(spark):
     assert generators.triangle(spark, 7).count() == 8 * 9 // 2
     assert generators.triangle(spark, 7).filter("flag = 5").count() == 3
     for boundary, sides in (("periodic", (12.0, 10.0)), ("channel", (12.0, 0.0)), ("walls", (0.0, 0.0))):
-        c = generators.poisson_box(spark, (12.0, 10.0), 1.0, boundary, seed=3)
+        c = regions.poisson_box(spark, (12.0, 10.0), 1.0, boundary, seed=3)
         assert neighbours.nearest(c, Box(sides)).agg(F.min("dist")).first()[0] >= 1 - 1e-8
         assert c.count() > 0.55 * 120
-    a = generators.eccentric_annulus(spark, 8.0, 2.0, 1.5, 1.0, seed=2)
+    a = regions.eccentric_annulus(spark, 8.0, 2.0, 1.5, 1.0, seed=2)
     assert neighbours.nearest(a).agg(F.min("dist")).first()[0] >= 1 - 1e-8
     assert a.filter("flag = 0 and x * x + y * y >= 64").count() == 0
     corner = generators.ReentrantCorner(12.0).nodes(spark)
@@ -327,7 +327,7 @@ def test_generators(spark):
     g = generators.grid(spark, 6, 0.2, "periodic", seed=1)
     assert stats.outside(g, Box((6.0, 6.0))).first()[0] == 0
     assert generators.tile(g, (6.0, 6.0), (2, 2)).count() == 4 * 36
-    for bad in (lambda: generators.disk(spark, -1.0), lambda: generators.triangle(spark, 1), lambda: generators.poisson_box(spark, (1.0, 9.0), 1.0), lambda: generators.ReentrantCorner(5.0, omega=1.0), lambda: generators.cavity(spark, 3, (1.0, 1.0))):
+    for bad in (lambda: generators.disk(spark, -1.0), lambda: generators.triangle(spark, 1), lambda: regions.poisson_box(spark, (1.0, 9.0), 1.0), lambda: generators.ReentrantCorner(5.0, omega=1.0), lambda: generators.cavity(spark, 3, (1.0, 1.0))):
         with pytest.raises(ValueError):
             bad()
 
