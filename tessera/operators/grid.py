@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import dense_number
+
 
 def check(nodes: DataFrame, elements: DataFrame, bound: DataFrame) -> None:
     """A ValueError that lists what the tables violate."""
@@ -75,3 +77,9 @@ def orientation_faults(nodes: DataFrame, elements: DataFrame, bound: DataFrame)
     rim = once.join(against.select("u", "v"), ["u", "v"], "left_anti").join(good, ["u", "v"], "left_anti")
     unwalked = rim.select(F.lit(4).alias("check"), "place", F.concat(F.lit("element boundary edge "), no("u"), F.lit(" -> "), no("v"), F.lit(" is not walked by any boundary part")).alias("message"))
     return flat.union(twice).union(wrong).union(unwalked)
+
+
+def messages(nodes: DataFrame, elements: DataFrame, bound: DataFrame) -> DataFrame:
+    """no, check, message: the violations in the order of a walk through the grid's file, check by check (from 0)."""
+    found = orientation_faults(nodes, elements, bound).select("check", "place", "message")
+    return dense_number(found, ["check", "place", "message"], "no").select("no", "check", "message")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.metric import OPEN, Box, distance, fold, invalid
+from tessera.operators.kdtree import KdPartition
 from tessera.operators.lineage import cut
 
 XY = ("x", "y")
@@ -112,7 +113,8 @@ class _Grid:
 def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str] = XY, box: Box = OPEN, exclude_self: bool = False, block: int = 24) -> DataFrame:
     """row, k, col, dist: the k nearest cloud points of each query, k counted from 1, by (dist, id).
 
-    Both are laid on a grid over the first two axes at most, with about ``block`` points, and k at least,
+    In three and more dimensions the cloud is cut into leaves along all axes (see kdtree). Otherwise
+    both are laid on a grid, with about ``block`` points, and k at least,
     around a query. A query whose k-th neighbour lies within the probed ring of cells is done; the others go
     on with a tripled ring until it covers the grid, so the result is exact for any cloud. Where a cell holds far
     more points than that, queries in crowded cells are searched on finer grids first, from the finest on, so that a
@@ -121,8 +123,8 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
     before the join, which keeps a crowded place from costing more than any other. Null, NaN or infinite
     coordinates on either side are a ValueError.
     """
-    axes = list(range(min(2, len(coords))))
-    names = [coords[a] for a in axes]
+    axes = list(range(len(coords)))
+    names = list(coords)
     if queries is not cloud:
         validated(queries, coords)
     queries = wrapped(queries.select(F.col("id").alias("row"), *coords), box, coords)
@@ -136,6 +138,9 @@ def knn_join(queries: DataFrame, cloud: DataFrame, k: int, coords: Sequence[str]
     cloud = cloud.withColumn("__n", F.row_number().over(Window.partitionBy(*coords).orderBy("col")))
     cloud = cloud.filter(F.col("__n") <= k + exclude_self).drop("__n")
     meant = max(block, 5 * k)
+    if len(coords) > 2:
+        spread = [bounds[f"max{i}"] - bounds[f"min{i}"] for i in axes]
+        return KdPartition(cloud, n, coords, box, spread, max(2 * block, 2 * k)).nearest(queries, k, exclude_self)
     per_axis = max(1, int((n / meant * 9) ** (1 / len(axes)) if len(axes) == 2 else n / meant * 3))
     low = [0.0 if box.side(a) else bounds[f"min{i}"] for i, a in enumerate(axes)]
     high = [box.side(a) or bounds[f"max{i}"] for i, a in enumerate(axes)]

@@ -63,10 +63,41 @@ def outside(points: DataFrame, box: Box) -> DataFrame:
     return points.agg(F.count_if(off).alias("outside"))
 
 
+def nth(values: DataFrame, column: str, rank: int, buckets: int = 4096, few: int = 10_000) -> float:
+    """The value that has ``rank`` values before it in order (from 0), by selection; no task and no buffer holds all values.
+
+    Each pass counts the values that are left in buckets of equal width, from partial aggregates, and goes on with the bucket
+    that holds the rank, until all its values are equal or few enough to sort. Values must be finite and not null.
+    """
+    left = values.select(F.col(column).cast("double").alias("v"))
+    low, high, n = left.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not 0 <= rank < n:
+        raise ValueError(f"there is no rank {rank} among {n} values")
+    while low < high and n > few:
+        # values near the ends of the range of doubles: half the difference does not overflow
+        at = F.floor(F.least((F.col("v") / 2 - low / 2) / (high / 2 - low / 2), F.lit(1.0)) * (buckets - 1)).cast("int")
+        for bucket in sorted(left.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()):
+            if rank < bucket.n:
+                break
+            rank -= bucket.n
+        low, high, n = bucket.low, bucket.high, bucket.n
+        left = left.filter((F.col("v") >= low) & (F.col("v") <= high))
+    if low == high:
+        return low
+    return sorted(r.v for r in left.collect())[rank]  # at most ``few`` values
+
+
+def median(values: DataFrame, column: str, n: int) -> float:
+    """The exact median of n values: the mean of the two in the middle if their number is even."""
+    upper = nth(values, column, n // 2)
+    return upper if n % 2 else (nth(values, column, n // 2 - 1) + upper) / 2
+
+
 def cloud_stats(points: DataFrame, box: Box = OPEN) -> DataFrame:
     """One row: nearest-neighbour distance min, max, mean, median and population deviation, coincident nodes."""
-    d = nearest(points, box)
-    return d.agg(F.min("dist").alias("nn_min"), F.max("dist").alias("nn_max"), F.avg("dist").alias("nn_mean"), F.median("dist").alias("nn_median"), F.stddev_pop("dist").alias("nn_std"), F.count_if(F.col("dist") == 0).alias("coincident"))
+    d = cut(nearest(points, box).select("dist"), "distances")
+    middle = median(d, "dist", d.count())
+    return d.agg(F.min("dist").alias("nn_min"), F.max("dist").alias("nn_max"), F.avg("dist").alias("nn_mean"), F.lit(middle).alias("nn_median"), F.stddev_pop("dist").alias("nn_std"), F.count_if(F.col("dist") == 0).alias("coincident"))
 
 
 def summary(points: DataFrame, edges: DataFrame, extent: tuple[float, float]) -> DataFrame:

@@ -17,6 +17,29 @@ from pyspark.sql import functions as F
 from tessera.functions.metric import OPEN, Box, minimum_image
 
 
+def solve_each(m: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of a stack of systems by elimination with partial pivoting, all systems a column at a time; and info.
+
+    info is 0, or the place (from 1) of the first pivot that is zero: such a system is singular and its solution zero.
+    """
+    m, w = m.copy(), rhs.copy()
+    b, size = m.shape[:2]
+    info, each = np.zeros(b, np.int32), np.arange(b)
+    for j in range(size):
+        at = j + np.abs(m[:, j:, j]).argmax(axis=1)
+        for x in (m, w):
+            x[each, at], x[:, j] = x[:, j].copy(), x[each, at]
+        pivot = m[:, j, j]
+        info[(pivot == 0) & (info == 0)] = j + 1
+        share = m[:, j + 1 :, j] / np.where(pivot == 0, 1.0, pivot)[:, None]
+        m[:, j + 1 :, j:] -= share[:, :, None] * m[:, None, j, j:]
+        w[:, j + 1 :] -= share[:, :, None] * w[:, None, j]
+    m[info != 0], w[info != 0] = np.eye(size), 0.0
+    for j in range(size - 1, -1, -1):
+        w[:, j] = (w[:, j] - (m[:, j, None, j + 1 :] @ w[:, j + 1 :])[:, 0]) / m[:, j, j, None]
+    return w, info
+
+
 @dataclass(frozen=True)
 class Interpolation:
     """Stencil size n, polynomial degree p, odd power q of the polyharmonic spline r**q."""
@@ -43,9 +66,9 @@ class Interpolation:
         return (dx * dx + dy * dy) ** (self.q / 2)
 
     def weights(self, x: np.ndarray, y: np.ndarray, xc: np.ndarray, yc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights (stencil, centre, node) at the centres, in frames local to the stencils, and a flag for each singular stencil.
+        """Weights (stencil, centre, node) at the centres, in frames local to the stencils, and info for each stencil.
 
-        The weights of a singular stencil are zero.
+        info is 0, or the place of the pivot at which a singular stencil fails; its weights are zero.
         """
         b, n = x.shape
         size = n + self.terms
@@ -56,16 +79,10 @@ class Interpolation:
         rhs = np.zeros((b, size, len(xc)))
         rhs[:, :n] = self.spline(x[:, :, None] - xc, y[:, :, None] - yc)
         rhs[:, n:] = self.polynomials(xc, yc).T
-        info = np.zeros(b, np.int32)
         try:
-            w = np.linalg.solve(m, rhs)
-        except np.linalg.LinAlgError:  # one singular system fails the whole batch: solve one by one
-            w = np.zeros_like(rhs)
-            for i in range(b):
-                try:
-                    w[i] = np.linalg.solve(m[i], rhs[i])
-                except np.linalg.LinAlgError:
-                    info[i] = 1
+            w, info = np.linalg.solve(m, rhs), np.zeros(b, np.int32)
+        except np.linalg.LinAlgError:  # some system of the batch is singular, and LAPACK does not tell which
+            w, info = solve_each(m, rhs)
         return w[:, :n].transpose(0, 2, 1), info
 
 

@@ -140,6 +140,17 @@ def knn_nd(spark, d):
     return _found(neighbours.knn_stencils(solid(spark, d), 10, coords=("x", "y", "z")))
 
 
+EIGHT = "eight AS (SELECT vec_id AS id, " + ", ".join(f"embedding[{i}]::DOUBLE AS x{i}" for i in range(1, 9)) + " FROM embeddings)"
+
+
+@query(_knn_sql(EIGHT, "eight", "eight", "sqrt(" + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(1, 9)) + ")", 6))
+def knn_eight_axes(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    names = [f"x{i}" for i in range(1, 9)]
+    points = e.select(F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)])
+    return _found(neighbours.knn_stencils(points, 6, coords=names))
+
+
 @query(_knn_sql(PLACES, "places", "places", FLAT, 8))
 def knn_places(spark, d):
     return _found(neighbours.knn_stencils(places(spark, d), 8))
@@ -436,7 +447,7 @@ elements AS (SELECT kind, elem, CASE WHEN elem % 17 = 5 THEN list_reverse(verts)
 bound AS (SELECT 0 AS part, i::INT AS seq, CASE WHEN i <= n THEN i WHEN i <= 2 * n THEN n + (i - n) * m WHEN i <= 3 * n THEN m * m - 1 - (i - 2 * n) ELSE (4 * n - i) * m END AS node FROM (SELECT n, m, unnest(range(4 * n + 1)) AS i FROM dim)
   UNION ALL SELECT 1, i::INT, 3 * m + 2 + i FROM (SELECT m, unnest(range(4)) AS i FROM dim)),
 sides AS (SELECT kind, elem, verts, unnest(range(len(verts))) AS i FROM elements),
-el AS (SELECT kind, elem, verts[i + 1] AS u, verts[(i + 1) % len(verts) + 1] AS v FROM sides)"""
+el AS (SELECT kind, elem, i AS side, verts[i + 1] AS u, verts[(i + 1) % len(verts) + 1] AS v FROM sides)"""
 
 
 @query(f"WITH {SHEET} SELECT id, coalesce(min(part) + 1, 0)::INTEGER AS marker FROM points LEFT JOIN bound ON id = node GROUP BY id")
@@ -492,6 +503,23 @@ def grid_orientation(spark, d):
     return grid.orientation_faults(*sheet(spark, d)).select("check", "message")
 
 
+@query(f"""WITH {SHEET}, placed AS (SELECT *, [(kind <> 'triangle')::BIGINT, elem::BIGINT, side::BIGINT] AS place FROM el),
+once AS (SELECT u, v, count(*) AS uses, min(place) AS place FROM placed GROUP BY u, v),
+walks AS (SELECT part, seq, node AS u, lead(node) OVER (PARTITION BY part ORDER BY seq) AS v FROM bound),
+judged AS (SELECT part, seq, w.u, w.v, o.u IS NOT NULL AS fwd, r.u IS NOT NULL AS rev FROM walks w LEFT JOIN once o ON w.u = o.u AND w.v = o.v LEFT JOIN once r ON w.u = r.v AND w.v = r.u WHERE w.v IS NOT NULL),
+told AS (
+SELECT 1 AS "check", place, kind || ' ' || (elem + 1) || ' is not counterclockwise' AS message FROM (
+  SELECT kind, elem, min(place) AS place, sum(a.x * b.y - b.x * a.y) AS area FROM placed JOIN points a ON u = a.id JOIN points b ON v = b.id GROUP BY kind, elem) WHERE NOT area > 0
+UNION ALL SELECT 2, place, 'element edge ' || (u + 1) || ' -> ' || (v + 1) || ' is used twice in the same direction' FROM once WHERE uses > 1
+UNION ALL SELECT 3, [0, part::BIGINT, seq::BIGINT], 'boundary part ' || (part + 1) || ', edge ' || (u + 1) || ' -> ' || (v + 1) ||
+  CASE WHEN rev AND NOT fwd THEN ' walks with the domain on the right' WHEN fwd THEN ' is an interior edge' ELSE ' is not an element edge' END FROM judged WHERE NOT fwd OR rev
+UNION ALL SELECT 4, place, 'element boundary edge ' || (u + 1) || ' -> ' || (v + 1) || ' is not walked by any boundary part' FROM once o
+  WHERE NOT EXISTS (FROM once r WHERE r.u = o.v AND r.v = o.u) AND NOT EXISTS (FROM judged j WHERE j.u = o.u AND j.v = o.v AND fwd AND NOT rev))
+SELECT row_number() OVER (ORDER BY "check", place) - 1 AS no, "check", message FROM told""")
+def grid_messages(spark, d):
+    return grid.messages(*sheet(spark, d))
+
+
 # lattice Boltzmann
 
 C = list(zip(lattice.CX, lattice.CY, ("4.0/9", *["1.0/9"] * 4, *["1.0/36"] * 4), strict=True))

@@ -345,3 +345,28 @@ def test_statistics(spark):
 
 def test_open_box_is_open():
     assert OPEN.side(0) == 0 and Box((1.0,)).side(1) == 0
+
+
+def test_elimination_tells_the_pivot_that_fails():
+    r = np.random.default_rng(4)
+    m, rhs = r.standard_normal((40, 7, 7)), r.standard_normal((40, 7, 3))
+    m[3, :, 4] = 0
+    m[5] = 0
+    m[6, 6] = m[6, 2] = np.arange(7)
+    m[6, :, :] = np.round(m[6])
+    w, info = weights.solve_each(m, rhs)
+    good = info == 0
+    assert info[3] == 5 and info[5] == 1 and info[6] > 0 and good.sum() == 37
+    assert np.allclose(w[good], np.linalg.solve(m[good], rhs[good])) and not w[~good].any()
+
+
+def test_selection_is_the_sorted_value(spark):
+    r = np.random.default_rng(6)
+    for values in (r.random(3001), np.repeat([1.0, 2.0, 5.0], [500, 1, 700]), np.concatenate([1e-9 * r.random(2000), [1e12]]), np.array([4.0]), np.full(900, 3.5), np.array([-1e308, 0.0, 1e308])):
+        frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+        told = sorted(values.tolist())
+        for rank in {0, len(told) // 3, len(told) - 1}:
+            assert stats.nth(frame, "v", rank, buckets=7, few=10) == told[rank]
+        assert stats.median(frame, "v", len(told)) == pytest.approx(float(np.median(values)))
+    with pytest.raises(ValueError):
+        stats.nth(frame, "v", 3)
