@@ -60,3 +60,8 @@ def kind(line: Column, comment: str = "#") -> Column:
         .when(finite, "numbers")
         .otherwise("text")
     )
+
+
+def not_finite(token: Column) -> Column:
+    """Whether a token is a real, but none that is finite."""
+    return token.rlike(r"(?i)^[+-]?(inf|infinity|nan)$") | (token.rlike(_REAL) & real(token).isNull())

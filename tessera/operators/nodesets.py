@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.metric import Box
 from tessera.operators import grid, neighbours
-from tessera.sources import text
+from tessera.sources import split
 
 
 def _of(nodes: DataFrame) -> DataFrame:
@@ -15,9 +15,8 @@ def _of(nodes: DataFrame) -> DataFrame:
 
 
 def from_file(spark: SparkSession, path: str) -> DataFrame:
-    """The nodes of a points or node file; attributes are left out, a file without markers has flag 0."""
-    text.register(spark)
-    nodes = spark.read.format("node" if path.endswith(".node") else "points").load(path)
+    """The nodes of a points or node file, read split by split; attributes are left out, a file without markers has flag 0."""
+    nodes = split.read_nodes(spark, path) if path.endswith(".node") else split.read_points(spark, path)
     return _of(nodes.withColumn("flag", F.col("marker") if "marker" in nodes.columns else F.lit(0)))
 
 

@@ -17,7 +17,7 @@ from tessera.functions import fields, lattice, metric
 from tessera.functions.metric import Box
 from tessera.operators import factor, grid, neighbours, nodesets, ordering, stats, weights
 from tessera.operators.lineage import cut, shared_dir
-from tessera.sources import files, generators, regions, sinks, text
+from tessera.sources import files, generators, regions, sinks, split, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -902,7 +902,7 @@ def _put(path: str, content: str) -> None:
 def source_points(spark, d):
     to = _folder(spark)
     sinks.write_points(nodes(spark, d), f"{to}/a")
-    return spark.read.format("points").load(f"{to}/a.points")
+    return split.read_points(spark, f"{to}/a.points")
 
 
 @query(f"WITH {NODES} SELECT id, x, y FROM nodes")
@@ -916,21 +916,21 @@ def source_points_struct(spark, d):
 def source_node(spark, d):
     to = _folder(spark)
     sinks.write_nodes(nodes(spark, d).withColumn("attrs", F.array("x", F.lit(1.0))), f"{to}/a", marker="flag", attrs="attrs")
-    return spark.read.format("node").load(f"{to}/a.node")
+    return split.read_nodes(spark, f"{to}/a.node")
 
 
 @query(f"WITH {EDGES} SELECT row, k::INTEGER AS k, col FROM edges")
 def source_graph(spark, d):
     to = _folder(spark)
     sinks.write_graph(edges(spark, d), f"{to}/a")
-    return spark.read.format("graph").option("k", 9).load(f"{to}/a.graph")
+    return split.read_graph(spark, f"{to}/a.graph", k=9)
 
 
 @query(f"WITH {P} SELECT old_id, new_id FROM p")
 def source_iperm(spark, d):
     to = _folder(spark)
     sinks.write_ordering(ordering.curve_order(nodes(spark, d)), f"{to}/a")
-    return spark.read.format("iperm").load(f"{to}/a.iperm")
+    return split.read_ordering(spark, f"{to}/a.iperm")
 
 
 @query(f"WITH {SHEET} SELECT part::INTEGER AS part, seq, node FROM bound")
