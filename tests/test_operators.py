@@ -231,7 +231,7 @@ def test_interpolation_weights(spark):
     x = np.zeros((2, 6))
     x[1], y = rng.uniform(size=6), np.array([np.zeros(6), rng.uniform(size=6)])
     got, info = weights.Interpolation(6, p=1).weights(x, y, np.array([0.0]), np.array([0.0]))
-    assert info.tolist() == [1, 0] and (got[0] == 0).all() and abs(got[1].sum() - 1) < 1e-10
+    assert info.tolist() == [2, 0] and (got[0] == 0).all() and abs(got[1].sum() - 1) < 1e-10
 
 
 def test_ragged_weights_in_the_nodes_own_coordinates(spark):
