@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.names import fresh
+
 CX = (0, 1, 0, -1, 0, 1, -1, -1, 1)
 CY = (0, 0, 1, 0, -1, 1, 1, -1, -1)
 WEIGHT = (4 / 9, 1 / 9, 1 / 9, 1 / 9, 1 / 9, 1 / 36, 1 / 36, 1 / 36, 1 / 36)
@@ -36,9 +38,10 @@ def equilibrium(rho: Column, ux: Column, uy: Column, shared: Column) -> list[Col
 
 def feq(df: DataFrame) -> DataFrame:
     """Adds f0..f8 from rho, ux, uy."""
-    df = df.withColumn("__shared", isotropic(F.col("ux"), F.col("uy")))
-    f = equilibrium(F.col("rho"), F.col("ux"), F.col("uy"), F.col("__shared"))
-    return df.withColumns(dict(zip(POPULATIONS, f, strict=True))).drop("__shared")
+    shared = fresh(df, "__shared")[0]
+    df = df.withColumn(shared, isotropic(F.col("ux"), F.col("uy")))
+    f = equilibrium(F.col("rho"), F.col("ux"), F.col("uy"), F.col(shared))
+    return df.withColumns(dict(zip(POPULATIONS, f, strict=True))).drop(shared)
 
 
 def macros(df: DataFrame) -> DataFrame:

@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from tessera.functions import curves
 from tessera.operators.lineage import cut
+from tessera.operators.names import fresh
 from tessera.operators.neighbours import validated
 
 
 def dense_number(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
     """Numbers all rows from 0 in the order of keys, which must tell all rows apart; no single task sees all of them."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumns({f"__k{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)})
-    cols = [f"__k{i}" for i in range(len(keys))]
+    part, size, before, place, *cols = fresh(df, "__part", "__size", "__before", "__n", *[f"__k{i}" for i in range(len(keys))])
+    dealt = df.withColumns({c: F.col(k) if isinstance(k, str) else k for c, k in zip(cols, keys, strict=True)})
     # ranges and counts must come from one pass, whatever executors are lost: the dealt rows are a table
-    dealt = cut(dealt.repartitionByRange(n, *cols).withColumn("__part", F.spark_partition_id()))
-    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    before = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*cols))
-    return dealt.withColumn("__n", inside).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__n") - 1).cast("long")).drop("__part", "__n", "__before", *cols)
+    dealt = cut(dealt.repartitionByRange(n, *cols).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(size))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    shifts = sizes.select(part, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*cols))
+    numbered = dealt.withColumn(place, inside).join(F.broadcast(shifts), part)
+    return numbered.withColumn(name, (F.col(before) + F.col(place) - 1).cast("long")).drop(part, place, before, *cols)
 
 
 def bbox(points: DataFrame) -> tuple[float, float, float, float]:
@@ -54,7 +57,8 @@ def curve_order(points: DataFrame, curve: str = "morton", ndiv: int = 16, box: t
 
 def partition_last(points: DataFrame, is_last: Column) -> DataFrame:
     """Rows for which is_last holds go behind the others; both keep their order."""
-    return order_by(points.withColumn("__last", is_last.cast("int")), "__last")
+    mark = fresh(points, "__last")[0]
+    return order_by(points.withColumn(mark, is_last.cast("int")), mark)
 
 
 def boundary_last(points: DataFrame) -> DataFrame:
@@ -66,8 +70,9 @@ def boundary_last_by_index(points: DataFrame, listed: DataFrame) -> DataFrame:
     unknown = listed.select("id").join(points.select("id"), "id", "left_anti").count()
     if unknown:
         raise ValueError(f"{unknown} listed ids are not in the cloud")
-    marked = points.join(listed.select("id").distinct().withColumn("__in", F.lit(1)), "id", "left")
-    return partition_last(marked, F.col("__in").isNotNull())
+    mark = fresh(points, "__in")[0]
+    marked = points.join(listed.select("id").distinct().withColumn(mark, F.lit(1)), "id", "left")
+    return partition_last(marked, F.col(mark).isNotNull())
 
 
 def boundary_first(points: DataFrame) -> DataFrame:

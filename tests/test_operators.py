@@ -370,3 +370,14 @@ def test_selection_is_the_sorted_value(spark):
         assert stats.median(frame, "v", len(told)) == pytest.approx(float(np.median(values)))
     with pytest.raises(ValueError):
         stats.nth(frame, "v", 3)
+
+
+def test_numberings_give_clashing_columns_back(spark):
+    own = ["__part", "__size", "__before", "__n", "__k0", "__k1", "__last", "__in", "__shared"]
+    rows = spark.createDataFrame([(i, float(-i), *[f"{c}{i}" for c in own]) for i in range(20)], "id long, x double, " + ", ".join(f"{c} string" for c in own))
+    for r in ordering.dense_number(rows, ["x", F.col("id")], "no").collect():
+        assert r.no == 19 - r.id and all(r[c] == f"{c}{r.id}" for c in own)
+    last = ordering.boundary_last_by_index(rows, rows.filter("id < 3").select("id"))
+    assert sorted((r.new_id, r.old_id) for r in last.collect())[-3:] == [(17, 0), (18, 1), (19, 2)]
+    flow = rows.select("*", F.lit(1.0).alias("rho"), F.lit(0.1).alias("ux"), F.lit(0.0).alias("uy"))
+    assert all(r["__shared"] == f"__shared{r.id}" for r in lattice.feq(flow).collect())
