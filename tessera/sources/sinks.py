@@ -1,21 +1,24 @@
 """Writers of the text formats.
 
-A text file has one header and one order of lines, so it has one writer: rows come to it in order, partition
-by partition (toLocalIterator), and stream into the file; nothing is gathered in memory. Numbers are the
-shortest text that reads back to the same value.
+A file is made of headers and sections. The rows of a section are sorted by ranges; each task turns its own into lines
+and writes them as a piece, through Spark's text writer, so that a task that fails or runs twice leaves nothing behind. The
+pieces stand in a folder beside the file, and are joined (``joins``) when all are there: by the file system, where it can
+do so, by tasks that copy each piece to its place, where the file is one of a mounted disk. A file appears when it is whole; if
+a writer fails, the one that was there before stays.
+
+Paths are read as Spark reads them. Numbers are the shortest text that reads back to the same value.
 """
 
 from __future__ import annotations
 
-import io
 import sys
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources import files
+from tessera.sources import joins
 
 
 def number(v: float | int) -> str:
@@ -24,82 +27,81 @@ def number(v: float | int) -> str:
     return text.removesuffix(".0")
 
 
-@contextmanager
-def _opened(path: str, extension: str):
-    """The file (with its extension, unless the path has it); "-" is standard output. It appears when it is whole."""
-    if path == "-":
-        yield sys.stdout
-        return
-    path = path if path.endswith(extension) else path + extension
-    fs, place = files.filesystem(path)
-    with io.TextIOWrapper(fs.open_output_stream(place + ".part"), encoding="utf-8", newline="\n") as f:
-        yield f
-    fs.move(place + ".part", place)
+def _lines(df: DataFrame, keys: Sequence[str], cols: Sequence[str], line: Callable[..., str]) -> DataFrame:
+    """A line for each row, made of the columns cols by a function, in the order of keys."""
 
+    def run(batches):
+        for b in batches:
+            made = [line(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
-def _ordered(df: DataFrame, *keys: str) -> Iterator:
-    return df.orderBy(*keys).toLocalIterator(prefetchPartitions=True)
+    return df.orderBy(*keys).select(*cols).mapInArrow(run, "value string")
+
+
+def _plain(df: DataFrame, keys: Sequence[str], line: Column) -> DataFrame:
+    """The same for a line that is a column expression."""
+    return df.orderBy(*keys).select(line.alias("value"))
+
+
+def _write(spark: SparkSession, path: str, extension: str, sections: Iterable[str | DataFrame]) -> None:
+    """Headers (texts) and sections one after another, to the file (with its extension, unless the path has it); "-" is standard output."""
+    if path == "-":
+        for s in sections:
+            sys.stdout.writelines([s] if isinstance(s, str) else (f"{r.value}\n" for r in s.toLocalIterator(prefetchPartitions=True)))
+        return
+    joins.write(spark, sections, path if path.endswith(extension) else path + extension)
 
 
 def write_points(points: DataFrame, path: str, text=repr) -> None:
-    with _opened(path, ".points") as f:
-        f.write(f"{points.count()}\n")
-        for r in _ordered(points.select("id", "x", "y"), "id"):
-            f.write(f"{text(r.x)} {text(r.y)}\n")
+    lines = _lines(points, ["id"], ["x", "y"], lambda x, y: f"{text(x)} {text(y)}")
+    _write(points.sparkSession, path, ".points", [f"{points.count()}\n", lines])
 
 
 def write_nodes(nodes: DataFrame, path: str, marker: str | None = "marker", attrs: str | None = None, title: str | None = None, text=number) -> None:
     cols = ["id", "x", "y", *([attrs] if attrs else []), *([marker] if marker else [])]
     nattr = len((nodes.select(attrs).first() or [[]])[0]) if attrs else 0
-    with _opened(path, ".node") as f:
-        if title is not None:
-            f.write(f"# {title}\n")
-        f.write(f"{nodes.count()} 2 {nattr} {int(bool(marker))}\n")
-        for r in _ordered(nodes.select(*cols), "id"):
-            f.write(" ".join([str(r.id), text(r.x), text(r.y), *map(text, r[attrs] if attrs else []), *([str(r[marker])] if marker else [])]) + "\n")
+
+    def line(i, x, y, *more):
+        values, flags = (more[0], more[1:]) if attrs else ((), more)
+        return " ".join([str(i), text(x), text(y), *map(text, values), *map(str, flags)])
+
+    head = "" if title is None else f"# {title}\n"
+    _write(nodes.sparkSession, path, ".node", [f"{head}{nodes.count()} 2 {nattr} {int(bool(marker))}\n", _lines(nodes, ["id"], cols, line)])
 
 
 def write_graph(edges: DataFrame, path: str) -> None:
     """One line for each row's columns. The format has no empty rows: a node without any is a ValueError."""
-    rows = edges.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "col"))), lambda s: s["col"]).alias("cols"))
+    rows = edges.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "col"))), lambda s: s["col"].cast("string")).alias("cols"))
     n = edges.agg(F.count_distinct("row").alias("n"), F.count(F.lit(1)).alias("nnz"), (F.max(F.greatest("row", "col")) + 1).alias("nodes")).first()
     if n.n and n.n != n.nodes:
         raise ValueError(f"{n.nodes - n.n} of {n.nodes} nodes have no row")
-    with _opened(path, ".graph") as f:
-        f.write(f"{n.n} {n.nnz}\n")
-        for r in _ordered(rows, "row"):
-            f.write(" ".join(map(str, r.cols)) + "\n")
+    _write(edges.sparkSession, path, ".graph", [f"{n.n} {n.nnz}\n", _plain(rows, ["row"], F.array_join("cols", " "))])
 
 
 def write_ordering(p: DataFrame, path: str) -> None:
-    with _opened(path, ".iperm") as f:
-        for r in _ordered(p, "old_id"):
-            f.write(f"{r.new_id}\n")
+    _write(p.sparkSession, path, ".iperm", [_plain(p, ["old_id"], F.col("new_id").cast("string"))])
 
 
 def write_grid(nodes: DataFrame, elements: DataFrame, bound: DataFrame, path: str) -> None:
     kinds = {r.kind: r["count"] for r in elements.groupBy("kind").count().collect()}
     parts = bound.groupBy("part").count().orderBy("part").collect()
-    with _opened(path, ".grid") as f:
-        f.write(f"{nodes.count()} {kinds.get('triangle', 0)} {kinds.get('quadrilateral', 0)}\n")
-        for r in _ordered(nodes.select("id", "x", "y"), "id"):
-            f.write(f"{number(r.x)} {number(r.y)}\n")
-        for kind in ("triangle", "quadrilateral"):
-            for r in _ordered(elements.filter(F.col("kind") == kind), "elem"):
-                f.write(" ".join(str(v + 1) for v in r.verts) + "\n")
-        f.write(f"{len(parts)}\n")
-        f.writelines(f"{r['count']}\n" for r in parts)
-        for r in _ordered(bound, "part", "seq"):
-            f.write(f"{r.node + 1}\n")
+    verts = F.array_join(F.transform("verts", lambda v: (v + 1).cast("string")), " ")
+    sections = [
+        f"{nodes.count()} {kinds.get('triangle', 0)} {kinds.get('quadrilateral', 0)}\n",
+        _lines(nodes, ["id"], ["x", "y"], lambda x, y: f"{number(x)} {number(y)}"),
+        *[_plain(elements.filter(F.col("kind") == kind), ["elem"], verts) for kind in ("triangle", "quadrilateral")],
+        "".join(f"{v}\n" for v in [len(parts), *(r["count"] for r in parts)]),
+        _plain(bound, ["part", "seq"], (F.col("node") + 1).cast("string")),
+    ]
+    _write(nodes.sparkSession, path, ".grid", sections)
 
 
 def write_matrix_market(entries: DataFrame, path: str, rows: int, cols: int, value: str | None = "value", base: int = 0, order: Sequence[str] = ("row", "k")) -> None:
     """Triplets (row, col[, value]) in the order given; without a value column only the pattern."""
     keys = [c for c in order if c in entries.columns] or ["row", "col"]
-    with _opened(path, ".mtx") as f:
-        f.write(f"%%MatrixMarket matrix coordinate {'real' if value else 'pattern'} general\n{rows} {cols} {entries.count()}\n")
-        for r in _ordered(entries, *keys):
-            f.write(" ".join([str(r.row + 1 - base), str(r.col + 1 - base), *([number(r[value])] if value else [])]) + "\n")
+    head = f"%%MatrixMarket matrix coordinate {'real' if value else 'pattern'} general\n{rows} {cols} {entries.count()}\n"
+    lines = _lines(entries, keys, ["row", "col", *([value] if value else [])], lambda i, j, *v: " ".join([str(i + 1 - base), str(j + 1 - base), *map(number, v)]))
+    _write(entries.sparkSession, path, ".mtx", [head, lines])
 
 
 def _name(name: str) -> str:
@@ -115,25 +117,22 @@ def write_vtk(points: DataFrame, path: str, scalars: Iterable[str] = (), vectors
     if kind not in ("double", "float"):
         raise ValueError("kind must be double or float")
     scalars, vectors, n = [_name(s) for s in scalars], [(_name(v), x, y) for v, x, y in vectors], points.count()
+    plane = lambda x, y: f"{number(x)} {number(y)} 0"
     points = points.orderBy("id").persist()
-    with _opened(path, ".vtk") as f:
-        f.write(f"# vtk DataFile Version 2.0\n{title}\nASCII\nDATASET POLYDATA\nPOINTS {n} {kind}\n")
-        f.writelines(f"{number(r.x)} {number(r.y)} 0\n" for r in _ordered(points.select("id", "x", "y"), "id"))
-        f.write(f"VERTICES {n} {2 * n}\n")
-        f.writelines(f"1 {i}\n" for i in range(n))
-        if scalars or vectors:
-            f.write(f"POINT_DATA {n}\n")
-        for s in scalars:
-            f.write(f"SCALARS {s} {kind} 1\nLOOKUP_TABLE default\n")
-            f.writelines(f"{number(r.v)}\n" for r in _ordered(points.select("id", F.col(s).alias("v")), "id"))
-        for name, x, y in vectors:
-            f.write(f"VECTORS {name} {kind}\n")
-            f.writelines(f"{number(r.vx)} {number(r.vy)} 0\n" for r in _ordered(points.select("id", F.col(x).alias("vx"), F.col(y).alias("vy")), "id"))
-    points.unpersist()
+    sections = [f"# vtk DataFile Version 2.0\n{title}\nASCII\nDATASET POLYDATA\nPOINTS {n} {kind}\n", _lines(points, ["id"], ["x", "y"], plane), f"VERTICES {n} {2 * n}\n"]
+    sections.append(points.sparkSession.range(n).select(F.concat(F.lit("1 "), F.col("id").cast("string")).alias("value")))
+    if scalars or vectors:
+        sections.append(f"POINT_DATA {n}\n")
+    for s in scalars:
+        sections += [f"SCALARS {s} {kind} 1\nLOOKUP_TABLE default\n", _lines(points, ["id"], [s], number)]
+    for name, x, y in vectors:
+        sections += [f"VECTORS {name} {kind}\n", _lines(points, ["id"], [x, y], plane)]
+    try:
+        _write(points.sparkSession, path, ".vtk", sections)
+    finally:
+        points.unpersist()
 
 
 def write_columns(points: DataFrame, path: str, columns: Sequence[str] = ()) -> None:
-    with _opened(path, ".dat") as f:
-        f.write(" ".join(["# x y", *map(_name, columns)]) + "\n")
-        for r in _ordered(points.select("id", "x", "y", *columns), "id"):
-            f.write(" ".join(number(r[c]) for c in ("x", "y", *columns)) + "\n")
+    head = " ".join(["# x y", *map(_name, columns)]) + "\n"
+    _write(points.sparkSession, path, ".dat", [head, _lines(points, ["id"], ["x", "y", *columns], lambda *v: " ".join(map(number, v)))])

@@ -1,9 +1,12 @@
 """Readers and writers: fixtures, dialects, faults and round trips."""
 
+import os
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import sinks, text
+from tessera.sources import joins, sinks, text
 
 AWKWARD = [0.1, 1 / 3, 2 / 3, 1e-300, 123456.789012345, -9.87654321e-7]
 
@@ -147,3 +150,44 @@ def test_text_sinks(spark, tmp_path):
         sinks.write_vtk(pts, str(tmp_path / "e"), ["a b"])
     with pytest.raises(ValueError):
         sinks.write_vtk(pts.withColumn("w", F.lit(1.0)), str(tmp_path / "e"), ["w"], title="x\ny")
+
+
+@pytest.mark.parametrize("join", [None, joins.by_offsets, joins.by_file_system])
+def test_pieces_are_joined_in_order(spark, tmp_path, join, monkeypatch):
+    """Three headers and two sections of four and three pieces (one of them empty), by either way of joining."""
+    if join:
+        monkeypatch.setattr(joins, "by_offsets", join)
+    first = spark.range(0, 1000, 1, 4).select(F.concat(F.lit("ä"), F.col("id").cast("string")).alias("value"))
+    second = spark.range(0, 10, 1, 3).filter("id < 3 or id > 5").select(F.col("id").cast("string").alias("value"))
+    target = tmp_path / "a b#c%20.txt"
+    target.write_text("old")
+    joins.write(spark, ["one\n", first, "two\nthree\n", second, second.limit(0), "end\n"], str(target))
+    assert target.read_text() == "one\n" + "".join(f"ä{i}\n" for i in range(1000)) + "two\nthree\n" + "".join(f"{i}\n" for i in (0, 1, 2, 6, 7, 8, 9)) + "end\n"
+    assert [f for f in os.listdir(tmp_path) if not f.startswith(".")] == [target.name]
+
+
+def test_writers_use_many_tasks_and_leave_nothing_when_they_fail(spark, tmp_path, monkeypatch):
+    seen = []
+    whole = joins.by_offsets
+    monkeypatch.setattr(joins, "by_offsets", lambda spark, parts, *more: (seen.append(sum(isinstance(p, tuple) for p in parts)), whole(spark, parts, *more)))
+    rng = np.random.default_rng(3)
+    order = rng.permutation(5000)
+    points = spark.createDataFrame([(int(i), float(v), -float(v)) for i, v in zip(order, rng.normal(size=5000), strict=True)], "id long, x double, y double").repartition(4)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_points(points, str(tmp_path / "a"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert seen == [4]
+    rows = sorted(points.collect())
+    assert (tmp_path / "a.points").read_text() == "5000\n" + "".join(f"{r.x!r} {r.y!r}\n" for r in rows)
+
+    def broken(v):
+        if v == rows[4000].x:
+            raise RuntimeError("a task fails")
+        return repr(v)
+
+    with pytest.raises(Exception, match="a task fails"):
+        sinks.write_points(points, str(tmp_path / "a"), text=broken)
+    assert (tmp_path / "a.points").read_text().startswith("5000\n") and os.listdir(tmp_path) == ["a.points"]
