@@ -6,13 +6,14 @@ partitions: each partition is ranked by itself and shifted by the sizes of those
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import curves
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, shared_dir
 from tessera.operators.names import fresh
 from tessera.operators.neighbours import validated
 
@@ -154,23 +155,35 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def reverse_cuthill_mckee(edges: DataFrame) -> DataFrame:
     """The reverse Cuthill-McKee order of a symmetrised graph.
 
-    Level by level: breadth-first levels are found by joins from one start (a node of least degree) in each
-    component; nodes are ordered by component, level, degree and id, and the order is reversed. Ties
-    within a level go by degree rather than by parent, so bandwidths, not numbers, match other codes.
+    Each component is searched breadth first from a node of least degree. The nodes of a level stand in the order of
+    their first neighbours in the level before, then by degree and id; components go by their least ids, and the whole is reversed.
+
+    All components go level by level together. A neighbour of a level lies in it, in the one before or in the next one, so
+    a level is met with two others only and is written once. Numbers within a level only have to tell its order: they come from sorted ranges.
     """
     from tessera.operators.stats import connected
 
-    pairs = cut(adjacency(edges))
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = adjacency(edges)
     nodes = edges.select(F.col("row").alias("id")).union(edges.select(F.col("col").alias("id"))).distinct()
-    degree = pairs.groupBy(F.col("row").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    degree = plain.groupBy(F.col("row").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    pairs = cut(plain.join(degree.withColumnRenamed("id", "col"), "col").select("row", "col", "degree"))
     known = cut(nodes.join(degree, "id", "left").fillna(0, ["degree"]).join(connected(nodes, pairs), "id"))
-    first = Window.partitionBy("component").orderBy("degree", "id")
-    level = seen = cut(known.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select("id", F.lit(0).alias("level")))
+    start = known.groupBy("component").agg(F.min(F.struct("degree", "id")).alias("s")).select("s.id", F.col("component").alias("rank"))
+    levels, schema = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}", "id long, rank long"
+
+    def put(rows: DataFrame, depth: int) -> DataFrame:
+        rows.write.parquet(f"{levels}/level={depth}")
+        return spark.read.schema(schema).parquet(f"{levels}/level={depth}")
+
     depth = 0
+    level = before = put(start, 0)
     while not level.isEmpty():
         depth += 1
-        reached = pairs.join(level.select(F.col("id").alias("row")), "row").select(F.col("col").alias("id")).distinct()
-        level = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(depth)), instead=[] if depth == 1 else [level])
-        seen = cut(seen.union(level), instead=[seen])
-    ranked = known.join(seen, "id")
-    return order_by(ranked, -F.col("component"), -F.col("level"), -F.col("degree"), -F.col("old_id"))
+        met = level.select("id").union(before.select("id"))
+        reached = pairs.join(level.withColumnRenamed("id", "row"), "row").groupBy(F.col("col").alias("id"), "degree").agg(F.min("rank").alias("parent"))
+        found = reached.join(met, "id", "left_anti").repartitionByRange(n, "parent", "degree", "id").sortWithinPartitions("parent", "degree", "id")
+        before, level = level, put(found.select("id", F.monotonically_increasing_id().alias("rank")), depth)
+    ranked = known.join(spark.read.schema(f"{schema}, level int").parquet(levels), "id")
+    return order_by(ranked, -F.col("component"), -F.col("level"), -F.col("rank"))

@@ -370,7 +370,22 @@ def adjacency_symmetric(spark, d):
     return ordering.adjacency(edges(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, adj AS (SELECT DISTINCT row, col FROM (SELECT row, col FROM edges UNION ALL SELECT col, row FROM edges) WHERE row <> col),
+near AS (SELECT row AS id, count(*) AS degree FROM adj GROUP BY row),
+reach AS (SELECT id, id AS root FROM nodes UNION SELECT a.col, r.root FROM reach r JOIN adj a ON a.row = r.id WHERE a.col > r.root),
+member AS (SELECT id, min(root) AS component FROM reach GROUP BY id),
+known AS (SELECT m.id, m.component, coalesce(degree, 0) AS degree FROM member m LEFT JOIN near n ON n.id = m.id),
+starts AS (SELECT component, arg_min(id, (degree, id)) AS id FROM known GROUP BY component),
+walk AS (
+  SELECT 0 AS level, list(id ORDER BY component) AS front, list(id ORDER BY component) AS seen FROM starts
+  UNION ALL
+  SELECT level + 1, list(col ORDER BY first, degree, col), list_concat(seen, list(col ORDER BY first, degree, col)) FROM (
+    SELECT w.level, w.seen, a.col, k.degree, min(list_position(w.front, a.row)) AS first
+    FROM walk w JOIN adj a ON list_contains(w.front, a.row) AND NOT list_contains(w.seen, a.col) JOIN known k ON k.id = a.col
+    GROUP BY w.level, w.seen, a.col, k.degree)
+  GROUP BY level, seen),
+placed AS (SELECT level, unnest(front) AS id, generate_subscripts(front, 1) AS place FROM walk)
+SELECT id AS old_id, row_number() OVER (ORDER BY component DESC, level DESC, place DESC) - 1 AS new_id FROM placed JOIN known USING (id)""")
 def rcm_order(spark, d):
     return ordering.reverse_cuthill_mckee(edges(spark, d))
 

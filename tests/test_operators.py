@@ -381,3 +381,31 @@ def test_numberings_give_clashing_columns_back(spark):
     assert sorted((r.new_id, r.old_id) for r in last.collect())[-3:] == [(17, 0), (18, 1), (19, 2)]
     flow = rows.select("*", F.lit(1.0).alias("rho"), F.lit(0.1).alias("ux"), F.lit(0.0).alias("uy"))
     assert all(r["__shared"] == f"__shared{r.id}" for r in lattice.feq(flow).collect())
+
+
+def test_cuthill_mckee_by_parents(spark):
+    """Against a queue, on graphs with several components, lone nodes and loops."""
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (40, 45)):
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))] + [(i, i) for i in range(n)]
+        near = {i: set() for i in range(n)}
+        for a, b in pairs:
+            if a != b:
+                near[a].add(b)
+                near[b].add(a)
+        order, left = [], set(range(n))
+        while left:
+            component, front = {min(left)}, [min(left)]
+            while front:
+                front = [j for i in front for j in near[i] if j not in component and not component.add(j)]
+            queue = [min(component, key=lambda i: (len(near[i]), i))]
+            left -= {queue[0]}
+            for i in queue:
+                more = sorted(near[i] & left, key=lambda j: (len(near[j]), j))
+                queue += more
+                left -= set(more)
+            order.append(queue)
+        expected = {i: k for k, i in enumerate(reversed([i for queue in order for i in queue]))}
+        p = ordering.check_permutation(ordering.reverse_cuthill_mckee(spark.createDataFrame(pairs, "row long, col long")))
+        assert {r.old_id: r.new_id for r in p.collect()} == expected
+    assert ordering.reverse_cuthill_mckee(spark.createDataFrame([], "row long, col long")).count() == 0
