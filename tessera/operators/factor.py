@@ -1,20 +1,17 @@
-"""Fill-reducing orders and the size of a Cholesky factor, for graphs that one task holds.
+"""Fill-reducing orders, and the elimination tree and size of a Cholesky factor.
 
-Elimination is sequential by nature: these gather a symmetrised graph into one task. Orders from other
-programs differ in their numbers; these keep the contract of an order: a permutation that lowers fill.
+Orders from other programs differ in their numbers; these keep the contract of an order: a permutation that lowers fill.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, drop, shared_dir
 from tessera.operators.ordering import adjacency, dense_number
 
 
@@ -39,72 +36,151 @@ def nested_dissection(points: DataFrame, edges: DataFrame, leaf: int = 32) -> Da
         cut_ = over.filter("p = q and not u and v").select(F.col("row").alias("id"), F.lit(True).alias("on")).distinct()
         step = F.when(F.coalesce("on", F.lit(False)), "2").when(F.col("upper"), "1").otherwise("0")
         moved = half.join(cut_, "id", "left").select("id", "x", "y", F.concat("path", step).alias("path"), F.coalesce("on", F.lit(False)).alias("fixed"))
-        state = moved.union(state.filter("fixed"))
-        state = cut(state)
+        state = cut(moved.union(state.filter("fixed")), instead=[state])
     return dense_number(state.withColumnRenamed("id", "old_id"), ["path", "old_id"], "new_id").select("old_id", "new_id")
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> dict[int, set[int]]:
-    near: dict[int, set[int]] = {}
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            near.setdefault(a, set()).add(b)
-    return near
+def minimum_degree(edges: DataFrame, slack: float = 1.25) -> DataFrame:
+    """old_id, new_id: nodes of about the least degree are eliminated first, many at a time.
 
-
-def minimum_degree(edges: DataFrame) -> DataFrame:
-    """old_id, new_id: always the node of least degree (then id) is eliminated next, and its neighbours joined."""
-    loops = edges.select("row").union(edges.select("col")).distinct().select("row", F.col("row").alias("col"))
-
-    def run(batches):
-        import heapq
-
-        near = _lists(batches)
-        for i in near:
-            near[i].discard(i)
-        heap = [(len(v), i) for i, v in near.items()]
-        heapq.heapify(heap)
-        order = []
-        while heap:
-            d, i = heapq.heappop(heap)
-            if i not in near or len(near[i]) != d:
-                continue
-            around = near.pop(i)
-            order.append(i)
-            for j in around:
-                near[j] |= around
-                near[j] -= {i, j}
-                heapq.heappush(heap, (len(near[j]), j))
-        if order:
-            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(range(len(order)), pa.int64())], ["old_id", "new_id"])
-
-    return adjacency(edges).union(loops).coalesce(1).mapInArrow(run, "old_id long, new_id long")
+    An eliminated node stays as an element, the set of nodes it joins, instead of the edges among them; an element takes in those
+    that its node was in, so the tables (edges u, w and members e, u) never grow. A node's degree is bounded by its edges and the sizes of its elements.
+    Each round takes, of the nodes whose bound is within ``slack`` of the least, those that come first (by bound, a hash, id) among their edges and in all their
+    elements; no two of them are neighbours. Edges inside a new element go, and nodes that are left with nothing but it follow its node at
+    once, as they add no fill. Least keys of edges and elements are found by grouping; no pairs of members are made.
+    """
+    spark = edges.sparkSession
+    nodes = cut(edges.select(F.col("row").alias("id")).union(edges.select("col")).distinct())
+    near = cut(adjacency(edges).select(F.col("row").alias("u"), F.col("col").alias("w")))
+    member = spark.createDataFrame([], "e long, u long")
+    done, turn = f"{shared_dir(spark)}/eliminated-{uuid.uuid4().hex}", 0
+    old: list[DataFrame] = []
+    while True:
+        sizes = member.groupBy("e").agg((F.count(F.lit(1)) - 1).alias("others"))
+        joined = member.join(sizes, "e").groupBy(F.col("u").alias("id")).agg(F.sum("others").alias("in_elements"))
+        linked = near.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("in_edges"))
+        bound = F.coalesce("in_edges", F.lit(0)) + F.coalesce("in_elements", F.lit(0))
+        degrees = cut(nodes.join(linked, "id", "left").join(joined, "id", "left").select("id", bound.alias("degree")))
+        least = degrees.agg(F.min("degree")).first()[0]
+        if least is None:
+            break
+        ready = degrees.filter(F.col("degree") <= slack * least).select("id", F.struct("degree", F.xxhash64("id", F.lit(turn)).alias("h"), "id").alias("key"))
+        as_u = ready.withColumnRenamed("id", "u")
+        first = member.join(as_u, "u").groupBy("e").agg(F.min("key").alias("first"))
+        among = member.join(first, "e").groupBy(F.col("u").alias("id")).agg(F.min("first").alias("in_elements"))
+        beside = near.join(ready.withColumnRenamed("id", "w"), "w").groupBy(F.col("u").alias("id")).agg(F.min("key").alias("in_edges"))
+        before = lambda c: F.coalesce(F.col(c) < F.col("key"), F.lit(False))
+        chosen = cut(ready.join(among, "id", "left").join(beside, "id", "left").filter(~before("in_elements") & ~before("in_edges")).select("id"))
+        at = lambda c: chosen.select(F.col("id").alias(c))
+        taken_in = member.join(at("u"), "u").select("e", F.col("u").alias("by"))
+        moved = member.join(taken_in, "e", "left").select(F.coalesce("by", "e").alias("e"), "u")
+        grown = cut(moved.union(near.join(at("u"), "u").select(F.col("u").alias("e"), F.col("w").alias("u"))).join(at("u"), "u", "left_anti").distinct())
+        fresh = grown.join(at("e"), "e", "left_semi")
+        kept = near.join(at("u"), "u", "left_anti").join(at("w"), "w", "left_anti").select("u", "w")
+        inside = kept.join(fresh, "u").join(fresh.select("e", F.col("u").alias("w")), ["e", "w"]).select("u", "w").distinct()
+        left = cut(kept.join(inside, ["u", "w"], "left_anti"))
+        only = grown.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("e")).filter("n = 1").join(at("e"), "e", "left_semi").join(left, "u", "left_anti")
+        follow = chosen.select("id", F.col("id").alias("after"), F.lit(0).alias("place")).union(only.select("u", "e", F.lit(1)))
+        follow.write.parquet(f"{done}/turn={turn}")
+        gone = spark.read.schema("id long, after long, place int").parquet(f"{done}/turn={turn}").select("id")
+        for table in old:
+            drop(table)
+        nodes, near = degrees.select("id").join(gone, "id", "left_anti"), left
+        member = grown.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").select("e", "u")
+        old, turn = [degrees, chosen, grown, left], turn + 1
+    if not turn:
+        return spark.createDataFrame([], "old_id long, new_id long")
+    order = spark.read.schema("id long, after long, place int, turn int").parquet(done)
+    return dense_number(order.withColumnRenamed("id", "old_id"), ["turn", "after", "place", "old_id"], "new_id").select("old_id", "new_id")
+
+
+def elimination_tree(lower: DataFrame) -> DataFrame:
+    """node, parent of the elimination tree of a pattern (i, j), i > j; roots have no row.
+
+    An entry says that i is an ancestor of j. Of a node's ancestors the least is its parent, and the others are ancestors
+    of that parent, so each of them moves up: to the farthest ancestor of the node that is known and less. For each power of two,
+    the farthest known ancestor within that distance is kept, and each round follows it once more, so that entries move by leaps that double. Entries
+    never get more, and all that is known of ancestors stays true; when every node has one entry left, these are the tree.
+    """
+    leap = lambda near, far: F.floor(F.log2((far - near).cast("double"))).cast("int")
+    entries = cut(lower.select(F.col("j").alias("node"), F.col("i").alias("above")).distinct())
+    known = None
+    while True:
+        least = entries.groupBy("node").agg(F.min("above").alias("parent"), F.count(F.lit(1)).alias("n"))
+        if least.filter("n > 1").isEmpty():
+            if known is not None:
+                drop(known)
+            return entries.withColumnRenamed("above", "parent")
+        facts = least.select("node", F.col("parent").alias("far"))
+        if known is not None:
+            on = known.select(F.col("node").alias("mid"), F.col("k").alias("kk"), F.col("far").alias("next"))
+            facts = facts.union(known.select("node", "far")).union(known.join(on, (F.col("far") == F.col("mid")) & (F.col("k") == F.col("kk"))).select("node", "next"))
+        more = cut(facts.groupBy("node", leap(F.col("node"), F.col("far")).alias("k")).agg(F.max("far").alias("far")), instead=[] if known is None else [known])
+        rest = entries.join(least, "node")
+        best = rest.filter("above <> parent").join(more.select("node", "far"), "node", "left").groupBy("node", "above", "parent").agg(F.max(F.when(F.col("far") < F.col("above"), F.col("far"))).alias("far"))
+        moved = best.select(F.greatest("far", "parent").alias("node"), "above")
+        entries, known = cut(rest.filter("above = parent").select("node", "above").union(moved).distinct(), instead=[entries]), more
+
+
+def _toured(nodes: DataFrame, tree: DataFrame, n: int) -> DataFrame:
+    """node, depth (1 for roots), at: the place of each of n nodes on a tour of its forest that enters a node before all below it.
+
+    The tour is a list of steps, into each node (2 * node) and out of it again (2 * node + 1). Steps are numbered from the
+    end by doubling: each round, a step adds what the step it points to has and points to where that one does.
+    """
+    root = F.lit(n).cast("long")
+    forest = cut(nodes.join(tree, "node", "left").select("node", F.coalesce("parent", root).alias("parent")))
+    numbered = cut(dense_number(forest, ["parent", "node"], "g"))  # brothers stand side by side, however many a parent has
+    after = numbered.select((F.col("g") - 1).alias("g"), F.col("node").alias("brother"), F.col("parent").alias("of"))
+    first = forest.groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("child"))
+    linked = numbered.join(after, "g", "left").join(first, "node", "left")
+    into, out = F.col("node") * 2, F.col("node") * 2 + 1
+    brother = F.when(F.col("of") == F.col("parent"), F.col("brother") * 2)
+    leave = F.coalesce(brother, F.when(F.col("parent") < root, F.col("parent") * 2 + 1))
+    one = F.lit(1).cast("long")
+    steps = linked.select(into.alias("step"), F.coalesce(F.col("child") * 2, out).alias("to"), one.alias("left"), one.alias("down"))
+    steps = cut(steps.union(linked.select(out, leave, one, -one)), instead=[forest, numbered])
+    for _ in range((2 * n - 1).bit_length()):
+        beyond = steps.select(F.col("step").alias("to"), F.col("to").alias("to_"), F.col("left").alias("left_"), F.col("down").alias("down_"))
+        added = [(F.col(c) + F.coalesce(f"{c}_", F.lit(0))).alias(c) for c in ("left", "down")]
+        steps = cut(steps.join(beyond, "to", "left").select("step", F.col("to_").alias("to"), *added), instead=[steps])
+    entered = steps.filter("step % 2 = 0")
+    return cut(entered.select((F.col("step") / 2).cast("long").alias("node"), (1 - F.col("down")).alias("depth"), (2 * n - F.col("left")).alias("at")), instead=[steps])
+
+
+def factor_rows(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """row, nonzeros: the entries (diagonal included) in each row of the Cholesky factor of the symmetrised graph in an order.
+
+    A row's pattern is what lies on the paths of the elimination tree from its entries up to its own node. Entries of a row are met in the
+    order of a tour of the tree: each adds the path up to where it meets the one before, whose depth is one less than
+    the least depth on the tour between them. Least depths come from blocks of powers of two, of which a stretch takes a few. Rows
+    of any length are dealt over tasks; the factor itself is never made.
+    """
+    order = cut(order)
+    new = lambda c: order.select(F.col("old_id").alias(c), F.col("new_id").alias(f"n_{c}"))
+    lower = cut(adjacency(edges).join(new("row"), "row").join(new("col"), "col").filter("n_col < n_row").select(F.col("n_row").alias("i"), F.col("n_col").alias("j")))
+    nodes = order.select(F.col("new_id").alias("node"))
+    n = nodes.count()
+    if not n:
+        return nodes.select(F.col("node").alias("row"), F.col("node").alias("nonzeros"))
+    places = _toured(nodes, elimination_tree(lower), n)
+    entry = places.select(F.col("node").alias("j"), "depth", "at")
+    own = places.select(F.col("node").alias("i"), F.col("depth").alias("top"))
+    met = cut(dense_number(lower.join(entry, "j").join(own, "i"), ["i", "at"], "g"))
+    ahead = met.select((F.col("g") + 1).alias("g"), F.col("i").alias("i_"), F.col("at").alias("at_"))
+    both = met.join(ahead, "g", "left").select("g", "i", "depth", "top", F.when(F.col("i") == F.col("i_"), F.col("at_") + 1).alias("a"), (F.col("at") + 1).alias("b"))
+    levels = (2 * n).bit_length()
+    low, high = "shiftright(a + shiftleft(1L, k) - 1, k)", "shiftright(b, k)"
+    ends = f"array(named_struct('k', k, 'block', if({low} < {high} and {low} % 2 = 1, {low}, null)), named_struct('k', k, 'block', if({low} < {high} and {high} % 2 = 1, {high} - 1, null)))"
+    stretch = F.expr(f"filter(flatten(transform(sequence(0, {levels}), k -> {ends})), s -> s.block is not null)")
+    blocks = places.select("depth", F.explode(F.expr(f"transform(sequence(0, {levels}), k -> named_struct('k', k, 'block', shiftright(at, k)))")).alias("s"))
+    least = blocks.groupBy("s.k", "s.block").agg(F.min("depth").alias("least"))
+    asked = both.filter("a is not null").select("g", F.explode(stretch).alias("s")).select("g", "s.k", "s.block")
+    meets = asked.join(least, ["k", "block"]).groupBy("g").agg((F.min("least") - 1).alias("meet"))
+    sizes = both.join(meets, "g", "left").groupBy(F.col("i").alias("row")).agg(F.sum(F.col("depth") - F.coalesce("meet", "top")).alias("below"))
+    return nodes.withColumnRenamed("node", "row").join(sizes, "row", "left").select("row", (1 + F.coalesce("below", F.lit(0))).cast("long").alias("nonzeros"))
 
 
 def factor_nonzeros(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """One row: the nonzeros of the Cholesky factor (diagonal included) of the symmetrised graph in an order.
-
-    Row by row of the lower triangle: a row's pattern is what is reached from its entries up the elimination tree.
-    """
-    new = lambda c: order.select(F.col("old_id").alias(c), F.col("new_id").alias(f"n_{c}"))
-    lower = adjacency(edges).join(new("row"), "row").join(new("col"), "col").filter("n_col < n_row").select(F.col("n_row").alias("i"), F.col("n_col").alias("j"))
-    every = lower.union(order.select(F.col("new_id").alias("i"), F.col("new_id").alias("j")))
-
-    def run(batches):
-        near = _lists(batches)
-        parent = np.full(len(near), -1, np.int64)
-        reached = np.full(len(near), -1, np.int64)
-        total = 0
-        for i in range(len(near)):
-            reached[i] = i
-            total += 1
-            for j in sorted(near[i]):
-                while j != i and reached[j] != i:
-                    if parent[j] < 0:
-                        parent[j] = i
-                    reached[j] = i
-                    total += 1
-                    j = parent[j]
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["nonzeros"])
-
-    return every.coalesce(1).mapInArrow(run, "nonzeros long")
+    """One row: the nonzeros of the Cholesky factor (diagonal included) of the symmetrised graph in an order."""
+    return factor_rows(edges, order).agg(F.coalesce(F.sum("nonzeros"), F.lit(0)).alias("nonzeros"))
