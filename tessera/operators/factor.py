@@ -40,7 +40,7 @@ def nested_dissection(points: DataFrame, edges: DataFrame, leaf: int = 32) -> Da
     return dense_number(state.withColumnRenamed("id", "old_id"), ["path", "old_id"], "new_id").select("old_id", "new_id")
 
 
-def minimum_degree(edges: DataFrame, slack: float = 1.25) -> DataFrame:
+def minimum_degree(edges: DataFrame, slack: float = 1.5) -> DataFrame:
     """old_id, new_id: nodes of about the least degree are eliminated first, many at a time.
 
     An eliminated node stays as an element, the set of nodes it joins, instead of the edges among them; an element takes in those

@@ -895,6 +895,16 @@ def factor_nonzeros(spark, d):
     return factor.factor_nonzeros(e, factor.minimum_degree(e))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, {MORTON}, p AS ({ORDERED.format('key', 'keys')}),
+pairs AS (SELECT a.new_id AS row, b.new_id AS col FROM edges JOIN p a ON a.old_id = row JOIN p b ON b.old_id = col WHERE row <> col),
+adj AS (SELECT row, col FROM pairs UNION SELECT col, row FROM pairs),
+reach AS (SELECT row AS j, col AS v FROM adj UNION SELECT r.j, a.col FROM reach r JOIN adj a ON a.row = r.v WHERE r.v < r.j)
+SELECT new_id AS row, 1 + count(j) AS nonzeros FROM p LEFT JOIN reach ON v = new_id AND j < v GROUP BY new_id""")
+def factor_rows(spark, d):
+    """The rows of the factor in the order of a curve; SQL goes over paths through nodes that are eliminated before."""
+    return factor.factor_rows(edges(spark, d), ordering.curve_order(nodes(spark, d)))
+
+
 # files: a table goes out in a text format and comes back
 
 

@@ -166,7 +166,44 @@ def test_fill_reducing_orders(spark):
         for a, b in pairs:
             m[new[a], new[b]] = m[new[b], new[a]] = -1 - (a % 7) / 100
         assert filled[name] == (np.abs(np.linalg.cholesky(m)) > 1e-14).sum()
-    assert filled["dissection"] < filled["plain"] and filled["degree"] < filled["plain"]
+    assert filled["dissection"] < filled["plain"]
+    near = {i: set() for i in range(n * n)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    one_by_one = 0
+    while near:
+        i = min(near, key=lambda v: (len(near[v]), v))
+        around = near.pop(i)
+        one_by_one += 1 + len(around)
+        for j in around:
+            near[j] = (near[j] | around) - {i, j}
+    assert filled["degree"] <= 1.25 * one_by_one < filled["plain"]
+
+
+def test_factor_rows_of_an_irregular_graph(spark):
+    """A node that a quarter of the others neighbour, lone nodes, repeated edges and loops; against elimination in a matrix."""
+    n, rng = 40, np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, n - 3, (50, 2))] + [(0, 0)] + [(0, i) for i in range(5, n - 3, 4)]
+    new = rng.permutation(n)
+    full = np.eye(n, dtype=bool)
+    for a, b in pairs:
+        full[new[a], new[b]] = full[new[b], new[a]] = True
+    for k in range(n):
+        below = np.flatnonzero(full[k + 1 :, k]) + k + 1
+        full[np.ix_(below, below)] = True
+    edges = spark.createDataFrame(pairs, "row long, col long")
+    order = spark.createDataFrame([(i, int(v)) for i, v in enumerate(new)], "old_id long, new_id long")
+    assert {r.row: r.nonzeros for r in factor.factor_rows(edges, order).collect()} == {i: int(np.tril(full)[i].sum()) for i in range(n)}
+
+
+def test_orders_of_graphs_without_edges(spark):
+    none = spark.createDataFrame([], "row long, col long")
+    assert factor.minimum_degree(none).count() == 0
+    assert factor.factor_nonzeros(none, factor.minimum_degree(none)).first()[0] == 0
+    lone = spark.createDataFrame([(i, i) for i in range(3)], "row long, col long")
+    order = ordering.check_permutation(factor.minimum_degree(lone))
+    assert order.count() == 3 and factor.factor_nonzeros(lone, order).first()[0] == 3
 
 
 @pytest.mark.parametrize(("lobes", "fillet"), [(3, 0.0), (3, 2.0), (4, 3.0)])
