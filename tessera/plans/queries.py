@@ -962,14 +962,14 @@ def source_iperm(spark, d):
 def source_grid_bound(spark, d):
     to = _folder(spark)
     sinks.write_grid(*sheet(spark, d), f"{to}/a")
-    return spark.read.format("grid").option("section", "bound").load(f"{to}/a.grid")
+    return split.read_grid(spark, f"{to}/a.grid")[2]
 
 
 @query(f"WITH {SHEET} SELECT kind, elem, verts FROM elements")
 def source_grid(spark, d):
     to = _folder(spark)
     sinks.write_grid(*sheet(spark, d), f"{to}/a")
-    return spark.read.format("grid").option("section", "elements").load(f"{to}/a.grid")
+    return split.read_grid(spark, f"{to}/a.grid")[1]
 
 
 @query(f"WITH {EDGES} SELECT (row + 1) || ' ' || (col + 1) AS line FROM edges UNION ALL SELECT '%%MatrixMarket matrix coordinate pattern general' UNION ALL SELECT n || ' ' || n || ' ' || 9 * n FROM (SELECT count(*) AS n FROM nodes)")

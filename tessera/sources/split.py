@@ -1,4 +1,4 @@
-"""Readers of large text files, points, nodes, graphs and orderings, by as many tasks as the file has splits.
+"""Readers of large text files, points, nodes, graphs, orderings and grids, by as many tasks as the file has splits.
 
 Spark's text source cuts a file into byte ranges and hands each range's lines on in order. A first pass writes the lines
 with the range they come from and counts them there; sums over the ranges before give every line its number, and with
@@ -159,3 +159,50 @@ def read_ordering(spark: SparkSession, path: str) -> DataFrame:
             one = distinct == told.n and told.low == 1 and told.high == told.n
             raise FormatError(path, ["the numbering looks 1-based" if one else f"not a permutation of 0..{told.n - 1}"])
     return dense_number(values, ["line", "pos"], "old_id").select("old_id", "new_id")
+
+
+def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (id, x, y), elements (kind, elem, verts) and boundary parts (part, seq, node) of a grid; blank lines count for nothing.
+
+    Where a section begins follows from the header and, for boundary parts, from the lengths before them, of which there is one for each part.
+    """
+    rows = cut(numbered_lines(spark, path).filter("data is not null"), "lines")
+    n, nt, nq = _header(path, rows, F.col("data") == 0, 3)
+    if min(n, nt, nq) < 0:
+        raise FormatError(path, ["a negative count in the header"])
+    total, at = rows.count(), n + nt + nq + 1
+    if total <= at:
+        raise FormatError(path, ["the file ends before the number of boundary parts"])
+    (nb,) = _header(path, rows, F.col("data") == at, 1)
+    if nb < 0 or total <= at + nb:
+        raise FormatError(path, ["the file ends before the lengths of the boundary parts" if nb >= 0 else "a negative number of boundary parts"])
+    section = lambda first, size: rows.filter((F.col("data") >= first) & (F.col("data") < first + size))
+    numbers = lambda table, kinds: _number_faults(table, "line", F.col("line"), kinds)
+    told = lambda text: _at("line", F.col("line"), text)
+    whole = F.transform("tokens", lines.integer)
+    single = lines.integer(F.get("tokens", F.lit(0)))
+
+    lengths = section(at + 1, nb)
+    _refuse(path, numbers(lengths, ["i"]).union(_fault(lengths, (F.size("tokens") == 1) & (single < 2), told("a boundary part has fewer than two nodes"))), [])
+    earlier = Window.orderBy("data").rowsBetween(Window.unboundedPreceding, -1)  # one row for each boundary part
+    parts = lengths.select((F.col("data") - at - 1).cast("int").alias("part"), single.alias("size"), F.coalesce(F.sum(single).over(earlier), F.lit(0)).alias("start"))
+    announced, found = parts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], total - at - nb - 1
+    if announced != found:
+        raise FormatError(path, ["data behind the last boundary part" if found > announced else f"{announced} boundary nodes announced, {found} found"])
+    places = parts.select("part", "start", F.explode(F.expr("sequence(0L, size - 1)")).alias("seq")).select((F.col("start") + F.col("seq") + at + nb + 1).alias("data"), "part", F.col("seq").cast("int").alias("seq"))
+    bound = section(at + nb + 1, announced).join(places, "data").withColumn("v", single)
+
+    xy, faults, shapes = section(1, n), numbers(bound, ["i"]), []
+    faults = faults.union(numbers(xy, ["r", "r"])).union(_fault(bound, (F.col("v") < 1) | (F.col("v") > n), told("a boundary node is out of range")))
+    ahead = bound.select((F.col("data") + 1).alias("data"), F.col("part").alias("of"), F.col("v").alias("w"))
+    faults = faults.union(_fault(bound.join(ahead, "data"), (F.col("part") == F.col("of")) & (F.col("v") == F.col("w")), told("a boundary part repeats a node")))
+    for kind, first, count, size in (("triangle", n + 1, nt, 3), ("quadrilateral", n + nt + 1, nq, 4)):
+        table = section(first, count).withColumn("v", whole)
+        faults = faults.union(numbers(table, ["i"] * size))
+        faults = faults.union(_fault(table, F.exists("v", lambda v: (v < 1) | (v > n)), told(f"a {kind} names a node out of range")))
+        faults = faults.union(_fault(table, F.size(F.array_distinct("v")) < F.size("v"), told(f"a {kind} names a node twice")))
+        shapes.append(table.select(F.lit(kind).alias("kind"), (F.col("data") - first).alias("elem"), F.transform("v", lambda v: v - 1).alias("verts")))
+    _refuse(path, faults, [])
+    number = lambda i: lines.real(F.get("tokens", F.lit(i)))
+    nodes = xy.select((F.col("data") - 1).alias("id"), number(0).alias("x"), number(1).alias("y"))
+    return nodes, shapes[0].union(shapes[1]), bound.select("part", "seq", (F.col("v") - 1).alias("node"))

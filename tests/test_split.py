@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tessera.sources import split, text
+from tests.test_sources import GRID
 
 READ = {"points": split.read_points, "node": split.read_nodes, "graph": split.read_graph, "iperm": split.read_ordering}
 
@@ -73,3 +74,21 @@ def test_many_faults_are_named_up_to_a_number(small_splits, tmp_path):
     with pytest.raises(text.FormatError) as e:
         split.read_points(small_splits, str(path))
     assert len(e.value.problems) == 101 and e.value.problems[0].endswith("line 2: not a number") and e.value.problems[-1].endswith("and 200 more")
+
+
+def test_grid(small_splits, tmp_path):
+    spark, file = small_splits, tmp_path / "a.grid"
+    file.write_text(GRID.replace("3 6\n", "3 6\n\n"))
+    for got, section in zip(split.read_grid(spark, str(file)), ("nodes", "elements", "bound"), strict=True):
+        assert sorted(tuple(r) for r in got.collect()) == sorted(text.FORMATS["grid"][0](GRID, "f", {"section": section}))
+    for broken, said in (
+        (GRID + "1\n", "behind"),
+        (GRID[:60], "ends before"),
+        (GRID.replace("1.3 2\n", "1.3 nan\n", 1).replace("5 8 4", "5 8 8"), "not finite"),
+        (GRID.replace("5 8 4", "5 8 10"), "out of range"),
+        (GRID.replace("2\n5\n6\n", "2\n1\n10\n"), "fewer than two"),
+    ):
+        file.write_text(broken)
+        with pytest.raises(text.FormatError) as e:
+            split.read_grid(spark, str(file))
+        assert any(said in p for p in e.value.problems), e.value.problems
