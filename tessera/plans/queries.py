@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fields, lattice, metric
 from tessera.functions.metric import Box
-from tessera.operators import factor, grid, neighbours, nodesets, ordering, stats, weights
+from tessera.operators import dissection, factor, grid, neighbours, nodesets, ordering, stats, weights
 from tessera.operators.lineage import cut, shared_dir
 from tessera.sources import files, generators, regions, sinks, split, text
 
@@ -884,6 +884,25 @@ def nested_dissection_order(spark, d):
     return factor.nested_dissection(nodes(spark, d), edges(spark, d))
 
 
+@query()
+def graph_dissection_order(spark, d):
+    return dissection.graph_dissection(edges(spark, d))
+
+
+@query(f"""WITH {EDGES}, adj AS (SELECT least(row, col) AS row, greatest(row, col) AS col FROM edges WHERE row <> col)
+SELECT DISTINCT row, col, true AS kept FROM adj""")
+def dissected_edges(spark, d):
+    """For each edge, whether the order keeps it: inside a part, or from a separator to a node of its two sides with a lower number."""
+    e = edges(spark, d)
+    tree = cut(dissection.dissected(e))
+    ends = ordering.adjacency(e).filter("row < col")
+    for c in ("row", "col"):
+        ends = ends.join(tree.select(F.col("old_id").alias(c), F.col("new_id").alias(f"{c}_at"), F.col("part").alias(f"{c}_part"), F.col("separator").alias(f"{c}_between")), c)
+    above = "{0}_between and {0}_at > {1}_at and startswith({1}_part, left({0}_part, length({0}_part) - 1))"
+    kept = F.expr(f"row_part = col_part or ({above.format('row', 'col')}) or ({above.format('col', 'row')})")
+    return ends.select("row", "col", kept.alias("kept"))
+
+
 @query()
 def minimum_degree_order(spark, d):
     return factor.minimum_degree(edges(spark, d))
