@@ -1,29 +1,46 @@
 """Unstructured 2-D grids: nodes (id, x, y), elements (kind, elem, verts) and boundary parts (part, seq, node).
 
-Element numbers count within their kind from 0, parts from 0; messages count from 1.
+Places (seq) within a part count from 0. Element numbers count within their kind from 0, parts from 0; messages count from 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import dense_number
 
 
-def check(nodes: DataFrame, elements: DataFrame, bound: DataFrame) -> None:
-    """A ValueError that lists what the tables violate."""
-    known = nodes.select(F.col("id").alias("node"))
+def walks(bound: DataFrame) -> DataFrame:
+    """part, seq, u, v: the edges that boundary parts walk, as a join of each place with the next: a part of any length is dealt over tasks."""
+    ahead = bound.select("part", (F.col("seq") - 1).alias("seq"), F.col("node").alias("v"))
+    return bound.join(ahead, ["part", "seq"]).select("part", "seq", F.col("node").alias("u"), "v")
+
+
+def violations(nodes: DataFrame, elements: DataFrame, bound: DataFrame) -> DataFrame:
+    """problem, violations: how often the tables break each rule of a grid; a row for each rule. Nulls break the rules that they stand in."""
+    known = nodes.select(F.col("id").alias("node")).distinct()
     used = elements.select(F.explode("verts").alias("node")).union(bound.select("node"))
-    after = F.lead("node").over(Window.partitionBy("part").orderBy("seq"))
-    problems = {
-        "elements with another number of nodes than their kind": elements.filter(F.size("verts") != F.when(F.col("kind") == "triangle", 3).otherwise(4)).count(),
-        "elements that name a node twice": elements.filter(F.size(F.array_distinct("verts")) < F.size("verts")).count(),
-        "nodes out of range": used.join(known, "node", "left_anti").count(),
-        "boundary parts of fewer than two nodes": bound.groupBy("part").count().filter("count < 2").count(),
-        "immediate repeats in boundary parts": bound.withColumn("next", after).filter("next = node").count(),
+    size = F.when(F.col("kind") == "triangle", 3).when(F.col("kind") == "quadrilateral", 4)
+    parts = bound.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("places"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    whole = (F.col("places") == F.col("n")) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)
+    broken = {
+        "elements with another number of nodes than their kind": elements.filter(~F.coalesce(F.size("verts") == size, F.lit(False))),
+        "elements that name a node twice": elements.filter(F.size(F.array_distinct("verts")) < F.size("verts")),
+        "nodes out of range": used.join(known, "node", "left_anti"),
+        "boundary parts of fewer than two nodes": parts.filter("n < 2"),
+        "boundary parts whose places are not numbered from 0": parts.filter(~F.coalesce(whole, F.lit(False))),
+        "immediate repeats in boundary parts": walks(bound).filter("u = v"),
     }
-    found = [f"{n} {what}" for what, n in problems.items() if n]
+    rows = [df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(what).alias("problem"), "violations") for what, df in broken.items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def check(nodes: DataFrame, elements: DataFrame, bound: DataFrame) -> None:
+    """A ValueError that lists what the tables violate."""
+    found = [f"{r.violations} {r.problem}" for r in violations(nodes, elements, bound).filter("violations > 0").collect()]
     if found:
         raise ValueError("; ".join(found))
 
@@ -65,15 +82,13 @@ def orientation_faults(nodes: DataFrame, elements: DataFrame, bound: DataFrame)
     flat = area.filter(~(F.col("area2") > 0) | F.isnan("area2")).select(F.lit(1).alias("check"), "place", F.concat("kind", F.lit(" "), no("elem"), F.lit(" is not counterclockwise")).alias("message"))
     once = edges.groupBy("u", "v").agg(F.count(F.lit(1)).alias("uses"), F.min("place").alias("place"))
     twice = once.filter("uses > 1").select(F.lit(2).alias("check"), "place", F.concat(F.lit("element edge "), no("u"), F.lit(" -> "), no("v"), F.lit(" is used twice in the same direction")).alias("message"))
-    order = Window.partitionBy("part").orderBy("seq")
-    walks = bound.select("part", "seq", F.col("node").alias("u"), F.lead("node").over(order).alias("v")).filter("v is not null")
     has = once.select("u", "v", F.lit(True).alias("fwd"))
     against = once.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(True).alias("rev"))
-    walks = walks.join(has, ["u", "v"], "left").join(against, ["u", "v"], "left").fillna(False, ["fwd", "rev"])
+    walked = walks(bound).join(has, ["u", "v"], "left").join(against, ["u", "v"], "left").fillna(False, ["fwd", "rev"])
     what = F.when(~F.col("fwd") & F.col("rev"), " walks with the domain on the right").when(F.col("fwd") & F.col("rev"), " is an interior edge").when(~F.col("fwd"), " is not an element edge")
     place = F.struct(F.lit(False).alias("a"), F.col("part").cast("long").alias("b"), F.col("seq").cast("long").alias("c"))
-    wrong = walks.filter("not fwd or rev").select(F.lit(3).alias("check"), place.alias("place"), F.concat(F.lit("boundary part "), no("part"), F.lit(", edge "), no("u"), F.lit(" -> "), no("v"), what).alias("message"))
-    good = walks.filter("fwd and not rev").select("u", "v").distinct()
+    wrong = walked.filter("not fwd or rev").select(F.lit(3).alias("check"), place.alias("place"), F.concat(F.lit("boundary part "), no("part"), F.lit(", edge "), no("u"), F.lit(" -> "), no("v"), what).alias("message"))
+    good = walked.filter("fwd and not rev").select("u", "v").distinct()
     rim = once.join(against.select("u", "v"), ["u", "v"], "left_anti").join(good, ["u", "v"], "left_anti")
     unwalked = rim.select(F.lit(4).alias("check"), "place", F.concat(F.lit("element boundary edge "), no("u"), F.lit(" -> "), no("v"), F.lit(" is not walked by any boundary part")).alias("message"))
     return flat.union(twice).union(wrong).union(unwalked)

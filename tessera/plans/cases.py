@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.metric import OPEN, Box
-from tessera.operators import neighbours, ordering, stats
+from tessera.operators import dissection, factor, neighbours, ordering, stats
 from tessera.operators.lineage import cut
-from tessera.sources import generators, regions, sinks, text
+from tessera.sources import generators, regions, sinks, split
 from tessera.sources.text import FormatError
 
 SCHEMA = "file string, metric string, value double, fault string"
@@ -38,6 +38,9 @@ def _tall(one_row: DataFrame) -> DataFrame:
     return values.unpivot([], values.columns, "metric", "value").filter("value is not null")
 
 
+#: Files are read by as many tasks as they have splits.
+READERS = {".points": split.read_points, ".node": split.read_nodes, ".graph": split.read_graph, ".iperm": split.read_ordering}
+
 #: What is told of each kind of file, by the extension of its name.
 MEASURES = {
     ".points": _cloud,
@@ -63,12 +66,11 @@ def inspect(spark: SparkSession, paths: list[str], box: Box = OPEN) -> DataFrame
     Files that cannot be read tell their faults only. The files' numbers of nodes have to agree: if not, one fault
     without a file says which has how many.
     """
-    text.register(spark)
     found = []
     for path in paths:
         extension = "." + path.rpartition(".")[2]
         try:
-            df = cut(spark.read.format(extension[1:]).load(path))
+            df = cut(READERS[extension](spark, path))
         except (FormatError, PySparkException, Py4JError) as e:
             found.append(_told(spark, path, e))
             continue
@@ -82,14 +84,27 @@ def inspect(spark: SparkSession, paths: list[str], box: Box = OPEN) -> DataFrame
     return table.unionAll(clash)
 
 
-def reorder(spark: SparkSession, graph: str, out: str) -> DataFrame:
-    """Writes the reverse Cuthill-McKee order of a graph file; one row: bandwidth before and after."""
-    text.register(spark)
-    edges = spark.read.format("graph").load(graph)
-    p = cut(ordering.reverse_cuthill_mckee(edges))
+#: Orders of a graph by the names of their methods.
+ORDERS = {"rcm": ordering.reverse_cuthill_mckee, "nd": dissection.graph_dissection, "amd": factor.minimum_degree}
+
+
+def reorder(spark: SparkSession, graph: str, out: str, method: str = "rcm", fill: bool = False) -> DataFrame:
+    """Writes the order of a graph file by a method (rcm, nd or amd); one row: bandwidth before and after, and, with fill, the entries of the factor.
+
+    Nodes keep their numbers from 0 to the last row of the file.
+    """
+    if method not in ORDERS:
+        raise ValueError(f"the method is one of {', '.join(ORDERS)}")
+    edges = cut(split.read_graph(spark, graph), "graph")
+    p = cut(ORDERS[method](edges), "order")
     sinks.write_ordering(p, out)
     after = stats.bandwidth(ordering.renumber_edges(edges, p)).withColumnRenamed("bandwidth", "after")
-    return stats.bandwidth(edges).withColumnRenamed("bandwidth", "before").join(after)
+    report = stats.bandwidth(edges).withColumnRenamed("bandwidth", "before").join(after)
+    if fill:
+        same = p.select("old_id", F.col("old_id").alias("new_id"))
+        for name, order in (("fill_before", same), ("fill_after", p)):
+            report = report.join(factor.factor_nonzeros(edges, order).withColumnRenamed("nonzeros", name))
+    return report
 
 
 def finish(nodes: DataFrame, stem: str, extent: tuple[float, float], box: Box = OPEN, method: str = "knn", value: float = 18, kind: str = "node", title: str | None = None) -> DataFrame:

@@ -535,6 +535,28 @@ def grid_messages(spark, d):
     return grid.messages(*sheet(spark, d))
 
 
+@query("""WITH shapes AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'triangle' ELSE 'quadrilateral' END AS kind,
+  list_concat([o_custkey, 1 + o_orderkey % 97, o_custkey + o_orderkey % 3], CASE WHEN o_orderkey % 10 IN (0, 1, 3, 7) THEN [1 + o_orderkey % 89] ELSE [] END) AS verts FROM orders),
+bound AS (SELECT l_orderkey AS part, l_linenumber - 1 AS seq, l_partkey AS node FROM lineitem),
+parts AS (SELECT part, count(*) AS n, count(DISTINCT seq) AS places, min(seq) AS low, max(seq) AS high FROM bound GROUP BY part),
+used AS (SELECT unnest(verts) AS node FROM shapes UNION ALL SELECT node FROM bound)
+SELECT 'elements with another number of nodes than their kind' AS problem, count(*) AS violations FROM shapes WHERE len(verts) <> CASE kind WHEN 'triangle' THEN 3 ELSE 4 END
+UNION ALL SELECT 'elements that name a node twice', count(*) FROM shapes WHERE list_unique(verts) < len(verts)
+UNION ALL SELECT 'nodes out of range', count(*) FROM used WHERE node NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'boundary parts of fewer than two nodes', count(*) FROM parts WHERE n < 2
+UNION ALL SELECT 'boundary parts whose places are not numbered from 0', count(*) FROM parts WHERE places <> n OR low <> 0 OR high <> n - 1
+UNION ALL SELECT 'immediate repeats in boundary parts', count(*) FROM bound a JOIN bound b ON a.part = b.part AND b.seq = a.seq + 1 WHERE a.node = b.node""")
+def grid_violations(spark, d):
+    """Customers as nodes, orders as elements, line items as the places of boundary parts: how often they break each rule of a grid."""
+    read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    fourth = F.when((key % 10).isin(0, 1, 3, 7), F.array(1 + key % 89)).otherwise(F.array().cast("array<bigint>"))
+    verts = F.concat(F.array(customer.cast("long"), (1 + key % 97).cast("long"), (customer + key % 3).cast("long")), fourth)
+    elements = read("orders").select(F.when(key % 2 == 0, "triangle").otherwise("quadrilateral").alias("kind"), key.alias("elem"), verts.alias("verts"))
+    bound = read("lineitem").select(F.col("l_orderkey").alias("part"), (F.col("l_linenumber") - 1).alias("seq"), F.col("l_partkey").cast("long").alias("node"))
+    return grid.violations(read("customer").select(F.col("c_custkey").alias("id")), elements, bound)
+
+
 # lattice Boltzmann
 
 C = list(zip(lattice.CX, lattice.CY, ("4.0/9", *["1.0/9"] * 4, *["1.0/36"] * 4), strict=True))

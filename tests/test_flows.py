@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.metric import Box
 from tessera.operators import factor, neighbours, ordering
 from tessera.plans import cases, queries
-from tessera.sources import generators, poisson, regions, sinks, text
+from tessera.sources import generators, poisson, regions, sinks, split, text
 
 
 def test_inspect_finds_statistics_and_all_problems(spark, tmp_path):
@@ -149,6 +149,21 @@ def test_reorder(spark, tmp_path):
     assert r.after < r.before
     text.register(spark)
     ordering.check_permutation(spark.read.format("iperm").load(str(tmp_path / "a.iperm")))
+    with pytest.raises(ValueError, match="rcm, nd, amd"):
+        cases.reorder(spark, str(tmp_path / "a.graph"), str(tmp_path / "b"), method="none")
+
+
+@pytest.mark.parametrize("method", ["nd", "amd"])
+def test_reorder_reports_fill(spark, tmp_path, method):
+    n = 6
+    near = lambda i, j: [(i + a) * n + j + b for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) if 0 <= i + a < n and 0 <= j + b < n]
+    rows = [near(i, j) for i in range(n) for j in range(n)]
+    (tmp_path / "a.graph").write_text(f"{n * n} {sum(map(len, rows))}\n" + "".join(" ".join(map(str, r)) + "\n" for r in rows))
+    r = cases.reorder(spark, str(tmp_path / "a.graph"), str(tmp_path / "a"), method, fill=True).first()
+    order = split.read_ordering(spark, str(tmp_path / "a.iperm"))
+    ordering.check_permutation(order)
+    assert order.count() == n * n and r.before == n and r.after > 0
+    assert r.fill_after < r.fill_before == n * n + (n - 1) + (n * n - n) * n  # below the diagonal, the grid's first row is a path; behind it the band fills up
 
 
 def test_fill_reducing_orders(spark):

@@ -165,6 +165,9 @@ def test_grid_rules(spark):
     bad = spark.createDataFrame([("triangle", 0, [0, 1, 99])], "kind string, elem long, verts array<long>")
     with pytest.raises(ValueError, match="out of range"):
         grid.check(n, bad, b)
+    odd = spark.createDataFrame([("triangle", 0, [0, 1, 1]), ("quadrilateral", 0, [0, 1, 2]), ("triangle", 1, None), ("pentagon", 0, [0, 1, 2])], "kind string, elem long, verts array<long>")
+    walk = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (1, 0, 2), (2, 1, 3), (2, 3, 77), (3, 0, None), (3, 1, 2)], "part int, seq int, node long")
+    assert [r.violations for r in grid.violations(n, odd, walk).collect()] == [3, 1, 2, 1, 1, 1]
     triangle = "3 1 0\n0 0\n1 0\n0 1\n{}\n1\n4\n{}\n"
     parts = lambda *v: "\n".join(map(str, v))
     assert counts(spark, triangle.format("1 2 3", parts(1, 2, 3, 1))) == [0, 0, 0, 0]
