@@ -131,7 +131,7 @@ def _refined(edges: DataFrame, parts: DataFrame, up: bool) -> DataFrame:
 def parts_of(edges: DataFrame, leaf: int = 32) -> DataFrame:
     """id, path: a binary tree over the nodes of a symmetrised graph, with at most ``leaf`` nodes for each path; few edges lead from part to part.
 
-    Each coarser graph has about five eighths of the nodes of the one before, so all graphs together have about two and a half times its nodes and
+    On a grid each coarser graph has 0.65 of the nodes of the one before, so that all graphs together have about three times its nodes and
     the rounds are as its logarithm. Components that are not one with others in the coarsest graph have paths of their own.
     """
     one = F.lit(1).cast("long")
