@@ -7,13 +7,18 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.lineage import cut, drop, shared_dir
 from tessera.operators.ordering import adjacency, dense_number
 
+#: Entries that one task joins to an elimination tree at a time, and rows of which a stretch of them takes all or none.
+STRETCH, BLOCK = 250_000, 64
+
 
 def nested_dissection(points: DataFrame, edges: DataFrame, leaf: int = 32) -> DataFrame:
     """old_id, new_id by recursive coordinate bisection, for every level all parts at once.
@@ -50,6 +55,7 @@ def minimum_degree(edges: DataFrame, slack: float = 1.5) -> DataFrame:
     once, as they add no fill. Least keys of edges and elements are found by grouping; no pairs of members are made.
     """
     spark = edges.sparkSession
+    edges = cut(edges.select("row", "col"))  # stencils that are still to be found are found once
     nodes = cut(edges.select(F.col("row").alias("id")).union(edges.select("col")).distinct())
     near = cut(adjacency(edges).select(F.col("row").alias("u"), F.col("col").alias("w")))
     member = spark.createDataFrame([], "e long, u long")
@@ -94,32 +100,60 @@ def minimum_degree(edges: DataFrame, slack: float = 1.5) -> DataFrame:
     return dense_number(order.withColumnRenamed("id", "old_id"), ["turn", "after", "place", "old_id"], "new_id").select("old_id", "new_id")
 
 
-def elimination_tree(lower: DataFrame) -> DataFrame:
+def _climbed(entries: pd.DataFrame) -> pd.DataFrame:
+    """node, parent, top: of each node in a stretch of entries (i, j), its parent and the topmost of its ancestors, where the stretch tells one.
+
+    Row by row, each entry goes up to the root of what is joined so far, which gets the row's node as its parent; the nodes it passed
+    point there from then on.
+    """
+    parent, above = {}, {}
+    rows = entries.sort_values(["i", "j"])
+    for i, j in zip(rows["i"].tolist(), rows["j"].tolist(), strict=True):
+        while j != i:
+            at = above.get(j)
+            above[j] = i
+            if at is None:
+                parent[j] = i
+                break
+            j = at
+    top = {}
+    for node in sorted(above, reverse=True):  # an ancestor is greater than its node
+        top[node] = top.get(above[node], above[node])
+    return pd.DataFrame({"node": list(top), "parent": [parent[v] for v in top], "top": list(top.values())}, dtype="int64")
+
+
+def _stretches(lower: DataFrame, most: int) -> list[int]:
+    """Rows at which stretches of about ``most`` entries end, from the counts of blocks of rows."""
+    blocks = lower.groupBy(F.floor(F.col("i") / BLOCK).cast("long").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    ends, held = [], 0
+    for block, n in sorted(map(tuple, blocks.collect())):
+        if held and held + n > most:
+            ends.append(block * BLOCK)
+            held = 0
+        held += n
+    return [*ends, (block + 1) * BLOCK] if held else []
+
+
+def elimination_tree(lower: DataFrame, most: int = STRETCH) -> DataFrame:
     """node, parent of the elimination tree of a pattern (i, j), i > j; roots have no row.
 
-    An entry says that i is an ancestor of j. Of a node's ancestors the least is its parent, and the others are ancestors
-    of that parent, so each of them moves up: to the farthest ancestor of the node that is known and less. For each power of two,
-    the farthest known ancestor within that distance is kept, and each round follows it once more, so that entries move by leaps that double. Entries
-    never get more, and all that is known of ancestors stays true; when every node has one entry left, these are the tree.
+    An entry says that i is an ancestor of j. Rows are taken in order, in stretches of about ``most`` entries (a stretch never cuts
+    a block of ``BLOCK`` rows). One task joins a stretch; then the entries of all later rows move up to the topmost ancestor that is known of their
+    nodes, where many become one. So no task holds more than a stretch, and the rounds are as many as there are stretches,
+    whatever the depth of the tree.
     """
-    leap = lambda near, far: F.floor(F.log2((far - near).cast("double"))).cast("int")
-    entries = cut(lower.select(F.col("j").alias("node"), F.col("i").alias("above")).distinct())
-    known = None
-    while True:
-        least = entries.groupBy("node").agg(F.min("above").alias("parent"), F.count(F.lit(1)).alias("n"))
-        if least.filter("n > 1").isEmpty():
-            if known is not None:
-                drop(known)
-            return entries.withColumnRenamed("above", "parent")
-        facts = least.select("node", F.col("parent").alias("far"))
-        if known is not None:
-            on = known.select(F.col("node").alias("mid"), F.col("k").alias("kk"), F.col("far").alias("next"))
-            facts = facts.union(known.select("node", "far")).union(known.join(on, (F.col("far") == F.col("mid")) & (F.col("k") == F.col("kk"))).select("node", "next"))
-        more = cut(facts.groupBy("node", leap(F.col("node"), F.col("far")).alias("k")).agg(F.max("far").alias("far")), instead=[] if known is None else [known])
-        rest = entries.join(least, "node")
-        best = rest.filter("above <> parent").join(more.select("node", "far"), "node", "left").groupBy("node", "above", "parent").agg(F.max(F.when(F.col("far") < F.col("above"), F.col("far"))).alias("far"))
-        moved = best.select(F.greatest("far", "parent").alias("node"), "above")
-        entries, known = cut(rest.filter("above = parent").select("node", "above").union(moved).distinct(), instead=[entries]), more
+    entries = cut(lower.select("i", "j").distinct())
+    ends = _stretches(entries, most)
+    found: list[DataFrame] = []
+    for turn, end in enumerate(ends):
+        stretch = entries.filter(F.col("i") < end).withColumn("stretch", F.lit(turn)).groupBy("stretch").applyInPandas(_climbed, "node long, parent long, top long")
+        found.append(cut(stretch))
+        if turn + 1 < len(ends):
+            moved = entries.filter(F.col("i") >= end).join(found[-1].select(F.col("node").alias("j"), "top"), "j", "left")
+            entries = cut(moved.select("i", F.coalesce("top", "j").alias("j")).distinct(), instead=[entries])
+    drop(entries)
+    none = lower.sparkSession.createDataFrame([], "node long, parent long")
+    return cut(reduce(DataFrame.union, [t.select("node", "parent") for t in found], none), instead=found)
 
 
 def _toured(nodes: DataFrame, tree: DataFrame, n: int) -> DataFrame:

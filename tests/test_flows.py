@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.metric import Box
 from tessera.operators import factor, neighbours, ordering
+from tessera.operators.lineage import cut
 from tessera.plans import cases, queries
 from tessera.sources import generators, poisson, regions, sinks, split, text
 
@@ -212,6 +213,24 @@ def test_factor_rows_of_an_irregular_graph(spark):
     assert {r.row: r.nonzeros for r in factor.factor_rows(edges, order).collect()} == {i: int(np.tril(full)[i].sum()) for i in range(n)}
 
 
+@pytest.mark.parametrize("most", [60, 10_000])
+def test_elimination_tree_by_stretches(spark, monkeypatch, most):
+    """A tree as deep as a grid's band, over many stretches and in one; the tables it writes are as many as the stretches need."""
+    n = 20
+    pairs = [(i * n + j, v) for i in range(n) for j in range(n) for v in ((i * n + j + 1,) if j < n - 1 else ()) + ((i * n + n + j,) if i < n - 1 else ())]
+    pairs += [(7, v) for v in range(30, n * n - 40, 3)]
+    parent, near = {}, {v: {b for a, b in pairs if a == v} for v in range(n * n)}
+    for v in range(n * n):  # what a node leaves behind goes to its parent
+        if near[v]:
+            parent[v] = min(near[v])
+            near[parent[v]] |= near[v] - {parent[v]}
+    written = []
+    monkeypatch.setattr(factor, "cut", lambda df, *a, **k: written.append(0) or cut(df, *a, **k))
+    lower = spark.createDataFrame([(b, a) for a, b in pairs], "i long, j long")
+    assert {r.node: r.parent for r in factor.elimination_tree(lower, most).collect()} == parent
+    assert len(written) <= 2 + 2 * (n * n // factor.BLOCK + 1)
+
+
 def test_orders_of_graphs_without_edges(spark):
     none = spark.createDataFrame([], "row long, col long")
     assert factor.minimum_degree(none).count() == 0
