@@ -412,3 +412,21 @@ def test_cuthill_mckee_by_parents(spark):
         p = ordering.check_permutation(ordering.reverse_cuthill_mckee(spark.createDataFrame(pairs, "row long, col long")))
         assert {r.old_id: r.new_id for r in p.collect()} == expected
     assert ordering.reverse_cuthill_mckee(spark.createDataFrame([], "row long, col long")).count() == 0
+
+
+@pytest.mark.parametrize("box", [Box((1.0, 1.0)), Box((0.0, 0.0))])
+def test_radius_join_deals_crowded_cells_and_moves_no_pairs(spark, monkeypatch, box):
+    """Crowded cells are dealt over tasks with the same result, and pairs are not shuffled after they are made."""
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.random((150, 2)), 0.5 + 0.01 * rng.random((150, 2)), [[0.25, 0.25]] * 5])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    plain = neighbours.within(points, 0.1, box)
+    monkeypatch.setattr(neighbours, "SORTED", 2_000)
+    dealt = neighbours.within(points, 0.1, box)
+    assert sorted(plain.collect()) == sorted(dealt.collect())
+    d = np.abs(xy[:, None] - xy[None])
+    d = np.minimum(d, 1 - d) if box.side(0) else d
+    assert dealt.count() == (np.sqrt((d**2).sum(-1)) <= 0.1).sum()
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    above_join = plan[: plan.index("SortMergeJoin")]
+    assert "Window" in above_join and "Exchange" not in above_join
