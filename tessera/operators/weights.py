@@ -17,6 +17,15 @@ from pyspark.sql import functions as F
 from tessera.functions.metric import OPEN, Box, minimum_image
 
 
+#: Bytes of the matrices that a task solves at once; elimination takes a few times as much.
+MATRICES = 4 << 20
+
+
+def at_once(size: int) -> int:
+    """How many systems of a size are solved at once."""
+    return max(1, MATRICES // (8 * size * size))
+
+
 def solve_each(m: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Solutions of a stack of systems by elimination with partial pivoting, all systems a column at a time; and info.
 
@@ -121,7 +130,7 @@ def interpolation_weights(nodes: DataFrame, edges: DataFrame, config: Interpolat
                 part = batch.take(pa.array(np.nonzero(size == n)[0]))
                 if n != config.n and not (ragged and n >= config.terms):
                     raise ValueError(f"a stencil has {n} nodes, not {config.n}{' or at least ' + str(config.terms) if ragged else ''}")
-                step = max(1, (64 << 20) // (8 * (n + config.terms) ** 2))
+                step = at_once(n + config.terms)
                 for a in range(0, part.num_rows, step):
                     some = part.slice(a, step)
                     cols, x, y = (some.column(i).flatten().to_numpy().reshape(-1, n) for i in (1, 2, 3))

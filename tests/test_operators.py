@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -430,3 +431,17 @@ def test_radius_join_deals_crowded_cells_and_moves_no_pairs(spark, monkeypatch,
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     above_join = plan[: plan.index("SortMergeJoin")]
     assert "Window" in above_join and "Exchange" not in above_join
+
+
+def test_singular_batches_are_bounded_in_memory():
+    """A full batch of Arrow's rows is solved in pieces, and the pieces with singular stencils take few MB as well."""
+    config = weights.Interpolation(15)
+    step = weights.at_once(15 + config.terms)
+    assert 1 < step < 10_000 and weights.at_once(10_000) == 1
+    x, y = np.random.default_rng(2).random((2, step, 15))
+    x[::37], y[::37] = 0.0, 0.0
+    tracemalloc.start()
+    info = config.weights(x, y, np.array([0.0]), np.array([0.0]))[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (info[::37] != 0).all() and peak < 40 << 20
