@@ -165,7 +165,8 @@ def reverse_cuthill_mckee(edges: DataFrame) -> DataFrame:
 
     spark = edges.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = adjacency(edges)
+    edges = cut(edges.select("row", "col"))  # stencils that are still to be found are found once
+    plain = cut(adjacency(edges))
     nodes = edges.select(F.col("row").alias("id")).union(edges.select(F.col("col").alias("id"))).distinct()
     degree = plain.groupBy(F.col("row").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     pairs = cut(plain.join(degree.withColumnRenamed("id", "col"), "col").select("row", "col", "degree"))
