@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import curves, fields, lattice, metric
 from tessera.functions.metric import OPEN, Box
-from tessera.operators import grid, neighbours, ordering, stats, weights
+from tessera.operators import dissection, factor, grid, neighbours, ordering, stats, weights
 from tessera.sources import generators, regions, sinks
 from tests.test_sources import GRID, parse
 
@@ -445,3 +445,17 @@ def test_singular_batches_are_bounded_in_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (info[::37] != 0).all() and peak < 40 << 20
+
+
+@pytest.mark.parametrize("order", [ordering.reverse_cuthill_mckee, dissection.graph_dissection, factor.minimum_degree])
+def test_orders_find_their_edges_once(spark, order):
+    """Edges may be the unevaluated result of a search, which no order repeats."""
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        met.add(1)
+        return v
+
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "row long, col long")
+    found = order(pairs.select(F.udf(seen, "long")("row").alias("row"), "col"))
+    assert {r.old_id for r in found.collect()} == {0, 1, 2} and met.value == 3
