@@ -9,7 +9,8 @@ there is no room for another point. Quartering ends after ``depth`` rounds; what
 over two to the depth, at the corners of three disks) goes on throwing darts until one round finds no place.
 
 All joins are equi-joins on cells, a cell's points are as few as fit into its surroundings, and the rounds get cheaper
-as fewer cells are open. Nothing but counts comes to the driver.
+as fewer cells are open. Nothing but counts comes to the driver: joins are hinted, as each table that Spark would broadcast
+goes through the driver, round after round.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ class PoissonDisk:
 
     def _near(self, cells: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
         """i, j, near: the points around each of the cells (i, j), as many as fit there."""
-        met = self._exploded(cells.select("i", "j").distinct(), "i", "j").join(points.select(F.col("ci").alias("pi"), F.col("cj").alias("pj"), *columns), ["pi", "pj"])
+        met = self._exploded(cells.select("i", "j").distinct(), "i", "j").join(points.select(F.col("ci").alias("pi"), F.col("cj").alias("pj"), *columns).hint("merge"), ["pi", "pj"])
         return met.groupBy("i", "j").agg(F.collect_list(F.struct(*columns)).alias("near"))
 
     def _thrown(self, active: DataFrame, points: DataFrame, level: int, turn: int) -> DataFrame:
@@ -114,7 +115,7 @@ class PoissonDisk:
         corner = [F.lit(lo) + (F.col(i) + F.col(a) / parts) * w for lo, i, a, w in zip(self.low, "ij", "ab", self.width, strict=True)]
         centre = [c + w / 2 for c, w in zip(corner, wide, strict=True)]
         dart = [c + uniform(self.seed, self.calls, turn, axis, *map(F.col, at)) * w for axis, (c, w) in enumerate(zip(corner, wide, strict=True))]
-        rows = active.join(self._near(active, points, ["x", "y"]), ["i", "j"], "left")
+        rows = active.join(self._near(active, points, ["x", "y"]).hint("merge"), ["i", "j"], "left")
 
         def covers(p: Column) -> Column:
             far = [F.abs(minimum_image(c - p[n], self.box.side(k))) + w / 2 for k, (c, n, w) in enumerate(zip(centre, "xy", wide, strict=True))]
@@ -135,7 +136,7 @@ class PoissonDisk:
         best = thrown.filter("ok").groupBy("i", "j").agg(F.max(F.struct(rank.alias("rank"), "a", "b", "x", "y")).alias("best"))
         best = best.select("i", "j", F.col("best.rank").alias("rank"), F.col("best.x").alias("x"), F.col("best.y").alias("y"))
         darts = best.select(F.col("i").alias("ci"), F.col("j").alias("cj"), "x", "y", "rank")
-        met = best.join(self._near(best, darts, ["ci", "cj", "x", "y", "rank"]), ["i", "j"])
+        met = best.join(self._near(best, darts, ["ci", "cj", "x", "y", "rank"]).hint("merge"), ["i", "j"])
         order = F.struct("rank", F.col("i").alias("ci"), F.col("j").alias("cj"))
         beaten = F.exists("near", lambda p: (F.struct(p["rank"].alias("rank"), p["ci"].alias("ci"), p["cj"].alias("cj")) > order) & (self._apart(F.col("x"), F.col("y"), p) < self.r))
         return cut(met.filter(~beaten).select(F.col("i").alias("ci"), F.col("j").alias("cj"), "x", "y", "rank"))
@@ -158,7 +159,7 @@ class PoissonDisk:
             drawn.append(won.select("ci", "cj", "x", "y", F.lit(self.calls).alias("call")))
             tables.append(won)
             taken += size
-            open_cells = thrown.join(won.select(F.col("ci").alias("i"), F.col("cj").alias("j")), ["i", "j"], "left_anti").select("i", "j", "a", "b")
+            open_cells = thrown.join(won.select(F.col("ci").alias("i"), F.col("cj").alias("j")).hint("merge"), ["i", "j"], "left_anti").select("i", "j", "a", "b")
             if level < self.depth:
                 half = F.explode(F.array(F.lit(0), F.lit(1)))
                 open_cells = open_cells.withColumn("da", half).withColumn("db", half).select("i", "j", (2 * F.col("a") + F.col("da")).alias("a"), (2 * F.col("b") + F.col("db")).alias("b"))

@@ -12,7 +12,7 @@ from tessera.functions import curves, fields, lattice, metric
 from tessera.functions.metric import OPEN, Box
 from tessera.operators import dissection, factor, grid, neighbours, ordering, stats, weights
 from tessera.operators.lineage import cut
-from tessera.sources import generators, regions, sinks
+from tessera.sources import generators, poisson, regions, sinks
 from tests.test_sources import GRID, parse
 
 
@@ -471,3 +471,10 @@ def test_searches_broadcast_nothing(spark, monkeypatch):
     assert found.count() == 16_000
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_rounds_of_darts_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(poisson, "cut", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, *a, **k))
+    assert poisson.PoissonDisk(spark, 1.0, (5.0, 5.0), seed=1, depth=2).fill().count() > 10
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
