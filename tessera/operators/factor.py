@@ -5,6 +5,7 @@ Orders from other programs differ in their numbers; these keep the contract of a
 
 from __future__ import annotations
 
+import heapq
 import math
 import uuid
 from functools import reduce
@@ -18,6 +19,8 @@ from tessera.operators.ordering import adjacency, dense_number
 
 #: Entries that one task joins to an elimination tree at a time, and rows of which a stretch of them takes all or none.
 STRETCH, BLOCK = 250_000, 64
+#: Nodes, edges and members of elements that one task eliminates by itself.
+PIECE = 250_000
 
 
 def nested_dissection(points: DataFrame, edges: DataFrame, leaf: int = 32) -> DataFrame:
@@ -45,55 +48,179 @@ def nested_dissection(points: DataFrame, edges: DataFrame, leaf: int = 32) -> Da
     return dense_number(state.withColumnRenamed("id", "old_id"), ["path", "old_id"], "new_id").select("old_id", "new_id")
 
 
-def minimum_degree(edges: DataFrame, slack: float = 1.5) -> DataFrame:
-    """old_id, new_id: nodes of about the least degree are eliminated first, many at a time.
+def _least_first(rows: pd.DataFrame) -> pd.DataFrame:
+    """Eliminates the free nodes of a piece, each time one of about the least degree: its (kind, a, b) before and after.
 
-    An eliminated node stays as an element, the set of nodes it joins, instead of the edges among them; an element takes in those
-    that its node was in, so the tables (edges u, w and members e, u) never grow. A node's degree is bounded by its edges and the sizes of its elements.
-    Each round takes, of the nodes whose bound is within ``slack`` of the least, those that come first (by bound, a hash, id) among their edges and in all their
-    elements; no two of them are neighbours. Edges inside a new element go, and nodes that are left with nothing but it follow its node at
+    Kind 0 is a node a and whether it is free (before), or an eliminated node and its place (after); 1 an edge; 2 an element a and its
+    member b. Degrees are bounds: edges, the new element, and what other elements have outside it. Elements
+    inside the new one go, and free nodes that are left with nothing but it follow at once.
+    """
+    piece = int(rows["piece"].iloc[0])
+    table = {kind: list(zip(t["a"].tolist(), t["b"].tolist(), strict=True)) for kind, t in rows.groupby("kind")}
+    free = {a for a, b in table.get(0, []) if b}
+    near: dict[int, set] = {a: set() for a, _ in table.get(0, [])}
+    of: dict[int, set] = {a: set() for a in near}
+    members: dict[int, set] = {}
+    for a, b in table.get(1, []):
+        near[a].add(b)
+    for e, a in table.get(2, []):
+        of[a].add(e)
+        members.setdefault(e, set()).add(a)
+    degree = {v: len(near[v]) + sum(len(members[e]) - 1 for e in of[v]) for v in free}
+    queue = [(d, v) for v, d in degree.items()]
+    heapq.heapify(queue)
+    order = []
+    while queue:
+        d, p = heapq.heappop(queue)
+        if degree.get(p) != d:
+            continue
+        around = near.pop(p).union(*[members[e] for e in of[p]]) - {p}
+        taken = of.pop(p)
+        for e in taken:
+            del members[e]
+        del degree[p]
+        order.append(p)
+        outside: dict[int, int] = {}
+        for v in around:
+            of[v] -= taken
+            for e in of[v]:
+                outside[e] = outside.get(e, len(members[e])) - 1
+        inside = {e for e, n in outside.items() if not n}
+        for e in inside:
+            del members[e]
+        follow = set()
+        for v in around:
+            of[v] -= inside
+            near[v] = near[v] - around
+            near[v].discard(p)
+            if v in free and not of[v] and not near[v]:
+                follow.add(v)
+        for v in sorted(follow):
+            order.append(v)
+            del near[v], of[v], degree[v]
+        around -= follow
+        if around:
+            members[p] = around
+        for v in around:
+            if v in free:
+                degree[v] = min(len(near[v]) + len(around) - 1 + sum(outside[e] for e in of[v]), degree[v] + len(around) - 1)
+                heapq.heappush(queue, (degree[v], v))
+            of[v].add(p)
+    out = [(0, v, i) for i, v in enumerate(order)] + [(1, a, b) for a, others in near.items() for b in others] + [(2, e, v) for e, of_it in members.items() for v in of_it]
+    return pd.DataFrame(out, columns=["kind", "a", "b"], dtype="int64").assign(piece=piece).astype({"kind": "int32"})[["piece", "kind", "a", "b"]]
+
+
+def _pieces(nodes: DataFrame, near: DataFrame, member: DataFrame, entries: int, most: int) -> DataFrame:
+    """id, piece: parts of the graph that hang together, of about an eighth of ``most`` entries each and no more than about that.
+
+    A node begins in one of its elements, or by itself. In each round parts whose hash is the greatest among their neighbours take
+    these in, until parts are few enough; parts that have grown too large are dealt by hashes.
+    """
+    own = member.groupBy(F.col("u").alias("id")).agg(F.max(F.struct(F.xxhash64("e").alias("h"), "e")).alias("own"))
+    label = cut(nodes.join(own.hint("merge"), "id", "left").select("id", F.coalesce("own.e", "id").alias("piece")))
+    at = lambda c: label.select(F.col("id").alias(c), F.col("piece").alias(f"{c}_at")).hint("merge")
+    edge = near.join(at("u"), "u").join(at("w"), "w").select(F.col("u_at").alias("a"), F.col("w_at").alias("b"))
+    tie = member.join(at("u"), "u").select(F.col("e").alias("a"), F.col("u_at").alias("b"))
+    links = cut(edge.union(tie).union(tie.select("b", "a")).filter("a <> b").distinct())
+    count, turn = label.select("piece").distinct().count(), 0
+    while count * most > 8 * entries:
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731  used before the turn changes
+        centres = links.groupBy("a").agg(F.max(rank("b")).alias("best")).filter(F.col("best") < rank("a")).select(F.col("a").alias("b"))
+        into = cut(links.join(centres.hint("merge"), "b").groupBy("a").agg(F.max(rank("b")).alias("best")).select("a", F.col("best.v").alias("into")))
+        to = lambda c: into.select(F.col("a").alias(c), F.col("into").alias(f"{c}_into")).hint("merge")  # noqa: B023, E731
+        label = cut(label.join(to("piece"), "piece", "left").select("id", F.coalesce("piece_into", "piece").alias("piece")), instead=[label])
+        moved = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_into", "a").alias("a"), F.coalesce("b_into", "b").alias("b"))
+        links = cut(moved.filter("a <> b").distinct(), instead=[links])
+        drop(into)
+        before, count, turn = count, label.select("piece").distinct().count(), turn + 1
+        if count > 0.95 * before:
+            break
+    drop(links)
+    load = nodes.select("id").union(near.select("u")).union(member.select("u")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    held = label.join(load.hint("merge"), "id").groupBy("piece").agg(F.ceil(F.sum("n") / most).alias("shares")).filter("shares > 1")
+    share = F.xxhash64("piece", F.pmod(F.xxhash64("id"), F.col("shares")))
+    return cut(label.join(held.hint("merge"), "piece", "left").select("id", F.when(F.col("shares") > 1, share).otherwise(F.col("piece")).alias("piece")), instead=[label])
+
+
+def _in_pieces(near: DataFrame, member: DataFrame, pieces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Eliminates, a task for each piece, the nodes whose edges and elements lie inside it: the eliminated (id, after, place), and the edges and members left."""
+    at = lambda c: pieces.select(F.col("id").alias(c), F.col("piece").alias(f"{c}_at")).hint("merge")
+    edge = cut(near.join(at("u"), "u").join(at("w"), "w").select("u", "w", "u_at", (F.col("u_at") == F.col("w_at")).alias("inner")))
+    tie = member.join(at("u"), "u")
+    ends = tie.groupBy("e").agg((F.min("u_at") == F.max("u_at")).alias("inner"))
+    tie = cut(tie.join(ends.hint("merge"), "e").select("e", "u", "u_at", "inner"))
+    bound = edge.filter("not inner").select("u").union(tie.filter("not inner").select("u")).distinct()
+    kind = lambda k: F.lit(k).alias("kind")
+    rows = pieces.join(bound.select(F.col("u").alias("id"), F.lit(0).cast("long").alias("free")).hint("merge"), "id", "left").select("piece", kind(0), F.col("id").alias("a"), F.coalesce("free", F.lit(1).cast("long")).alias("b"))
+    rows = rows.union(edge.filter("inner").select("u_at", kind(1), "u", "w")).union(tie.filter("inner").select("u_at", kind(2), "e", "u"))
+    out = cut(rows.groupBy("piece").applyInPandas(_least_first, "piece long, kind int, a long, b long"))
+    gone = out.filter("kind = 0").select(F.col("a").alias("id"), F.col("piece").alias("after"), F.col("b").cast("int").alias("place"))
+    left = cut(out.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("w")).union(edge.filter("not inner").select("u", "w")))
+    held = cut(out.filter("kind = 2").select(F.col("a").alias("e"), F.col("b").alias("u")).union(tie.filter("not inner").select("e", "u")))
+    return cut(gone, instead=[edge, tie, out]), left, held
+
+
+def _independent(nodes: DataFrame, near: DataFrame, member: DataFrame, slack: float, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Eliminates nodes of about the least degree that are not neighbours: the eliminated (id, after, place), and the edges and members left.
+
+    Of the nodes whose bound is within ``slack`` of the least, those go that come first (by bound, a hash, id) among their edges and in all
+    their elements. Edges inside a new element go, and nodes that are left with nothing but it follow its node at
     once, as they add no fill. Least keys of edges and elements are found by grouping; no pairs of members are made.
     """
+    sizes = member.groupBy("e").agg((F.count(F.lit(1)) - 1).alias("others"))
+    joined = member.join(sizes.hint("merge"), "e").groupBy(F.col("u").alias("id")).agg(F.sum("others").alias("in_elements"))
+    linked = near.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("in_edges"))
+    bound = F.coalesce("in_edges", F.lit(0)) + F.coalesce("in_elements", F.lit(0))
+    degrees = cut(nodes.join(linked.hint("merge"), "id", "left").join(joined.hint("merge"), "id", "left").select("id", bound.alias("degree")))
+    least = degrees.agg(F.min("degree")).first()[0]
+    ready = degrees.filter(F.col("degree") <= slack * least).select("id", F.struct("degree", F.xxhash64("id", F.lit(turn)).alias("h"), "id").alias("key"))
+    first = member.join(ready.withColumnRenamed("id", "u").hint("merge"), "u").groupBy("e").agg(F.min("key").alias("first"))
+    among = member.join(first.hint("merge"), "e").groupBy(F.col("u").alias("id")).agg(F.min("first").alias("in_elements"))
+    beside = near.join(ready.withColumnRenamed("id", "w").hint("merge"), "w").groupBy(F.col("u").alias("id")).agg(F.min("key").alias("in_edges"))
+    before = lambda c: F.coalesce(F.col(c) < F.col("key"), F.lit(False))
+    chosen = cut(ready.join(among.hint("merge"), "id", "left").join(beside.hint("merge"), "id", "left").filter(~before("in_elements") & ~before("in_edges")).select("id"))
+    at = lambda c: chosen.select(F.col("id").alias(c)).hint("merge")
+    taken_in = member.join(at("u"), "u").select("e", F.col("u").alias("by"))
+    moved = member.join(taken_in.hint("merge"), "e", "left").select(F.coalesce("by", "e").alias("e"), "u")
+    grown = cut(moved.union(near.join(at("u"), "u").select(F.col("u").alias("e"), F.col("w").alias("u"))).join(at("u"), "u", "left_anti").distinct())
+    fresh = grown.join(at("e"), "e", "left_semi")
+    kept = near.join(at("u"), "u", "left_anti").join(at("w"), "w", "left_anti").select("u", "w")
+    inside = kept.join(fresh.hint("merge"), "u").join(fresh.select("e", F.col("u").alias("w")).hint("merge"), ["e", "w"]).select("u", "w").distinct()
+    left = cut(kept.join(inside.hint("merge"), ["u", "w"], "left_anti"))
+    only = grown.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("e")).filter("n = 1").join(at("e"), "e", "left_semi").join(left.hint("merge"), "u", "left_anti")
+    gone = cut(chosen.select("id", F.col("id").alias("after"), F.lit(0).alias("place")).union(only.select("u", "e", F.lit(1))))
+    held = cut(grown.join(gone.select(F.col("id").alias("u")).hint("merge"), "u", "left_anti").select("e", "u"), instead=[degrees, chosen, grown])
+    return gone, left, held
+
+
+def minimum_degree(edges: DataFrame, slack: float = 1.5, most: int = PIECE) -> DataFrame:
+    """old_id, new_id: nodes of about the least degree are eliminated first, piece by piece.
+
+    An eliminated node stays as an element, the set of nodes it joins, instead of the edges among them; an element takes in those
+    that its node was in, so the tables (edges u, w and members e, u) never grow. The graph is cut into pieces of at most about ``most``
+    entries. A task for each piece eliminates the nodes that have no neighbour outside; what is left, the pieces' borders, is cut
+    into pieces anew, until it is one piece. Where pieces have next to no inside, a round over the whole graph takes
+    nodes that are not neighbours (see _independent).
+    """
     spark = edges.sparkSession
     edges = cut(edges.select("row", "col"))  # stencils that are still to be found are found once
     nodes = cut(edges.select(F.col("row").alias("id")).union(edges.select("col")).distinct())
     near = cut(adjacency(edges).select(F.col("row").alias("u"), F.col("col").alias("w")))
-    member = spark.createDataFrame([], "e long, u long")
-    done, turn = f"{shared_dir(spark)}/eliminated-{uuid.uuid4().hex}", 0
-    old: list[DataFrame] = []
-    while True:
-        sizes = member.groupBy("e").agg((F.count(F.lit(1)) - 1).alias("others"))
-        joined = member.join(sizes, "e").groupBy(F.col("u").alias("id")).agg(F.sum("others").alias("in_elements"))
-        linked = near.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("in_edges"))
-        bound = F.coalesce("in_edges", F.lit(0)) + F.coalesce("in_elements", F.lit(0))
-        degrees = cut(nodes.join(linked, "id", "left").join(joined, "id", "left").select("id", bound.alias("degree")))
-        least = degrees.agg(F.min("degree")).first()[0]
-        if least is None:
-            break
-        ready = degrees.filter(F.col("degree") <= slack * least).select("id", F.struct("degree", F.xxhash64("id", F.lit(turn)).alias("h"), "id").alias("key"))
-        as_u = ready.withColumnRenamed("id", "u")
-        first = member.join(as_u, "u").groupBy("e").agg(F.min("key").alias("first"))
-        among = member.join(first, "e").groupBy(F.col("u").alias("id")).agg(F.min("first").alias("in_elements"))
-        beside = near.join(ready.withColumnRenamed("id", "w"), "w").groupBy(F.col("u").alias("id")).agg(F.min("key").alias("in_edges"))
-        before = lambda c: F.coalesce(F.col(c) < F.col("key"), F.lit(False))
-        chosen = cut(ready.join(among, "id", "left").join(beside, "id", "left").filter(~before("in_elements") & ~before("in_edges")).select("id"))
-        at = lambda c: chosen.select(F.col("id").alias(c))
-        taken_in = member.join(at("u"), "u").select("e", F.col("u").alias("by"))
-        moved = member.join(taken_in, "e", "left").select(F.coalesce("by", "e").alias("e"), "u")
-        grown = cut(moved.union(near.join(at("u"), "u").select(F.col("u").alias("e"), F.col("w").alias("u"))).join(at("u"), "u", "left_anti").distinct())
-        fresh = grown.join(at("e"), "e", "left_semi")
-        kept = near.join(at("u"), "u", "left_anti").join(at("w"), "w", "left_anti").select("u", "w")
-        inside = kept.join(fresh, "u").join(fresh.select("e", F.col("u").alias("w")), ["e", "w"]).select("u", "w").distinct()
-        left = cut(kept.join(inside, ["u", "w"], "left_anti"))
-        only = grown.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("e")).filter("n = 1").join(at("e"), "e", "left_semi").join(left, "u", "left_anti")
-        follow = chosen.select("id", F.col("id").alias("after"), F.lit(0).alias("place")).union(only.select("u", "e", F.lit(1)))
-        follow.write.parquet(f"{done}/turn={turn}")
-        gone = spark.read.schema("id long, after long, place int").parquet(f"{done}/turn={turn}").select("id")
-        for table in old:
-            drop(table)
-        nodes, near = degrees.select("id").join(gone, "id", "left_anti"), left
-        member = grown.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").select("e", "u")
-        old, turn = [degrees, chosen, grown, left], turn + 1
+    member = cut(spark.createDataFrame([], "e long, u long"))
+    done, turn, stuck = f"{shared_dir(spark)}/eliminated-{uuid.uuid4().hex}", 0, False
+    while n := nodes.count():
+        entries = n + near.count() + member.count()
+        if entries > most and stuck:
+            gone, left, held = _independent(nodes, near, member, slack, turn)
+            stuck = turn % 8 > 0  # borders may be fewer after some rounds
+        else:
+            pieces = _pieces(nodes, near, member, entries, most) if entries > most else cut(nodes.select("id", F.lit(0).cast("long").alias("piece")))
+            gone, left, held = _in_pieces(near, member, pieces)
+            drop(pieces)
+            stuck = 10 * gone.count() < n
+        gone.write.parquet(f"{done}/turn={turn}")
+        rest = nodes.join(gone.select("id").hint("merge"), "id", "left_anti")
+        nodes, near, member, turn = cut(rest, instead=[nodes, near, member, gone]), left, held, turn + 1
     if not turn:
         return spark.createDataFrame([], "old_id long, new_id long")
     order = spark.read.schema("id long, after long, place int, turn int").parquet(done)

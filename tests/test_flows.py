@@ -231,6 +231,40 @@ def test_elimination_tree_by_stretches(spark, monkeypatch, most):
     assert len(written) <= 2 + 2 * (n * n // factor.BLOCK + 1)
 
 
+@pytest.mark.parametrize("most", [400, factor.PIECE])
+def test_minimum_degree_by_pieces(spark, monkeypatch, most):
+    """A grid in many pieces and in one: a permutation, fill near that of one node at a time, and few tables written."""
+    n, written = 12, []
+    pairs = [(i * n + j, v) for i in range(n) for j in range(n) for v in ((i * n + j + 1,) if j < n - 1 else ()) + ((i * n + n + j,) if i < n - 1 else ())]
+    monkeypatch.setattr(factor, "cut", lambda df, *a, **k: written.append(0) or cut(df, *a, **k))
+    made = factor.minimum_degree(spark.createDataFrame(pairs, "row long, col long"), **({} if most == factor.PIECE else {"most": most}))
+    new = {r.old_id: r.new_id for r in ordering.check_permutation(made).collect()}
+    if most == factor.PIECE:
+        assert len(written) < 20  # whatever the number of nodes
+
+    def fill(order=None):
+        near, total = {i: set() for i in range(n * n)}, 0
+        for a, b in pairs:
+            near[a].add(b)
+            near[b].add(a)
+        while near:
+            i = min(near, key=lambda v: order[v] if order else (len(near[v]), v))
+            around = near.pop(i)
+            total += 1 + len(around)
+            for j in around:
+                near[j] = (near[j] | around) - {i, j}
+        return total
+
+    assert len(new) == n * n and fill(new) <= (1.25 if most == factor.PIECE else 1.6) * fill()
+
+
+def test_minimum_degree_without_insides(spark):
+    """Any two nodes are neighbours, or many hang on one: pieces have no inside, and rounds over the whole graph go on."""
+    pairs = [(i, j) for i in range(14) for j in range(i)] + [(0, i) for i in range(20, 90)]
+    order = ordering.check_permutation(factor.minimum_degree(spark.createDataFrame(pairs, "row long, col long").repartition(2).selectExpr("IF(row >= 20, row - 6, row) row", "IF(col >= 20, col - 6, col) col"), most=60))
+    assert order.count() == 84
+
+
 def test_orders_of_graphs_without_edges(spark):
     none = spark.createDataFrame([], "row long, col long")
     assert factor.minimum_degree(none).count() == 0
