@@ -56,10 +56,28 @@ def _contracted(edges: DataFrame, match: DataFrame) -> DataFrame:
     return cut(sums)
 
 
+def _along(laplacian: np.ndarray) -> list[np.ndarray]:
+    """Directions to sort the nodes of a piece along: the second eigenvector, or where several have its eigenvalue (a square has two), eight ways through a plane of them.
+
+    The plane is laid through the nodes that the eigenvectors' space holds most of, so it does not depend on which of them LAPACK returns.
+    """
+    values, vectors = np.linalg.eigh(laplacian)
+    same = np.abs(values - values[1]) <= 1e-9 * max(1.0, values[-1])
+    space = vectors[:, same] @ vectors[:, same].T - same[0] / len(values)  # the constant is no direction
+    plane = []
+    for _ in range(min(2, same.sum() - same[0])):
+        node = int(np.argmax(np.round(np.diag(space), 9)))
+        plane.append(space[node] / np.sqrt(space[node, node]))
+        space = space - np.outer(plane[-1], plane[-1])
+    if len(plane) == 1:
+        return plane
+    return [np.cos(t) * plane[0] + np.sin(t) * plane[1] for t in np.arange(8) * np.pi / 8]
+
+
 def _halves(part: pd.DataFrame, most: int) -> pd.DataFrame:
     """A part's nodes with the paths of its pieces, each of at most ``most`` nodes.
 
-    A piece is sorted along the second eigenvector of its Laplacian and cut where the fewest edges cross, of the places that leave two fifths of
+    A piece is sorted along the second eigenvector of its Laplacian (see _along) and cut where the fewest edges cross, of the places that leave two fifths of
     the weight on either side.
     """
     part = part.sort_values("id", ignore_index=True)
@@ -75,16 +93,18 @@ def _halves(part: pd.DataFrame, most: int) -> pd.DataFrame:
         piece = todo.pop()
         if len(piece) <= most:
             continue
-        b = a[np.ix_(piece, piece)]
-        along = np.linalg.eigh(np.diag(b.sum(1)) - b)[1][:, 1]
-        order = np.lexsort((piece, np.round(along, 9)))
-        b = b[np.ix_(order, order)]
-        crossing = np.cumsum(b.sum(1) - 2 * np.tril(b, -1).sum(1))[:-1]
-        share = np.cumsum(weight[piece][order])[:-1] / weight[piece].sum()
-        fair = (share >= 0.4) & (share <= 0.6)
-        if not fair.any():  # one heavy node: as near to the middle as can be
-            fair = np.abs(share - 0.5) == np.abs(share - 0.5).min()
-        at = 1 + int(np.flatnonzero(fair)[np.lexsort((np.abs(share[fair] - 0.5), crossing[fair]))[0]])
+        b, best = a[np.ix_(piece, piece)], None
+        for along in _along(np.diag(b.sum(1)) - b):
+            by = np.lexsort((piece, np.round(along, 9)))
+            c = b[np.ix_(by, by)]
+            crossing = np.cumsum(c.sum(1) - 2 * np.tril(c, -1).sum(1))[:-1]
+            share = np.cumsum(weight[piece][by])[:-1] / weight[piece].sum()
+            fair = (share >= 0.4) & (share <= 0.6)
+            if not fair.any():  # one heavy node: as near to the middle as can be
+                fair = np.abs(share - 0.5) == np.abs(share - 0.5).min()
+            cut_ = int(np.flatnonzero(fair)[np.lexsort((np.abs(share[fair] - 0.5), crossing[fair]))[0]])
+            if best is None or crossing[cut_] < best:
+                best, order, at = crossing[cut_], by, 1 + cut_
         for bit, side in (("0", piece[order[:at]]), ("1", piece[order[at:]])):
             for i in side:
                 paths[i] += bit
@@ -209,7 +229,7 @@ def graph_dissection(edges: DataFrame, leaf: int = 32) -> DataFrame:
     The two sides of each split come one after the other and the nodes between them behind both. Inside a part (of at most ``leaf`` nodes), nodes
     with fewer neighbours outside it go first, then by id.
     Defined cases: loops and repeated edges count once, nodes with loops alone are nodes, an edge with a null end counts for
-    its other end only, and a graph without rows has an empty order. Eigenvectors of equal eigenvalues are LAPACK's
-    choice, so another machine may cut a symmetric part elsewhere.
+    its other end only, and a graph without rows has an empty order. Of eigenvectors of equal eigenvalues those
+    are taken that cross the fewest edges (see _along), whichever of them LAPACK returns.
     """
     return dissected(edges, leaf).select("old_id", "new_id")

@@ -1,6 +1,7 @@
 """Dissection of graphs: bounds of parts, separators, and fill against the dissection by coordinates."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.operators import dissection, factor, ordering
@@ -59,6 +60,35 @@ def test_graph_dissection_fills_no_more_than_coordinates(spark):
     assert by_graph <= 1.03 * fill(pairs, factor.nested_dissection(points, edges), n * n) < fill(pairs, ordering.identity(points), n * n)
 
 
+@pytest.mark.parametrize("turn", [0.0, 0.3, 0.8, 2.0])
+def test_a_square_is_cut_across_its_side(monkeypatch, turn):
+    """Two eigenvectors of a square have the same eigenvalue: whichever LAPACK returns, six edges cross, and the sides are the same."""
+    n, eigh = 6, np.linalg.eigh
+
+    def turned(a):
+        values, v = eigh(a)
+        x, y = v[:, 1].copy(), v[:, 2].copy()
+        if values[2] - values[1] < 1e-9:
+            v[:, 1], v[:, 2] = np.cos(turn) * x + np.sin(turn) * y, np.cos(turn) * y - np.sin(turn) * x
+        return values, v
+
+    near = [[(i + a) * n + j + b for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if 0 <= i + a < n and 0 <= j + b < n] for i in range(n) for j in range(n)]
+    part = pd.DataFrame({"id": range(n * n), "path": "", "weight": 1, "edges": [[{"w": w, "weight": 1} for w in ws] for ws in near]})
+    plain = dissection._halves(part, 20)
+    monkeypatch.setattr(np.linalg, "eigh", turned)
+    halves = dissection._halves(part, 20)
+    path = halves["path"].tolist()
+    assert halves.equals(plain) and path.count("0") == 18
+    assert sum(path[v] != path[w] for v, ws in enumerate(near) for w in ws) == 2 * n
+
+
+def test_pieces_that_do_not_hang_together():
+    """Three paths and a lone node: no edge needs to cross."""
+    part = pd.DataFrame({"id": range(13), "path": "", "weight": 1, "edges": [[{"w": w, "weight": 1} for w in (v - 1, v + 1) if w // 4 == v // 4 and 0 <= w < 12] if v < 12 else None for v in range(13)]})
+    sizes = dissection._halves(part, 8).groupby("path").size()
+    assert sizes.sum() == 13 and sizes.max() <= 8
+
+
 @pytest.mark.parametrize("pairs", [[], [(3, 3)], [(1, 2), (2, 1)]])
 def test_graph_dissection_of_tiny_graphs(spark, pairs):
     order = dissection.graph_dissection(spark.createDataFrame(pairs, "row long, col long"))
