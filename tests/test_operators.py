@@ -434,6 +434,27 @@ def test_radius_join_deals_crowded_cells_and_moves_no_pairs(spark, monkeypatch,
     assert "Window" in above_join and "Exchange" not in above_join
 
 
+@pytest.mark.parametrize(("sides", "norm"), [((1.0, 1.0), "euclid")])
+def test_crowded_cells_are_copied_by_their_rows(spark, monkeypatch, sides, norm):
+    """A crowded cell's points go to as many tasks as its rows need, not to as many as its pairs do, and rows are found and ordered the same."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.random((100, 2)), 0.55 + 0.02 * rng.random((400, 2)), [[0.25, 0.25]] * 40, 0.125 * rng.integers(0, 9, (60, 2))])
+    points = spark.createDataFrame([(f"n{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(xy)], "id string, x double, y double")
+    plain = neighbours.within(points, 0.1, Box(sides), norm=norm).select("row", "k", "col", "dist")
+    copies = []
+    by_rows = neighbours._row_by_row
+    monkeypatch.setattr(neighbours, "_row_by_row", lambda probe, home, *a: copies.append(home.agg(F.sum("shares")).first()[0]) or by_rows(probe, home, *a))
+    monkeypatch.setattr(neighbours, "SORTED", 500)
+    monkeypatch.setattr(neighbours, "ROWS", 100)
+    monkeypatch.setattr(neighbours, "SENT", 150)
+    found = neighbours.within(points, 0.1, Box(sides), norm=norm)
+    assert sorted(found.collect()) == sorted(plain.collect())
+    d = np.abs(xy[:, None] - xy[None])
+    d = np.minimum(d, 1 - d) if sides else d
+    assert found.count() == ((d.max(-1) if norm == "chebyshev" else np.sqrt((d**2).sum(-1))) <= 0.1).sum()
+    assert 0 < copies[0] < 9 * len(xy) * 5  # dealt by pairs it would be over a million
+
+
 def test_singular_batches_are_bounded_in_memory():
     """A full batch of Arrow's rows is solved in pieces, and the pieces with singular stencils take few MB as well."""
     config = weights.Interpolation(15)
