@@ -6,10 +6,16 @@ partitions: each partition is ranked by itself and shifted by the sizes of those
 
 from __future__ import annotations
 
+import base64
+import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import curves
@@ -17,6 +23,11 @@ from tessera.operators.lineage import cut, shared_dir
 from tessera.operators.names import fresh
 from tessera.operators.neighbours import validated
 
+#: Entries of a graph that a task of a walk holds at most, about 50 bytes each at its peak.
+HELD = 10_000_000
+#: Nodes of a level that the tasks of a walk tell each other at most.
+WIDE = 100_000
+
 
 def dense_number(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
     """Numbers all rows from 0 in the order of keys, which must tell all rows apart; no single task sees all of them."""
@@ -152,6 +163,79 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.filter("row <> col").distinct()
 
 
+def _slots(spark: SparkSession) -> int:
+    """How many tasks run at the same time, or 0 if Spark can't start tasks together."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    sc = spark.sparkContext._jsc.sc()
+    return sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile())
+
+
+def _walked(batches: Iterable[pa.RecordBatch], front: np.ndarray, seen: np.ndarray, depth: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """id, rank, level of the levels that follow front (ids by rank), until there is none or one with more nodes than ``WIDE``.
+
+    The entries (row, col, degree) come sorted by row. One task holds them all, or several that run at the same time hold them between them: these tell
+    each other for each level which nodes their entries lead to, all of them put the level together, and each gives a share of it back.
+    """
+    context = BarrierTaskContext.get() if tasks > 1 else None
+    me = context.partitionId() if context else 0
+    none = np.zeros(0, np.int64)
+    rows, first, col, degree, held = [none], [none], [none], [none.astype(np.int32)], 0
+    for batch in batches:
+        row = batch.column(0).to_numpy()
+        begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else none
+        rows.append(row[begin])
+        first.append(begin + held)
+        col.append(batch.column(1).to_numpy().copy())
+        degree.append(batch.column(2).to_numpy().astype(np.int32))
+        held += len(row)
+    rows, first, col, degree = map(np.concatenate, (rows, first, col, degree))
+    whole = np.append(True, rows[1:] != rows[:-1])[: len(rows)]  # a row may go on in the next batch
+    rows, first = rows[whole], first[whole]
+    ends = np.append(first[1:], held)[: len(rows)]
+    cols, at, code = np.unique(col, return_index=True, return_inverse=True)
+    degrees, met = degree[at], np.zeros(len(cols), bool)
+    del col, degree
+
+    def places(of: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ids are there, and where."""
+        place = np.searchsorted(of, ids)
+        there = np.flatnonzero(place < len(of))
+        there = there[of[place[there]] == ids[there]]
+        return there, place[there]
+
+    met[places(cols, seen)[1]] = True
+    kept, waiting = [], 0
+    while True:
+        parent, place = places(rows, front)
+        size = ends[place] - first[place]
+        entry = np.repeat(first[place] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        reached, parent = code[entry], np.repeat(parent, size)
+        new = ~met[reached]
+        reached, at = np.unique(reached[new], return_index=True)  # the first parent of each, as parents go by rank
+        found = np.column_stack([parent[new][at], degrees[reached], cols[reached]]).astype(np.int64)
+        if context:
+            said = context.allGather(base64.b64encode(found.tobytes()).decode() if len(found) <= WIDE // tasks else "wide")
+            if "wide" in said:
+                break
+            found = np.frombuffer(b"".join(map(base64.b64decode, said)), np.int64).reshape(-1, 3)
+        if not len(found):
+            break
+        found = found[np.lexsort((found[:, 0], found[:, 2]))]  # of each node the first parent in any task
+        found = found[np.append(True, found[1:, 2] != found[:-1, 2])]
+        front = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0])), 2]
+        met[places(cols, front)[1]] = True
+        depth += 1
+        rank = np.arange(me, len(front), tasks)
+        kept.append(pa.RecordBatch.from_arrays([pa.array(front[rank]), pa.array(rank), pa.array(np.full(len(rank), depth, np.int32))], names=["id", "rank", "level"]))
+        waiting += len(rank)
+        if waiting > WIDE:
+            yield pa.concat_batches(kept)
+            kept, waiting = [], 0
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def reverse_cuthill_mckee(edges: DataFrame) -> DataFrame:
     """The reverse Cuthill-McKee order of a symmetrised graph.
 
@@ -159,7 +243,10 @@ def reverse_cuthill_mckee(edges: DataFrame) -> DataFrame:
     their first neighbours in the level before, then by degree and id; components go by their least ids, and the whole is reversed.
 
     All components go level by level together. A neighbour of a level lies in it, in the one before or in the next one, so
-    a level is met with two others only and is written once. Numbers within a level only have to tell its order: they come from sorted ranges.
+    a level is met with two others only. Narrow levels are walked in memory, by one task or, if the graph has more than ``HELD`` entries, by some
+    that hold it between them and meet for each level, so that very many levels take one job. A level of more than ``WIDE`` nodes, or any of a
+    graph that as many tasks as run at once can't hold, is found by joins and written once; numbers within it only have to tell its order: they
+    come from sorted ranges.
     """
     from tessera.operators.stats import connected
 
@@ -178,13 +265,28 @@ def reverse_cuthill_mckee(edges: DataFrame) -> DataFrame:
         rows.write.parquet(f"{levels}/level={depth}")
         return spark.read.schema(schema).parquet(f"{levels}/level={depth}")
 
-    depth = 0
+    depth, walks = 0, []
     level = before = put(start, 0)
+    entries = pairs.count()
+    tasks = max(1, math.ceil(entries / HELD))
+    walks_fit = tasks == 1 or tasks <= _slots(spark)
     while not level.isEmpty():
+        met = level.select("id").union(before.select("id")).distinct()
+        if walks_fit and met.count() <= WIDE:
+            front = np.array([r.id for r in level.orderBy("rank").collect()], np.int64)
+            seen = np.array([r.id for r in met.collect()], np.int64)
+            walk = partial(_walked, front=front, seen=seen, depth=depth, tasks=tasks)
+            dealt = pairs.select("row", "col", "degree").repartition(tasks).sortWithinPartitions("row")
+            walks.append(cut(dealt.mapInArrow(walk, f"{schema}, level int", barrier=tasks > 1)))
+            last = walks[-1].agg(F.max("level")).first()[0]
+            if last is not None:
+                at = lambda k: walks[-1].filter(F.col("level") == k).select("id", "rank")
+                before, level = at(last - 1) if last - 1 > depth else level, at(last)
+                depth, met = last, level.select("id").union(before.select("id"))
+        # what follows a walk is a wide level or none
         depth += 1
-        met = level.select("id").union(before.select("id"))
         reached = pairs.join(level.withColumnRenamed("id", "row"), "row").groupBy(F.col("col").alias("id"), "degree").agg(F.min("rank").alias("parent"))
         found = reached.join(met, "id", "left_anti").repartitionByRange(n, "parent", "degree", "id").sortWithinPartitions("parent", "degree", "id")
         before, level = level, put(found.select("id", F.monotonically_increasing_id().alias("rank")), depth)
-    ranked = known.join(spark.read.schema(f"{schema}, level int").parquet(levels), "id")
-    return order_by(ranked, -F.col("component"), -F.col("level"), -F.col("rank"))
+    placed = reduce(DataFrame.unionByName, walks, spark.read.schema(f"{schema}, level int").parquet(levels))
+    return order_by(known.join(placed, "id"), -F.col("component"), -F.col("level"), -F.col("rank"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tessera.operators.lineage import cut, drop
 from tessera.operators.neighbours import nearest
 
 LINE = 8
+#: Pairs of which one task merges the nodes that hang together, about 100 bytes each.
+MERGED = 2_000_000
 
 
 def bandwidth(edges: DataFrame) -> DataFrame:
@@ -116,17 +121,53 @@ def same_size(*tables: DataFrame) -> None:
         raise ValueError(f"the tables have different numbers of nodes: {sizes}")
 
 
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, root (the least id that it hangs together with) of the nodes of all pairs (row, col)."""
+    pairs = [[c.to_numpy() for c in b.columns] for b in batches]
+    if not pairs:
+        return
+    ids, code = np.unique(np.concatenate([c for pair in zip(*pairs, strict=True) for c in pair]), return_inverse=True)
+    a, b = code[: len(code) // 2], code[len(code) // 2 :]
+    root = np.arange(len(ids))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while ((up := root[root]) != root).any():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    for i in range(0, len(ids), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(ids[root[i : i + 100_000]])], names=["id", "root"])
+
+
 def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, component (its least id): smallest labels spread over symmetric pairs (row, col) and are followed to their own labels."""
+    """id, component (its least id), for symmetric pairs (row, col).
+
+    While the pairs are many, every node joins the least one beside it, pointers are followed to their ends, and the graph of the groups
+    goes on, with at most half as many nodes; one task merges what is left.
+    """
     label = cut(nodes.select("id", F.col("id").alias("component")))
+    edges = cut(pairs.filter("row < col").select(F.col("row").cast("long"), F.col("col").cast("long")).distinct())
     while True:
-        near = pairs.join(label.select(F.col("id").alias("col"), "component"), "col").groupBy(F.col("row").alias("id")).agg(F.min("component").alias("near"))
-        low = label.join(near, "id", "left").select("id", "component", F.least("component", "near").alias("low"))
-        jump = label.select(F.col("id").alias("low"), F.col("component").alias("to"))
-        new = cut(low.join(jump, "low").select("id", "component", F.least("low", "to").alias("new")))
-        if new.filter("component <> new").isEmpty():
-            drop(new)
+        last = edges.count() <= MERGED
+        if last:
+            to = cut(edges.repartition(1).mapInArrow(_merged, "id long, root long"))
+        else:
+            both = edges.union(edges.select("col", "row"))
+            to = cut(both.groupBy(F.col("row").alias("id")).agg(F.min("col").alias("near")).select("id", F.least("id", "near").alias("root")))
+            while True:
+                up = to.select(F.col("id").alias("root"), F.col("root").alias("up"))
+                to = cut(to.join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") < F.col("root")).alias("moved")), instead=[to])
+                if to.filter("moved").isEmpty():
+                    break
+        root = to.select(F.col("id").alias("component"), "root")
+        label = cut(label.join(root, "component", "left").select("id", F.coalesce("root", "component").alias("component")), instead=[label])
+        if last:
+            drop(edges)
+            drop(to)
             return label
-        drop(label)
-        at, label = new.written_at, new.select("id", F.col("new").alias("component"))
-        label.written_at = at
+        at = lambda c: to.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+        ends = F.least("row_root", "col_root").alias("row"), F.greatest("row_root", "col_root").alias("col")
+        edges = cut(edges.join(at("row"), "row").join(at("col"), "col").filter("row_root <> col_root").select(*ends).distinct(), instead=[edges])
+        drop(to)

@@ -416,6 +416,55 @@ def test_cuthill_mckee_by_parents(spark):
     assert ordering.reverse_cuthill_mckee(spark.createDataFrame([], "row long, col long")).count() == 0
 
 
+@pytest.mark.parametrize(("held", "wide"), [(10_000_000, 100_000), (150, 100_000), (150, 4), (100, 100_000)])
+def test_cuthill_mckee_walks_many_levels_in_one_job(spark, monkeypatch, held, wide):
+    """A long ladder with a crowd at its end and a path: walked by one task, by several that meet for each level, with a level too wide for them, and by joins."""
+    ladder = [(2 * i + a, 2 * i + b) for i in range(45) for a, b in ((0, 1), (0, 2), (1, 3))]
+    pairs = [*ladder, *[(90, 130 + i) for i in range(20)], *[(200 + i, 201 + i) for i in range(60)]]
+    monkeypatch.setattr(ordering, "HELD", held)
+    monkeypatch.setattr(ordering, "WIDE", wide)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    order, left = [], set(near)
+    for least in (0, 200):
+        component = {i for i in near if (i < 200) == (least < 200)}
+        queue = [min(component, key=lambda i: (len(near[i]), i))]
+        left -= {queue[0]}
+        for i in queue:
+            more = sorted(near[i] & left, key=lambda j: (len(near[j]), j))
+            queue += more
+            left -= set(more)
+        order += queue
+    spark.sparkContext.setJobGroup(f"ladder {held} {wide}", "")
+    edges = cut(spark.createDataFrame(pairs, "row long, col long"))
+    p = {r.old_id: r.new_id for r in ordering.reverse_cuthill_mckee(edges).collect()}
+    assert p == {i: k for k, i in enumerate(reversed(order))}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ladder {held} {wide}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs > 200 if held == 100 else jobs < 150
+
+
+def test_components_of_many_pairs_are_contracted(spark, monkeypatch):
+    """Against plain merging, by one task and by rounds; rounds are few on a path whose ids go up and down."""
+    rng = np.random.default_rng(8)
+    ids = rng.permutation(400).tolist()
+    pairs = [*zip(ids[:299], ids[1:300], strict=True), *[(a, b) for a, b in rng.choice(ids[300:380], (60, 2)).tolist() if a != b]]
+    least = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+    both = cut(spark.createDataFrame([*pairs, *[(b, a) for a, b in pairs]], "row long, col long"))
+    for most in (2_000_000, 5):
+        monkeypatch.setattr(stats, "MERGED", most)
+        tables = []
+        monkeypatch.setattr(stats, "cut", lambda df, *a, **k: tables.append(df) or cut(df, *a, **k))  # noqa: B023
+        assert {r.id: r.component for r in stats.connected(nodes, both).collect()} == least
+        assert len(tables) < 50
+
+
 @pytest.mark.parametrize("box", [Box((1.0, 1.0)), Box((0.0, 0.0))])
 def test_radius_join_deals_crowded_cells_and_moves_no_pairs(spark, monkeypatch, box):
     """Crowded cells are dealt over tasks with the same result, and pairs are not shuffled after they are made."""
