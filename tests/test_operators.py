@@ -483,7 +483,7 @@ def test_radius_join_deals_crowded_cells_and_moves_no_pairs(spark, monkeypatch,
     assert "Window" in above_join and "Exchange" not in above_join
 
 
-@pytest.mark.parametrize(("sides", "norm"), [((1.0, 1.0), "euclid"), ((), "chebyshev")])
+@pytest.mark.parametrize(("sides", "norm"), [((1.0, 1.0), "euclid"), ((), "euclid"), ((), "chebyshev")])
 def test_crowded_cells_are_copied_by_their_rows(spark, monkeypatch, sides, norm):
     """A crowded cell's points go to as many tasks as its rows need, not to as many as its pairs do, and rows are found and ordered the same."""
     rng = np.random.default_rng(6)
